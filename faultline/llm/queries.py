@@ -7,18 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from faultline.llm.near_dup import near_duplicates
+from faultline.llm.quality import quality_scores
 from faultline.llm.shared import table
 from faultline.llm.token_files import token_files
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_token_files": op9_token_files}
+    return {"op5_near_duplicates": op5_near_duplicates, "op9_token_files": op9_token_files, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
