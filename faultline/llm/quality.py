@@ -152,7 +152,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, rate:
     x, y = x.astype(np.float64), y.astype(np.float64)
     share = float(y.mean()) if len(y) else 0.5
     net = Network(x.mean(0) if len(y) else np.zeros(N_FEATURES), x.std(0) + 1e-3 if len(y) else np.ones(N_FEATURES), rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), np.zeros(hidden), 0.0)
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         net.b2 = float(np.log((share * len(y) + 0.5) / ((1 - share) * len(y) + 0.5)))
         return net
     back = np.arange(len(y)) % 5 == 0
@@ -222,15 +222,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, m
 
     if not keep:
         names = [*names, "text"]
-    at, n_out = names.index("text"), len(schema)
+    at, n_out, result = names.index("text"), len(schema), "quality_score" if keep else "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = shared.value
         for b in batches:
-            yield pa.record_batch([*b.columns[:n_out], pa.array(net.scores(pooled(b.column(at), vectors)), pa.float64())], [*b.schema.names[:n_out], "score"])
+            yield pa.record_batch([*b.columns[:n_out], pa.array(net.scores(pooled(b.column(at), vectors)), pa.float64())], [*b.schema.names[:n_out], result])
 
     source = docs.withColumns({"text": F.col("text").cast("string")} | ({} if keep else {"doc_id": F.col("doc_id").cast("long")})).select(*[F.col(f"`{c}`") for c in names])
-    scored = source.mapInArrow(run, T.StructType([*schema.fields, T.StructField("score", T.DoubleType())]))
+    scored = source.mapInArrow(run, T.StructType([*schema.fields, T.StructField(result, T.DoubleType())]))
     if keep:
-        return scored.withColumnRenamed("score", "quality_score")
+        return scored
     return scored.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
