@@ -8,8 +8,9 @@ any verbatim item lies whole in a passage. A passage is a BM25 query of its dist
 posting holds the item's BM25 weight of a word divided by the item's score for itself, so a
 passage that has all words of an item scores 1 for it and one threshold serves all items.
 Block-max WAND walks the postings by item and returns EVERY item that scores at least
-`threshold`: it skips blocks whose maxima cannot reach it, nothing else. Passages whose words'
-list maxima add up to less than the threshold are not walked at all.
+`threshold`: it skips blocks whose maxima cannot reach it, nothing else. A passage is walked only
+if it can hold an item: words are split into essential ones and a rest whose weights stay below
+the threshold in every item, so a passage must bring enough essential weight to some item.
 
 Retrieved items are verified on the whole document's words: the share of the question's and of
 the answer's word runs (RUN words) found in it. An item is question and answer; where it is one
@@ -38,6 +39,8 @@ from pyspark.sql import functions as F
 from faultline.llm.textkernel import NON_WORD, U64, slices, words
 
 K1, B, BLOCK, RUN = 1.2, 0.75, 16, 4
+#: What words that are not essential may hold of an item, in thresholds.
+REST = 0.5
 #: Tokens of an index shard (about 24 bytes each when broadcast).
 SHARD_TOKENS = 1_000_000
 
@@ -82,7 +85,11 @@ class Shard:
     item_ids: list
     vocabulary: np.ndarray  # word hashes, ascending
     lists: list[Postings]
-    tops: np.ndarray  # of each word
+    essential: np.ndarray  # of each word: whether an item needs it or its like to reach the threshold
+    rest: np.ndarray  # of each item: the weight of its words that are not essential
+    lists_at: np.ndarray  # where each word's postings begin in the two below
+    list_items: np.ndarray
+    list_weights: np.ndarray
     length: int  # words of the longest item
     questions: list[np.ndarray]
     answers: list[np.ndarray]
@@ -144,7 +151,7 @@ def _advance(c: list, to: int) -> None:
     c[0], c[1] = p.items[at], at
 
 
-def build_shard(rows: list[tuple], n_items: int, mean_words: float, doc_freq: dict[int, int]) -> Shard:
+def build_shard(rows: list[tuple], n_items: int, mean_words: float, doc_freq: dict[int, int], threshold: float = 0.5) -> Shard:
     """rows: (item_id, question, answer). Weights use the counts of all items, so shards agree."""
     lists: dict[int, list[tuple[int, float]]] = {}
     item_ids, questions, answers, longest = [], [], [], 0
@@ -170,7 +177,15 @@ def build_shard(rows: list[tuple], n_items: int, mean_words: float, doc_freq: di
         cuts = range(0, len(items), BLOCK)
         tops = [max(weights[i : i + BLOCK]) for i in cuts]
         built.append(Postings(items, weights, [items[min(i + BLOCK, len(items)) - 1] for i in cuts], tops, max(tops)))
-    return Shard(item_ids, vocabulary, built, np.array([p.top for p in built]), max(longest, 1), questions, answers)
+    # the words of most items leave first; a word stays essential where its items would reach the threshold without it
+    rest, essential = np.zeros(len(item_ids)), np.ones(len(built), bool)
+    for t in sorted(range(len(built)), key=lambda t: (-len(built[t].items), t)):
+        after = rest[built[t].items] + built[t].weights
+        if (after < REST * threshold).all():
+            rest[built[t].items], essential[t] = after, False
+    at = np.concatenate([[0], np.cumsum([len(p.items) for p in built])]).astype(np.int64)
+    flat = lambda of, kind: np.array([x for p in built for x in of(p)], kind)
+    return Shard(item_ids, vocabulary, built, essential, rest, at, flat(lambda p: p.items, np.int64), flat(lambda p: p.weights, np.float64), max(longest, 1), questions, answers)
 
 
 def search(shard: Shard, texts: pa.Array, threshold: float) -> Iterator[tuple[int, dict[int, float], np.ndarray]]:
@@ -179,19 +194,32 @@ def search(shard: Shard, texts: pa.Array, threshold: float) -> Iterator[tuple[in
     at = np.searchsorted(shard.vocabulary, w.hashes)
     at[at == len(shard.vocabulary)] = 0
     known = shard.vocabulary[at] == w.hashes
-    sums = np.concatenate([[0.0], np.cumsum(np.where(known, shard.tops[at], 0))])
     n, step = w.counts, shard.length
     n_windows = np.maximum(1, -(-(n - step) // step)) * (n > 0)
     doc = np.repeat(np.arange(len(n)), n_windows)
-    first = w.offsets[:-1][doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows))
+    window_at = np.cumsum(n_windows) - n_windows
+    first = w.offsets[:-1][doc] + step * (np.arange(len(doc)) - window_at[doc])
     last = np.minimum(first + 2 * step, w.offsets[1:][doc])
+    # essential words' postings, in each of the up to two passages that hold the word
+    word = np.flatnonzero(known)
+    word = word[shard.essential[at[word]]]
+    of = np.searchsorted(w.offsets, word, "right") - 1
+    step_of = (word - w.offsets[:-1][of]) // step
+    held = []
+    for back in (0, 1):
+        k = step_of - back
+        ok = (k >= 0) & (k < n_windows[of])
+        held.append((window_at[of] + k)[ok] * len(shard.vocabulary) + at[word][ok])
+    held = np.unique(np.concatenate(held))  # each word of a passage once
+    window, term = held // max(len(shard.vocabulary), 1), held % max(len(shard.vocabulary), 1)
+    sizes = np.diff(shard.lists_at)[term]
+    posting = np.repeat(shard.lists_at[term] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    pair, inverse = np.unique(np.repeat(window, sizes) * len(shard.item_ids) + shard.list_items[posting], return_inverse=True)
+    reach = np.bincount(inverse, shard.list_weights[posting], len(pair)) + shard.rest[pair % max(len(shard.item_ids), 1)]
     found: dict[int, dict[int, float]] = {}
-    for k in np.flatnonzero(sums[last] - sums[first] >= threshold - 1e-9):
+    for k in np.unique(pair[reach >= threshold - 1e-9] // max(len(shard.item_ids), 1)):
         span = slice(first[k], last[k])
-        terms = np.unique(at[span][known[span]])
-        if shard.tops[terms].sum() < threshold - 1e-9:
-            continue
-        for item, score in shard.wand(terms.tolist(), threshold - 1e-9):
+        for item, score in shard.wand(np.unique(at[span][known[span]]).tolist(), threshold - 1e-9):
             best = found.setdefault(int(doc[k]), {})
             best[item] = max(score, best.get(item, 0.0))
     for i, items in found.items():
@@ -224,7 +252,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_questio
         rows.append((r["item_id"], q, a))
         size += len(h)
     given += [rows] if rows else []
-    shards = [build_shard(x, n_items, n_words / n_items, freq) for x in given]
+    shards = [build_shard(x, n_items, n_words / n_items, freq, threshold) for x in given]
     out = spark.createDataFrame([], schema)
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     for shard in shards:

@@ -47,6 +47,27 @@ def test_passages_miss_nothing_that_lies_in_one():
             assert found[0][k] > 0.99 and 1 not in found
 
 
+def test_search_equals_scoring_every_passage():
+    rng = random.Random(8)
+    vocab = [f"w{int(rng.paretovariate(0.6)) % 400}" for _ in range(900)]
+    shard = shard_of([" ".join(rng.choice(vocab) for _ in range(rng.randint(3, 25))) for _ in range(80)])
+    weights = np.zeros((len(shard.item_ids), len(shard.vocabulary)))
+    for t, p in enumerate(shard.lists):
+        weights[p.items, t] = p.weights
+    texts = ["", "zz", *(" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 300))) for _ in range(60))]
+    got = {i: best for i, best, _ in search(shard, pa.array(texts), 0.5)}
+    for i, text in enumerate(texts):
+        h = words(pa.array([text]), NON_WORD).hashes
+        want = {}
+        for a in range(0, max(1, len(h) - shard.length), shard.length):
+            terms = np.isin(shard.vocabulary, h[a : a + 2 * shard.length])
+            for item in np.flatnonzero(weights[:, terms].sum(1) >= 0.5 - 1e-9):
+                want[int(item)] = max(want.get(int(item), 0), weights[item, terms].sum())
+        assert got.get(i, {}).keys() == want.keys()
+        for item, score in want.items():
+            assert abs(got[i][item] - score) < 1e-9
+
+
 def test_planted_items_are_found_and_only_they(spark):
     docs, items = table(spark, SF, "documents"), table(spark, SF, "benchmark").collect()
     norm = lambda t: " " + " ".join("".join(c if c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()) + " "
