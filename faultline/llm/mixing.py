@@ -9,11 +9,11 @@
    give p(domain | text).
 3. Rates. Document d has n_d tokens (words). Find rates r_d >= min_rate with
    sum_d r_d n_d p_dk = T_k for each domain k, T_k = budget x weight_k, by projected gradient on
-   sum_k (S_k - T_k)^2 / C_k, C_k being the tokens expected at rate 1. In the metric that weighs
-   documents by n_d the gradient is sum_k p_dk (S_k - T_k) / C_k and the largest curvature is 1,
-   so the unit step converges. A pass over the documents sums K numbers; each document's rate
-   follows from its posteriors and the short list of past residuals, so no state is kept and a
-   lost executor costs nothing.
+   sum_k (S_k - T_k)^2 / C_k, C_k being the tokens expected at rate 1. The gradient lies in the
+   span of the posteriors, so a step is K numbers v, r_d falls by sum_k p_dk v_k and is cut to the
+   bound; v solves the damped K x K curvature of the documents that are free to move. A pass over
+   the documents sums K or K x K numbers; a document's rate follows from its posteriors and the
+   short list of past steps, so no state is kept and a lost executor costs nothing.
 
 Results: (doc_id, text_hash, n_rows, n_tokens, p_<domain>..., rate), one row for each distinct
 (doc_id, text); n_rows tells how many rows share it and all of them have that rate.
@@ -31,6 +31,7 @@ import math
 import re
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,38 +100,60 @@ def posteriors(docs: DataFrame, model: DataFrame, domains: list[str], prior: lis
     return top.select("doc_id", "text_hash", "n_rows", "n_tokens", F.array(*[F.get("e", F.lit(k)) / total for k in k_all]).alias("p"))
 
 
-def _rate(past: list[list[float]], n_domains: int, min_rate: float, max_rate: float | None) -> Column:
-    """The document's rate after the residuals in past (each already divided by C_k)."""
+def _dot(p: Column, values: Column, n: int, first: int = 0) -> Column:
+    return reduce(lambda a, b: a + b, [F.get(p, F.lit(k)) * F.get(values, F.lit(first + k)) for k in range(n)])
+
+
+def _numbers(values: list[float]) -> Column:
+    return F.array(*[F.lit(float(x)) for x in values])
+
+
+def _rate(past: list[list[float]], n: int, min_rate: float, max_rate: float | None) -> Column:
+    """A document's rate after the steps in past, each the gradient by domain and then the step by domain: free documents (above the bound, or pulled up) move and are cut to the bounds."""
     start = F.lit(max(1.0, min_rate))
     if not past:
         return start
-    steps = F.array(*[F.array(*[F.lit(x) for x in g]) for g in past])
 
     def step(rate: Column, g: Column) -> Column:
-        new = F.greatest(F.lit(min_rate), rate - reduce(lambda a, b: a + b, [F.get("p", F.lit(k)) * F.get(g, F.lit(k)) for k in range(n_domains)]))
-        return F.least(F.lit(max_rate), new) if max_rate is not None else new
+        moved = F.greatest(F.lit(min_rate), rate - _dot(F.col("p"), g, n, n))
+        moved = F.least(F.lit(max_rate), moved) if max_rate is not None else moved
+        return F.when((rate > min_rate) | (_dot(F.col("p"), g, n) < 0), moved).otherwise(rate)
+
+    return F.aggregate(F.array(*[_numbers(g) for g in past]), start, step)
 
-    return F.aggregate(steps, start, step)
 
+def fit_rates(members: DataFrame, weights: list[float], budget: float | None = None, min_rate: float = 0.0, max_rate: float | None = None, max_steps: int = 25, tolerance: float = 1e-4) -> DataFrame:
+    """members with a `rate`. budget: tokens in all; by default what they have, or, with min_rate > 0, the least at which no domain must be thinned below min_rate.
 
-def fit_rates(members: DataFrame, weights: list[float], budget: float | None = None, min_rate: float = 0.0, max_rate: float | None = None, max_steps: int = 40, tolerance: float = 1e-4) -> DataFrame:
-    """members with a `rate`. budget: tokens in all; by default what they have, or, with min_rate > 0, the least at which no domain must be thinned below min_rate."""
+    Steps end when every domain is within the tolerance of its target or the misfit no longer falls (targets may be out of reach).
+    """
     n = len(weights)
-    mass = [F.coalesce(F.sum(F.col("n_tokens") * F.col("n_rows") * F.get("p", F.lit(k)) * F.col("rate")), F.lit(0.0)) for k in range(n)]
-    have = list(members.withColumn("rate", F.lit(1.0)).agg(*[m.alias(f"s{k}") for k, m in enumerate(mass)]).first())
+    k_all = range(n)
+    share = [F.get("p", F.lit(k)) for k in k_all]
+    tokens = F.col("n_tokens") * F.col("n_rows")
+    sums = lambda df, cols: [float(x or 0.0) for x in df.agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()]
+    have = sums(members, [tokens * x for x in share])
     total = sum(have)
     if budget is None:
         budget = max([total * min_rate, *(min_rate * h / w for h, w in zip(have, weights, strict=True) if w > 0)]) if min_rate > 0 else total
-    target = [budget * w for w in weights]
-    scale = [max(h, 1e-9 * max(total, 1.0), 1e-9) for h in have]
+    # a domain that nothing supplies cannot be filled; its residual would only push the others
+    reachable = [h > 1e-6 * max(total, 1.0) for h in have]
+    scale = np.array([h if ok else max(total, 1.0) for h, ok in zip(have, reachable, strict=True)])
     past: list[list[float]] = []
+    misfits, damping = [], 1e-3
     for _ in range(max_steps):
-        now = list(members.withColumn("rate", _rate(past, n, min_rate, max_rate)).agg(*[m.alias(f"s{k}") for k, m in enumerate(mass)]).first())
-        # a domain that nothing supplies cannot be filled; its residual would only push the others
-        gap = [(s - t) / c if h > 1e-6 * max(total, 1.0) else 0.0 for s, t, c, h in zip(now, target, scale, have, strict=True)]
-        if max(map(abs, gap), default=0.0) <= tolerance:
+        at = members.withColumn("rate", _rate(past, n, min_rate, max_rate))
+        now = sums(at, [tokens * F.col("rate") * x for x in share])
+        gap = np.array([s - budget * w if ok else 0.0 for s, w, ok in zip(now, weights, reachable, strict=True)])
+        misfits.append(float(np.sum(gap * gap / scale)))
+        if np.max(np.abs(gap) / scale, initial=0.0) <= tolerance or (len(misfits) > 5 and max(misfits[-5:]) - min(misfits[-5:]) <= 1e-3 * misfits[-1]):
             break
-        past.append(gap)
+        if len(misfits) > 1:
+            damping = min(damping * 8, 1.0) if misfits[-1] > misfits[-2] else max(damping / 2, 1e-3)
+        gradient = [float(x) for x in gap / scale]
+        free = F.when((F.col("rate") > min_rate) | (_dot(F.col("p"), _numbers(gradient), n) < 0), tokens).otherwise(0)
+        curve = np.array(sums(at, [free * share[i] * share[j] for i in k_all for j in k_all])).reshape(n, n)
+        past.append([*gradient, *np.linalg.solve(curve + damping * np.diag(scale), gap).tolist()])
     return members.withColumn("rate", F.round(_rate(past, n, min_rate, max_rate), 9))
 
 

@@ -111,13 +111,14 @@ def apply_edits(enc: ChunkEncoder, text: str, chars: np.ndarray, tokens: np.ndar
         while True:
             low, at_low = tree.find(max(group[-1][0] - 2, 0))
             high, at_high = tree.find(group[0][1]) if group[0][1] < len(text) else (tree.n, len(text))
-            if taken and taken[-1][1] > at_low:
+            if taken and taken[-1][1] >= at_low:
                 group.append(taken.pop())
             else:
                 break
         # the leaf that the last edit ends in is encoded up to its own end, where a piece begins anyway
-        stop = at_high if high == tree.n or at_high == group[0][1] else at_high + int(tree.sums[high + tree.leaves, 0])
-        last = high if stop == at_high else high + 1
+        # (or whole, if it is the only one)
+        whole = high < tree.n and (at_high < group[0][1] or high == low)
+        stop, last = (at_high + int(tree.sums[high + tree.leaves, 0]), high + 1) if whole else (at_high, high)
         parts, at = [], at_low
         for start, end, new in reversed(group):
             parts += [text[at:start], new]

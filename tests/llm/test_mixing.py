@@ -8,7 +8,8 @@ from faultline.llm.shared import table
 SF = "/root/testdata/sf0.01"
 
 
-def brute_rates(n, p, target, scale, low, steps=4000):
+def brute_rates(n, p, target, scale, low, steps=20_000):
+    """Plain projected gradient, to the end."""
     r = np.full(len(n), max(1.0, low))
     for _ in range(steps):
         r = np.maximum(low, r - p @ (((n * r) @ p - target) / scale))
@@ -17,15 +18,17 @@ def brute_rates(n, p, target, scale, low, steps=4000):
 
 @pytest.mark.parametrize("low", [0.0, 0.4])
 def test_rates_match_brute_force(spark, low):
+    """The bound of 0.4 puts the targets out of reach; then the totals are unique, the rates are not."""
     rng = np.random.default_rng(4)
     n = rng.integers(0, 200, 60)
     p = rng.dirichlet([0.2, 0.2, 0.2], 60)
     weights = [0.6, 0.3, 0.1]
-    frame = spark.createDataFrame([(int(a), 1, [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, n_rows long, p array<double>")
-    got = np.array([r["rate"] for r in fit_rates(frame, weights, budget=float(n.sum()), min_rate=low, max_steps=200, tolerance=1e-7).collect()])
+    frame = spark.createDataFrame([(int(a), 1, [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, n_rows long, p array<double>").coalesce(1)
+    got = np.array([r["rate"] for r in fit_rates(frame, weights, budget=float(n.sum()), min_rate=low).collect()])
     want = brute_rates(n, p, n.sum() * np.array(weights), n @ p, low)
-    np.testing.assert_allclose((n * got) @ p, (n * want) @ p, rtol=1e-3)
-    np.testing.assert_allclose(got, want, atol=2e-2)
+    np.testing.assert_allclose((n * got) @ p, (n * want) @ p, rtol=2e-3)
+    if low == 0:
+        np.testing.assert_allclose(got, want, atol=1e-3)
     assert got.min() >= low
 
 
