@@ -11,7 +11,8 @@ from faultline.functions.expressions import comparable_name
 
 def tag(tags: Column, *keys: str) -> Column:
     """The value of the first tag with the first key that any tag has."""
-    return F.coalesce(*[F.get(F.filter(tags, lambda t, k=k: t["key"] == k), F.lit(0))["value"] for k in keys])
+    named = lambda key: F.get(F.filter(tags, lambda t: t["key"] == key), F.lit(0))["value"]
+    return F.coalesce(*[named(k) for k in keys])
 
 
 def parent_id(references: Column) -> Column:

@@ -344,12 +344,12 @@ def missing_components(spark, sf_dir):
 def log_lines(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     # a message for each event, with an address, a number, an id and a URL
-    text = F.concat(F.col("event_type"), F.lit(" from 10.1.2."), F.col("user_id") % 9, F.lit(" code "), (F.col("event_id") % 3).cast("string"), F.lit(" id deadbeef01 at 2024-01-02T03:04:05.678Z  see https://x.org/a?b=1"))
+    text = F.concat(F.col("event_type"), F.lit(" from 10.1.2."), F.col("user_id") % 9, F.lit(" code "), (F.col("event_id") % 3).cast("string"), F.lit(" id deadbeef01 at 2024-01-02T03:04:05.678Z  see https://x.org/a?b=c"))
     return e.select(F.col("ts").alias("time"), F.concat(F.lit("pod-"), F.col("user_id") % 8).alias("pod"), F.when(F.col("event_id") % 5 == 0, "null").otherwise(F.concat(F.lit("node-"), F.col("user_id") % 3)).alias("node"), text.alias("message"), "event_id")
 
 
 LOG_SQL = """SELECT ts AS time, 'pod-' || CAST(user_id % 8 AS VARCHAR) AS pod, CASE WHEN event_id % 5 = 0 THEN 'null' ELSE 'node-' || CAST(user_id % 3 AS VARCHAR) END AS node,
- event_type || ' from 10.1.2.' || CAST(user_id % 9 AS VARCHAR) || ' code ' || CAST(event_id % 3 AS VARCHAR) || ' id deadbeef01 at 2024-01-02T03:04:05.678Z  see https://x.org/a?b=1' AS message,
+ event_type || ' from 10.1.2.' || CAST(user_id % 9 AS VARCHAR) || ' code ' || CAST(event_id % 3 AS VARCHAR) || ' id deadbeef01 at 2024-01-02T03:04:05.678Z  see https://x.org/a?b=c' AS message,
  event_type || ' from <IP> code <NUM> id <HASH> at see <URL>' AS template, event_id FROM events"""
 
 
