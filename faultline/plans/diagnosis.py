@@ -44,6 +44,7 @@ def route(request: str, components: list[str] | None = None) -> list[tuple[str,
     """(analysis, components): database names go to the database analysis alone, services to their pods, calls of one analysis are merged; what names no analysis gets infra and logs."""
     text = request.lower()
     named = components or [c for c in topology.known_components() if c in text]
+    named = [c for c in named if components or not any(c != d and c in d for d in named)]  # the longest name counts
     database = [c for c in named if c.startswith("tidb")]
     others = [c for c in named if not c.startswith("tidb")]
     out: list[tuple[str, list[str]]] = []

@@ -58,7 +58,7 @@ def test_analyses(spark, lake):
     assert (disk["kpi_key"], disk["severity"], disk["pod"], disk["related_node"]) == ("io_util", "critical", "N/A_cluster_level", "10.0.0.1:9100")
     log = diagnosis.log_analysis(spark, lake, START, END).findings.first()
     assert (log["pod"], log["total"], log["level"]) == ("cartservice-0", 11, "connectivity_error")
-    hot = diagnosis.trace_analysis(spark, lake, START, END, "cartservice").findings.first()
+    hot = diagnosis.trace_analysis(spark, lake, START, END, "frontend").findings.first()  # the caller is the parent span's service
     assert (hot["culprit"], hot["errors"], hot["calls"]) == ("redis-cart", 11, 11)
     assert diagnosis.log_analysis(spark, lake, "2020-01-01T00:00:00Z", "2020-01-01T01:00:00Z").findings is None
 
