@@ -2,12 +2,12 @@
 
 Vectors are scaled to length 1, so that the largest inner product is the largest cosine.
 
-1. Codebooks. SUB subspaces of a few components with 16 codewords each, from a bounded sample
+1. Codebooks. `sub` subspaces (by default one for each component) with 16 codewords each, from a bounded sample
    (`max_train`, the vectors of smallest vec_id hash). The loss weighs the residual parallel to
    the vector ETA times as much as the rest, as errors along the vector are what moves large inner
    products: codewords solve the weighted least squares of their members, members choose
    codewords by coordinate descent over the whole residual.
-2. Index. Every vector is encoded to SUB four-bit codes, two to a byte, and kept in blocks.
+2. Index. Every vector is encoded to `sub` four-bit codes, two to a byte, and kept in blocks.
    Equal vectors are coded once: of each, the k + 1 smallest ids are enough for any answer, since
    ties go to the smaller id. This drops no possible result and keeps copies from crowding out.
 3. Scan. Query blocks meet index blocks by an equi-join on the query block's number, each index
@@ -40,7 +40,7 @@ from faultline.llm.shared import saved
 CODES = 16
 THRESHOLD = 0.2
 MAX_TRAIN = 10_000
-INDEX_BLOCK, QUERY_BLOCK = 16_384, 1_024
+INDEX_BLOCK, QUERY_BLOCK = 65_536, 1_024
 
 
 class Codebook:
@@ -129,7 +129,7 @@ def _best(score: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-score, k - 1, axis=1)[:, :k] if score.shape[1] > k else np.tile(np.arange(score.shape[1]), (len(score), 1))
 
 
-def nearest(vectors: DataFrame, k: int = 5, query_every: int = 50, rerank: int = 60, sub: int | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, query_every: int = 50, rerank: int = 150, sub: int | None = None, max_train: int = MAX_TRAIN) -> DataFrame:
     """Queries are the vectors whose id is divisible by query_every; candidates are all others."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -140,7 +140,7 @@ def nearest(vectors: DataFrame, k: int = 5, query_every: int = 50, rerank: int =
     dim = dim["dim"]
     all_ = all_.where(F.size("v") == dim)
     sample = all_.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_train).select("v").toArrow()  # max_train vectors at most
-    book = Codebook(_unit(_matrix(sample.column("v").combine_chunks(), dim)), sub or max(1, -(-dim // 2)), anisotropic_weight(dim))
+    book = Codebook(_unit(_matrix(sample.column("v").combine_chunks(), dim)), sub or dim, anisotropic_weight(dim))
     shared = spark.sparkContext.broadcast(book)
 
     # equal vectors (as directions they may differ in length, which changes no cosine but is not looked for here)

@@ -55,8 +55,8 @@ def token_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         same[1:] = h[1:] == h[:-1]
     same[w.offsets[:-1][w.counts > 0]] = False
     mark = np.select(
-        [same, (let == 0) & (dig == 0) & (raw[s] == 0x7C if len(s) else False), (let == 0) & (dig == 0), odd > 0, dig > 0, (up >= 2) & (up == let), (up > 1) | ((up == 1) & ~first_up), n > 24, first_up],
-        [7, 8, 4, 5, 6, 2, 3, 9, 1],
+        [same, (let == 0) & (dig == 0) & (raw[s] == 0x7C if len(s) else False), (let == 0) & (dig == 0), (let == 0) & (dig > 0), odd > 0, dig > 0, (up >= 2) & (up == let), (up > 1) | ((up == 1) & ~first_up), n > 24, first_up],
+        [7, 8, 4, 6, 5, 6, 2, 3, 9, 1],
         0,
     )
     row = (h >> U64(40)).astype(np.int64) % (ROWS - len(MARKS))
@@ -146,7 +146,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -40, 40)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, rate: float = 0.01, decay: float = 1e-4, seed: int = 5) -> Network:
+def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 20, rate: float = 0.005, decay: float = 0.01, seed: int = 5) -> Network:
     """Adam on the cross entropy; every fifth row is kept back for the temperature."""
     rng = np.random.default_rng(seed)
     x, y = x.astype(np.float64), y.astype(np.float64)
@@ -177,7 +177,7 @@ def fit(x: np.ndarray, y: np.ndarray, hidden: int = 24, epochs: int = 60, rate:
     net.w1, net.b1, net.w2, net.b2 = parts[0], parts[1], parts[2], float(parts[3][0])
     if back.any():
         logit, t = net.logits(x[back]), y[back]
-        grid = np.exp(np.linspace(np.log(0.25), np.log(8), 60))
+        grid = np.exp(np.linspace(np.log(0.5), np.log(8), 60))
         net.temperature = float(grid[np.argmin([np.mean(np.logaddexp(0, -np.where(t > 0, 1, -1) * logit / g)) for g in grid])])
     return net
 
