@@ -15,6 +15,7 @@ from faultline.llm.lm import lm_scores
 from faultline.llm.mixing import soft_mixture
 from faultline.llm.near_dup import near_duplicates
 from faultline.llm.quality import quality_scores
+from faultline.llm.secrets import oracle as secrets_oracle
 from faultline.llm.secrets import secrets
 from faultline.llm.shared import table
 from faultline.llm.token_counts import masked_token_counts
@@ -78,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_secrets": secrets_oracle()}

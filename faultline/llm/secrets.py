@@ -31,9 +31,9 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"  # a run of 32 or more is what [0-9a-f]+ of 32 or more matches
 KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 
-IDENT = r"""(?i:\b(access_?key_?id|client_?id|user_?name|username|user|login|account|email))["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9@+/_.-]{2,}"""
-WEAK = r"""(?i:\b(pwd|pass|passphrase|credential|client_?secret|auth|private_?key|secret_?key|access_?key|password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}"""
-ENDPOINT = r"""(?i:\b(https?|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp|s3|ftp)://[A-Za-z0-9][A-Za-z0-9@:/_.?=&%-]*|\b(host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9:/_.-]{3,})"""
+IDENT = r"""(?<![A-Za-z0-9_])(?i:(access_?key_?id|client_?id|user_?name|username|user|login|account|email))["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9@+/_.-]{2,}"""
+WEAK = r"""(?<![A-Za-z0-9_])(?i:(pwd|pass|passphrase|credential|client_?secret|auth|private_?key|secret_?key|access_?key|password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}"""
+ENDPOINT = r"""(?<![A-Za-z0-9_])(?i:(https?|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp|s3|ftp)://[A-Za-z0-9][A-Za-z0-9@:/_.?=&%-]*|(host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9:/_.-]{3,})"""
 
 
 def _matches(text: Column, pattern: str, kind: int, min_group: int = 0, min_chars: int = 0) -> Column:
@@ -102,3 +102,28 @@ def secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         "n_rows",
     )
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int")))).drop("copy", "n_rows")
+
+
+def oracle(scope: int = SCOPE) -> str:
+    """The same result in DuckDB's SQL, for tables whose doc_ids do not repeat."""
+    # RE2 has no look-behind; its word boundary is the ASCII one, which is the same before a letter
+    forms = (ASSIGN, ACCESS, HEX, IDENT, WEAK, ENDPOINT)
+    least = ("length(g) >= 8", "length(w) >= 16", "length(w) >= 32", "true", "true", "true")
+    parts = []
+    for kind, (form, test) in enumerate(zip(forms, least, strict=True)):
+        p = form.replace("(?<![A-Za-z0-9_])", r"\b").replace("'", "''")
+        parts.append(
+            f"""SELECT doc_id, {kind} AS kind, start, start + length(w) AS stop FROM (
+ SELECT doc_id, w[i] AS w, g[i] AS g, CAST(length(array_to_string(s[1:i], '')) + length(array_to_string(w[1:i - 1], '')) AS BIGINT) AS start
+ FROM (SELECT doc_id, regexp_extract_all(t, '{p}') AS w, regexp_extract_all(t, '{p}', {2 if kind == 0 else 0}) AS g, regexp_split_to_array(t, '{p}') AS s FROM d WHERE regexp_matches(t, '{p}')), unnest(range(1, len(w) + 1)) AS u(i)) WHERE {test}"""
+        )
+    near = f"OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN {scope} PRECEDING AND {scope} FOLLOWING)"
+    names = "['" + "', '".join(KINDS) + "'][kind + 1]"
+    text = lambda where: f"coalesce(string_agg({names} || ':' || start || ':' || stop, ',' ORDER BY start, kind, stop) FILTER (WHERE {where}), '')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), c AS ({' UNION ALL '.join(parts)}),
+ l AS (SELECT *, max(kind IN (1, 3)) {near} AS near_id, max(kind IN (0, 2, 4)) {near} AS near_secret FROM c),
+ k AS (SELECT * FROM l WHERE kind <= 2 OR (kind = 4 AND near_id) OR (kind = 3 AND near_secret) OR (kind = 5 AND near_id AND near_secret)),
+ o AS (SELECT k.*, EXISTS (SELECT 1 FROM k b WHERE b.doc_id = k.doc_id AND b.kind <= 2 AND b.start < k.stop AND k.start < b.stop) AS covered FROM k)
+ SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+ sha256({text('kind <= 2')}) AS base_sha256, {text('kind <= 2 OR NOT covered')} AS spans, count(*) FILTER (WHERE kind > 2 AND NOT covered) AS n_linked
+ FROM d LEFT JOIN o USING (doc_id) GROUP BY doc_id"""

@@ -179,8 +179,8 @@ def recount(counted: DataFrame, tokenizer: str) -> DataFrame:
 #: Personal data that a release would mask: mail addresses, IPv4 addresses, runs of 13 to 16 digits.
 MASKED = (
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "<mail>"),
-    (r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b", "<address>"),
-    (r"\b[0-9]{13,16}\b", "<number>"),
+    (r"(?<![A-Za-z0-9_])[0-9]{1,3}(\.[0-9]{1,3}){3}(?![A-Za-z0-9_])", "<address>"),
+    (r"(?<![A-Za-z0-9_])[0-9]{13,16}(?![A-Za-z0-9_])", "<number>"),
 )
 
 

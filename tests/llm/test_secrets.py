@@ -68,3 +68,17 @@ def test_odd_rows(spark):
     assert secrets(frame.limit(0)).count() == 0
     null_id = secrets(spark.createDataFrame([(None, "password=abcdefgh1")], "doc_id long, text string")).collect()
     assert null_id[0]["doc_id"] is None and null_id[0]["n_assign"] == 1
+
+
+def test_sql_gives_the_same_rows(spark):
+    import duckdb
+
+    from faultline.llm.queries import op4_secrets, oracle_sql
+
+    sf = "/root/testdata/sf0.01"
+    got = op4_secrets(spark, sf)
+    duckdb.sql(f"create or replace view documents as select * from '{sf}/documents.parquet'")
+    want = duckdb.sql(oracle_sql()["op4_secrets"])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(want.fetchall())
+    assert got.where("n_assign + n_access + n_hex > 0").count() > 0
