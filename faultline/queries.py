@@ -588,7 +588,14 @@ def resource_causes(spark, sf_dir):
 # ---- text and insights ------------------------------------------------------------------------
 
 
-@query(None)
+HTML_SQL = "html"
+for _pattern in ex.HTML_MARKUP:
+    HTML_SQL = f"regexp_replace({HTML_SQL}, '{_pattern}', ' ', 'g')"
+for _name, _new in ex.HTML_NAMES:
+    HTML_SQL = f"replace({HTML_SQL}, '{_name}', '{_new.replace(chr(39), chr(39) * 2)}')"
+
+
+@query(f"SELECT page_id, substring(trim(regexp_replace({HTML_SQL}, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')), 1, {ex.HTML_LIMIT}) AS text FROM pages")
 def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", ex.html_text(F.col("html")).alias("text"))
 
