@@ -169,3 +169,20 @@ def io_saturation(long: DataFrame, metrics: list[str], node: str = "node", limit
 
 def missing_components(requested: DataFrame, found: DataFrame, name: str) -> DataFrame:
     return requested.select(name).distinct().join(found.select(name), name, "left_anti")
+
+
+def component_type(component: Column, object_type: Column) -> Column:
+    """pod or node as given; else by the names of nodes."""
+    given = F.lower(object_type)
+    return F.when(given.isin("pod", "node"), given).when(F.lower(component).contains("aiops-k8s") | F.lower(component).contains("k8s-master"), "node").otherwise("pod")
+
+
+def instance_nodes(df: DataFrame) -> DataFrame:
+    """(instance, kubernetes_node): a node for each instance, of several the smallest."""
+    known = df.where(usable(F.col("instance")).isNotNull() & usable(F.col("kubernetes_node")).isNotNull())
+    return known.groupBy("instance").agg(F.min("kubernetes_node").alias("kubernetes_node"))
+
+
+def first_component_column(df: DataFrame, columns: tuple[str, ...] = ("component_id", "pod", "instance", "kubernetes_node", "object_id", "node")) -> Column:
+    """The first of the columns that the table has and that is not null in the row."""
+    return F.coalesce(*[F.col(c) for c in columns if c in df.columns], F.lit(None).cast("string"))

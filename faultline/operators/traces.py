@@ -88,7 +88,7 @@ def of_traces(flat: DataFrame, ids: DataFrame) -> DataFrame:
 def latency_thresholds(flat: DataFrame, by: tuple[str, str] = ("service", "operation"), least_rows: int = 5, floor: int = 1000) -> DataFrame:
     """(by, threshold): the 95th percentile, 1000 at least, where there are five spans."""
     known = flat.where(F.col(by[0]).isNotNull() & F.col(by[1]).isNotNull())
-    return known.groupBy(*by).agg(F.count("duration").alias("n"), F.percentile("duration", F.lit(0.95)).alias("p95")).where(F.col("n") >= least_rows).select(*by, F.greatest(F.floor("p95"), F.lit(floor)).cast("long").alias("threshold"))
+    return known.groupBy(*by).agg(F.count("duration").alias("n"), F.percentile("duration", F.lit(0.95)).alias("p95")).where(F.col("n") >= least_rows).select(*by, F.greatest(F.floor(F.round("p95", 6)), F.lit(floor)).cast("long").alias("threshold"))
 
 
 def one_span_each(flat: DataFrame, order: list[Column]) -> DataFrame:
@@ -153,3 +153,14 @@ def profile(flat: DataFrame) -> DataFrame:
     by_status = flat.groupBy(status.alias("item")).agg(F.count(F.lit(1)).cast("double").alias("n")).select(F.lit("status").alias("measure"), "item", "n")
     top = flat.where("service is not null").groupBy(F.col("service").alias("item")).agg(F.count(F.lit(1)).cast("double").alias("n")).orderBy(F.desc("n"), "item").limit(10).select(F.lit("service").alias("measure"), "item", "n")
     return totals.unionByName(per_trace).unionByName(by_status).unionByName(top)
+
+
+def slow_spans(flat: DataFrame, thresholds: DataFrame, by: tuple[str, str] = ("pod", "operation")) -> DataFrame:
+    """Spans over their own threshold: (trace_id, span_id, by, duration, threshold, start_ms)."""
+    return flat.join(thresholds, list(by)).where(F.col("duration") > F.col("threshold")).select("trace_id", "span_id", *by, "duration", "threshold", "start_ms")
+
+
+def failed_spans(flat: DataFrame, least: int = 400) -> DataFrame:
+    """Spans with a status of `least` and more; text that is no number counts as 0."""
+    code = F.coalesce(F.expr("try_cast(status_code AS double)"), F.lit(0.0))
+    return flat.where(code >= least).select("trace_id", "span_id", F.coalesce("pod", F.lit("unknown_pod")).alias("pod"), F.coalesce("operation", F.lit("unknown_operation")).alias("operation"), code.alias("code"), "start_ms")

@@ -338,6 +338,19 @@ def missing_components(spark, sf_dir):
     return infra.missing_components(nation, rich, "n_nationkey").join(nation, "n_nationkey").select("n_name")
 
 
+@query("SELECT o_orderkey, CASE WHEN lower(o_orderstatus) = 'f' THEN 'pod' WHEN o_orderkey % 2 = 0 THEN 'node' ELSE 'pod' END AS component_type FROM orders")
+def component_types(spark, sf_dir):
+    name = F.when(F.col("o_orderkey") % 2 == 0, "AIOPS-k8s-01").otherwise("cart-0")
+    kind = F.when(F.col("o_orderstatus") == "F", "Pod")
+    return table(spark, sf_dir, "orders").select("o_orderkey", infra.component_type(name, kind).alias("component_type"))
+
+
+@query("SELECT 'i' || CAST(c_custkey % 40 AS VARCHAR) AS instance, min(n_name) AS kubernetes_node FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 7 <> 0 GROUP BY 1")
+def instance_nodes(spark, sf_dir):
+    pairs = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit("i"), F.col("c_custkey") % 40).alias("instance"), F.when(F.col("c_custkey") % 7 == 0, "null").otherwise(F.col("n_name")).alias("kubernetes_node"))
+    return infra.instance_nodes(pairs)
+
+
 # ---- logs -------------------------------------------------------------------------------------
 
 
@@ -444,7 +457,7 @@ def export_spans(spark, sf_dir):
     return tr.export_rows(conversation_spans(spark, sf_dir))
 
 
-THRESHOLD_SQL = "SELECT service, operation, CAST(greatest(floor(quantile_cont(duration::DOUBLE, 0.95)), 1000) AS BIGINT) AS threshold FROM f WHERE service IS NOT NULL AND operation IS NOT NULL GROUP BY 1, 2 HAVING count(duration) >= 5"
+THRESHOLD_SQL = "SELECT service, operation, CAST(greatest(floor(round(quantile_cont(duration::DOUBLE, 0.95), 6)), 1000) AS BIGINT) AS threshold FROM f WHERE service IS NOT NULL AND operation IS NOT NULL GROUP BY 1, 2 HAVING count(duration) >= 5"
 
 
 @query(f"WITH f AS ({FLAT_SQL}) {THRESHOLD_SQL}")
@@ -476,6 +489,24 @@ def hotspots(spark, sf_dir):
     return rounded(tr.hotspots(tr.span_anomalies(tr.with_family(flat), tr.latency_thresholds(flat))))
 
 
+@query(f"WITH f AS ({FLAT_SQL}), t AS (SELECT pod, operation, CAST(greatest(floor(round(quantile_cont(duration::DOUBLE, 0.95), 6)), 1000) AS BIGINT) AS threshold FROM f GROUP BY 1, 2 HAVING count(duration) >= 5) SELECT trace_id, span_id, pod, operation, duration, threshold, start_ms FROM f JOIN t USING (pod, operation) WHERE duration > threshold")
+def slow_spans(spark, sf_dir):
+    flat = tr.flatten(conversation_spans(spark, sf_dir))
+    by = ("pod", "operation")
+    return tr.slow_spans(flat, tr.latency_thresholds(flat, by), by)
+
+
+@query(f"SELECT trace_id, span_id, pod, operation, CAST(status_code AS DOUBLE) AS code, start_ms FROM ({FLAT_SQL}) WHERE CAST(status_code AS DOUBLE) >= 14")
+def failed_spans(spark, sf_dir):
+    return tr.failed_spans(tr.flatten(conversation_spans(spark, sf_dir)), 14)
+
+
+@query(f"SELECT DISTINCT trace_id FROM ({FLAT_SQL}) WHERE status_code = '14'")
+def error_traces(spark, sf_dir):
+    flat = tr.flatten(conversation_spans(spark, sf_dir)).withColumn("error_tag", F.when(F.col("status_code") == "14", "True"))
+    return tr.error_traces(flat)
+
+
 @query(f"SELECT DISTINCT trace_id FROM (SELECT trace_id FROM ({FLAT_SQL}) WHERE parent_id = 'root' ORDER BY duration DESC, trace_id, span_id LIMIT 10)")
 def slowest_traces(spark, sf_dir):
     return tr.slowest_traces(tr.flatten(conversation_spans(spark, sf_dir)), 10)
