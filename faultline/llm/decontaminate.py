@@ -36,6 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.shared import texts_in_batches
 from faultline.llm.textkernel import NON_WORD, U64, slices, words
 
 K1, B, BLOCK, RUN = 1.2, 0.75, 16, 4
@@ -229,6 +230,7 @@ def search(shard: Shard, texts: pa.Array, threshold: float) -> Iterator[tuple[in
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_question: float = 0.6, min_answer: float = 0.5, question: str | None = None, answer: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """items: (item_id, text), or with the columns named by question and answer."""
     spark = docs.sparkSession
+    texts_in_batches(spark)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     cols = [F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col(question or "text").cast("string"), F.lit("")).alias("q"), (F.coalesce(F.col(answer).cast("string"), F.lit("")) if answer else F.lit("")).alias("a")]
     shards: list[Shard] = []

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from faultline.llm.shared import texts_in_batches
 from faultline.llm.textkernel import U64, mix, slices, text_bytes, words
 
 DIM, ROWS, NONZEROS, WINDOW = 32, 1 << 14, 2, 2
@@ -76,7 +77,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, total = index_vectors(), np.zeros(ROWS * DIM, np.float64)
         for batch in batches:
-            for i, j in slices(batch.column(0), 1 << 22):
+            for i, j in slices(batch.column(0), 1 << 21):
                 row, _, offs, _ = token_rows(batch.column(0).slice(i, j - i))
                 doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
                 for d in range(1, WINDOW + 1):
@@ -107,7 +108,7 @@ N_FEATURES = 2 * DIM + len(MARKS) + 3
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """A row of features for each text."""
     out = []
-    for i, j in slices(texts, 1 << 20):
+    for i, j in slices(texts, 1 << 19):
         row, mark, offs, size = token_rows(texts.slice(i, j - i))
         n = np.diff(offs)
         f = np.zeros((j - i, N_FEATURES), np.float32)
@@ -213,6 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_train: in
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train: int = 20_000, keep: bool = False) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row; keep: all columns of docs and `quality_score` instead."""
+    texts_in_batches(docs.sparkSession)
     vectors = word_vectors(docs)
     net = train(docs, labels, vectors, max_train)
     spark = docs.sparkSession

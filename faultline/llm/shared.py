@@ -37,6 +37,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def texts_in_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts can be long: Arrow batches of this session hold `rows` rows at most, unless it asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Hints a broadcast when the counted rows are few, else leaves a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -30,7 +30,7 @@ _powers: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers["up"]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         for name, base in (("up", _BASE), ("down", _BASE_INV)):
             steps = np.full(size, base, U64)
             steps[0] = 1
@@ -56,7 +56,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def slices(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes (one row at least), which bound the arrays below."""
     _, offs = text_bytes(texts)
     at = 0
@@ -65,6 +65,7 @@ def slices(texts: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
         end = min(max(end, at + 1), len(texts))
         yield at, end
         at = end
+    pa.default_memory_pool().release_unused()  # workers live on, and with them what they hold
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:

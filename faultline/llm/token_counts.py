@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.shared import texts_in_batches
 from faultline.llm.textkernel import slices, text_bytes
 from faultline.llm.token_files import ChunkEncoder, chunk_starts, encoder
 
@@ -139,6 +140,7 @@ def _small(values: np.ndarray) -> bytes:
 
 def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
     """docs (doc_id, text, ...) with n_tokens and the leaves: leaf_chars, leaf_tokens (little-endian 32-bit)."""
+    texts_in_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("n_tokens", "leaf_chars", "leaf_tokens")]
     schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema
 

@@ -29,7 +29,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import new_dir
+from faultline.llm.shared import new_dir, texts_in_batches
 from faultline.llm.textkernel import SPACE, U64, slices, span_hashes, text_bytes
 
 #: A worker's store of encoded chunks is emptied beyond this many.
@@ -63,22 +63,24 @@ class ChunkEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.pool, self.used = np.zeros(1 << 20, self.dtype), 0
-        self.first, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
-
-    def _learn(self, keys: list[int], chunks: list[str]) -> None:
-        for at in range(0, len(chunks), 20_000):
-            for key, e in zip(keys[at : at + 20_000], self.tokenizer.encode_batch(chunks[at : at + 20_000], add_special_tokens=False), strict=True):
+        # known chunks: hashes in ascending order, and where their ids lie in the pool
+        self.keys, self.first, self.size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.pool, self.used = np.zeros(1 << 18, self.dtype), 0
+
+    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+        """keys: ascending and new."""
+        first, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
+        for at in range(0, len(chunks), 5_000):
+            for k, e in enumerate(self.tokenizer.encode_batch_fast(chunks[at : at + 5_000], add_special_tokens=False), at):
                 ids = e.ids
-                n, k = len(ids), len(self.slot)
+                n = len(ids)
                 if self.used + n > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), n), self.dtype)])
-                if k >= len(self.first):
-                    self.first, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size))
+                    self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool) // 2, n), self.dtype)])
                 self.pool[self.used : self.used + n] = ids
-                self.first[k], self.size[k], self.slot[key] = self.used, n, k
+                first[k], size[k] = self.used, n
                 self.used += n
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets)."""
@@ -88,14 +90,14 @@ class ChunkEncoder:
         starts = chunk_starts(raw, offs)
         ends = np.append(starts[1:], len(raw))
         uniq, where, inverse = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
-        if len(self.slot) + len(uniq) > max(CACHE_CHUNKS, len(uniq)):
+        if len(self.keys) + len(uniq) > max(CACHE_CHUNKS, len(uniq)):
             self.clear()
-        keys = uniq.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.slot]
-        if new:
+        at = np.searchsorted(self.keys, uniq)
+        new = np.flatnonzero((at == len(self.keys)) | (np.append(self.keys, U64(0))[at] != uniq))
+        if len(new):
             data = raw.tobytes()
-            self._learn([keys[i] for i in new], [data[starts[j] : ends[j]].decode("utf-8", "replace") for j in where[new]])
-        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[inverse]
+            self._learn(uniq[new], [data[starts[j] : ends[j]].decode("utf-8", "replace") for j in where[new]])
+        slots = np.searchsorted(self.keys, uniq)[inverse]
         n = self.size[slots].astype(np.int64)
         total = np.cumsum(n)
         ids = self.pool[np.repeat(self.first[slots] - (total - n), n) + np.arange(total[-1])]
@@ -184,6 +186,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     ids = docs.select(F.col("doc_id").cast("long"))
     cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards)}) if shards > 1 else []
     dtype = encoder(tokenizer).dtype.str
+    texts_in_batches(spark)
     files = f"{folder}/files"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
