@@ -3,14 +3,17 @@
 Tokens: A-Z lower-cased, words between ASCII white space, then one end token for each text.
 Training texts are those whose crc32(doc_id as text) modulo 5 is not 1 (or any given column).
 
-1. Counts of words and of word pairs, over all training texts: tasks count what they read, Spark
-   adds up by 64-bit hash (two different words share a hash with a chance of about V^2 / 2^65).
-2. Filter. An n-gram is stored if its relative frequency is at least FLOOR; counts of one order
-   add up to N, so at most 1 / FLOOR n-grams of an order can be stored, whatever the corpus, and
-   with quantised counts (steps of STEP) at most 1 / FLOOR / (1 - 1 / STEP) entries: that bounds
-   the broadcast (about 160 MB at the worst; few MB as a rule). Each n-gram enters once for each
-   level up to its own, into one segment of the filter; Spark builds segments in parallel.
-3. Score. The count of an n-gram is read off by probing level after level until one is missing.
+1. Chunks. Texts become chunks of about CHUNK tokens in a table: distinct word hashes and each
+   token's place among them. Counts of words and of word pairs are added up from the training texts
+   of all chunks by 64-bit hash (two different words share a hash with a chance of about V^2 / 2^65).
+2. Filter. Every n-gram of the training texts is stored, whatever its count, so the filter grows
+   with the corpus. It lies in segments, one for SEGMENT_TOKENS tokens, each as long as its own
+   entries need; no process holds more than one. An n-gram enters its segment once for each
+   level up to that of its count (quantised in steps of STEP). Segments know n-grams by KEY_BYTES
+   bytes: two of a segment's share them with a chance of about 2^-22, far below the filter's own errors.
+3. Score. Chunks send each distinct n-gram once, with its count in their training texts, to its
+   segment; the full count is read off by probing level after level until one is missing, and the
+   levels go back to the chunk.
    Pairs are smoothed with words by a Dirichlet prior: (c(v, w) + BETA p(w)) / (c(v) + BETA).
 4. Base score. It needs each word's exact count: the TOP most frequent ones are broadcast, the
    rest of a text's words join the counts table.
@@ -29,8 +32,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,13 +41,12 @@ from pyspark.sql import functions as F
 from faultline.llm.shared import saved, texts_in_batches
 from faultline.llm.textkernel import U64, mix, slices, words
 
-FLOOR, STEP, HASHES, BITS_PER_ENTRY, SEGMENT_BITS = 2.0**-22, 1.25, 4, 12, 1 << 20
+STEP, HASHES, BITS_PER_ENTRY = 1.25, 4, 12
+CHUNK, SEGMENT_TOKENS, KEY_BYTES = 1 << 20, 1 << 18, 5
 BETA = 500.0
 TOP = 1 << 18
 _END = U64(0x5851F42D4C957F2D)
 _LEVEL = U64(0xD1342543DE82EF95)
-#: Distinct hashes that a task counts before it hands them on.
-HELD = 500_000
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,148 +69,225 @@ def pair_keys(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(mix(before) * U64(3) + h)
 
 
-def counted(docs: DataFrame, order: int) -> DataFrame:
-    """(h, c): n-gram hashes and their counts over the texts."""
+def _packed(at: np.ndarray) -> bytes:
+    """Places as 32-bit numbers, byte by byte of all, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(at.astype("<i4").view(np.uint8).reshape(-1, 4).T))
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def chunked(source: DataFrame) -> DataFrame:
+    """(chunk, n, sizes, nulls, ids, trains, words, at) of (doc_id, text, trains); chunk is its first row's number, n its tokens, the rest are the bytes of arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        row = TaskContext.get().partitionId() << 40
+        held: list[tuple] = []
 
-        def merged() -> pa.RecordBatch:
-            h, at = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            c = np.bincount(at, np.concatenate([x for _, x in held]))
+        def packed() -> pa.RecordBatch:
+            h, sizes, nulls, ids, trains = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            return pa.record_batch([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], ["h", "c"])
+            uniq, at = np.unique(h, return_inverse=True)
+            return pa.record_batch([pa.array([row]), pa.array([len(h)]), *(pa.array([x.tobytes()], pa.binary()) for x in (sizes, nulls, ids, trains, uniq)), pa.array([_packed(at)], pa.binary())], ["chunk", "n", "sizes", "nulls", "ids", "trains", "words", "at"])
 
         for batch in batches:
-            for i, j in slices(batch.column(0)):
-                h, offs = tokens(batch.column(0).slice(i, j - i))
-                held.append(np.unique(h if order == 1 else pair_keys(h, offs), return_counts=True))
-                if sum(len(x) for x, _ in held) > HELD:
-                    yield merged()
+            for i, j in slices(batch.column(1)):
+                h, offs = tokens(batch.column(1).slice(i, j - i))
+                ids = batch.column(0).slice(i, j - i)
+                held.append((h, np.diff(offs).astype(np.int32), ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(), batch.column(2).slice(i, j - i).to_numpy(zero_copy_only=False)))
+                if sum(len(x[0]) for x in held) >= CHUNK:
+                    rows = sum(len(x[1]) for x in held)
+                    yield packed()
+                    row += rows
         if held:
-            yield merged()
+            yield packed()
+
+    return source.mapInArrow(run, "chunk long, n long, sizes binary, nulls binary, ids binary, trains binary, words binary, at binary")
+
+
+class Chunk:
+    def __init__(self, row: dict):
+        self.number = row["chunk"]
+        self.sizes, self.at = np.frombuffer(row["sizes"], np.int32), _unpacked(row["at"])
+        self.ids, self.words = pa.array(np.frombuffer(row["ids"], np.int64), mask=np.frombuffer(row["nulls"], bool)), np.frombuffer(row["words"], U64)
+        self.offsets = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
+        self.trains = np.repeat(np.frombuffer(row["trains"], bool), self.sizes)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the keys of the distinct words and then of the distinct pairs, each token's pair among the latter)."""
+        pairs, at = np.unique(pair_keys(self.words[self.at], self.offsets), return_inverse=True)
+        return np.concatenate([self.words, pairs]), at
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    for b in batches:
+        for i in range(len(b)):
+            yield Chunk(b.slice(i, 1).to_pylist()[0])
+
+
+def counted(chunks: DataFrame) -> DataFrame:
+    """(h, c): the words of the training texts and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _chunks(batches):
+            c = np.bincount(x.at[x.trains], minlength=len(x.words))
+            yield pa.record_batch([pa.array(x.words[c > 0].view(np.int64)), pa.array(c[c > 0])], ["h", "c"])
+
+    return chunks.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def _entry(key: np.ndarray, level: int) -> np.ndarray:
     return mix(key + U64(int(_LEVEL) * level & 0xFFFFFFFFFFFFFFFF))
 
 
-def _bit(entry: np.ndarray, k: int) -> np.ndarray:
-    """The position in its segment that the k-th hash gives an entry."""
-    return ((entry + U64(k) * ((entry >> U64(32)) | U64(1))) & U64(SEGMENT_BITS - 1)).astype(np.int64)
+def _bit(entry: np.ndarray, k: int, n_bits: int) -> np.ndarray:
+    """The position in a segment of n_bits that the k-th hash gives an entry."""
+    return ((entry + U64(k) * ((entry >> U64(32)) | U64(1))) % U64(n_bits)).astype(np.int64)
+
+
+def placed(key: np.ndarray, n_segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, key within it) of each key."""
+    x = mix(key ^ _LEVEL)
+    return (x % U64(n_segments)).astype(np.int64), x >> U64(64 - 8 * KEY_BYTES)
 
 
 def levels(c: np.ndarray, floor: float) -> np.ndarray:
     return 1 + np.floor(np.log(np.maximum(c / floor, 1)) / math.log(STEP) + 1e-9).astype(np.int64)
 
 
+def filled(key: np.ndarray, c: np.ndarray, floor: float) -> np.ndarray:
+    """The segment's bytes that hold each key up to the level of its count."""
+    top = levels(c, floor)
+    bits = np.zeros(8 * (int(top.sum()) * BITS_PER_ENTRY // 8 + 8), bool)
+    for j in range(1, int(top.max(initial=0)) + 1):
+        entry = _entry(key[top >= j], j)
+        for k in range(HASHES):
+            bits[_bit(entry, k, len(bits))] = True
+    return np.packbits(bits, bitorder="little")
+
+
+def probed(segment: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The level of each key in its segment, 0 if it is not stored."""
+    level = np.zeros(len(key), np.int64)
+    on, j = np.arange(len(key)), 0
+    while len(on):
+        j += 1
+        entry = _entry(key, j)
+        for k in range(HASHES):
+            at = _bit(entry, k, 8 * len(segment))
+            hit = (segment[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            on, key, entry = on[hit], key[hit], entry[hit]
+        level[on] = j
+    return level
+
+
+def count_of(level: np.ndarray, floor: float = 1.0) -> np.ndarray:
+    return np.where(level > 0, floor * STEP ** (level - 0.5), 0.0)
+
+
 class LogFrequencyFilter:
-    """Quantised counts by repeated membership probes."""
+    """Quantised counts by repeated membership probes, of a filter small enough to be held whole."""
 
-    def __init__(self, segments: np.ndarray, floor: float):
-        self.segments, self.floor = segments, floor  # segments x SEGMENT_BITS / 8 bytes
+    def __init__(self, segments: list[np.ndarray], floor: float):
+        self.segments, self.floor = segments, floor
 
     def counts(self, key: np.ndarray) -> np.ndarray:
         """The stored count of each key, 0 if it is not stored."""
-        base = (mix(key ^ _LEVEL) % U64(len(self.segments))).astype(np.int64) * (SEGMENT_BITS // 8)
-        flat, level = self.segments.ravel(), np.zeros(len(key), np.int64)
-        on, j = np.arange(len(key)), 0
-        while len(on):
-            j += 1
-            entry = _entry(key, j)
-            for k in range(HASHES):
-                at = _bit(entry, k)
-                hit = (flat[base + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
-                on, key, base, entry = on[hit], key[hit], base[hit], entry[hit]
-            level[on] = j
-        return np.where(level > 0, self.floor * STEP ** (level - 0.5), 0.0)
-
-
-def build_filter(counts: list[DataFrame], floor: float) -> LogFrequencyFilter:
-    """counts: (h, c) of each order; only what reaches the floor is stored."""
-    spark = counts[0].sparkSession
-    kept = counts[0].where(F.col("c") >= floor)
-    for other in counts[1:]:
-        kept = kept.unionByName(other.where(F.col("c") >= floor))
-    kept = saved(kept, "lm-ngrams")
-    n = kept.agg(F.sum(1 + F.floor(F.log(F.col("c") / floor) / math.log(STEP)))).first()[0] or 0
-    n_segments = max(1, math.ceil(n * BITS_PER_ENTRY / SEGMENT_BITS))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            segment = mix(b.column(0).to_numpy().view(U64) ^ _LEVEL) % U64(n_segments)
-            yield pa.record_batch([pa.array(segment.astype(np.int64)), *b.columns], ["segment", "h", "c"])
-
-    def fill(rows: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(SEGMENT_BITS, bool)
-        key, top = rows["h"].to_numpy().view(U64), levels(rows["c"].to_numpy(), floor)
-        for j in range(1, int(top.max()) + 1):
-            entry = _entry(key[top >= j], j)
-            for k in range(HASHES):
-                bits[_bit(entry, k)] = True
-        return pd.DataFrame({"segment": [rows["segment"].iloc[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-    built = kept.mapInArrow(route, "segment long, h long, c long").groupBy("segment").applyInPandas(fill, "segment long, bits binary")
-    out = np.zeros((n_segments, SEGMENT_BITS // 8), np.uint8)
-    for r in built.toLocalIterator():  # segments whose number the floor bounds
-        out[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    return LogFrequencyFilter(out, floor)
-
-
-def lm_scores(docs: DataFrame, beta: float = BETA, top: int = TOP, floor: float = FLOOR) -> DataFrame:
+        (of, own), level = placed(key, len(self.segments)), np.zeros(len(key), np.int64)
+        for k, segment in enumerate(self.segments):
+            level[of == k] = probed(segment, own[of == k])
+        return count_of(level, self.floor)
+
+
+def build_filter(counts: list[DataFrame], floor: float = 1.0) -> LogFrequencyFilter:
+    """The filter of small (h, c) tables in one piece; lm_scores builds each segment in a task."""
+    rows = pa.concat_tables([x.select("h", "c").toArrow() for x in counts])
+    key, c = rows.column("h").to_numpy().view(U64), rows.column("c").to_numpy()
+    n_segments = max(1, -(-len(c) // SEGMENT_TOKENS))
+    of, own = placed(key, n_segments)
+    return LogFrequencyFilter([filled(own[m], c[m], floor) for m in ((of == k) & (c >= floor) for k in range(n_segments))], floor)
+
+
+def asked(chunks: DataFrame, n_segments: int) -> DataFrame:
+    """(chunk, segment, keys, counts): each chunk's distinct n-grams by segment and their counts in its training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _chunks(batches):
+            keys, pair_at = x.keys()
+            c = np.concatenate([np.bincount(x.at[x.trains], minlength=len(x.words)), np.bincount(pair_at[x.trains], minlength=len(keys) - len(x.words))])
+            of, own = placed(keys, n_segments)
+            order = np.argsort(of, kind="stable")
+            named, n = np.unique(of, return_counts=True)
+            ends = np.concatenate([[0], np.cumsum(n)])
+            short = np.ascontiguousarray(own[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+            lists = [pa.BinaryArray.from_buffers(pa.binary(), len(named), [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(data)]) for width, data in ((KEY_BYTES, short), (4, c[order].astype(np.uint32)))]
+            yield pa.record_batch([pa.array(np.full(len(named), x.number)), pa.array(named), *lists], ["chunk", "segment", "keys", "counts"])
+
+    return chunks.mapInArrow(run, "chunk long, segment long, keys binary, counts binary")
+
+
+def _answer(rows: pa.Table) -> pa.Table:
+    """(chunk, segment, levels): one segment, built from the counts of all chunks, and the levels it gives them."""
+    lists = rows.column("keys").to_pylist()
+    short = np.frombuffer(b"".join(lists), np.uint8).reshape(-1, KEY_BYTES)
+    keys = np.zeros((len(short), 8), np.uint8)
+    keys[:, :KEY_BYTES] = short
+    uniq, at = np.unique(keys.view("<u8").ravel(), return_inverse=True)
+    c = np.bincount(at, np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32))
+    level = probed(filled(uniq[c > 0], c[c > 0], 1.0), uniq).astype(np.uint8)[at]
+    ends = np.cumsum([0, *(len(x) // KEY_BYTES for x in lists)])
+    return pa.table({"chunk": rows.column("chunk"), "segment": rows.column("segment"), "levels": pa.array([level[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+
+
+def lm_scores(docs: DataFrame, beta: float = BETA, top: int = TOP) -> DataFrame:
     spark = docs.sparkSession
     texts_in_batches(spark)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    training = source.where(~held_out).select("text")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("trains", ~held_out)
+    chunks = saved(chunked(source), "lm-chunks")
+    total = chunks.agg(F.sum("n")).first()[0] or 0
 
-    counts = saved(counted(training, 1), "lm-words")
+    counts = saved(counted(chunks), "lm-words")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    least = max(1.0, n * floor)
-    filter_ = build_filter([counts, counted(training, 2)], least)
-    stored = counts.where(F.col("c") >= least).agg(F.sum("c"), F.count(F.lit(1))).first()
-    # words below the floor have this count on average
-    rare = (n - (stored[0] or 0)) / max(v - stored[1], 1)
     first = counts.orderBy(F.desc("c"), "h").limit(top).toArrow()  # `top` rows at most
     known = first.column("h").to_numpy().view(U64)
     order = np.argsort(known)
-    shared = spark.sparkContext.broadcast((filter_, known[order], first.column("c").to_numpy()[order]))
+    shared = spark.sparkContext.broadcast((known[order], first.column("c").to_numpy()[order]))
     denominator = n + 0.5 * (v + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, known, known_c = shared.value
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for i, j in slices(batch.column(1)):
-                h, offs = tokens(batch.column(1).slice(i, j - i))
-                doc = np.repeat(np.arange(j - i), np.diff(offs))
-                uniq, at = np.unique(h, return_inverse=True)
-                # exact counts of frequent words
-                pos = np.minimum(np.searchsorted(known, uniq), max(len(known) - 1, 0))
-                hit = known[pos] == uniq if len(known) else np.zeros(len(uniq), bool)
-                exact = np.where(hit, known_c[pos] if len(known) else 0, 0)
-                token_hit = hit[at]
-                base = np.bincount(doc[token_hit], np.log10((exact[at[token_hit]] + 0.5) / denominator), j - i)
-                n_known = np.bincount(doc[token_hit], minlength=j - i)
-                # the model: counts from the filter alone
-                c1 = filter_.counts(uniq)
-                c1 = np.where(c1 > 0, c1, rare)[at]
-                p1 = (c1 + 0.5) / denominator
-                end_c = filter_.counts(np.array([_END]))[0] or rare
-                before = np.empty_like(c1)
-                before[1:] = c1[:-1]
-                before[offs[:-1]] = end_c
-                pairs, at2 = np.unique(pair_keys(h, offs), return_inverse=True)
-                c2 = np.minimum(filter_.counts(pairs)[at2], before)
-                score = np.bincount(doc, np.log10((c2 + beta * p1) / (before + beta)), j - i)
-                rest = np.concatenate([[0], np.cumsum(np.bincount(doc[~token_hit], minlength=j - i))])
-                rare_words = pa.ListArray.from_arrays(pa.array(rest.astype(np.int32), pa.int32()), pa.array(h[~token_hit].view(np.int64)))
-                yield pa.record_batch([pa.array(row + np.arange(j - i)), batch.column(0).slice(i, j - i), pa.array(np.diff(offs)), pa.array(n_known), pa.array(base), pa.array(score), rare_words], ["row", "doc_id", "n_tokens", "n_top", "base_top", "score", "rare"])
-                row += j - i
-
-    scored = saved(source.mapInArrow(run, "row long, doc_id long, n_tokens long, n_top long, base_top double, score double, rare array<long>"), "lm-scored")
+    n_segments = max(1, math.ceil(total / SEGMENT_TOKENS))
+
+    def score(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        known, known_c = shared.value
+        x = Chunk(chunk.to_pylist()[0])
+        offs, at, n_docs = x.offsets, x.at, len(x.sizes)
+        doc = np.repeat(np.arange(n_docs), x.sizes)
+        # exact counts of frequent words
+        pos = np.minimum(np.searchsorted(known, x.words), max(len(known) - 1, 0))
+        hit = known[pos] == x.words if len(known) else np.zeros(len(x.words), bool)
+        exact = np.where(hit, known_c[pos] if len(known) else 0, 0)
+        token_hit = hit[at]
+        base = np.bincount(doc[token_hit], np.log10((exact[at[token_hit]] + 0.5) / denominator), n_docs)
+        n_known = np.bincount(doc[token_hit], minlength=n_docs)
+        # the model: counts from the filter alone
+        keys, pair_at = x.keys()
+        by_segment = np.argsort(placed(keys, n_segments)[0], kind="stable")
+        level = np.empty(len(keys), np.int64)
+        level[by_segment] = np.frombuffer(b"".join(answers.sort_by("segment").column("levels").to_pylist()), np.uint8)
+        c = count_of(level)
+        c1 = c[: len(x.words)][at]
+        p1 = (c1 + 0.5) / denominator
+        before = np.empty_like(c1)
+        before[1:] = c1[:-1]
+        before[offs[:-1]] = c[np.searchsorted(x.words, _END)]  # every text has an end
+        c2 = np.minimum(c[len(x.words) :][pair_at], before)
+        points = np.bincount(doc, np.log10((c2 + beta * p1) / (before + beta)), n_docs)
+        rest = np.concatenate([[0], np.cumsum(np.bincount(doc[~token_hit], minlength=n_docs))])
+        rare_words = pa.ListArray.from_arrays(pa.array(rest.astype(np.int32), pa.int32()), pa.array(x.words[at[~token_hit]].view(np.int64)))
+        return pa.table([pa.array(x.number + np.arange(n_docs)), x.ids, pa.array(x.sizes.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(points), rare_words], ["row", "doc_id", "n_tokens", "n_top", "base_top", "score", "rare"])
+
+    answers = asked(chunks, n_segments).groupBy("segment").applyInArrow(_answer, "chunk long, segment long, levels binary")
+    scored = saved(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "row long, doc_id long, n_tokens long, n_top long, base_top double, score double, rare array<long>"), "lm-scored")
     rest = scored.select("row", F.explode("rare").alias("h")).join(counts, "h", "left").groupBy("row").agg(F.count("c").alias("n_rest"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / denominator)).alias("base_rest"))
     return scored.drop("rare").join(rest, "row", "left").select(
         "doc_id",

@@ -70,3 +70,13 @@ def test_the_model_beats_the_base_on_ordered_text(spark):
     rows = [(i, "one two three four five six seven eight nine ten " * 30) for i in range(60)]
     got = lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert BETA > 0 and all(r["score"] > r["base_score"] for r in got if r["held_out"])
+
+
+def test_rare_ngrams_count_in_a_large_corpus(spark):
+    common = [(i, "a b " * 100_000) for i in range(30)]  # 2^-22 of these tokens is more than one
+    train = next(i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 != 1)
+    out = [i for i in range(1100, 1200) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
+    rows = [*common, (train, "once said u v w x y"), (out[0], "u v w x y"), (out[1], "u w y v x"), (out[2], "k l m n o")]
+    got = {r["doc_id"]: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got[0]["train_tokens"] * 2.0**-22 > 1
+    assert got[out[0]]["score"] > got[out[1]]["score"] + 1e-9 and got[out[1]]["score"] > got[out[2]]["score"] + 1e-9
