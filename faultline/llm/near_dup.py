@@ -9,10 +9,12 @@ often the text has them.
    there (early termination). Two sketches agree in a register with the probability Jaccard
    similarity of the weighted sets.
 2. Copies. Texts with equal shingles share a key; one row for each key goes on.
-3. Banding. BANDS x ROWS registers; equal bands meet in a bucket. A bucket never gives all its
-   pairs: its members pair with its smallest key; after these pairs are verified and joined into
-   components, buckets that still hold several components pair members with their LAGS
-   neighbours by shingle count (buckets of up to LAGS + 1 texts thereby have all their pairs).
+3. Banding. BANDS x ROWS registers; equal bands meet in a bucket. A bucket gives its pairs in
+   rounds: its members pair with its smallest key; these pairs are verified and joined into
+   components. Then `reps` members of each component in a bucket pair with all its members of other
+   components, round after round with ever more of them, until no bucket has a pair of two
+   components that was not tried (or cannot reach the threshold by its sizes). Pairs within a
+   component cannot change a class and are not tried.
 4. Verification on the exact shingle sets: a pair is a link if its Jaccard or its probability
    Jaccard similarity is at least `threshold`.
 5. Components by label propagation with pointer jumping, all in tables.
@@ -39,7 +41,9 @@ from pyspark.sql import functions as F
 from faultline.llm.shared import saved, small, texts_in_batches
 from faultline.llm.textkernel import NON_WORD, U64, mix, shingles, slices, words
 
-K, BANDS, ROWS, LAGS = 5, 24, 6, 6
+K, BANDS, ROWS = 5, 24, 6
+#: Members of a component that pair with the rest of a bucket in the first round, and the factor of the next.
+REPS, MORE_REPS = 4, 8
 M = BANDS * ROWS
 _GOLD = U64(0x9E3779B97F4A7C15)
 
@@ -190,9 +194,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, with_hash: bool = F
     key = F.concat(F.unhex(F.lpad(F.hex("key1"), 16, "0")), F.unhex(F.lpad(F.hex("key2"), 16, "0")))
     sk = saved(sketches(docs), "sketches").withColumn("id", key)
     wordy = sk.where("n > 0")
-    uniq = saved(wordy.select("id", "n", "bands").dropDuplicates(["id"]), "distinct-texts")
+    uniq = saved(wordy.select("id", "n", (F.size("counts") == 0).alias("plain"), "bands").dropDuplicates(["id"]), "distinct-texts")
 
-    met = uniq.select("id", "n", F.explode("bands").alias("bkey"))
+    met = uniq.select("id", "n", "plain", F.explode("bands").alias("bkey"))
     bucket = W.partitionBy("bkey")
     # buckets of one text go before anything else is done with them
     met = saved(met.withColumn("hub", F.min("id").over(bucket)).withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1").drop("size"), "buckets")
@@ -203,23 +207,26 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, with_hash: bool = F
     links = saved(_verified(pairs, sets, threshold), "verified")
     comp = components(links)
 
-    # what the hubs left apart: neighbours by size in buckets of several components, not tried yet
-    mixed = met.select("bkey", "id", "n").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    mixed = mixed.withColumn("low", F.min("comp").over(bucket)).withColumn("high", F.max("comp").over(bucket)).where("low != high")
-    by_size = W.partitionBy("bkey").orderBy("n", "id")
-    near = [F.struct(F.lag("id", k).over(by_size).alias("id"), F.lag("comp", k).over(by_size).alias("comp"), F.lag("n", k).over(by_size).alias("n")) for k in range(1, LAGS + 1)]
-    more = (
-        mixed.select("id", "comp", "n", F.array(*near).alias("near"))
-        .select("id", "comp", "n", F.explode("near").alias("o"))
-        .where((F.col("o.comp") != F.col("comp")))
-        .select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
-    )
-    late = saved(_verified(more, sets, threshold), "verified-late")
-    links = links.unionByName(late)
-    if late.limit(1).count():
-        comp = components(links)
+    # what the hubs left apart
+    tried, reps = pairs, REPS
+    while True:
+        mixed = met.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        several = mixed.groupBy("bkey").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bkey")
+        mixed = saved(mixed.join(several, "bkey", "left_semi").select("bkey", "id", "comp", "n", "plain"), "mixed")
+        first = mixed.withColumn("r", F.row_number().over(W.partitionBy("bkey", "comp").orderBy("id"))).where(F.col("r") <= reps)
+        first = first.select("bkey", F.col("id").alias("rid"), F.col("comp").alias("rcomp"), F.col("n").alias("rn"), F.col("plain").alias("rplain"))
+        can = (F.least("n", "rn") >= threshold * F.greatest("n", "rn") - 1e-6) | ~(F.col("plain") & F.col("rplain"))
+        met_first = first.join(mixed, "bkey").where((F.col("rcomp") != F.col("comp")) & can)
+        more = saved(met_first.select(F.least("id", "rid").alias("a"), F.greatest("id", "rid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        late = saved(_verified(more, sets, threshold), "verified-late")
+        links, tried = links.unionByName(late), tried.unionByName(more)
+        if late.limit(1).count():
+            comp = components(links)
+        # all is tried where at most one component of a bucket had members that did not meet the rest
+        large = mixed.groupBy("bkey", "comp").count().where(F.col("count") > reps).groupBy("bkey").count().where("count > 1")
+        if not large.limit(1).count():
+            break
+        reps *= MORE_REPS
 
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     named = comp.join(ends, "id")

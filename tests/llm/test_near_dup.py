@@ -75,3 +75,23 @@ def test_empty_table_and_short_texts(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     s, c, offs = weighted_sets(pa.array(["", "a", "a b c d e f", None]))
     assert np.diff(offs).tolist() == [0, 1, 2, 0] and similarity(np.array([1]), [], np.array([2]), []) == 0
+
+
+def class_of(spark, texts):
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    return {r["doc_id"]: r["class_id"] for r in got}
+
+
+def test_a_large_bucket_yields_all_its_classes(spark):
+    rng = random.Random(5)  # with it each pair of a class shares a band, so that only the buckets are tested
+    new = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    passage, texts = new(300), []
+    for _ in range(150):
+        pair = new(25)
+        texts += [" ".join(passage + pair + new(38)) for _ in range(2)]
+    rng.shuffle(texts)
+    sets = [shingle_counts(t).keys() for t in texts]
+    want = {}
+    for i, a in enumerate(sets):  # pairs only: no chains
+        want[i] = min(j for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b))
+    assert len(set(want.values())) == 150 and class_of(spark, texts) == want
