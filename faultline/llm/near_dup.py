@@ -7,7 +7,8 @@ often the text has them.
    every arrival falls on one of M registers, which keeps its earliest arrival's shingle. A text's
    arrivals beyond the time at which all registers are filled cannot matter, so elements stop
    there (early termination). Two sketches agree in a register with the probability Jaccard
-   similarity of the weighted sets.
+   similarity of the weighted sets. A text that repeats shingles has a second sketch with all
+   weights 1, which agrees with the Jaccard similarity, so that either measure has candidates.
 2. Copies. Texts with equal shingles share a key; one row for each key goes on.
 3. Banding. BANDS x ROWS registers; equal bands meet in a bucket. A bucket gives its pairs in
    rounds: its members pair with its smallest key; these pairs are verified and joined into
@@ -107,20 +108,24 @@ def sketches(docs: DataFrame) -> DataFrame:
             for i, j in slices(batch.column(2)):
                 s, c, offs = weighted_sets(batch.column(2).slice(i, j - i))
                 n = np.diff(offs)
-                has = n > 0
+                has, doc = n > 0, np.repeat(np.arange(j - i), n)
                 pair = mix(s * U64(7) + mix(c.astype(U64)))
                 sums = np.zeros((2, len(s) + 1), U64)
                 np.cumsum(pair, out=sums[0, 1:])
                 np.cumsum(mix(pair + _GOLD), out=sums[1, 1:])
                 key = (sums[:, offs[1:]] - sums[:, offs[:-1]]).view(np.int64)
-                bands = band_keys(prob_minhash(s, c, offs))[has]
+                many = np.bincount(doc, c > 1, j - i) > 0
+                sketch = [band_keys(prob_minhash(s, np.ones(len(s)), offs))[has]]  # where no shingle repeats it is the weighted one
+                if many.any():
+                    on = many[doc]
+                    sketch.append(band_keys(prob_minhash(s[on], c[on], np.concatenate([[0], np.cumsum(n[many])]))))
+                of = np.concatenate([np.flatnonzero(has), np.flatnonzero(many)])[: sum(map(len, sketch))]
+                bands = np.concatenate(sketch)[np.argsort(of, kind="stable")]
                 short = (s >> U64(32)).astype(np.uint32).view(np.int32)
-                doc = np.repeat(np.arange(j - i), n)
                 order = np.lexsort((short, doc))
-                many = np.bincount(doc, c > 1, j - i) > 0
                 at = np.concatenate([[0], np.cumsum(np.where(many, n, 0))])
                 yield pa.record_batch(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(key[0]), pa.array(key[1]), pa.array(n.astype(np.int32)), _lists(bands.ravel(), np.concatenate([[0], np.cumsum(has * BANDS)]), pa.int64()), _lists(short[order], offs, pa.int32()), _lists(c[order][many[doc]].astype(np.int32), at, pa.int32())],
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(key[0]), pa.array(key[1]), pa.array(n.astype(np.int32)), _lists(bands.ravel(), np.concatenate([[0], np.cumsum((has * 1 + many) * BANDS)]), pa.int64()), _lists(short[order], offs, pa.int32()), _lists(c[order][many[doc]].astype(np.int32), at, pa.int32())],
                     ["doc_id", "text_hash", "key1", "key2", "n", "bands", "shingles", "counts"],
                 )
 
@@ -194,7 +199,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, with_hash: bool = F
     key = F.concat(F.unhex(F.lpad(F.hex("key1"), 16, "0")), F.unhex(F.lpad(F.hex("key2"), 16, "0")))
     sk = saved(sketches(docs), "sketches").withColumn("id", key)
     wordy = sk.where("n > 0")
-    uniq = saved(wordy.select("id", "n", (F.size("counts") == 0).alias("plain"), "bands").dropDuplicates(["id"]), "distinct-texts")
+    uniq = saved(wordy.select("id", "n", (F.size("counts") == 0).alias("plain"), F.array_distinct("bands").alias("bands")).dropDuplicates(["id"]), "distinct-texts")
 
     met = uniq.select("id", "n", "plain", F.explode("bands").alias("bkey"))
     bucket = W.partitionBy("bkey")

@@ -95,3 +95,11 @@ def test_a_large_bucket_yields_all_its_classes(spark):
     for i, a in enumerate(sets):  # pairs only: no chains
         want[i] = min(j for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b))
     assert len(set(want.values())) == 150 and class_of(spark, texts) == want
+
+
+def test_one_line_repeated_many_times(spark):
+    texts = []
+    for g in range(20):
+        lines = [" ".join(f"g{g}w{k}" for k in range(i, i + 10)) for i in range(0, 110, 10)]
+        texts += ["\n".join(lines), "\n".join(lines + lines[-1:] * 59)]
+    assert class_of(spark, texts) == {i: i - i % 2 for i in range(40)}
