@@ -13,9 +13,9 @@ if it can hold an item: words are split into essential ones and a rest whose wei
 the threshold in every item, so a passage must bring enough essential weight to some item.
 
 Retrieved items are verified on the whole document's words: the share of the question's and of
-the answer's word runs (RUN words) found in it. An item is question and answer; where it is one
-text, its last sentence, if it has several, is the answer, else the whole is the question and
-the answer is empty. A leak needs `min_question` of the question and `min_answer` of the answer.
+the answer's word runs (RUN words) found in it. With columns for both a leak needs `min_question` of
+the question and `min_answer` of the answer. An item of one text is a question without answer
+(answer_overlap is 1), and a leak needs `min_whole` of it, whichever part that is.
 
 Result: (doc_id, item_id, score, question_overlap, answer_overlap), a row for each document row
 and leaked item.
@@ -227,7 +227,7 @@ def search(shard: Shard, texts: pa.Array, threshold: float) -> Iterator[tuple[in
         yield i, items, w.hashes[w.offsets[i] : w.offsets[i + 1]]
 
 
-def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_question: float = 0.6, min_answer: float = 0.5, question: str | None = None, answer: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_question: float = 0.6, min_answer: float = 0.5, min_whole: float = 0.5, question: str | None = None, answer: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """items: (item_id, text), or with the columns named by question and answer."""
     spark = docs.sparkSession
     texts_in_batches(spark)
@@ -241,7 +241,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_questio
     n_items = n_words = 0
     # the test set passes through the driver one item at a time; only its shards are kept
     for r in items.select(*cols).orderBy("item_id", "q", "a").toLocalIterator():
-        q, a = (r["q"], r["a"]) if answer else split_item(r["q"])
+        q, a = r["q"], r["a"]
         h = np.concatenate([words(pa.array([x]), NON_WORD).hashes for x in (q, a)])
         if not len(h):
             continue
@@ -269,7 +269,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_questio
                         own = np.unique(np.concatenate([runs(h), _shorter(h)]))
                         for item, score in best.items():
                             q, a = (float(np.isin(x, own).mean()) if len(x) else 1.0 for x in (shard.questions[item], shard.answers[item]))
-                            if q >= min_question and a >= min_answer:
+                            if q >= (min_question if answer else min_whole) and a >= min_answer:
                                 at.append(i + k)
                                 got.append((shard.item_ids[item], min(score, 1.0), q, a))
                 ids, score, q, a = zip(*got, strict=True) if got else ((), (), (), ())

@@ -84,3 +84,11 @@ def test_odd_rows(spark):
     got = sorted(((r["doc_id"] or 0, r["item_id"] or 0) for r in leaks(docs, items).collect()))
     assert got == [(0, 1), (0, 3), (4, 0), (4, 0)]
     assert leaks(docs.limit(0), items).count() == 0 and leaks(docs, items.limit(0)).count() == 0
+
+
+def test_copies_without_the_first_or_the_last_sentence(spark):
+    rng = random.Random(9)
+    items = [[" ".join(f"u{rng.randrange(10**6)}" for _ in range(12)) + "." for _ in range(4)] for _ in range(5)]
+    docs = [(10 * k + j, "filler words here. " + " ".join(x) + " and an end") for k, item in enumerate(items) for j, x in enumerate((item, item[1:], item[:-1], item[:1]))]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(10 * k + j, k) for k in range(5) for j in range(3)]
