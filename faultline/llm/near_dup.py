@@ -10,15 +10,17 @@ often the text has them.
    similarity of the weighted sets. A text that repeats shingles has a second sketch with all
    weights 1, which agrees with the Jaccard similarity, so that either measure has candidates.
 2. Copies. Texts with equal shingles share a key; one row for each key goes on.
-3. Banding. BANDS x ROWS registers; equal bands meet in a bucket. A bucket gives its pairs in
-   rounds: its members pair with its smallest key; these pairs are verified and joined into
-   components. Then `reps` members of each component in a bucket pair with all its members of other
-   components, round after round with ever more of them, until no bucket has a pair of two
-   components that was not tried (or cannot reach the threshold by its sizes). Pairs within a
-   component cannot change a class and are not tried.
-4. Verification on the exact shingle sets: a pair is a link if its Jaccard or its probability
+3. Banding. BANDS x ROWS registers; equal bands meet in a bucket. A bucket's members pair with its
+   smallest key; these pairs are verified and joined into components. Pairs within a component
+   cannot change a class and are not tried.
+4. Buckets that still hold several components give the rest of their pairs exactly, without trying
+   all: texts of two components can only reach the threshold if they share one of their first
+   shingles, in an order that puts those of few texts first, and if what follows it is long
+   enough in both (`prefixes`). First the representatives of components meet by such shingles,
+   then, among what is left apart, every text.
+5. Verification on the exact shingle sets: a pair is a link if its Jaccard or its probability
    Jaccard similarity is at least `threshold`.
-5. Components by label propagation with pointer jumping, all in tables.
+6. Components by label propagation with pointer jumping, all in tables.
 
 Result: a row for each input row with class_id, the smallest doc_id of its class, and n_links,
 the number of links verified at its text (copies not counted).
@@ -39,12 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import saved, small, texts_in_batches
+from faultline.llm.shared import Scratch, saved, small, texts_in_batches
 from faultline.llm.textkernel import NON_WORD, U64, mix, shingles, slices, words
 
 K, BANDS, ROWS = 5, 24, 6
-#: Members of a component that pair with the rest of a bucket in the first round, and the factor of the next.
-REPS, MORE_REPS = 4, 8
 M = BANDS * ROWS
 _GOLD = U64(0x9E3779B97F4A7C15)
 
@@ -101,7 +101,7 @@ def _lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arr
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, key1, key2, n, bands, shingles, counts): n distinct shingles as 32-bit hashes; counts is empty if all are 1. n is 0 and bands is empty for texts without words."""
+    """(doc_id, text_hash, key1, key2, n, bands, shingles, counts): n distinct shingles as 64-bit hashes; counts is empty if all are 1. n is 0 and bands is empty for texts without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,16 +121,14 @@ def sketches(docs: DataFrame) -> DataFrame:
                     sketch.append(band_keys(prob_minhash(s[on], c[on], np.concatenate([[0], np.cumsum(n[many])]))))
                 of = np.concatenate([np.flatnonzero(has), np.flatnonzero(many)])[: sum(map(len, sketch))]
                 bands = np.concatenate(sketch)[np.argsort(of, kind="stable")]
-                short = (s >> U64(32)).astype(np.uint32).view(np.int32)
-                order = np.lexsort((short, doc))
                 at = np.concatenate([[0], np.cumsum(np.where(many, n, 0))])
                 yield pa.record_batch(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(key[0]), pa.array(key[1]), pa.array(n.astype(np.int32)), _lists(bands.ravel(), np.concatenate([[0], np.cumsum((has * 1 + many) * BANDS)]), pa.int64()), _lists(short[order], offs, pa.int32()), _lists(c[order][many[doc]].astype(np.int32), at, pa.int32())],
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(key[0]), pa.array(key[1]), pa.array(n.astype(np.int32)), _lists(bands.ravel(), np.concatenate([[0], np.cumsum((has * 1 + many) * BANDS)]), pa.int64()), _lists(s.view(np.int64), offs, pa.int64()), _lists(c[many[doc]].astype(np.int32), at, pa.int32())],
                     ["doc_id", "text_hash", "key1", "key2", "n", "bands", "shingles", "counts"],
                 )
 
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(run, "doc_id long, text_hash long, key1 long, key2 long, n int, bands array<long>, shingles array<int>, counts array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text), text).mapInArrow(run, "doc_id long, text_hash long, key1 long, key2 long, n int, bands array<long>, shingles array<long>, counts array<int>")
 
 
 def prob_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -147,7 +145,7 @@ def prob_jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 def similarity(sa: np.ndarray, ca: np.ndarray, sb: np.ndarray, cb: np.ndarray) -> float:
     """The larger of Jaccard and probability Jaccard."""
-    both, ia, ib = np.intersect1d(sa, sb, return_indices=True)
+    both, ia, ib = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
     union = len(sa) + len(sb) - len(both)
     plain = len(both) / union if union else 0.0
     if not len(both) or (not len(ca) and not len(cb)):
@@ -177,19 +175,63 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(run, "a binary, b binary")
 
 
-def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame, tmp: Scratch) -> DataFrame:
     """(id, comp): the smallest id that can be reached. Each round takes the smallest neighbouring label, then the label's own label; tables are written, nothing is gathered."""
-    both = saved(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), "labels")
-    for _ in range(max_rounds):
+    both = tmp.saved(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    labels = tmp.saved(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("comp")), "labels")
+    while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("near"))
         step = labels.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("next"))
-        now = saved(step.join(jump, "comp").select("id", "was", F.least("comp", "next").alias("comp")), "labels")
+        now = tmp.saved(step.join(jump, "comp").select("id", "was", F.least("comp", "next").alias("comp")), "labels")
         labels = now.select("id", "comp")
-        if not now.where(F.col("was") != F.col("comp")).limit(1).count():
+        if now.where(F.col("was") != F.col("comp")).isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
+    """(token, id, comp, n, left, mass, plain, lead): the shingles by which texts (id, comp, shingles, counts) find their partners.
+
+    Shingles are put in one order for all texts, those of few texts first. `left` counts a text's
+    shingles from this one on, `mass` is their share of its weight. The first shingle that a pair
+    shares bounds its overlap: by the smaller `left`, which must reach t / (1 + t) (n + n'), so at
+    least t n in each text and 2 t / (1 + t) n in the smaller one (`lead`); and, as probability
+    Jaccard is at most the sum of the smaller of each two shares, by the smaller `mass`, which must
+    reach t (all of it leads). Shingles of one text have no partner and are left out.
+    """
+    sized = texts.withColumns({"n": F.size("shingles"), "plain": F.size("counts") == 0})
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda acc, c: acc + c)
+    each = sized.withColumn("total", F.when(F.col("plain"), F.col("n").cast("long")).otherwise(total)).select("id", "comp", "n", "total", "plain", F.explode(F.arrays_zip("shingles", "counts")).alias("s"))
+    each = each.select("id", "comp", "n", "total", "plain", F.col("s.shingles").alias("token"), F.coalesce("s.counts", F.lit(1)).alias("w"))
+    shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rare_first = W.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "token")
+    before = F.coalesce(F.sum("w").over(rare_first.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = each.join(shared, "token", "left").select("*", (F.col("n") - F.row_number().over(rare_first) + 1).alias("left"), (1 - before / F.col("total")).alias("mass"))
+    share = F.col("left") / F.col("n") + 1e-9
+    heavy = ~F.col("plain") & (F.col("mass") + 1e-9 >= threshold)
+    kept = placed.where(F.col("df").isNotNull() & ((share >= threshold) | heavy))
+    return kept.select("token", "id", "comp", "n", "left", "mass", "plain", ((share >= 2 * threshold / (1 + threshold)) | heavy).alias("lead"))
+
+
+def _crossing(leads: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of texts of different components that share a prefix shingle which may be their first. What is made are such pairs; texts of one component do not meet."""
+
+    def can(n: str, left: str, mass: str, plain: str) -> F.Column:
+        by_number = F.least("left", left) + 1e-6 >= threshold / (1 + threshold) * (F.col("n") + F.col(n))
+        return by_number | (~(F.col("plain") & F.col(plain)) & (F.least("mass", mass) + 1e-9 >= threshold))
+
+    others = rows.groupBy("token", "comp").agg(F.min("n").alias("n2"), F.max("left").alias("left2"), F.max("mass").alias("mass2"), F.min("plain").alias("plain2")).withColumnRenamed("comp", "comp2")
+    toward = leads.join(others, "token").where((F.col("comp") != F.col("comp2")) & can("n2", "left2", "mass2", "plain2"))
+    toward = toward.select("token", "id", "n", "left", "mass", "plain", "comp2")
+    partner = rows.select("token", F.col("id").alias("id3"), F.col("comp").alias("comp2"), F.col("n").alias("n3"), F.col("left").alias("left3"), F.col("mass").alias("mass3"), F.col("plain").alias("plain3"))
+    met = toward.join(partner, ["token", "comp2"]).where(can("n3", "left3", "mass3", "plain3"))
+    return met.select(F.least("id", "id3").alias("a"), F.greatest("id", "id3").alias("b")).distinct()
+
+
+def _representatives(rows: DataFrame) -> DataFrame:
+    """One row for each shingle and component."""
+    row = F.struct("left", "id", "n", "mass", "plain")
+    return rows.groupBy("token", "comp").agg(F.max(row).alias("r")).select("token", "comp", "r.*")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, with_hash: bool = False) -> DataFrame:
@@ -197,47 +239,43 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, with_hash: bool = F
     own = ["doc_id", "text_hash"] if with_hash else ["doc_id"]
     texts_in_batches(docs.sparkSession)
     key = F.concat(F.unhex(F.lpad(F.hex("key1"), 16, "0")), F.unhex(F.lpad(F.hex("key2"), 16, "0")))
-    sk = saved(sketches(docs), "sketches").withColumn("id", key)
-    wordy = sk.where("n > 0")
-    uniq = saved(wordy.select("id", "n", (F.size("counts") == 0).alias("plain"), F.array_distinct("bands").alias("bands")).dropDuplicates(["id"]), "distinct-texts")
-
-    met = uniq.select("id", "n", "plain", F.explode("bands").alias("bkey"))
-    bucket = W.partitionBy("bkey")
-    # buckets of one text go before anything else is done with them
-    met = saved(met.withColumn("hub", F.min("id").over(bucket)).withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1").drop("size"), "buckets")
-
-    pairs = saved(met.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    members = met.select("id").distinct()
-    sets = saved(wordy.join(small(members, members.count()), "id", "left_semi").select("id", "shingles", "counts").dropDuplicates(["id"]), "sets")
-    links = saved(_verified(pairs, sets, threshold), "verified")
-    comp = components(links)
-
-    # what the hubs left apart
-    tried, reps = pairs, REPS
-    while True:
-        mixed = met.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    with Scratch(docs.sparkSession) as tmp:
+        sk = tmp.saved(sketches(docs), "sketches").withColumn("id", key)
+        wordy = sk.where("n > 0")
+        uniq = wordy.select("id", F.array_distinct("bands").alias("bands")).dropDuplicates(["id"])
+        met = tmp.saved(uniq.select("id", F.explode("bands").alias("bkey")), "bands")
+        buckets = met.groupBy("bkey").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+        met = tmp.saved(met.join(buckets, "bkey"), "buckets")
+
+        pairs = tmp.saved(met.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+        members = met.select("id").distinct()
+        sets = tmp.saved(wordy.join(small(members, members.count()), "id", "left_semi").select("id", "shingles", "counts").dropDuplicates(["id"]), "sets")
+        links = tmp.saved(_verified(pairs, sets, threshold), "verified")
+        comp = components(links, tmp)
+
+        # what the hubs left apart
+        mixed = met.select("bkey", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         several = mixed.groupBy("bkey").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bkey")
-        mixed = saved(mixed.join(several, "bkey", "left_semi").select("bkey", "id", "comp", "n", "plain"), "mixed")
-        first = mixed.withColumn("r", F.row_number().over(W.partitionBy("bkey", "comp").orderBy("id"))).where(F.col("r") <= reps)
-        first = first.select("bkey", F.col("id").alias("rid"), F.col("comp").alias("rcomp"), F.col("n").alias("rn"), F.col("plain").alias("rplain"))
-        can = (F.least("n", "rn") >= threshold * F.greatest("n", "rn") - 1e-6) | ~(F.col("plain") & F.col("rplain"))
-        met_first = first.join(mixed, "bkey").where((F.col("rcomp") != F.col("comp")) & can)
-        more = saved(met_first.select(F.least("id", "rid").alias("a"), F.greatest("id", "rid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        late = saved(_verified(more, sets, threshold), "verified-late")
-        links, tried = links.unionByName(late), tried.unionByName(more)
-        if late.limit(1).count():
-            comp = components(links)
-        # all is tried where at most one component of a bucket had members that did not meet the rest
-        large = mixed.groupBy("bkey", "comp").count().where(F.col("count") > reps).groupBy("bkey").count().where("count > 1")
-        if not large.limit(1).count():
-            break
-        reps *= MORE_REPS
-
-    ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    named = comp.join(ends, "id")
-    low = wordy.groupBy("id").agg(F.min("doc_id").alias("low"))
-    of_text = low.join(named, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    classes = of_text.groupBy("comp").agg(F.min("low").alias("class_id"))
-    of_text = of_text.join(classes, "comp").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    copies = wordy.select(*own, "id").join(of_text, "id").select(*own, "class_id", "n_links")
-    return copies.unionByName(sk.where("n = 0").select(*own, F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+        apart = tmp.saved(mixed.join(several, "bkey", "left_semi").select("id", "comp").distinct(), "apart")
+        if not apart.isEmpty():
+            rows = tmp.saved(prefixes(sets.join(apart, "id"), threshold), "prefixes")
+            for every in (False, True):
+                if every:
+                    rows = rows.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+                leads = rows.where("lead")
+                more = _crossing(leads, rows, threshold) if every else _crossing(_representatives(leads), _representatives(rows), threshold)
+                more = tmp.saved(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+                late = tmp.saved(_verified(more, sets, threshold), "verified")
+                pairs, links = pairs.unionByName(more), links.unionByName(late)
+                if not late.isEmpty():
+                    comp = components(links, tmp)
+
+        ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+        named = comp.join(ends, "id")
+        low = wordy.groupBy("id").agg(F.min("doc_id").alias("low"))
+        of_text = low.join(named, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        classes = of_text.groupBy("comp").agg(F.min("low").alias("class_id"))
+        of_text = of_text.join(classes, "comp").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        copies = wordy.select(*own, "id").join(of_text, "id").select(*own, "class_id", "n_links")
+        alone = sk.where("n = 0").select(*own, F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+        return saved(copies.unionByName(alone), "near-duplicates")

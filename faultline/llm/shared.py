@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one where that is unset (tests)."""
+    """The folder named in spark.checkpoint.dir; a local one where that is unset and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="faultline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -37,11 +39,36 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def texts_in_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: Arrow batches of this session hold `rows` rows at most, unless it asks for fewer."""
+class Scratch:
+    """Intermediate tables of an operator; they go when its block ends, so its result must be written by then."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, new_dir(spark, "scratch")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_: object) -> None:
+        drop_folder(self.spark, self.folder)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder that this library wrote, in whatever store it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def texts_in_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Texts can be long: Arrow batches of this session hold `rows` rows at most, unless it asks for fewer, and about `size` bytes (one row at least)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
         spark.conf.set(key, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:

@@ -6,6 +6,7 @@ its bytes modulo 2**64, taken from prefix sums and then mixed.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,17 +26,33 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 NON_WORD = np.zeros(256, bool)
 NON_WORD[:128] = [not chr(i).isalnum() for i in range(128)]
 
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
+_POWERS_KEPT = (1 << 20) + 1
+_powers: dict[int, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("down", _BASE_INV)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """At least n powers; tables for longer inputs than most are made anew, as workers keep what they hold."""
+    if base not in _powers or n > _POWERS_KEPT:
+        steps = np.full(max(n, _POWERS_KEPT), base, U64)
+        steps[0] = 1
+        steps = np.multiply.accumulate(steps)
+        if n > _POWERS_KEPT:
+            return steps
+        _powers[base] = steps
+    return _powers[base]
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # other C libraries have none
+    _trim = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on, and with them what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,12 +82,12 @@ def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
         end = min(max(end, at + 1), len(texts))
         yield at, end
         at = end
-    pa.default_memory_pool().release_unused()  # workers live on, and with them what they hold
+    release()
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
     """The 64-bit hash of each byte span; fold: A-Z count as a-z."""
-    up, down = _power_tables(len(raw) + 1)
+    up, down = _powers_of(_BASE, len(raw) + 1), _powers_of(_BASE_INV, len(raw) + 1)
     sums = np.zeros(len(raw) + 1, U64)
     np.cumsum((_FOLDED if fold else _BYTE)[raw] * up[: len(raw)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
