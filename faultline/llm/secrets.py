@@ -9,7 +9,8 @@ range-framed window over a text's candidates in order of position; its frames ho
 2 x SCOPE code points, so nothing grows with the square of anything.
 
 Positions come from the pieces between matches: a match starts where the pieces and matches
-before it end. Text is read in place; what is shuffled is candidates.
+before it end, a running sum over the matches of a text. Text is read in place; what is shuffled
+is candidates, after rows that repeat were counted where they are.
 
 Result: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked; a row for each input row.
 
@@ -36,72 +37,64 @@ WEAK = r"""(?<![A-Za-z0-9_])(?i:(pwd|pass|passphrase|credential|client_?secret|a
 ENDPOINT = r"""(?<![A-Za-z0-9_])(?i:(https?|jdbc:[a-z]+|postgres|postgresql|mysql|mongodb|redis|amqp|s3|ftp)://[A-Za-z0-9][A-Za-z0-9@:/_.?=&%-]*|(host|endpoint|server|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9][A-Za-z0-9:/_.-]{3,})"""
 
 
-def _matches(text: Column, pattern: str, kind: int, min_group: int = 0, min_chars: int = 0) -> Column:
-    """array<struct<start, end, kind>> of the leftmost non-overlapping matches; those whose group is shorter than min_chars are dropped after matching."""
+def _matches(text: Column, pattern: str, kind: int, group: int = 0, min_chars: int = 0) -> Column:
+    """array<struct<kind, pos, gap, len, ok>> of the leftmost non-overlapping matches: the code points before each (after the last one) and in it; ok where the group has min_chars."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,kind:int>>")
-    measured = F.zip_with(F.slice(pieces, 1, F.size(whole)), whole, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("len")))
-    if min_group:
-        group = F.regexp_extract_all(text, F.lit(pattern), F.lit(min_group))
-        measured = F.zip_with(measured, group, lambda m, g: F.struct(m.gap.alias("gap"), m.len.alias("len"), (F.length(g) >= min_chars).alias("ok")))
-    else:
-        measured = F.transform(measured, lambda m: F.struct(m.gap.alias("gap"), m.len.alias("len"), (m.len >= min_chars).alias("ok")))
-    # prefix sums by a fold: the accumulator is (position, spans so far)
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
-    folded = F.aggregate(
-        measured,
-        start,
-        lambda acc, m: F.struct(
-            (acc.at + m.gap + m.len).alias("at"),
-            F.when(m.ok, F.concat(acc.spans, F.array(F.struct((acc.at + m.gap).alias("start"), (acc.at + m.gap + m.len).alias("end"), F.lit(kind).alias("kind"))))).otherwise(acc.spans).alias("spans"),
-        ),
-    )
+    measured = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(whole)), whole, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("len")))
+    held = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    both = F.arrays_zip(measured.alias("m"), held.alias("g"))
+    rows = F.transform(both, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), x.m.gap.alias("gap"), x.m.len.alias("len"), (F.length(x.g) >= min_chars).alias("ok")))
     # the cheap test comes first: most texts have no match at all
-    return F.when(text.rlike(pattern), folded.spans).otherwise(empty)
-
+    return F.when(text.rlike(pattern), rows).otherwise(F.array().cast("array<struct<kind:int,pos:int,gap:bigint,len:bigint,ok:boolean>>"))
 
-def base_candidates(text: Column) -> Column:
-    return F.concat(_matches(text, ASSIGN, 0, 2, 8), _matches(text, ACCESS, 1, 0, 16), _matches(text, HEX, 2, 0, 32))
 
+def candidates(text: Column) -> Column:
+    """All matches of the base kinds and of the weak ones."""
+    base = (_matches(text, ASSIGN, 0, 2, 8), _matches(text, ACCESS, 1, 0, 16), _matches(text, HEX, 2, 0, 32))
+    return F.concat(*base, _matches(text, IDENT, 3), _matches(text, WEAK, 4), _matches(text, ENDPOINT, 5))
 
-def weak_candidates(text: Column) -> Column:
-    return F.concat(_matches(text, IDENT, 3), _matches(text, WEAK, 4), _matches(text, ENDPOINT, 5))
 
-
-def _joined(spans: Column) -> Column:
+def _joined(where: Column) -> Column:
+    """kind:start:end of a text's spans, by start, kind and end."""
     name = F.array(*[F.lit(k) for k in KINDS])
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(name, s.kind), s.start.cast("string"), s.end.cast("string"))), ",")
+    spans = F.array_sort(F.collect_list(F.when(where, F.struct("start", "kind", "end"))))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s.kind), s.start.cast("string"), s.end.cast("string"))), ",")
 
 
 def secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.length(text).alias("size"), F.concat(base_candidates(text), weak_candidates(text)).alias("c"))
-    rows = found.select("doc_id", "h", "size", F.posexplode_outer("c").alias("pos", "s")).select("doc_id", "h", "size", "pos", "s.start", "s.end", "s.kind")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.length(text).alias("size"), candidates(text).alias("c"))
+    own = ["doc_id", "h", "size"]
+    # rows that share doc_id and text have the same matches: one of each, and how many rows there are
+    rows = found.select(*own, F.explode_outer("c").alias("m")).groupBy(*own, "m").agg(F.count(F.lit(1)).alias("n")).select(*own, "m.*", "n")
+
+    along = W.partitionBy(*own, "kind").orderBy("pos")
+    end = F.sum(F.col("gap") + F.col("len")).over(along)
+    # matches that fail only move the position on; a text without matches has one row of nulls
+    spans = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("len")).withColumn("kind", F.when(F.col("ok"), F.col("kind")))
 
-    # rows that share doc_id and text share a partition; the flags below are maxima, so repeats change nothing
-    near = W.partitionBy("doc_id", "h", "size").orderBy("start").rangeBetween(-scope, scope)
+    near = W.partitionBy(*own).orderBy("start").rangeBetween(-scope, scope)
     has = lambda *kinds: F.max(F.col("kind").isin(*kinds)).over(near)
-    linked = rows.withColumns({"near_id": has(1, 3), "near_secret": has(0, 2, 4)})
-    keep = F.col("kind").isin(0, 1, 2) | ((F.col("kind") == 4) & F.col("near_id")) | ((F.col("kind") == 3) & F.col("near_secret")) | ((F.col("kind") == 5) & F.col("near_id") & F.col("near_secret"))
-    one = F.struct("start", "kind", "end")
-    per_text = linked.groupBy("doc_id", "h", "size").agg(F.count_if(F.col("pos").isNull() | (F.col("pos") == 0)).alias("n_rows"), F.collect_set(F.when(keep, one)).alias("all"))
-    # a weak secret that covers a base span's own words adds nothing; only new spans are added
-    base = F.filter("all", lambda s: s.kind <= 2)
-    new = F.filter("all", lambda s: (s.kind > 2) & ~F.exists(F.col("base"), lambda b: (b.start < s.end) & (s.start < b.end)))
-    counted = per_text.withColumn("base", base).withColumn("new", new)
-    n_of = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long")
-    out = counted.select(
-        "doc_id",
-        n_of(0).alias("n_assign"),
-        n_of(1).alias("n_access"),
-        n_of(2).alias("n_hex"),
-        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-        _joined(F.concat("base", "new")).alias("spans"),
-        F.size("new").cast("long").alias("n_linked"),
-        "n_rows",
+    linked = spans.withColumns({"near_id": has(1, 3), "near_secret": has(0, 2, 4)})
+    base = F.col("kind") <= 2
+    keep = base | ((F.col("kind") == 4) & F.col("near_id")) | ((F.col("kind") == 3) & F.col("near_secret")) | ((F.col("kind") == 5) & F.col("near_id") & F.col("near_secret"))
+    # a weak secret that covers a base span's own words adds nothing: the furthest end of the base spans
+    # that start before it, and the nearest start of those after it, tell whether one overlaps
+    up = W.partitionBy(*own).orderBy("start").rangeBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(*own).orderBy(F.desc("start")).rangeBetween(W.unboundedPreceding, 0)
+    met = linked.withColumns({"keep": keep, "base_end": F.max(F.when(base, F.col("end"))).over(up), "base_start": F.min(F.when(base, F.col("start"))).over(down)})
+    covered = F.coalesce(F.col("base_end") > F.col("start"), F.lit(False)) | F.coalesce(F.col("base_start") < F.col("end"), F.lit(False))
+    shown = met.withColumn("new", F.col("keep") & ~base & ~covered)
+    out = shown.groupBy(*own).agg(
+        F.count_if(F.col("kind") == 0).alias("n_assign"),
+        F.count_if(F.col("kind") == 1).alias("n_access"),
+        F.count_if(F.col("kind") == 2).alias("n_hex"),
+        F.sha2(_joined(base), 256).alias("base_sha256"),
+        _joined(base | F.col("new")).alias("spans"),
+        F.count_if("new").alias("n_linked"),
+        F.max("n").alias("n_rows"),
     )
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int")))).drop("copy", "n_rows")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int")))).drop("copy", "n_rows", "h", "size")
 
 
 def oracle(scope: int = SCOPE) -> str:

@@ -70,6 +70,16 @@ def test_odd_rows(spark):
     assert null_id[0]["doc_id"] is None and null_id[0]["n_assign"] == 1
 
 
+def test_many_matches_in_one_text_take_seconds(spark):
+    import time
+
+    rows = [(1, "password=abcdefgh1\n" * 100_000 + "user=bob pwd=abc123\n" * 100_000)]
+    began = time.time()
+    got = secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(rows, got)
+    assert got[0]["n_assign"] == 100_000 and got[0]["n_linked"] == 200_000 and time.time() - began < 120
+
+
 def test_sql_gives_the_same_rows(spark):
     import duckdb
 
