@@ -7,8 +7,9 @@ the edit may change where its piece ends), replaces these leaves and updates the
 Pieces begin where the pre-tokenizer surely cuts, whatever stands before, so counts of leaves add
 up to the count of the whole text exactly.
 
-count_tokens stores the leaves beside each document (about 4 bytes for LEAF pieces); recount
-applies edits to stored leaves without encoding the rest again.
+count_tokens stores each document's tree (about 16 bytes for LEAF pieces); edit_tokens applies edits
+to stored trees and gives the new text and its tree, so further edits start from there. A region
+that edits touch becomes one leaf.
 
 Edits are (start, end, text) in code points of the old text. They are applied as a set: in order
 of start, an edit that begins before the end of one already taken is left out and counted in
@@ -23,12 +24,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from faultline.llm.shared import texts_in_batches
+from faultline.llm.shared import quoted, saved, texts_in_batches
 from faultline.llm.textkernel import slices, text_bytes
 from faultline.llm.token_files import ChunkEncoder, chunk_starts, encoder
 
@@ -38,16 +42,27 @@ LEAF = 32
 class TokenTree:
     """Sums of (code points, tokens) over leaves, in an array: node i has the children 2i and 2i + 1."""
 
-    def __init__(self, chars: np.ndarray, tokens: np.ndarray):
-        self.leaves = max(1, 1 << max(0, int(len(chars)) - 1).bit_length())
-        self.sums = np.zeros((2 * self.leaves, 2), np.int64)
-        self.sums[self.leaves : self.leaves + len(chars), 0] = chars
-        self.sums[self.leaves : self.leaves + len(chars), 1] = tokens
-        step = self.leaves // 2
+    def __init__(self, sums: np.ndarray):
+        self.sums, self.leaves = sums, len(sums) // 2
+
+    @classmethod
+    def of(cls, chars: np.ndarray, tokens: np.ndarray) -> TokenTree:
+        leaves = max(1, 1 << max(0, int(len(chars)) - 1).bit_length())
+        sums = np.zeros((2 * leaves, 2), np.int64)
+        sums[leaves : leaves + len(chars), 0] = chars
+        sums[leaves : leaves + len(chars), 1] = tokens
+        step = leaves // 2
         while step:
-            self.sums[step : 2 * step] = self.sums[2 * step : 4 * step : 2] + self.sums[2 * step + 1 : 4 * step : 2]
+            sums[step : 2 * step] = sums[2 * step : 4 * step : 2] + sums[2 * step + 1 : 4 * step : 2]
             step //= 2
-        self.n = len(chars)
+        return cls(sums)
+
+    @classmethod
+    def read(cls, data: bytes) -> TokenTree:
+        return cls(np.frombuffer(data, "<u4").reshape(-1, 2).astype(np.int64))
+
+    def stored(self) -> bytes:
+        return self.sums.astype("<u4").tobytes()
 
     @property
     def chars(self) -> int:
@@ -94,9 +109,8 @@ def leaf_arrays(enc: ChunkEncoder, texts: pa.Array) -> tuple[np.ndarray, np.ndar
     return chars, np.diff(at), leaf_offs
 
 
-def apply_edits(enc: ChunkEncoder, text: str, chars: np.ndarray, tokens: np.ndarray, edits: list[tuple[int, int, str]]) -> tuple[int, int, int]:
-    """(tokens after the edits, code points encoded again, edits left out)."""
-    tree = TokenTree(chars, tokens)
+def apply_edits(enc: ChunkEncoder, text: str, tree: TokenTree, edits: list[tuple[int, int, str]]) -> tuple[str, int, int]:
+    """(new text, code points encoded again, edits left out); the tree becomes the new text's."""
     taken, done, skipped = [], 0, 0
     for start, end, new in sorted(edits, key=lambda e: (e[0], e[1])):
         start, end = max(start, 0), min(max(end, start), len(text))
@@ -105,104 +119,108 @@ def apply_edits(enc: ChunkEncoder, text: str, chars: np.ndarray, tokens: np.ndar
             continue
         taken.append((start, end, new or ""))
         done = max(end, start)
-    encoded = 0
-    # from the right, so that what is to the left keeps its place; edits of shared leaves go together
+    size, regions = len(text), []
+    # from the right; edits of shared leaves go together. Positions are the old text's until all is found
     while taken:
         group = [taken.pop()]
+        high, at_high = tree.find(group[0][1]) if group[0][1] < size else (tree.leaves, size)
         while True:
             low, at_low = tree.find(max(group[-1][0] - 2, 0))
-            high, at_high = tree.find(group[0][1]) if group[0][1] < len(text) else (tree.n, len(text))
-            if taken and taken[-1][1] >= at_low:
-                group.append(taken.pop())
-            else:
+            if not taken or taken[-1][1] < at_low:
                 break
+            group.append(taken.pop())
         # the leaf that the last edit ends in is encoded up to its own end, where a piece begins anyway
         # (or whole, if it is the only one)
-        whole = high < tree.n and (at_high < group[0][1] or high == low)
+        whole = high < tree.leaves and (at_high < group[0][1] or high == low)
         stop, last = (at_high + int(tree.sums[high + tree.leaves, 0]), high + 1) if whole else (at_high, high)
         parts, at = [], at_low
         for start, end, new in reversed(group):
             parts += [text[at:start], new]
             at = end
-        region = "".join(parts) + text[at:stop]
-        encoded += len(region)
-        # the old text's positions are needed by find(), so lengths stay and only the counts move
-        for leaf in range(low, last):
-            tree.put(leaf, int(tree.sums[leaf + tree.leaves, 0]), 0)
-        n = int(enc.encode(pa.array([region], pa.string()))[1][-1])
-        tree.put(low if low < tree.n else 0, int(tree.sums[(low if low < tree.n else 0) + tree.leaves, 0]), n)
-    return tree.tokens, encoded, skipped
-
-
-def _small(values: np.ndarray) -> bytes:
-    return values.astype("<u4").tobytes()
+        regions.append((low, last, at_low, stop, "".join([*parts, text[at:stop]])))
+    counts = np.diff(enc.encode(pa.array([r[-1] for r in regions], pa.string()))[1])
+    out, at = [], size
+    for (low, last, start, stop, region), n in zip(regions, counts.tolist(), strict=True):
+        for leaf in np.flatnonzero(tree.sums[tree.leaves + low : tree.leaves + last].any(1)).tolist():
+            tree.put(low + leaf, 0, 0)
+        tree.put(low, len(region), n)
+        out += [text[stop:at], region]
+        at = start
+    return "".join(reversed([*out, text[:at]])), sum(len(r[-1]) for r in regions), skipped
 
 
 def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """docs (doc_id, text, ...) with n_tokens and the leaves: leaf_chars, leaf_tokens (little-endian 32-bit)."""
+    """docs (doc_id, text, ...) with n_tokens and `tree`, the sums of its nodes (little-endian 32-bit)."""
     texts_in_batches(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("n_tokens", "leaf_chars", "leaf_tokens")]
-    schema = docs.select(*[F.col(f"`{c}`") for c in names]).schema
+    names = [c for c in docs.columns if c not in ("n_tokens", "tree")]
+    source = docs.select(*[quoted(c) for c in names])
+    at_text = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            text = b.column(names.index("text"))
+            text = b.column(at_text)
             for i, j in slices(text):
                 chars, tokens, offs = leaf_arrays(enc, text.slice(i, j - i))
-                sums = np.concatenate([[0], np.cumsum(tokens)])
-                cut = lambda x, offs=offs: pa.array([_small(x[a:z]) for a, z in zip(offs[:-1], offs[1:], strict=True)], pa.binary())
-                yield pa.record_batch([*(c.slice(i, j - i) for c in b.columns), pa.array(sums[offs[1:]] - sums[offs[:-1]]), cut(chars), cut(tokens)], [*names, "n_tokens", "leaf_chars", "leaf_tokens"])
+                trees = [TokenTree.of(chars[a:z], tokens[a:z]) for a, z in zip(offs[:-1], offs[1:], strict=True)]
+                yield pa.record_batch([*(c.slice(i, j - i) for c in b.columns), pa.array([t.tokens for t in trees], pa.int64()), pa.array([t.stored() for t in trees], pa.binary())], [*names, "n_tokens", "tree"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "n_tokens long, leaf_chars binary, leaf_tokens binary"]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("tree", T.BinaryType())]))
 
 
-def recount(counted: DataFrame, tokenizer: str) -> DataFrame:
-    """counted: count_tokens' columns with `edits` array<struct<start, end, text>>; gives doc_id, n_tokens, n_edits, n_skipped, n_tokens_after, n_encoded."""
+def edit_tokens(counted: DataFrame, tokenizer: str) -> DataFrame:
+    """counted: count_tokens' columns with `edits` array<struct<start, end, text>>; gives doc_id, text and tree after the edits, and n_tokens, n_edits, n_skipped, n_tokens_after, n_encoded. Where nothing is edited text and tree are as given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
             edits = [[(e["start"], e["end"], e["text"] or "") for e in x or [] if e and e["start"] is not None and e["end"] is not None] for x in b.column(2).to_pylist()]
-            before = b.column(3).to_pylist()
-            after, encoded, skipped = list(before), [0] * len(b), [0] * len(b)
+            after, encoded, skipped = b.column(3).to_pylist(), [0] * len(b), [0] * len(b)
+            texts, trees = b.column(1).to_pylist(), b.column(4).to_pylist()
             for k, own in enumerate(edits):
                 if own:
-                    chars, tokens = (np.frombuffer(b.column(c)[k].as_buffer(), "<u4").astype(np.int64) for c in (4, 5))
-                    after[k], encoded[k], skipped[k] = apply_edits(enc, b.column(1)[k].as_py() or "", chars, tokens, own)
+                    tree = TokenTree.read(trees[k])
+                    texts[k], encoded[k], skipped[k] = apply_edits(enc, texts[k] or "", tree, own)
+                    after[k], trees[k] = tree.tokens, tree.stored()
             cols = [pa.array(x, pa.int64()) for x in ([len(x) for x in edits], skipped, after, encoded)]
-            yield pa.record_batch([b.column(0), b.column(3), *cols], ["doc_id", "n_tokens", "n_edits", "n_skipped", "n_tokens_after", "n_encoded"])
+            yield pa.record_batch([b.column(0), pa.array(texts, pa.string()), pa.array(trees, pa.binary()), b.column(3), *cols], ["doc_id", "text", "tree", "n_tokens", "n_edits", "n_skipped", "n_tokens_after", "n_encoded"])
 
-    # the text is needed only where there is something to edit
-    text = F.when(F.size("edits") > 0, F.col("text").cast("string"))
-    return counted.select(F.col("doc_id").cast("long"), text.alias("text"), "edits", "n_tokens", "leaf_chars", "leaf_tokens").mapInArrow(run, "doc_id long, n_tokens long, n_edits long, n_skipped long, n_tokens_after long, n_encoded long")
+    texts_in_batches(counted.sparkSession)
+    return counted.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "edits", "n_tokens", "tree").mapInArrow(run, "doc_id long, text string, tree binary, n_tokens long, n_edits long, n_skipped long, n_tokens_after long, n_encoded long")
 
 
-#: Personal data that a release would mask: mail addresses, IPv4 addresses, runs of 13 to 16 digits.
+#: Personal data that a release would mask: mail addresses, IPv4 addresses, runs of 13 to 16 digits. Each starts where such a
+#: run starts, and none is tried again within it, so a search takes time in proportion to the text.
 MASKED = (
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "<mail>"),
-    (r"(?<![A-Za-z0-9_])[0-9]{1,3}(\.[0-9]{1,3}){3}(?![A-Za-z0-9_])", "<address>"),
+    (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "<mail>"),
+    (r"(?<![A-Za-z0-9_])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9_])", "<address>"),
     (r"(?<![A-Za-z0-9_])[0-9]{13,16}(?![A-Za-z0-9_])", "<number>"),
 )
 
 
-def masking_edits(text: Column, rules: tuple[tuple[str, str], ...] = MASKED) -> Column:
-    """array<struct<start, end, text>>: replaces each match of each rule; positions come from the pieces between matches."""
-    none = F.array().cast("array<struct<start:bigint,end:bigint,text:string>>")
+def masking_edits(docs: DataFrame, rules: tuple[tuple[str, str], ...] = MASKED) -> DataFrame:
+    """docs (doc_id, text, ...) with `edits`, which replace each match of each rule."""
+    texts_in_batches(docs.sparkSession)
+    names = [c for c in docs.columns if c != "edits"]
+    source, at_text = docs.select(*[quoted(c) for c in names]), names.index("text")
+    kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("text", T.StringType())]))
 
-    def of(pattern: str, new: str) -> Column:
-        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(whole))
-        sizes = F.zip_with(gaps, whole, lambda g, m: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("size")))
-        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-        walked = F.aggregate(sizes, start, lambda acc, m: F.struct((acc.at + m["gap"] + m["size"]).alias("at"), F.concat(acc.out, F.array(F.struct((acc.at + m["gap"]).alias("start"), (acc.at + m["gap"] + m["size"]).alias("end"), F.lit(new).alias("text")))).alias("out")))
-        return F.when(text.rlike(pattern), walked.out).otherwise(none)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(re.compile(p), new) for p, new in rules]
+        for b in batches:
+            edits = [[(m.start(), m.end(), new) for p, new in found for m in p.finditer(t or "")] for t in b.column(at_text).to_pylist()]
+            one = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())])
+            lists = pa.array([[{"start": a, "end": z, "text": new} for a, z, new in x] for x in edits], pa.list_(one))
+            yield pa.record_batch([*b.columns, lists], [*names, "edits"])
 
-    return F.concat(*[of(p, n) for p, n in rules])
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("edits", kind)]))
 
 
 def masked_token_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Token counts before and after masking, the latter by edits alone."""
+    """Token counts before and after masking: the trees are built once and kept in a table, masking edits them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return recount(count_tokens(own, tokenizer).withColumn("edits", masking_edits(F.col("text"))), tokenizer)
+    marked = masking_edits(count_tokens(own, tokenizer))
+    # a text is kept beside its tree only where there is something to edit
+    trees = saved(marked.withColumn("text", F.when(F.size("edits") > 0, F.col("text"))), "token-trees")
+    return edit_tokens(trees, tokenizer).drop("text", "tree")
