@@ -7,6 +7,12 @@ and read again as the next stage's documents.
 4. mix: documents are repeated so that the languages' expected token shares meet the targets;
    no document is thinned (rates are at least 1), so every clean document stays.
 5. token files: texts become shards of token ids; the rows are the index read back from them.
+
+Defined results: stages 1 to 4 return the columns they got, whatever their names and types (rows
+travel as one struct beside what a stage adds). Null texts are empty; empty and word-less texts
+are no copies of each other and leak nothing. Rows that share doc_id and text are one row after
+stage 2 (of rows that differ in other columns the one that comes first as text); null doc_ids
+stay unless their text is a copy. Every stage gives no row for an empty table.
 """
 
 from __future__ import annotations
@@ -14,15 +20,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultline.llm.decontaminate import leaks
 from faultline.llm.mixing import apply_rates, soft_mixture
 from faultline.llm.near_dup import near_duplicates
-from faultline.llm.quality import quality_scores
+from faultline.llm.quality import with_quality
 from faultline.llm.queries import TARGETS, TOKENIZER, labelled_domains
-from faultline.llm.shared import saved, small, table
+from faultline.llm.shared import drop_folder, new_dir, saved, small, table, whole_row
 from faultline.llm.token_files import token_files
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,28 +37,26 @@ MIN_QUALITY = 0.7
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = quality_scores(docs, table(spark, sf_dir, "labels"), keep=True)
-    return scored.where(F.col("quality_score") >= MIN_QUALITY).drop("quality_score")
+    return with_quality(docs, table(spark, sf_dir, "labels")).where(F.col("score") >= MIN_QUALITY).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows are told apart by doc_id and text; of rows that share both one stays."""
-    classes = saved(near_duplicates(docs, with_hash=True).select("doc_id", "text_hash", "class_id"), "classes")
-    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same_row = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
-    kept = docs.join(small(gone, gone.count()), same_row, "left_anti")
+    classes = near_duplicates(docs, with_hash=True).select("doc_id", "text_hash", "class_id")
+    gone = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_hash").distinct()
+    own = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("hash"))
+    kept = own.join(small(gone, gone.count()), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_anti")
     n = classes.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct(F.struct("doc_id", "text_hash")).alias("texts")).first()
     if n["rows"] != n["texts"]:
-        same = W.partitionBy("doc_id", F.xxhash64(F.col("text").cast("string"))).orderBy(*docs.columns)
-        kept = kept.withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
-    return kept
+        kept = kept.groupBy("id", "hash").agg(F.min_by("row", F.col("row").cast("string")).alias("row"))
+    return kept.select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    row = F.xxhash64(F.col("doc_id"), F.col("text"))
-    found = leaks(docs.select(row.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__row")).distinct()
+    own = docs.select(whole_row(docs), F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"))
+    found = leaks(own.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
     found = saved(found, "leaks")
-    return docs.join(small(found, found.count()), row == F.col("__row"), "left_anti")
+    return own.join(small(found, found.count()), "key", "left_anti").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,9 +74,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{k}")
+        folder = new_dir(spark, f"stage-{k}")
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(folder)
+        if before:
+            drop_folder(spark, before)  # of the stages only the last result is kept
+        docs, before = spark.read.schema(out.schema).parquet(folder), folder
     return docs
 
 

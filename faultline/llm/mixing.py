@@ -29,17 +29,17 @@ from __future__ import annotations
 
 import math
 import re
+import warnings
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import saved
+from faultline.llm.shared import saved, whole_row
 
 VOCABULARY = 4096
 MAX_TRAIN = 4_000
-MAX_WORD = 40
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def train_words(docs: DataFrame, labelled: DataFrame, domains: list[str], max_tr
         _keyed(docs)
         .join(F.broadcast(marked), "doc_id")
         .select("domain", F.explode(_words(F.col("text"))).alias("word"))
-        .where(F.length("word").between(1, MAX_WORD))
+        .where("word != ''")
         .groupBy("word")
         .agg(*[F.count_if(F.col("domain") == d).alias(f"c_{k}") for k, d in enumerate(domains)], F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "word")
@@ -122,10 +122,11 @@ def _rate(past: list[list[float]], n: int, min_rate: float, max_rate: float | No
     return F.aggregate(F.array(*[_numbers(g) for g in past]), start, step)
 
 
-def fit_rates(members: DataFrame, weights: list[float], budget: float | None = None, min_rate: float = 0.0, max_rate: float | None = None, max_steps: int = 25, tolerance: float = 1e-4) -> DataFrame:
+def fit_rates(members: DataFrame, weights: list[float], budget: float | None = None, min_rate: float = 0.0, max_rate: float | None = None, max_steps: int = 100, tolerance: float = 1e-4) -> DataFrame:
     """members with a `rate`. budget: tokens in all; by default what they have, or, with min_rate > 0, the least at which no domain must be thinned below min_rate.
 
-    Steps end when every domain is within the tolerance of its target or the misfit no longer falls (targets may be out of reach).
+    Steps end when every domain is within the tolerance of its target or the misfit no longer falls
+    (targets may be out of reach); a fit that is still moving after max_steps gives a warning.
     """
     n = len(weights)
     k_all = range(n)
@@ -154,6 +155,8 @@ def fit_rates(members: DataFrame, weights: list[float], budget: float | None = N
         free = F.when((F.col("rate") > min_rate) | (_dot(F.col("p"), _numbers(gradient), n) < 0), tokens).otherwise(0)
         curve = np.array(sums(at, [free * share[i] * share[j] for i in k_all for j in k_all])).reshape(n, n)
         past.append([*gradient, *np.linalg.solve(curve + damping * np.diag(scale), gap).tolist()])
+    else:
+        warnings.warn(f"mixing rates still move after {max_steps} steps; misfit {misfits[-1]:.6g}", stacklevel=2)
     return members.withColumn("rate", F.round(_rate(past, n, min_rate, max_rate), 9))
 
 
@@ -171,9 +174,9 @@ def soft_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]
 
 def apply_rates(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """docs with every row as often as its rate says: the whole part, and once more if a hash of doc_id and text falls below the rest. Columns stay."""
-    own = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    rate = rates.select(F.col("doc_id").alias("__rid"), F.col("text_hash").alias("__rhash"), F.col("rate").alias("__rate"))
-    met = own.join(rate, F.col("__id").eqNullSafe(F.col("__rid")) & (F.col("__hash") == F.col("__rhash")))
-    chance = F.pmod(F.xxhash64("__id", "__hash", F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.floor("__rate") + F.when(chance < F.col("__rate") - F.floor("__rate"), 1).otherwise(0)
-    return met.withColumn("__n", copies.cast("int")).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
+    rate = rates.select(F.col("doc_id").alias("rate_id"), F.col("text_hash").alias("rate_hash"), "rate")
+    met = own.join(rate, F.col("id").eqNullSafe(F.col("rate_id")) & (F.col("hash") == F.col("rate_hash")))
+    chance = F.pmod(F.xxhash64("id", "hash", F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return met.withColumn("n", copies.cast("int")).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

@@ -25,11 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from faultline.llm.shared import texts_in_batches
+from faultline.llm.shared import texts_in_batches, whole_row
 from faultline.llm.textkernel import U64, mix, slices, text_bytes, words
 
 DIM, ROWS, NONZEROS, WINDOW = 32, 1 << 14, 2, 2
@@ -203,7 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_train: in
         for b in batches:
             yield pa.record_batch([b.column(0), b.column(1), pa.array(list(pooled(b.column(2), vectors)), pa.list_(pa.float32()))], ["doc_id", "y", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(bound, "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<float>").toArrow()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(bound, "doc_id")
+    # a doc_id that many rows share is learnt once
+    one = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x array<float>").toArrow()
     if not rows.num_rows:
         return fit(np.zeros((0, N_FEATURES)), np.zeros(0))
     x = np.stack(rows.column("x").to_pylist()).astype(np.float64)
@@ -212,27 +216,28 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, max_train: in
     return fit(x[order], y[order])
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train: int = 20_000, keep: bool = False) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row; keep: all columns of docs and `quality_score` instead."""
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_train: int = 20_000) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row."""
+    scored = with_quality(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, max_train)
+    return scored.select("row.doc_id", "score").select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def with_quality(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> DataFrame:
+    """(row, score): row holds all columns of docs, under whatever names."""
     texts_in_batches(docs.sparkSession)
     vectors = word_vectors(docs)
     net = train(docs, labels, vectors, max_train)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((vectors, net))  # ROWS x DIM floats and the network: fixed size
-    names = [c for c in docs.columns if c != "quality_score"] if keep else ["doc_id"]
-    schema = docs.select(*names).schema if keep else docs.select(F.col("doc_id").cast("long")).schema
-
-    if not keep:
-        names = [*names, "text"]
-    at, n_out, result = names.index("text"), len(schema), "quality_score" if keep else "score"
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, net))  # ROWS x DIM floats and the network: fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, net = shared.value
         for b in batches:
-            yield pa.record_batch([*b.columns[:n_out], pa.array(net.scores(pooled(b.column(at), vectors)), pa.float64())], [*b.schema.names[:n_out], result])
+            yield pa.record_batch([b.column(0), pa.array(net.scores(pooled(_text_of(b.column(0)), vectors)), pa.float64())], ["row", "score"])
+
+    source = docs.select(whole_row(docs))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType())]))
+
 
-    source = docs.withColumns({"text": F.col("text").cast("string")} | ({} if keep else {"doc_id": F.col("doc_id").cast("long")})).select(*[F.col(f"`{c}`") for c in names])
-    scored = source.mapInArrow(run, T.StructType([*schema.fields, T.StructField(result, T.DoubleType())]))
-    if keep:
-        return scored
-    return scored.select("doc_id", F.coalesce(fold() == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def _text_of(rows: pa.StructArray) -> pa.Array:
+    at = [rows.type.field(i).name for i in range(rows.type.num_fields)].index("text")
+    return pc.cast(rows.field(at), pa.string())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its counted rows stay under this.
@@ -74,3 +74,13 @@ def texts_in_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20)
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Hints a broadcast when the counted rows are few, else leaves a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever it holds (dots, backticks)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one, so that no name can clash with those an operator adds; select("row.*") gives them back."""
+    return F.struct(*[quoted(c) for c in df.columns]).alias("row")

@@ -2,8 +2,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from faultline.llm.quality import N_FEATURES, fit, pooled, quality_scores, token_rows, word_vectors
+from faultline.llm.quality import DIM, N_FEATURES, ROWS, fit, pooled, quality_scores, token_rows, train, with_quality, word_vectors
 from faultline.llm.shared import table
 
 SF = "/root/testdata/sf0.01"
@@ -27,14 +28,23 @@ def test_odd_rows(spark):
     got = quality_scores(docs, labels).collect()
     assert len(got) == 5 and all(r["score"] == 0.5 for r in got)
     assert quality_scores(docs.limit(0), labels).count() == 0
-    kept = quality_scores(docs, labels, keep=True)
-    assert kept.columns == ["doc_id", "text", "score", "quality_score"] and kept.count() == 5
+    kept = with_quality(docs.withColumn("row", F.lit(1)).withColumn("a.b", F.lit(2)), labels)
+    assert kept.columns == ["row", "score"] and kept.count() == 5
+    assert kept.select("row.*").columns == ["doc_id", "text", "score", "row", "a.b"]
+
+
+def test_a_doc_id_that_many_rows_share_is_learnt_once(spark):
+    rows = [(k, f"text number {k} of many") for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    vectors = np.random.default_rng(1).normal(size=(ROWS, DIM)).astype(np.float32)
+    nets = [train(spark.createDataFrame(x, "doc_id long, text string"), labels, vectors) for x in (rows, rows + rows[:3] * 40)]
+    np.testing.assert_array_equal(nets[0].w1, nets[1].w1)
 
 
 def test_word_vectors_follow_the_contexts(spark):
     """A brute-force sum over the windows of every text gives the same table."""
     texts = ["a b c a", "b b c", "", "a"]
-    from faultline.llm.quality import DIM, ROWS, WINDOW, index_vectors
+    from faultline.llm.quality import WINDOW, index_vectors
 
     index = index_vectors()
     dense = np.zeros((ROWS, DIM))
