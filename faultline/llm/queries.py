@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.llm.ann import ORACLE as NEAREST_ORACLE
 from faultline.llm.ann import nearest
 from faultline.llm.decontaminate import leaks
 from faultline.llm.licenses import licenses
@@ -79,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secrets": secrets_oracle()}
+    return {"op4_secrets": secrets_oracle(), "op7_nearest": NEAREST_ORACLE}

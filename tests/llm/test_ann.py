@@ -35,15 +35,48 @@ def test_copies_do_not_crowd_out(spark):
     assert (hot.groupby("query_id").vec_id.apply(list) == hot.groupby("query_id").query_id.first().map(lambda q: [i for i in range(500, 540, 5) if i != q][:5])).all()
 
 
+def test_a_dense_group_is_searched_whole(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 16))
+    x[:1000] = x[0] + 1e-4 * rng.normal(size=(1000, 16))  # near copies that four bits cannot tell apart
+    x[1000:2000] = x[1000] * rng.uniform(0.5, 2, 1000)[:, None]  # scaled copies
+    x = x.astype(np.float32)
+    ids = np.arange(3000)
+    got = nearest(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")).toPandas()
+    want = exact_nearest(ids, x, ids[ids % 50 == 0])
+    near = lambda f: f[~f.query_id.between(1000, 1999)]
+    assert recall(near(got), near(want)) >= 0.99
+    scaled = got[got.query_id.between(1000, 1999)]  # all are ties but for the last bits
+    assert len(scaled) == 100 and (scaled.score > 1 - 1e-6).all()
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0], 1), (50, None, 1), (100, [0.0, 0.0], 1), (150, [1.0, nan], 1), (200, [1.0, inf], 1), (250, [1.0, None], 1), (None, [1.0, 1.0], 1), (1, [2.0, 0.0], 1), (2, [1.0, 1.0], 1), (2, [1.0, 1.0], 1), (3, [1.0], 1), (4, [], 1)]
+    rows = [(0, [1.0, 0.0], 1), (50, None, 1), (100, [0.0, 0.0], 1), (150, [1.0, nan], 1), (200, [1.0, inf], 1), (250, [1.0, None], 1), (None, [1.0, 1.0], 1), (1, [2.0, 0.0], 1), (2, [1.0, 1.0], 1), (2, [1.0, 1.0], 1), (3, [1.0], 1), (4, [], 1), (300, [2.0], 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
     got = [tuple(r) for r in nearest(frame).orderBy("query_id", "rank").collect()]
-    assert [(q, r, v) for q, r, v, _ in got] == [(0, 1, 1), (0, 2, 2)] and abs(got[1][3] - 0.5**0.5) < 1e-12
+    assert [(q, r, v) for q, r, v, _ in got] == [(0, 1, 1), (0, 2, 2), (0, 3, 2), (300, 1, 3)] and abs(got[1][3] - 0.5**0.5) < 1e-12
     assert nearest(frame.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_all_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.9, 0.5]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (0, [0.0, 2.0])]
+    got = [tuple(r) for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()]
+    assert [(r, v) for q, r, v, s in sorted(got) if q == 0] == [(1, 1), (1, 2), (2, 1), (2, 1), (3, 1), (3, 1), (4, 0), (4, 1), (5, 0), (5, 2)]
+    assert sorted(round(s, 3) for _, r, _, s in got if r == 1) == [0.995, 1.0]
+
+
+def test_sql_gives_the_same_rows(spark):
+    import duckdb
+
+    from faultline.llm.queries import op7_nearest, oracle_sql
+
+    duckdb.sql(f"create or replace view embeddings as select * from '{SF}/embeddings.parquet'")
+    want = duckdb.sql(oracle_sql()["op7_nearest"])
+    got = op7_nearest(spark, SF)
+    assert sorted(tuple(r) for r in got.select(*want.columns).collect()) == sorted(want.fetchall())
+
+
 def test_the_loss_weighs_the_parallel_error():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 32))
