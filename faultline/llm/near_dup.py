@@ -13,11 +13,11 @@ often the text has them.
 3. Banding. BANDS x ROWS registers; equal bands meet in a bucket. A bucket's members pair with its
    smallest key; these pairs are verified and joined into components. Pairs within a component
    cannot change a class and are not tried.
-4. Buckets that still hold several components give the rest of their pairs exactly, without trying
-   all: texts of two components can only reach the threshold if they share one of their first
+4. Buckets whose members the hub left in several components give the rest of their pairs exactly,
+   without trying all: texts can only reach the threshold if they share one of their first
    shingles, in an order that puts those of few texts first, and if what follows it is long
    enough in both (`prefixes`). First the representatives of components meet by such shingles,
-   then, among what is left apart, every text.
+   then each text meets representatives, then, among what is left apart, every text.
 5. Verification on the exact shingle sets: a pair is a link if its Jaccard or its probability
    Jaccard similarity is at least `threshold`.
 6. Components by label propagation with pointer jumping, all in tables.
@@ -189,28 +189,36 @@ def components(links: DataFrame, tmp: Scratch) -> DataFrame:
             return labels
 
 
+def _joined_by(comp: DataFrame, links: DataFrame, tmp: Scratch) -> DataFrame:
+    """comp (id, comp) after more links: the components themselves are joined, which few edges tell."""
+    own = comp.select(F.col("id").alias("of"), "comp")
+    ends = links.join(own.withColumnRenamed("comp", "ca"), F.col("a") == F.col("of"), "left").drop("of").join(own.withColumnRenamed("comp", "cb"), F.col("b") == F.col("of"), "left")
+    edges = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a != b").distinct()
+    now = components(edges, tmp)
+    moved = comp.join(now.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    return moved.unionByName(now.join(comp, "id", "left_anti"))  # texts that had no link before
+
+
 def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
-    """(token, id, comp, n, left, mass, plain, lead): the shingles by which texts (id, comp, shingles, counts) find their partners.
+    """(token, id, n, left, mass, lead): the shingles by which texts (id, shingles, counts) find their partners.
 
     Shingles are put in one order for all texts, those of few texts first. `left` counts a text's
-    shingles from this one on, `mass` is their share of its weight. The first shingle that a pair
-    shares bounds its overlap: by the smaller `left`, which must reach t / (1 + t) (n + n'), so at
-    least t n in each text and 2 t / (1 + t) n in the smaller one (`lead`); and, as probability
-    Jaccard is at most the sum of the smaller of each two shares, by the smaller `mass`, which must
-    reach t (all of it leads). Shingles of one text have no partner and are left out.
+    shingles from this one on, `mass` is their share of its weight. What lies before the first
+    shingle that a pair shares is in one of them only, so it bounds both similarities:
+    min(left, left') must reach t / (1 + t) (n + n') for Jaccard, and 1 / mass + 1 / mass' must not
+    exceed 1 + 1 / t for probability Jaccard (the registers that fall outside of what is shared: at
+    least u / (1 - u) + v / (1 - v) times those within, u and v being the masses before it). So each
+    share is at least t, and one of the two is at least 2 t / (1 + t): that row leads.
+    Shingles of one text have no partner and are left out.
     """
-    sized = texts.withColumns({"n": F.size("shingles"), "plain": F.size("counts") == 0})
-    total = F.aggregate("counts", F.lit(0).cast("long"), lambda acc, c: acc + c)
-    each = sized.withColumn("total", F.when(F.col("plain"), F.col("n").cast("long")).otherwise(total)).select("id", "comp", "n", "total", "plain", F.explode(F.arrays_zip("shingles", "counts")).alias("s"))
-    each = each.select("id", "comp", "n", "total", "plain", F.col("s.shingles").alias("token"), F.coalesce("s.counts", F.lit(1)).alias("w"))
+    each = texts.select("id", F.explode(F.arrays_zip("shingles", "counts")).alias("s")).select("id", F.col("s.shingles").alias("token"), F.coalesce("s.counts", F.lit(1)).alias("w"))
     shared = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    rare_first = W.partitionBy("id").orderBy(F.coalesce("df", F.lit(1)), "token")
-    before = F.coalesce(F.sum("w").over(rare_first.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = each.join(shared, "token", "left").select("*", (F.col("n") - F.row_number().over(rare_first) + 1).alias("left"), (1 - before / F.col("total")).alias("mass"))
-    share = F.col("left") / F.col("n") + 1e-9
-    heavy = ~F.col("plain") & (F.col("mass") + 1e-9 >= threshold)
-    kept = placed.where(F.col("df").isNotNull() & ((share >= threshold) | heavy))
-    return kept.select("token", "id", "comp", "n", "left", "mass", "plain", ((share >= 2 * threshold / (1 + threshold)) | heavy).alias("lead"))
+    from_end = W.partitionBy("id").orderBy(F.desc(F.coalesce("df", F.lit(1))), F.desc("token"))
+    whole = W.partitionBy("id")
+    placed = each.join(shared, "token", "left").withColumns({"left": F.row_number().over(from_end), "weight": F.sum("w").over(from_end.rowsBetween(W.unboundedPreceding, 0)), "n": F.count(F.lit(1)).over(whole), "total": F.sum("w").over(whole)})
+    share, mass = F.col("left") / F.col("n") + 1e-9, F.col("weight") / F.col("total") + 1e-9
+    kept = placed.where(F.col("df").isNotNull() & (F.greatest(share, mass) >= threshold))
+    return kept.select("token", "id", "n", "left", mass.alias("mass"), (F.greatest(share, mass) >= 2 * threshold / (1 + threshold)).alias("lead"))
 
 
 def _crossing(leads: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
@@ -218,7 +226,7 @@ def _crossing(leads: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
 
     def can(n: str, left: str, mass: str, plain: str) -> F.Column:
         by_number = F.least("left", left) + 1e-6 >= threshold / (1 + threshold) * (F.col("n") + F.col(n))
-        return by_number | (~(F.col("plain") & F.col(plain)) & (F.least("mass", mass) + 1e-9 >= threshold))
+        return by_number | (~(F.col("plain") & F.col(plain)) & (1 / F.col("mass") + 1 / F.col(mass) <= 1 + 1 / threshold + 1e-6))
 
     others = rows.groupBy("token", "comp").agg(F.min("n").alias("n2"), F.max("left").alias("left2"), F.max("mass").alias("mass2"), F.min("plain").alias("plain2")).withColumnRenamed("comp", "comp2")
     toward = leads.join(others, "token").where((F.col("comp") != F.col("comp2")) & can("n2", "left2", "mass2", "plain2"))
@@ -229,8 +237,8 @@ def _crossing(leads: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def _representatives(rows: DataFrame) -> DataFrame:
-    """One row for each shingle and component."""
-    row = F.struct("left", "id", "n", "mass", "plain")
+    """One row for each shingle and component: the one with most behind it."""
+    row = F.struct("mass", "id", "n", "left", "plain")
     return rows.groupBy("token", "comp").agg(F.max(row).alias("r")).select("token", "comp", "r.*")
 
 
@@ -242,8 +250,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, with_hash: bool = F
     with Scratch(docs.sparkSession) as tmp:
         sk = tmp.saved(sketches(docs), "sketches").withColumn("id", key)
         wordy = sk.where("n > 0")
-        uniq = wordy.select("id", F.array_distinct("bands").alias("bands")).dropDuplicates(["id"])
-        met = tmp.saved(uniq.select("id", F.explode("bands").alias("bkey")), "bands")
+        uniq = tmp.saved(wordy.select("id", F.array_distinct("bands").alias("bands")).dropDuplicates(["id"]), "distinct-texts")
+        met = uniq.select("id", F.explode("bands").alias("bkey"))
         buckets = met.groupBy("bkey").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
         met = tmp.saved(met.join(buckets, "bkey"), "buckets")
 
@@ -253,22 +261,24 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, with_hash: bool = F
         links = tmp.saved(_verified(pairs, sets, threshold), "verified")
         comp = components(links, tmp)
 
-        # what the hubs left apart
-        mixed = met.select("bkey", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        # what the hubs left apart: a bucket's members but the hub, which met all
+        mixed = met.where("id != hub").select("bkey", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         several = mixed.groupBy("bkey").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("bkey")
-        apart = tmp.saved(mixed.join(several, "bkey", "left_semi").select("id", "comp").distinct(), "apart")
+        apart = tmp.saved(mixed.join(several, "bkey", "left_semi").select("id").distinct(), "apart")
         if not apart.isEmpty():
-            rows = tmp.saved(prefixes(sets.join(apart, "id"), threshold), "prefixes")
-            for every in (False, True):
-                if every:
-                    rows = rows.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-                leads = rows.where("lead")
-                more = _crossing(leads, rows, threshold) if every else _crossing(_representatives(leads), _representatives(rows), threshold)
+            own_sets = sets.join(apart, "id", "left_semi")
+            plain = own_sets.select("id", (F.size("counts") == 0).alias("plain"))
+            rows = tmp.saved(prefixes(own_sets, threshold).join(plain, "id"), "prefixes")
+            for part in ("representatives", "texts with representatives", "texts"):
+                now = rows.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+                leads = now.where("lead")
+                leads = _representatives(leads) if part == "representatives" else leads
+                more = _crossing(leads, now if part == "texts" else _representatives(now), threshold)
                 more = tmp.saved(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
                 late = tmp.saved(_verified(more, sets, threshold), "verified")
                 pairs, links = pairs.unionByName(more), links.unionByName(late)
                 if not late.isEmpty():
-                    comp = components(links, tmp)
+                    comp = tmp.saved(_joined_by(comp, late, tmp), "components")
 
         ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
         named = comp.join(ends, "id")
