@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -122,28 +123,40 @@ def standard_reason(text: Column, reasons: tuple[tuple[str, str], ...] = REASONS
     return out.otherwise(F.trim(F.substring_index(F.substring_index(text, ":", 1), ".", 1)))
 
 
+# What is taken out of a message, in this order.
+TEMPLATE_STEPS = (
+    (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[.,]\d+Z?", ""),
+    (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", " <IP> "),
+    (r"\b[0-9a-fA-F]{8,}\b", " <HASH> "),
+    (r"\b\d+\b", " <NUM> "),
+    (r"https?://\S+", " <URL> "),
+    (r"\s+", " "),
+)
+
+
 def plain_template(message: Column) -> Column:
     """A message without its times, addresses, hashes, numbers and URLs; 120 characters at most."""
-    steps = (
-        (r"[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}[.,][0-9]+Z?", ""),
-        (r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b", " <IP> "),
-        (r"\b[0-9a-fA-F]{8,}\b", " <HASH> "),
-        (r"\b[0-9]+\b", " <NUM> "),
-        (r"https?://[^ \t\r\n\f]+", " <URL> "),
-        (r"[ \t\r\n\f]+", " "),
-    )
-    for pattern, new in steps:
+    for pattern, new in TEMPLATE_STEPS:
         message = F.regexp_replace(message, pattern, new)
     return F.substring(F.trim(message), 1, 120)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def log_template(message: Column, depth: int = 3) -> Column:
-    """JSON objects: the template of their text `message`, else their sorted keys; other messages: plain_template. Null: a constant."""
-    keys = F.json_object_keys(message)
-    inner = F.get_json_object(message, "$.message")
-    is_text = F.coalesce(F.schema_of_variant(F.try_variant_get(F.try_parse_json(message), "$.message", "variant")) == "STRING", F.lit(False))
-    nested = log_template(inner, depth - 1) if depth > 1 else plain_template(inner)
-    return F.when(message.isNull(), "non-string log message").when(keys.isNotNull(), F.when(is_text, nested).otherwise(F.array_join(F.array_sort(keys), "_"))).otherwise(plain_template(message))
+    """JSON objects: the template of their text `message`, else their sorted keys; other messages: plain_template. Null: a constant. A message is parsed once."""
+
+    def of_object(o: Column) -> Column:
+        inner = F.try_element_at(o, F.lit("message"))
+        is_text = F.coalesce(F.schema_of_variant(inner) == "STRING", F.lit(False))
+        text = F.try_variant_get(inner, "$", "string")
+        nested = log_template(text, depth - 1) if depth > 1 else plain_template(text)
+        return F.when(o.isNull(), plain_template(message)).when(is_text, nested).otherwise(F.array_join(F.array_sort(F.map_keys(o)), "_"))
+
+    return F.when(message.isNull(), "non-string log message").otherwise(_once(F.try_variant_get(F.try_parse_json(message), "$", "map<string,variant>"), of_object))
 
 
 HTML_MARKUP = (r"(?is)<!--.*?-->", *(rf"(?is)<{t}\b[^>]*>.*?</{t}[ ]*>" for t in ("script", "style", "header", "footer", "nav")), r"(?s)<[^>]*>")

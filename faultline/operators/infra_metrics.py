@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions.expressions import departs, falls, near_zero, rises, spike, usable, usage_severity
+from faultline.plans.windows import WindowSpec
 
 # Metrics by component type and category.
 INFRA_CATEGORIES = {
@@ -54,10 +55,25 @@ DATABASE_SPIKY = ("qps", "failed_query_ops_per_second", "cpu_usage", "connection
 FORBIDDEN = ("tidb", "tikv", "pd")
 
 
-def infra_spiky() -> list[str]:
-    """CPU and every counter's rate."""
-    rates = [m.replace("_total", "_per_second") for kinds in INFRA_CATEGORIES.values() for c in ("disk", "network") for m in kinds[c] if m.endswith("_total")]
-    return ["node_cpu_usage_rate", "pod_cpu_usage", *rates]
+# Metrics that are judged by their peaks.
+INFRA_SPIKY = (
+    "node_cpu_usage_rate",
+    "pod_cpu_usage",
+    "node_disk_read_bytes_per_second",
+    "node_disk_written_bytes_per_second",
+    "node_disk_read_time_seconds_per_second",
+    "node_disk_write_time_seconds_per_second",
+    "node_network_receive_bytes_per_second",
+    "node_network_transmit_bytes_per_second",
+    "node_network_receive_packets_per_second",
+    "node_network_transmit_packets_per_second",
+    "pod_fs_reads_bytes_per_second",
+    "pod_fs_writes_bytes_per_second",
+    "pod_network_receive_bytes_per_second",
+    "pod_network_transmit_bytes_per_second",
+    "pod_network_receive_packets_per_second",
+    "pod_network_transmit_packets_per_second",
+)
 
 
 def rate_name(metric: Column) -> Column:
@@ -109,7 +125,7 @@ def infra_anomalies(compared: DataFrame, category_table: DataFrame, key: str = "
     """compared with category, severity and kind (spike, increase, decrease) of what stands out."""
     now, base, std, p99, top = (F.col(c) for c in ("anomaly_value", "baseline_value", "baseline_std", "baseline_p99", "anomaly_max"))
     m = F.col(key)
-    spiky = m.isin(*infra_spiky())
+    spiky = m.isin(*INFRA_SPIKY)
     hit = spiky & spike(top, p99, std, (top > 0.01) | (m == "pod_cpu_usage"))
     up, down = ~spiky & rises(now, base, std), ~spiky & falls(now, base, std)
     kind = F.when(hit, "spike").when(up, "increase").when(down, "decrease")
@@ -183,6 +199,13 @@ def instance_nodes(df: DataFrame) -> DataFrame:
     return known.groupBy("instance").agg(F.min("kubernetes_node").alias("kubernetes_node"))
 
 
+def component_info(long: DataFrame, spec: WindowSpec, time: str = "time", kind: str = "timestamp") -> DataFrame:
+    """(component_id, ip_address, kubernetes_node) from each component's first row in the anomaly window."""
+    own = F.struct("ip_address", "kubernetes_node")
+    rows = long.where(spec.in_anomaly(time, kind) & F.col("component_id").isNotNull())
+    return rows.groupBy("component_id").agg(F.min_by(own, F.struct(F.col(time), own)).alias("o")).select("component_id", "o.*")
+
+
 def first_component_column(df: DataFrame, columns: tuple[str, ...] = ("component_id", "pod", "instance", "kubernetes_node", "object_id", "node")) -> Column:
     """The first of the columns that the table has and that is not null in the row."""
     return F.coalesce(*[F.col(c) for c in columns if c in df.columns], F.lit(None).cast("string"))

@@ -56,12 +56,32 @@ def error_patterns(logs: DataFrame, template: Column, pod: str = "pod", node: st
 
 
 def component_rollup(patterns: DataFrame, pod: str = "pod", limit: int = 10) -> DataFrame:
-    """The `limit` components with most lines: total, patterns, the top one, its level, and the first time."""
-    top = F.max_by("template", F.struct("count", F.col("first_time")))
-    rolled = patterns.groupBy(pod).agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("n_patterns"), top.alias("top_template"), F.max("count").alias("top_count"), F.min("first_time").alias("first_time"))
+    """The `limit` components with most lines: total, node, patterns (most frequent first), the top one with its details, its level, and the first time."""
+    pattern = F.struct("count", "first_time", "template", "details")
+    top = F.max_by(pattern, F.struct("count", "first_time", "template"))
+    rolled = patterns.groupBy(pod).agg(
+        F.sum("count").alias("total"),
+        F.count(F.lit(1)).alias("n_patterns"),
+        F.min_by("node", "template").alias("node"),
+        top.alias("top"),
+        F.min("first_time").alias("first_time"),
+        F.sort_array(F.collect_list(pattern), asc=False).alias("patterns"),  # a row for each template of a component
+    )
+    rolled = rolled.select(pod, "total", "n_patterns", "node", F.col("top.template").alias("top_template"), F.col("top.count").alias("top_count"), F.col("top.details").alias("top_details"), "first_time", "patterns")
     return rolled.withColumns({"level": log_level(F.col("top_template")), "storm": F.col("total") > 100}).orderBy(F.desc("total"), pod).limit(limit)
 
 
+def contextual(logs: DataFrame, template: Column, states: DataFrame, pod: str = "pod", limit: int = 5) -> DataFrame:
+    """(pod, node, total, patterns, state): what the `limit` busiest components log where no line tells of an error, with their activity (pod, state) against the baseline."""
+    mix = pattern_mix(logs, template, pod)
+    one = F.struct("rank", "template", "count", "percentage", "first_time", "last_time")
+    listed = mix.groupBy(pod).agg(F.sort_array(F.collect_list(one)).alias("patterns"))
+    totals = logs.where(F.col(pod).isNotNull()).groupBy(pod).agg(F.count(F.lit(1)).alias("total"))
+    busiest = totals.orderBy(F.desc("total"), pod).limit(limit)
+    met = F.broadcast(busiest).join(listed, pod).join(usual_node(logs, pod), pod, "left").join(states.select(pod, "state"), pod, "left")  # `limit` rows
+    return met.select(pod, F.coalesce("node", F.lit("N/A")).alias("node"), "total", "patterns", "state").orderBy(F.desc("total"), pod)
+
+
 def pattern_mix(logs: DataFrame, template: Column, pod: str = "pod", time: str = "time", top: int = 3) -> DataFrame:
     """(pod, template, count, percentage, rank, first_time, last_time): each pod's most frequent templates."""
     counts = logs.where(F.col(pod).isNotNull()).groupBy(pod, template.alias("template")).agg(F.count(F.lit(1)).alias("count"), F.min(time).alias("first_time"), F.max(time).alias("last_time"))
@@ -75,12 +95,21 @@ def usual_node(logs: DataFrame, pod: str = "pod", node: str = "node") -> DataFra
 
 
 def structured_info(message: Column) -> list[Column]:
-    """Address and port, gRPC code and text, trace and span id of a message; null where absent."""
+    """Address and port, gRPC code and text, trace and span id of a message, and of a JSON object the value under the last key with `error` and those under keys with `trace` or `span`; null where absent."""
     found = lambda p, g=1: F.when(F.regexp_extract(message, p, g) != "", F.regexp_extract(message, p, g))
-    address = r"([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}):([0-9]+)"
-    rpc = r"(?i)code = ([A-Za-z0-9_]+)[ \t]+desc = (.*?)(?:[ \t]*,|\"\}|\"$)"
-    return [found(address).alias("target_ip"), found(address, 2).alias("target_port"), found(rpc).alias("grpc_code"), found(rpc, 2).alias("grpc_description"), found("traceID=([A-Za-z0-9_]+)").alias("trace_id"), found("spanID=([A-Za-z0-9_]+)").alias("span_id")]
-
-
-def any_word(text: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    # The forms of addresses and of gRPC errors.
+    address = r"(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}):(\d+)"
+    rpc = r"(?i)code = (\w+)\s+desc = (.*?)(?:\s*,|\"\}|\"$)"
+    fields = F.from_json(message, "map<string,string>")
+    named = lambda *words: F.map_filter(fields, lambda k, v: reduce(lambda a, b: a | b, [F.lower(k).contains(w) for w in words]))
+    errors, ids = F.map_values(named("error")), named("trace", "span")
+    return [
+        found(address).alias("target_ip"),
+        found(address, 2).alias("target_port"),
+        found(rpc).alias("grpc_code"),
+        found(rpc, 2).alias("grpc_description"),
+        found(r"traceID=(\w+)").alias("trace_id"),
+        found(r"spanID=(\w+)").alias("span_id"),
+        F.when(F.size(errors) > 0, F.element_at(errors, -1)).alias("error_message"),
+        F.when(F.size(ids) > 0, F.to_json(ids)).alias("trace_fields"),
+    ]

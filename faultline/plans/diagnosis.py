@@ -6,29 +6,58 @@ import json
 import os
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.functions.expressions import log_template, severity_rank
+from faultline.functions.expressions import is_pod, log_template, service_of, severity_rank
 from faultline.operators import infra_metrics as infra
 from faultline.operators import logs as log_ops
 from faultline.operators import service_metrics as svc
 from faultline.operators import traces as tr
 from faultline.operators.compare import compare, counter_rates
 from faultline.plans import topology
-from faultline.plans.windows import LOG_CONTEXT, WindowSpec, find_range
+from faultline.plans.windows import LOG_CONTEXT, WindowSpec, find_loose_range, find_range
 from faultline.sources import telemetry
 
 
 @dataclass
 class Result:
-    """What an analysis gives: a table of findings and a line of text; error if it could not run."""
+    """What an analysis gives: a table of findings, tables that explain them, and a line of text; error if it could not run."""
 
     name: str
     findings: DataFrame | None = None
     summary: str = ""
     error: str | None = None
+    insights: dict[str, DataFrame] = field(default_factory=dict)
+
+    def report(self, limit: int = 10) -> dict:
+        """The findings as nested values: the first `limit` components in their order, each with its findings, and each insight's first `limit` rows."""
+        if self.error or self.findings is None:
+            return {"summary": self.error or self.summary, "anomalous_components": []}
+        name, have = COMPONENT[self.name], self.findings.columns
+        place = F.col("component_rank") if "component_rank" in have else -F.col("total") if "total" in have else -F.col("score")
+        rows = self.findings.withColumn("finding", F.struct(*[c for c in have if c not in (name, "component_rank")])).withColumn("place", place)
+        by = [c for c in ("severity_rank",) if c in self.findings.columns]
+        grouped = rows.groupBy(name).agg(F.min("place").alias("place"), F.sort_array(F.collect_list(F.struct(*by, F.to_json("finding").alias("finding")))).alias("findings"))
+        first = grouped.orderBy("place", name).limit(limit).select(F.col(name).alias("component"), "findings.finding").collect()
+        parts = [{"component": r["component"], "anomalies": [json.loads(x) for x in r["finding"]]} for r in first]
+        extra = {k: [json.loads(r[0]) for r in v.select(F.to_json(F.struct("*"))).limit(limit).collect()] for k, v in self.insights.items()}
+        return {"summary": self._said(parts, extra), "anomalous_components": parts, **extra}
+
+    def _said(self, parts: list[dict], extra: dict[str, list[dict]]) -> str:
+        said = [self.summary]
+        if parts:
+            worst = parts[0]["anomalies"][0]
+            what = next((worst[c] for c in ("metric", "kpi_key", "level", "state", "callee") if worst.get(c)), "its calls")
+            said.append(f"{len(parts)} component(s); first {parts[0]['component']}: {worst.get('severity', 'notable')} {what}")
+        said += [f"{k.replace('_', ' ')}: {', '.join(str(next(iter(r.values()), '')) for r in rows)}" for k, rows in extra.items() if rows]
+        return "; ".join(said)
+
+
+#: The column that names the component in the findings of each analysis.
+COMPONENT = {"service": "object_id", "infra": "component_id", "database": "pod", "logs": "pod", "traces": "culprit"}
 
 
 @dataclass
@@ -62,7 +91,8 @@ def service_analysis(spark: SparkSession, root: str, start: str, end: str) -> Re
     long = telemetry.service_metrics(spark, root, spec.baseline_start, spec.end)
     if long is None:
         return Result("service", summary="no service metrics for this time")
-    return Result("service", svc.ranked(svc.anomalies(long, spec, "timestamp")), "service metrics compared")
+    found = svc.anomalies(long, spec, "timestamp")
+    return Result("service", svc.ranked(found), "service metrics compared", insights={"widespread_failures": svc.widespread_failures(found)})
 
 
 def infra_analysis(spark: SparkSession, root: str, start: str, end: str, components: list[str] | None = None) -> Result:
@@ -72,11 +102,20 @@ def infra_analysis(spark: SparkSession, root: str, start: str, end: str, compone
     long = telemetry.infra_metrics(spark, root, spec.baseline_start, spec.end)
     if long is None:
         return Result("infra", summary="no infrastructure metrics for this time")
-    long = long.where(F.col("component_id").isin(components)) if components else long
+    insights = {}
+    if components:
+        requested = spark.createDataFrame([(c,) for c in components], "component_id string")
+        insights["missing_components"] = infra.missing_components(requested, long, "component_id")
     rated = counter_rates(long, ["component_id", "component_type"], F.col("kpi_key").endswith("_total"), infra.rate_name(F.col("kpi_key")), spec, kind="timestamp")
     compared = compare(rated, ["component_id", "kpi_key", "component_type"], spec, kind="timestamp")
-    found = infra.infra_anomalies(compared, infra.categories(spark, infra.INFRA_CATEGORIES))
-    return Result("infra", svc.ranked(found, "component_id", ("kpi_key",)), "infrastructure metrics compared")
+    mine = compared.where(F.col("component_id").isin(components)) if components else compared
+    found = infra.infra_anomalies(mine, infra.categories(spark, infra.INFRA_CATEGORIES))
+    found = found.join(infra.component_info(long, spec), "component_id", "left")
+    # nodes count whichever components were asked for
+    maxima = compared.where(F.col("kpi_key").isin("node_cpu_usage_rate", "node_memory_usage_rate")).select(F.col("component_id").alias("node"), F.col("anomaly_max").alias("maximum"))
+    pods = found.where("component_type = 'pod'").select(F.col("kubernetes_node").alias("node"), F.col("component_id").alias("pod"), "category")
+    insights["noisy_neighbours"] = infra.noisy_neighbours(pods, maxima)
+    return Result("infra", svc.ranked(found, "component_id", ("kpi_key",)), "infrastructure metrics compared", insights=insights)
 
 
 def database_analysis(spark: SparkSession, root: str, start: str, end: str, components: list[str] | None = None) -> Result:
@@ -88,10 +127,16 @@ def database_analysis(spark: SparkSession, root: str, start: str, end: str, comp
     rated = counter_rates(long, ["pod", "related_node", "type", "component_type"], counters, F.concat("kpi_key", F.lit("_per_second")), spec, kind="timestamp")
     compared = compare(rated, ["pod", "related_node", "kpi_key", "component_type", "type"], spec, kind="timestamp")
     found = infra.database_anomalies(compared, infra.categories(spark, infra.DATABASE_CATEGORIES))
-    return Result("database", svc.ranked(found, "pod", ("kpi_key", "type")), "database metrics compared")
+    group = ["pod", "related_node"]
+    bottlenecks = infra.io_bottlenecks(found.where("component_type = 'tikv'"), group)
+    hypothesis = bottlenecks.select(*group, F.lit("io_bottleneck").alias("kpi_key"), F.lit("io_bottleneck_hypothesis").alias("metric_name"), F.lit("tikv").alias("component_type"), F.lit("N/A").alias("type"), F.lit("io_bottleneck").alias("category"), F.lit("io_bottleneck").alias("kind"), "severity")
+    all_ = found.unionByName(hypothesis, allowMissingColumns=True)
+    return Result("database", svc.ranked(all_, "pod", ("kpi_key", "type")), "database metrics compared", insights={"io_bottlenecks": bottlenecks})
 
 
-def log_analysis(spark: SparkSession, root: str, start: str, end: str, components: list[str] | None = None, keywords: tuple[str, ...] = log_ops.KEYWORDS) -> Result:
+def log_analysis(spark: SparkSession, root: str, start: str, end: str, components: list[str] | None = None, keywords: tuple[str, ...] = log_ops.KEYWORDS, **unknown: object) -> Result:
+    if unknown:
+        return Result("logs", error=f"logs do not know {', '.join(sorted(unknown))}; use keywords")
     spec = WindowSpec.logs(start, end)
     lines = telemetry.logs(spark, root, spec.start - LOG_CONTEXT, spec.end)
     if lines is None:
@@ -99,10 +144,17 @@ def log_analysis(spark: SparkSession, root: str, start: str, end: str, component
     lines = log_ops.of_components(lines, components)
     window = lines.where(spec.in_anomaly("time", "timestamp"))
     errors = window.where(log_ops.has_keyword(F.col("message"), keywords))
-    if errors.limit(1).count():
-        return Result("logs", log_ops.component_rollup(log_ops.error_patterns(errors, log_template(F.col("message")))), "error patterns found")
     states = log_ops.activity(lines, spec, "pod", kind="timestamp").where("state is not null")
-    return Result("logs", states, "no error lines; activity compared")
+    if errors.isEmpty():
+        return Result("logs", log_ops.contextual(window, log_template(F.col("message")), states), "no error lines; what components log, and how much", insights={"activity": states})
+    patterns = log_ops.error_patterns(errors, log_template(F.col("message")))
+    insights = {"activity": states}
+    if components:
+        requested = spark.createDataFrame([(c,) for c in components], "pod string")
+        # a node is reported by its own name
+        reported = patterns.select("pod").union(patterns.select("node"))
+        insights["components_without_anomalies"] = infra.missing_components(requested, reported, "pod")
+    return Result("logs", log_ops.component_rollup(patterns), "error patterns found", insights=insights)
 
 
 def trace_analysis(spark: SparkSession, root: str, start: str, end: str, component: str) -> Result:
@@ -131,31 +183,56 @@ def resource_causes(findings: DataFrame, calls: DataFrame) -> DataFrame:
     return full.join(F.broadcast(ends), "dst", "left_semi").join(F.broadcast(callers), "dst").groupBy("dst").agg(F.countDistinct("src").alias("n_callers"))
 
 
+def _as_findings(result: Result) -> DataFrame | None:
+    """(source, component, kind, severity, time) of a result."""
+    f, name = result.findings, result.name
+    if f is None or name == "traces" and f.isEmpty():
+        return None
+    component, none = F.col(COMPONENT[name]).alias("component"), F.lit(None).cast("string").alias("time")
+    if name == "service":
+        cols = [F.col("metric").alias("kind"), F.col("severity"), F.col("first_time").cast("string").alias("time")]
+    elif name == "logs" and "level" in f.columns:
+        cols = [F.col("level").alias("kind"), F.when(F.col("storm"), "critical").otherwise("major").alias("severity"), F.col("first_time").cast("string").alias("time")]
+    elif name == "logs":
+        cols, f = [F.col("state").alias("kind"), F.lit("minor").alias("severity"), none], f.where("state is not null")
+    elif name == "traces":
+        cols = [F.when(F.col("errors") > 0, "call errors").otherwise("call latency").alias("kind"), F.when(F.col("errors") > 0, "major").otherwise("minor").alias("severity"), F.timestamp_millis("first_ms").cast("string").alias("time")]
+    else:
+        cols = [F.col("kpi_key").alias("kind"), F.col("severity"), none]
+    return f.select(F.lit(name).alias("source"), component, *cols)
+
+
 def diagnose(spark: SparkSession, root: str, case: dict) -> Report:
-    """Service metrics first, then logs and infrastructure; the best anchor names the component, its description the reason."""
+    """Service metrics, logs, infrastructure, the database, and the calls of the worst service; the best anchor names the component, its description the reason."""
     start, end = find_range(case["description"])
+    if not start:
+        start, end = find_loose_range(case["description"])
     report = Report(case["uuid"])
     if not start:
         report.reason = "no time range"
         return report
-    parts = []
-    for k, (name, run) in enumerate((("service", lambda: service_analysis(spark, root, start, end)), ("logs", lambda: log_analysis(spark, root, start, end)), ("infra", lambda: infra_analysis(spark, root, start, end))), 1):
+    runs: list[tuple[str, Callable[[], Result]]] = [
+        ("service", lambda: service_analysis(spark, root, start, end)),
+        ("logs", lambda: log_analysis(spark, root, start, end)),
+        ("infra", lambda: infra_analysis(spark, root, start, end)),
+        ("database", lambda: database_analysis(spark, root, start, end)),
+    ]
+    parts: list[DataFrame] = []
+    worst = None
+    for name, run in runs:
         result = run()
-        report.reasoning_trace.append({"step": k, "action": name, "observation": result.error or result.summary})
-        if result.findings is None:
-            continue
-        f = result.findings
-        if name == "service":
-            parts.append(f.select(F.lit(name).alias("source"), F.col("object_id").alias("component"), F.col("metric").alias("kind"), "severity", F.col("first_time").cast("string").alias("time")))
-        elif name == "logs" and "level" in f.columns:
-            parts.append(f.select(F.lit(name).alias("source"), F.col("pod").alias("component"), F.col("level").alias("kind"), F.when(F.col("storm"), "critical").otherwise("major").alias("severity"), F.col("first_time").cast("string").alias("time")))
-        elif name == "infra":
-            parts.append(f.select(F.lit(name).alias("source"), F.col("component_id").alias("component"), F.col("kpi_key").alias("kind"), "severity", F.lit(None).cast("string").alias("time")))
+        report.reasoning_trace.append({"step": len(report.reasoning_trace) + 1, "action": name, "observation": result.report(3)["summary"]})
+        found = _as_findings(result)
+        parts += [found] if found is not None else []
+        if name == "service" and result.findings is not None:
+            worst = result.findings.select(F.when(is_pod(F.col("object_id")), service_of(F.col("object_id"))).otherwise(F.col("object_id")).alias("s")).first()
+    if worst:
+        result = trace_analysis(spark, root, start, end, worst["s"])
+        report.reasoning_trace.append({"step": len(report.reasoning_trace) + 1, "action": "traces", "observation": result.report(3)["summary"]})
+        found = _as_findings(result)
+        parts += [found] if found is not None else []
     if parts:
-        all_ = parts[0]
-        for p in parts[1:]:
-            all_ = all_.unionByName(p)
-        best = anchors(all_).first()
+        best = anchors(reduce(DataFrame.unionByName, parts)).first()
         if best:
             report.component, report.reason, report.time = best["component"], f"{best['source']}: {best['kind']}", best["time"] or start
     return report

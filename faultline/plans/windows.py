@@ -14,12 +14,29 @@ MIN_SECONDS, QUARANTINE, BASELINE, LOG_CONTEXT = 120, timedelta(minutes=5), time
 _ISO = r"(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z)"
 # The phrasings of a range, tried in this order.
 RANGE_PATTERNS = (rf"from\s+{_ISO}\s+to\s+{_ISO}", rf"between\s+{_ISO}\s+and\s+{_ISO}", rf"{_ISO}\s+to\s+{_ISO}", rf"during\s+{_ISO}\s+to\s+{_ISO}")
-LOOSE_PATTERN = rf"(?i)(?:from|时间范围:|during|between)\s*{_ISO}\s*(?:to|到|and)\s*{_ISO}"
+LOOSE_PATTERN = r"(?i)(?:from|时间范围:|during|between)\s*([\w\-\:\.T]+Z?)\s*(?:to|到|and)\s*([\w\-\:\.T]+Z?)"
+
+
+#: What is tried where a time is not in ISO form.
+TIME_FORMATS = ("%Y/%m/%d %H:%M:%S", "%Y/%m/%d %H:%M", "%d %b %Y %H:%M:%S", "%b %d, %Y %H:%M:%S", "%a, %d %b %Y %H:%M:%S %Z", "%m/%d/%Y %H:%M:%S", "%Y/%m/%d", "%m/%d/%Y")
+
+
+def _tried(text: str, form: str) -> datetime | None:
+    try:
+        return datetime.strptime(text, form)
+    except ValueError:
+        return None
 
 
 def parse_time(text: str) -> datetime:
     """UTC; a time without a zone counts as UTC."""
-    at = datetime.fromisoformat(text.strip().replace("Z", "+00:00"))
+    text = text.strip()
+    try:
+        at = datetime.fromisoformat(text.replace("Z", "+00:00"))
+    except ValueError:
+        at = next((t for f in TIME_FORMATS if (t := _tried(text, f))), None)
+        if at is None:
+            raise
     return (at if at.tzinfo else at.replace(tzinfo=UTC)).astimezone(UTC)
 
 
@@ -30,6 +47,12 @@ def find_range(text: str) -> tuple[str | None, str | None]:
     return None, None
 
 
+def find_loose_range(text: str) -> tuple[str | None, str | None]:
+    """A range in looser words; its ends are any run of letters, digits, dashes, colons and dots."""
+    found = re.search(LOOSE_PATTERN, text or "")
+    return (found[1], found[2]) if found else (None, None)
+
+
 def range_columns(text: Column, patterns: tuple[str, ...] = RANGE_PATTERNS) -> tuple[Column, Column]:
     """(start, end) strings of the first pattern that matches, else null."""
     start, end = F.lit(None).cast("string"), F.lit(None).cast("string")

@@ -109,6 +109,9 @@ def in_time(df: DataFrame, column: str, start: datetime, end: datetime) -> DataF
     if isinstance(kind, T.TimestampNTZType):
         low, high = (F.lit(x.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz") for x in (start, end))
         return as_utc(df.where(c.between(low, high)), column)
+    if isinstance(kind, T.StringType):
+        # ISO text sorts as its times do but for the zone, so a day's margin on both sides is safe, and the scan can use it
+        df = df.where(c.between(str((start - timedelta(days=1)).date()), str((end + timedelta(days=2)).date())))
     return as_utc(df, column).where(c.between(F.lit(start), F.lit(end)))
 
 

@@ -58,14 +58,51 @@ def test_analyses(spark, lake):
     assert (disk["kpi_key"], disk["severity"], disk["pod"], disk["related_node"]) == ("io_util", "critical", "N/A_cluster_level", "10.0.0.1:9100")
     log = diagnosis.log_analysis(spark, lake, START, END).findings.first()
     assert (log["pod"], log["total"], log["level"]) == ("cartservice-0", 11, "connectivity_error")
+    assert (log["node"], log["top_count"], log["top_details"]) == ("aiops-k8s-01", 11, "rpc error: connection refused 10.1.1.1:6379")
     hot = diagnosis.trace_analysis(spark, lake, START, END, "frontend").findings.first()  # the caller is the parent span's service
     assert (hot["culprit"], hot["errors"], hot["calls"]) == ("redis-cart", 11, 11)
     assert diagnosis.log_analysis(spark, lake, "2020-01-01T00:00:00Z", "2020-01-01T01:00:00Z").findings is None
 
 
 def test_quiet_logs_compare_activity(spark, lake):
-    states = diagnosis.log_analysis(spark, lake, START, END, keywords=("nowhere",)).findings
-    assert states.count() == 0
+    found = diagnosis.log_analysis(spark, lake, START, END, keywords=("nowhere",))
+    row = found.findings.collect()
+    assert [(r["pod"], r["node"], r["total"], r["state"]) for r in row] == [("cartservice-0", "aiops-k8s-01", 11, None)]
+    assert [(p["template"], p["count"], p["percentage"]) for p in row[0]["patterns"]] == [("rpc error: connection refused <IP> : <NUM>", 11, 100.0)]
+    assert found.insights["activity"].count() == 0
+
+
+def test_reports(spark, lake):
+    service = diagnosis.service_analysis(spark, lake, START, END).report()
+    assert [(c["component"], [a["metric"] for a in c["anomalies"]]) for c in service["anomalous_components"]] == [("cartservice-0", ["error", "rrt"])]
+    assert service["widespread_failures"] == [] and "cartservice-0: major error" in service["summary"]
+    infra = diagnosis.infra_analysis(spark, lake, START, END, ["aiops-k8s-01", "nowhere-0"]).report()
+    assert infra["missing_components"] == [{"component_id": "nowhere-0"}] and infra["noisy_neighbours"] == []
+    assert infra["anomalous_components"][0]["anomalies"][0]["ip_address"] == "10.0.0.1"
+    logs = diagnosis.log_analysis(spark, lake, START, END, ["cartservice-0", "adservice-1"]).report()
+    assert logs["components_without_anomalies"] == [{"pod": "adservice-1"}] and "adservice-1" in logs["summary"]
+    assert diagnosis.log_analysis(spark, lake, START, END, error_level="x").error
+    assert diagnosis.trace_analysis(spark, lake, START, END, "frontend").report()["anomalous_components"][0]["component"] == "redis-cart"
+    assert diagnosis.database_analysis(spark, lake, "2020-01-01T00:00:00Z", "2020-01-01T01:00:00Z").report()["anomalous_components"] == []
+
+
+def test_neighbours_and_bottlenecks_reach_the_analyses(spark, tmp_path):
+    minutes = [AT + timedelta(minutes=m) for m in (*range(-15, -5), *range(11))]
+
+    def write(folder, name, kpi, base, peak, ids):
+        rows = [Row(time=t, kpi_key=kpi, **i, **{kpi: base + (peak - base) * (t >= AT) + 0.001 * (t.minute % 3)}) for t in minutes for i in ids]
+        spark.createDataFrame(rows).coalesce(1).write.parquet(f"{tmp_path}/{DAY}/metric-parquet/{folder}/{name}_{kpi}_{DAY}.parquet")
+
+    pods = [{"pod": f"cartservice-{i}", "kubernetes_node": "aiops-k8s-01", "instance": "10.0.0.1:9100"} for i in range(2)]
+    write("infra/infra_pod", "infra_pod", "pod_cpu_usage", 0.1, 2.0, pods)
+    write("infra/infra_node", "infra_node", "node_cpu_usage_rate", 20.0, 95.0, [{"pod": "null", "kubernetes_node": "aiops-k8s-01", "instance": "10.0.0.1:9100"}])
+    store = [{"pod": "tikv-0", "kubernetes_node": "null", "instance": "10.0.0.9:20180"}]
+    write("other", "infra_tikv", "io_util", 0.1, 0.95, store)
+    write("other", "infra_tikv", "raft_apply_wait", 0.01, 0.5, store)
+    near = diagnosis.infra_analysis(spark, str(tmp_path), START, END).insights["noisy_neighbours"].collect()
+    assert [(r["node"], r["n_pods"]) for r in near] == [("aiops-k8s-01", 2)]
+    disk = diagnosis.database_analysis(spark, str(tmp_path), START, END).findings.where("kind = 'io_bottleneck'").collect()
+    assert [(r["pod"], r["severity"]) for r in disk] == [("tikv-0", "critical")]
 
 
 def test_case_to_answer_and_resume(spark, lake, tmp_path):
@@ -75,7 +112,7 @@ def test_case_to_answer_and_resume(spark, lake, tmp_path):
     done = diagnosis.run_batch(cases, out, lambda c: diagnosis.diagnose(spark, lake, c))
     assert (done["total"], done["success"], done["failure"]) == (2, 2, 0)
     answer = json.loads((tmp_path / "out" / "a.json").read_text())
-    assert (answer["component"], answer["reason"]) == ("cartservice-0", "logs: connectivity_error") and len(answer["reasoning_trace"]) == 3
+    assert (answer["component"], answer["reason"]) == ("cartservice-0", "logs: connectivity_error") and [r["action"] for r in answer["reasoning_trace"]] == ["service", "logs", "infra", "database", "traces"]
     again = diagnosis.run_batch([*cases, {"uuid": "c"}], out, lambda c: 1 / 0)
     assert (again["success"], again["failure"]) == (2, 1)
 
