@@ -6,8 +6,11 @@ properties are log lines, conversations are traces, lineitem is a dirty trace.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import UTC, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -22,6 +25,7 @@ from faultline.operators import traces as tr
 from faultline.operators.compare import compare, counter_rates, systematic_sample
 from faultline.plans import diagnosis, topology
 from faultline.plans.windows import LOOSE_PATTERN, WindowSpec, range_columns
+from faultline.sources import telemetry
 from faultline.streaming.windows import metric_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,16 +66,17 @@ LONG_SQL = "SELECT ts AS time, 'svc-' || CAST(user_id % 10 AS VARCHAR) AS object
 
 
 def service_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks stand for timeouts and views for latency (a hundredth of the value in seconds); 3 services of 4 pods."""
-    metric = F.when(F.col("event_type") == "click", "timeout").when(F.col("event_type") == "view", "rrt").otherwise(F.col("event_type"))
-    value = F.when(F.col("event_type") == "view", F.col("value") / 100).otherwise(F.floor(F.col("value") / 20).cast("double"))
-    name = F.concat(F.lit("svc"), F.col("user_id") % 3, F.lit("-"), F.col("user_id") % 4)
+    """Clicks stand for timeouts, views for latency (a hundredth of the value in seconds), signups for the error ratio; 3 services of 4 pods, and a namespace. Counts are large, middling or small by service."""
+    metric = F.when(F.col("event_type") == "click", "timeout").when(F.col("event_type") == "view", "rrt").when(F.col("event_type") == "signup", "error_ratio").otherwise(F.col("event_type"))
+    step = F.when(F.col("user_id") % 3 == 0, 200).when(F.col("user_id") % 3 == 1, 20).otherwise(5)
+    value = F.when(F.col("event_type") == "view", F.col("value") / 100).when(F.col("event_type") == "signup", F.col("value") / 20000).otherwise(F.floor(F.col("value") / step).cast("double"))
+    name = F.when(F.col("user_id") % 50 == 49, "hipstershop").otherwise(F.concat(F.lit("svc"), F.col("user_id") % 3, F.lit("-"), F.col("user_id") % 4))
     return table(spark, sf_dir, "events").select(F.col("ts").alias("time"), name.alias("object_id"), F.lit("pod").alias("object_type"), metric.alias("metric"), value.alias("value"))
 
 
-SERVICE_SQL = """SELECT ts AS time, 'svc' || CAST(user_id % 3 AS VARCHAR) || '-' || CAST(user_id % 4 AS VARCHAR) AS object_id, 'pod' AS object_type,
- CASE event_type WHEN 'click' THEN 'timeout' WHEN 'view' THEN 'rrt' ELSE event_type END AS metric,
- CASE event_type WHEN 'view' THEN value / 100 ELSE floor(value / 20) END AS value FROM events"""
+SERVICE_SQL = """SELECT ts AS time, CASE WHEN user_id % 50 = 49 THEN 'hipstershop' ELSE 'svc' || CAST(user_id % 3 AS VARCHAR) || '-' || CAST(user_id % 4 AS VARCHAR) END AS object_id, 'pod' AS object_type,
+ CASE event_type WHEN 'click' THEN 'timeout' WHEN 'view' THEN 'rrt' WHEN 'signup' THEN 'error_ratio' ELSE event_type END AS metric,
+ CASE event_type WHEN 'view' THEN value / 100 WHEN 'signup' THEN value / 20000 ELSE floor(value / CASE user_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 20 ELSE 5 END) END AS value FROM events"""
 
 # Which metric an event type stands for, by component type.
 POD_NODE = {
@@ -168,7 +173,7 @@ FOUND_SQL = (
   CASE WHEN metric <> 'rrt' THEN CASE WHEN anomaly_sum > 100 THEN 'critical' WHEN anomaly_sum > 10 THEN 'major' ELSE 'minor' END
    ELSE CASE WHEN anomaly_max > 10 THEN 'critical' WHEN anomaly_max > 2 * thr AND anomaly_max > 1 THEN 'major' ELSE 'minor' END END AS severity,
   CASE WHEN metric <> 'rrt' THEN anomaly_sum ELSE anomaly_max END AS value, CASE WHEN metric <> 'rrt' THEN baseline_value ELSE thr END AS bound
-  FROM judged WHERE (metric <> 'rrt' AND anomaly_sum > baseline_value) OR (metric = 'rrt' AND anomaly_max > thr AND anomaly_max * 1000 > 100 AND (baseline_p99 <= 1e-6 OR (anomaly_max - baseline_p99) / baseline_p99 > 0.2)))"""
+  FROM judged WHERE object_id <> 'hipstershop' AND ((metric <> 'rrt' AND anomaly_sum > baseline_value) OR (metric = 'rrt' AND anomaly_max > thr AND anomaly_max * 1000 > 100 AND (baseline_p99 <= 1e-6 OR (anomaly_max - baseline_p99) / baseline_p99 > 0.2))))"""
 )
 
 
@@ -186,7 +191,7 @@ def widespread_failures(spark, sf_dir):
 
 
 @query(f"""WITH m AS ({SERVICE_SQL}), s AS (SELECT object_id, object_type, metric, max(value) FILTER (WHERE {ANOMALY_SQL}) AS value, quantile_cont(value::DOUBLE, 0.95) FILTER (WHERE {BASE_SQL}) AS p95, stddev_samp(value) FILTER (WHERE {BASE_SQL}) AS std
- FROM m WHERE metric IN ('rrt', 'timeout') AND (({BASE_SQL}) OR ({ANOMALY_SQL})) GROUP BY 1, 2, 3), t AS (SELECT *, CASE WHEN metric = 'rrt' THEN p95 + 2 * coalesce(std, 0) ELSE 1.0 END AS bound FROM s)
+ FROM m WHERE metric IN ('rrt', 'timeout', 'error_ratio') AND (({BASE_SQL}) OR ({ANOMALY_SQL})) GROUP BY 1, 2, 3), t AS (SELECT *, CASE WHEN metric = 'rrt' THEN p95 + 2 * coalesce(std, 0) WHEN metric = 'error_ratio' THEN 0.01 ELSE 1.0 END AS bound FROM s)
  SELECT object_id, object_type, metric, CASE WHEN metric = 'rrt' THEN 'dynamic' ELSE 'static' END AS rule, round(value, 6) AS value, round(bound, 6) AS bound FROM t WHERE value > bound""")
 def static_dynamic_anomalies(spark, sf_dir):
     return rounded(svc.static_dynamic_anomalies(service_long(spark, sf_dir), SPEC))
@@ -385,11 +390,46 @@ def error_patterns(spark, sf_dir):
 LEVEL_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(top_template), '{w}')" for w in words) + f" THEN '{level}'" for level, words in ex.LOG_LEVELS.items()) + " ELSE 'unknown' END"
 
 
-@query(f"""WITH p AS (SELECT pod, template, count(*) AS count, min(time) AS first_time FROM ({LOG_SQL}) GROUP BY pod, template),
- r AS (SELECT pod, CAST(sum(count) AS BIGINT) AS total, count(*) AS n_patterns, arg_max(template, (count, first_time)) AS top_template, max(count) AS top_count, min(first_time) AS first_time FROM p GROUP BY pod)
+# some lines only, so that not every component has a storm
+SOME_LINES = "event_id % (1 + user_id % 8 * 10) = 0"
+ROLLUP_SQL = f"""WITH p AS (SELECT pod, template, count(*) AS count, min(time) AS first_time, coalesce(arg_min(CASE WHEN node <> 'null' THEN node END, (time, node)) FILTER (WHERE node <> 'null'), 'N/A') AS node, arg_min(message, (time, message)) AS details FROM ({LOG_SQL} WHERE {SOME_LINES}) GROUP BY pod, template)"""
+
+
+def rollup(spark, sf_dir):
+    lines = log_lines(spark, sf_dir).join(table(spark, sf_dir, "events").where(SOME_LINES).select("event_id"), "event_id", "left_semi")
+    return log_ops.component_rollup(log_ops.error_patterns(lines, ex.log_template(F.col("message"))))
+
+
+@query(ROLLUP_SQL + f""", r AS (SELECT pod, CAST(sum(count) AS BIGINT) AS total, count(*) AS n_patterns, arg_min(node, template) AS node, arg_max(template, (count, first_time, template)) AS top_template, max(count) AS top_count, arg_max(details, (count, first_time, template)) AS top_details, min(first_time) AS first_time FROM p GROUP BY pod)
  SELECT *, {LEVEL_SQL} AS level, total > 100 AS storm FROM r ORDER BY total DESC, pod LIMIT 10""")
 def component_rollup(spark, sf_dir):
-    return log_ops.component_rollup(log_ops.error_patterns(log_lines(spark, sf_dir), ex.log_template(F.col("message"))))
+    return rollup(spark, sf_dir).drop("patterns")
+
+
+@query(ROLLUP_SQL + " SELECT pod, CAST(row_number() OVER (PARTITION BY pod ORDER BY count DESC, first_time DESC, template DESC) - 1 AS INTEGER) AS pos, template, count, first_time, details FROM p")
+def component_patterns(spark, sf_dir):
+    return rollup(spark, sf_dir).select("pod", F.posexplode("patterns").alias("pos", "p")).select("pod", "pos", "p.template", "p.count", "p.first_time", "p.details")
+
+
+LEVEL_TEXT = {"click": "Pod OOMKilled", "view": "PANIC: handler", "signup": "failed to get cart", "purchase": "connection refused", "error": "an error"}
+
+
+@query("SELECT level, count(*) AS n FROM (SELECT " + LEVEL_SQL + " AS level FROM (SELECT CASE WHEN event_id % 7 = 0 THEN 'all well' ELSE CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LEVEL_TEXT.items()) + " END END AS top_template FROM events)) GROUP BY level")
+def log_levels(spark, sf_dir):
+    text = F.when(F.col("event_id") % 7 == 0, "all well")
+    for k, v in LEVEL_TEXT.items():
+        text = text.when(F.col("event_type") == k, v)
+    return table(spark, sf_dir, "events").groupBy(ex.log_level(text).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH l AS ({LOG_SQL} WHERE event_type <> 'error'), p AS (SELECT pod, template, count(*) AS count FROM l GROUP BY pod, template), r AS (SELECT *, row_number() OVER (PARTITION BY pod ORDER BY count DESC, template) AS rank FROM p),
+ t AS (SELECT pod, count(*) AS total FROM l GROUP BY pod ORDER BY total DESC, pod LIMIT 5), n AS (SELECT pod, node FROM (SELECT pod, node, row_number() OVER (PARTITION BY pod ORDER BY count(*) DESC, node) AS k FROM l WHERE node <> 'null' GROUP BY pod, node) WHERE k = 1)
+ SELECT pod, coalesce(node, 'N/A') AS node, total, string_agg(template || '=' || count, ';' ORDER BY rank) AS patterns, CASE WHEN pod IN ('pod-1', 'pod-3') THEN 'surge' END AS state FROM t JOIN r USING (pod) LEFT JOIN n USING (pod) WHERE rank <= 3 GROUP BY pod, node, total""")
+def contextual_logs(spark, sf_dir):
+    lines = log_lines(spark, sf_dir).where("message not like 'error%'")
+    states = spark.createDataFrame([("pod-1", "surge"), ("pod-3", "surge")], "pod string, state string")
+    found = log_ops.contextual(lines, ex.log_template(F.col("message")), states)
+    return found.withColumn("patterns", F.array_join(F.transform("patterns", lambda p: F.concat(p.template, F.lit("="), p["count"].cast("string"))), ";"))
 
 
 @query(f"""WITH p AS (SELECT pod, template, count(*) AS count, min(time) AS first_time, max(time) AS last_time FROM ({LOG_SQL}) GROUP BY pod, template)
@@ -403,30 +443,146 @@ def usual_node(spark, sf_dir):
     return log_ops.usual_node(log_lines(spark, sf_dir))
 
 
-@query(f"""WITH l AS ({LOG_SQL}), c AS (SELECT pod AS component, date_trunc('hour', time) AS minute, count(*) FILTER (WHERE {BASE_SQL}) AS b, count(*) FILTER (WHERE {ANOMALY_SQL}) AS a FROM l WHERE ({BASE_SQL}) OR ({ANOMALY_SQL}) GROUP BY 1, 2),
- s AS (SELECT component, sum(a) / 5760.0 AS rate, coalesce(avg(b::DOUBLE) FILTER (WHERE b > 0), 0) AS mean, coalesce(stddev_samp(b::DOUBLE) FILTER (WHERE b > 0), 0) AS std FROM c GROUP BY component)
+# Minutes around one incident: 5 before it and 10 in it. A component's lines lie in both parts, or in one of them alone.
+MINUTES = WindowSpec.logs("2024-01-20T10:05:00Z", "2024-01-20T10:15:00Z")
+ACTIVITY_SQL = """SELECT 'pod-' || CAST(event_id % 6 AS VARCHAR) AS component, TIMESTAMP '2024-01-20 10:00:00' + to_seconds(CASE event_id % 6 WHEN 1 THEN 300 + user_id % 600 WHEN 2 THEN user_id % 300 WHEN 3 THEN CASE WHEN event_id % 4 = 0 THEN user_id % 300 ELSE 300 + user_id % 600 END ELSE user_id * 6 % 900 END) AS time FROM events WHERE event_id % 6 <> 4 OR event_id % 60 = 4"""
+
+
+@query(f"""WITH l AS ({ACTIVITY_SQL}), c AS (SELECT component, date_trunc('minute', time) AS minute, count(*) FILTER (WHERE time >= TIMESTAMP '2024-01-20 10:00:00' AND time < TIMESTAMP '2024-01-20 10:05:00') AS b, count(*) FILTER (WHERE time BETWEEN TIMESTAMP '2024-01-20 10:05:00' AND TIMESTAMP '2024-01-20 10:15:00') AS a FROM l GROUP BY 1, 2),
+ s AS (SELECT component, sum(a) / 10.0 AS rate, coalesce(avg(b::DOUBLE) FILTER (WHERE b > 0), 0) AS mean, coalesce(stddev_samp(b::DOUBLE) FILTER (WHERE b > 0), 0) AS std FROM c GROUP BY component)
  SELECT component, round(rate, 6) AS rate, round(mean, 6) AS mean, round(std, 6) AS std, CASE WHEN rate > mean + 3 * greatest(std, 0.1) AND rate > 5 THEN 'surge' WHEN mean < 1 AND rate > 10 THEN 'wakes' WHEN mean > 5 AND rate < 1 THEN 'falls_silent' END AS state FROM s""")
 def log_activity(spark, sf_dir):
-    # events are sparse: hours take the place of minutes
-    lines = log_lines(spark, sf_dir).withColumn("time", F.when(SPEC.in_anomaly("time"), F.least(F.date_trunc("hour", "time").cast("timestamp_ntz"), SPEC.bound(SPEC.end))).when(SPEC.in_baseline("time"), F.date_trunc("hour", "time").cast("timestamp_ntz"))).where("time is not null")
-    return rounded(log_ops.activity(lines.withColumnRenamed("pod", "component"), SPEC))
+    k, u = F.col("event_id") % 6, F.col("user_id")
+    seconds = F.when(k == 1, 300 + u % 600).when(k == 2, u % 300).when((k == 3) & (F.col("event_id") % 4 == 0), u % 300).when(k == 3, 300 + u % 600).otherwise(u * 6 % 900)
+    lines = table(spark, sf_dir, "events").where("event_id % 6 <> 4 or event_id % 60 = 4").select(F.concat(F.lit("pod-"), k).alias("component"), (F.lit("2024-01-20 10:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)).alias("time"))
+    return rounded(log_ops.activity(lines, MINUTES))
 
 
-@query("""SELECT event_id, '10.1.2.' || CAST(user_id % 9 AS VARCHAR) AS target_ip, '80' || CAST(user_id % 10 AS VARCHAR) AS target_port, CASE WHEN event_type = 'error' THEN 'Unavailable' END AS grpc_code, CASE WHEN event_type = 'error' THEN 'no host' END AS grpc_description, 't' || CAST(event_id AS VARCHAR) AS trace_id, NULL::VARCHAR AS span_id FROM events""")
+@query("""SELECT event_id, '10.1.2.' || CAST(user_id % 9 AS VARCHAR) AS target_ip, '80' || CAST(user_id % 10 AS VARCHAR) AS target_port, CASE WHEN event_type = 'error' THEN 'Unavailable' END AS grpc_code, CASE WHEN event_type = 'error' THEN 'no host' END AS grpc_description, 't' || CAST(event_id AS VARCHAR) AS trace_id, CASE WHEN event_id % 3 = 0 THEN 's' || CAST(event_id AS VARCHAR) END AS span_id, NULL::VARCHAR AS error_message, NULL::VARCHAR AS trace_fields FROM events UNION ALL SELECT event_id, NULL, NULL, NULL, NULL, NULL, NULL, 'e' || CAST(user_id AS VARCHAR), '{"traceRef":"' || CAST(event_id AS VARCHAR) || '","Span":"1"}' FROM events WHERE event_type = 'view'""")
 def structured_info(spark, sf_dir):
-    text = F.concat(F.lit("dial 10.1.2."), F.col("user_id") % 9, F.lit(":80"), F.col("user_id") % 10, F.when(F.col("event_type") == "error", ' code = Unavailable desc = no host, ').otherwise(" "), F.lit("traceID=t"), F.col("event_id"))
-    return table(spark, sf_dir, "events").select("event_id", text.alias("message")).select("event_id", *log_ops.structured_info(F.col("message")))
+    text = F.concat(F.lit("dial 10.1.2."), F.col("user_id") % 9, F.lit(":80"), F.col("user_id") % 10, F.when(F.col("event_type") == "error", ' code = Unavailable desc = no host, ').otherwise(" "), F.lit("traceID=t"), F.col("event_id"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" spanID=s"), F.col("event_id"))).otherwise(""))
+    record = F.concat(F.lit('{"traceRef": "'), F.col("event_id"), F.lit('", "Span": 1, "grpcError": "e'), F.col("user_id"), F.lit('", "n": 2}'))
+    e = table(spark, sf_dir, "events")
+    lines = e.select("event_id", text.alias("message")).unionByName(e.where("event_type = 'view'").select("event_id", record.alias("message")))
+    return lines.select("event_id", *log_ops.structured_info(F.col("message")))
+
+
+# ---- a lake on disk ----------------------------------------------------------------------------
+
+LAKE = datetime(2024, 1, 9, 14, 30, tzinfo=UTC), datetime(2024, 1, 10, 17, 15, tzinfo=UTC)
+LAKE_SQL = "time BETWEEN TIMESTAMP '2024-01-09 14:30:00' AND TIMESTAMP '2024-01-10 17:15:00'"
+
+
+def lake(spark: SparkSession, rows: DataFrame, path: str, time: str = "local", **names: str) -> str:
+    """Writes rows (with the column `local`, a UTC+8 time) below a new folder, a file for each local date or hour, and more files than the window needs."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="faultline-lake-")
+    root = f"{root}/lake-{uuid.uuid4().hex}"
+    hours = "{hour}" in path
+    marked = rows.withColumns({"__day": F.date_format("local", "yyyy-MM-dd"), "__hour": F.date_format("local", "HH")}).drop("local")
+    for r in marked.select("__day", *(["__hour"] if hours else [])).distinct().collect():  # a row for each file
+        part = marked.where(F.col("__day") == r[0])
+        part = part.where(F.col("__hour") == r[1]) if hours else part
+        part.drop("__day", "__hour").write.parquet(f"{root}/{path.format(day=r[0], hour=r[1] if hours else '', **names)}")
+    return root
+
+
+def instant(c: F.Column) -> F.Column:
+    """A time without a zone as the instant it is in UTC, whatever the session's zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), c).cast("timestamp")
+
+
+def in_utc(c: F.Column) -> F.Column:
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
+
+
+def lake_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the days around the window."""
+    e = table(spark, sf_dir, "events").where("ts >= TIMESTAMP_NTZ '2024-01-09' AND ts < TIMESTAMP_NTZ '2024-01-12'")
+    return e.withColumns({"time": instant(F.col("ts")), "local": F.expr("ts + INTERVAL 8 HOURS")})
+
+
+@query(f"WITH m AS (SELECT ts AS time, 'svc-' || CAST(user_id AS VARCHAR) AS object_id, event_id, value, event_type FROM events) SELECT CAST(time AS TIMESTAMP) AS time, object_id, metric, round(CASE WHEN metric = 'rrt' THEN value WHEN event_type = 'error' THEN 3.0 ELSE 0.0 END, 6) AS value FROM m, (VALUES ('rrt'), ('error')) AS k(metric) WHERE {LAKE_SQL}")
+def lake_service_metrics(spark, sf_dir):
+    e = lake_events(spark, sf_dir)
+    wide = e.select("time", F.concat(F.lit("svc-"), "user_id").alias("object_id"), F.lit("service").alias("object_type"), F.col("value").alias("rrt"), F.when(F.col("event_type") == "error", "3").otherwise("none").alias("error"), "local")
+    root = lake(spark, wide, "{day}/metric-parquet/apm/service/service_all_{day}.parquet")
+    got = telemetry.service_metrics(spark, root, *LAKE)
+    return rounded(got.select(in_utc(F.col("time")).alias("time"), "object_id", "metric", "value"))
+
+
+@query(f"SELECT time, CASE WHEN user_id % 2 = 0 THEN 'pod-' || CAST(user_id AS VARCHAR) ELSE 'node-' || CAST(user_id % 4 AS VARCHAR) END AS component_id, 'pod_cpu_usage' AS kpi_key, 'pod' AS component_type, '10.0.0.' || CAST(user_id AS VARCHAR) AS ip_address, round(value, 6) AS value FROM (SELECT ts AS time, * FROM events) WHERE {LAKE_SQL} AND event_type <> 'signup'")
+def lake_infra_metrics(spark, sf_dir):
+    e = lake_events(spark, sf_dir)
+    pod = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("pod-"), "user_id")).otherwise("null")
+    tall_rows = e.select("time", pod.alias("pod"), F.concat(F.lit("node-"), F.col("user_id") % 4).alias("kubernetes_node"), F.concat(F.lit("10.0.0."), "user_id", F.lit(":9100")).alias("instance"), F.when(F.col("event_type") != "signup", F.col("value")).alias("pod_cpu_usage"), "local")
+    root = lake(spark, tall_rows, "{day}/metric-parquet/infra/infra_pod/infra_pod_pod_cpu_usage_{day}.parquet")
+    got = telemetry.infra_metrics(spark, root, *LAKE)
+    return rounded(got.select(in_utc(F.col("time")).alias("time"), "component_id", "kpi_key", "component_type", "ip_address", "value"))
+
+
+@query(f"SELECT time, 'N/A_cluster_level' AS pod, 'io_util' AS kpi_key, 'tikv' AS component_type, 'tikv-' || CAST(user_id % 3 AS VARCHAR) AS related_node, 'N/A' AS type, round(CASE WHEN event_type = 'signup' THEN 0 ELSE value END, 6) AS value FROM (SELECT ts AS time, * FROM events) WHERE {LAKE_SQL}")
+def lake_database_metrics(spark, sf_dir):
+    e = lake_events(spark, sf_dir)
+    tall_rows = e.select("time", F.lit("null").alias("pod"), F.concat(F.lit("tikv-"), F.col("user_id") % 3).alias("kubernetes_node"), F.lit("i:1").alias("instance"), F.when(F.col("event_type") != "signup", F.col("value")).alias("io_util"), "local")
+    root = lake(spark, tall_rows, "{day}/metric-parquet/other/infra_tikv_io_util_{day}.parquet")
+    got = telemetry.database_metrics(spark, root, *LAKE)
+    return rounded(got.select(in_utc(F.col("time")).alias("time"), "pod", "kpi_key", "component_type", "related_node", "type", "value"))
+
+
+@query(f"SELECT time, pod, node, message FROM (SELECT date_trunc('second', time) AS time, pod, node, message FROM ({LOG_SQL})) WHERE {LAKE_SQL}")
+def lake_logs(spark, sf_dir):
+    lines = log_lines(spark, sf_dir).where("time >= TIMESTAMP_NTZ '2024-01-09' AND time < TIMESTAMP_NTZ '2024-01-12'")
+    rows = lines.select(F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss.000'Z'").alias("@timestamp"), F.col("pod").alias("k8_pod"), F.col("node").alias("k8_node_name"), "message", F.expr("time + INTERVAL 8 HOURS").alias("local"))
+    root = lake(spark, rows, "{day}/log-parquet/log_filebeat-server_{day}_{hour}-00-00.parquet")
+    return telemetry.logs(spark, root, *LAKE).select(in_utc(F.col("time")).alias("time"), "pod", "node", "message")
+
+
+@query(f"SELECT trace_id, span_id, time AS start_time, duration FROM (SELECT CAST(user_id AS VARCHAR) AS trace_id, CAST(event_id AS VARCHAR) AS span_id, ts AS time, CAST(floor(value * 1000) AS BIGINT) AS duration FROM events) WHERE {LAKE_SQL}")
+def lake_spans(spark, sf_dir):
+    e = lake_events(spark, sf_dir)
+    us = F.unix_micros("time")
+    made = {"traceID": F.col("user_id").cast("string"), "spanID": F.col("event_id").cast("string"), "startTime": us, "startTimeMillis": F.floor(us / 1000), "duration": F.floor(F.col("value") * 1000)}
+    rows = e.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in telemetry.SPAN], "local")
+    root = lake(spark, rows, "{day}/trace-parquet/trace_jaeger-span_{day}_{hour}-59-00.parquet")
+    return tr.flatten(telemetry.spans(spark, root, *LAKE)).select("trace_id", "span_id", in_utc(F.timestamp_micros("start_us")).alias("start_time"), "duration")
+
+
+@query(f"SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS id, CASE WHEN conv_id % 4 = 0 THEN CASE WHEN (conv_id + turn) % 5 = 0 THEN 503 ELSE 200 END ELSE 0 END AS status_code FROM conversations")
+def csv_of_traces(spark, sf_dir):
+    """Flattened traces as CSV, and back."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="faultline-csv-")
+    path = f"{root}/csv-{uuid.uuid4().hex}"
+    telemetry.write_csv(tr.export_rows(conversation_spans(spark, sf_dir)), path)
+    back = telemetry.chart_rows(spark, path).select(F.from_json("record", "traceID string, spanID string, status_code int").alias("r"))
+    return back.select(F.concat("r.traceID", F.lit("/"), "r.spanID").alias("id"), "r.status_code")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def json_sink(spark, sf_dir):
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="faultline-json-")
+    path = f"{root}/json-{uuid.uuid4().hex}"
+    telemetry.write_json(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")), path)
+    return spark.read.schema("status string").json(path).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT component_id, arg_min(ip, (time, ip, kn)) AS ip_address, arg_min(kn, (time, ip, kn)) AS kubernetes_node FROM (SELECT ts AS time, 'c' || CAST(user_id % 20 AS VARCHAR) AS component_id, '10.0.0.' || CAST(event_id % 90 AS VARCHAR) AS ip, 'node-' || CAST(user_id % 4 AS VARCHAR) AS kn FROM events) WHERE {ANOMALY_SQL} GROUP BY component_id")
+def component_info(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("ts").alias("time"), F.concat(F.lit("c"), F.col("user_id") % 20).alias("component_id"), F.concat(F.lit("10.0.0."), F.col("event_id") % 90).alias("ip_address"), F.concat(F.lit("node-"), F.col("user_id") % 4).alias("kubernetes_node"))
+    return infra.component_info(rows, SPEC, kind="timestamp_ntz")
 
 
 # ---- traces -----------------------------------------------------------------------------------
 
 
 def conversation_spans(spark, sf_dir):
-    """Nested spans: a conversation is a trace, a turn a span, the turn before its parent; every fifth turn fails."""
+    """Nested spans: a conversation is a trace, a turn a span, the turn before its parent. Spans fail by status (gRPC, or HTTP in every fourth trace), by tag, or by a log entry of either form."""
     tags = lambda *kv: F.array(*[F.struct(F.lit(k).alias("key"), F.lit("string").alias("type"), v.cast("string").alias("value")) for k, v in kv])
     turn, conv = F.col("turn"), F.col("conv_id")
     ref = F.struct(F.when(turn > 0, "CHILD_OF").otherwise("FOLLOWS").alias("refType"), (turn - 1).cast("string").alias("spanID"))
-    status = F.when((conv + turn) % 5 == 0, "14").otherwise("0")
+    fails, http = (conv + turn) % 5 == 0, conv % 4 == 0
+    rpc_status = F.when(~http, F.when(fails, "14").otherwise("0"))
+    http_status = F.when(http, F.when(fails, "503").otherwise("200"))
+    event = F.when((conv + turn) % 7 == 0, "exception").when((conv + turn) % 7 == 1, "error").otherwise("start")
     return table(spark, sf_dir, "conversations").select(
         conv.cast("string").alias("traceID"),
         turn.cast("string").alias("spanID"),
@@ -435,16 +591,16 @@ def conversation_spans(spark, sf_dir):
         (conv * 1_000_000 + turn).alias("startTime"),
         (conv * 1000 + turn).alias("startTimeMillis"),
         (F.length("text") * 1000).cast("long").alias("duration"),
-        tags(("rpc.grpc.status_code", status), ("peer.service", F.when(turn % 3 == 0, F.lit("redis"))), ("span.kind", F.when(turn % 2 == 0, "client").otherwise("server"))).alias("tags"),
-        F.array(F.struct(tags(("event", F.when((conv + turn) % 7 == 0, "exception").otherwise("start")), ("exception.message", F.lit("boom"))).alias("fields"), F.lit(0).cast("long").alias("timestamp"))).alias("logs"),
+        F.filter(tags(("rpc.grpc.status_code", rpc_status), ("http.status_code", http_status), ("error", F.when((conv + turn) % 11 == 0, F.lit("True"))), ("net.peer.ip", F.concat(F.lit("10.0.0."), turn)), ("peer.service", F.when(turn % 3 == 0, F.lit("redis"))), ("span.kind", F.when(turn % 2 == 0, "client").otherwise("server"))), lambda t: t.value.isNotNull()).alias("tags"),
+        F.array(F.struct(tags(("event", event), ("exception.message", F.lit("boom")), ("message", F.when(turn % 2 == 0, F.lit("no host")))).alias("fields"), F.lit(0).cast("long").alias("timestamp"))).alias("logs"),
         F.struct(F.col("role").alias("serviceName"), tags(("name", F.concat("role", F.lit("-"), conv % 3)), ("node_name", F.concat(F.lit("node-"), conv % 4))).alias("tags")).alias("process"),
     )
 
 
 FLAT_SQL = """SELECT CAST(conv_id AS VARCHAR) AS trace_id, CAST(turn AS VARCHAR) AS span_id, CASE WHEN turn > 0 THEN CAST(turn - 1 AS VARCHAR) ELSE 'root' END AS parent_id, 'op' || CAST(turn % 2 AS VARCHAR) AS operation, role AS service,
  role || '-' || CAST(conv_id % 3 AS VARCHAR) AS pod, 'node-' || CAST(conv_id % 4 AS VARCHAR) AS node, conv_id * 1000000 + turn AS start_us, conv_id * 1000 + turn AS start_ms, CAST(length(text) * 1000 AS BIGINT) AS duration,
- CASE WHEN (conv_id + turn) % 5 = 0 THEN '14' ELSE '0' END AS status_code, NULL::VARCHAR AS error_tag, NULL::VARCHAR AS status_message, CASE WHEN turn % 3 = 0 THEN 'redis' END AS peer_service, CASE WHEN turn % 2 = 0 THEN 'client' ELSE 'server' END AS span_kind, NULL::VARCHAR AS peer_ip,
- CASE WHEN (conv_id + turn) % 7 = 0 THEN 'exception: boom' END AS log_error FROM conversations"""
+ CASE WHEN conv_id % 4 = 0 THEN CASE WHEN (conv_id + turn) % 5 = 0 THEN '503' ELSE '200' END WHEN (conv_id + turn) % 5 = 0 THEN '14' ELSE '0' END AS status_code, CASE WHEN (conv_id + turn) % 11 = 0 THEN 'True' END AS error_tag, NULL::VARCHAR AS status_message, CASE WHEN turn % 3 = 0 THEN 'redis' END AS peer_service, CASE WHEN turn % 2 = 0 THEN 'client' ELSE 'server' END AS span_kind, '10.0.0.' || CAST(turn AS VARCHAR) AS peer_ip,
+ CASE (conv_id + turn) % 7 WHEN 0 THEN 'exception: boom' WHEN 1 THEN CASE WHEN turn % 2 = 0 THEN 'error event: no host' ELSE 'error event: undescribed error' END END AS log_error FROM conversations"""
 
 
 @query(FLAT_SQL)
@@ -452,7 +608,7 @@ def flatten_spans(spark, sf_dir):
     return tr.flatten(conversation_spans(spark, sf_dir))
 
 
-@query(f"SELECT trace_id AS \"traceID\", span_id AS \"spanID\", parent_id AS \"ParentspanID\", operation AS \"operationName\", service, start_us AS \"startTime\", start_ms AS \"startTimeMillis\", duration, pod AS pod_name, node AS node_name, 0 AS status_code FROM ({FLAT_SQL})")
+@query(f"SELECT trace_id AS \"traceID\", span_id AS \"spanID\", parent_id AS \"ParentspanID\", operation AS \"operationName\", service, start_us AS \"startTime\", start_ms AS \"startTimeMillis\", duration, pod AS pod_name, node AS node_name, CASE WHEN contains(status_code, '503') OR contains(status_code, '200') THEN CAST(status_code AS INTEGER) ELSE 0 END AS status_code FROM ({FLAT_SQL})")
 def export_spans(spark, sf_dir):
     return tr.export_rows(conversation_spans(spark, sf_dir))
 
@@ -465,14 +621,19 @@ def latency_thresholds(spark, sf_dir):
     return tr.latency_thresholds(tr.flatten(conversation_spans(spark, sf_dir)))
 
 
-@query(f"SELECT DISTINCT trace_id FROM ({FLAT_SQL}) WHERE contains(pod, 'user2') OR contains(regexp_replace(lower(pod), '[^a-z0-9]', '', 'g'), 'user2')")
+RELEVANT = {"user-2": "pod", "assistant": "service", "op1": "operation", "redis-cart": "peer_service", "10.0.0.3": "peer_ip"}
+PLAIN_NAME = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
+
+
+@query(f"WITH f AS ({FLAT_SQL}) " + " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS component, trace_id FROM f WHERE " + " OR ".join(f"contains({PLAIN_NAME.format(x)}, {PLAIN_NAME.format(repr('redis' if c == 'redis-cart' else c))})" for x in ("pod", "service", "operation", "peer_service", "peer_ip")) for c in RELEVANT))
 def relevant_traces(spark, sf_dir):
-    return tr.relevant(tr.flatten(conversation_spans(spark, sf_dir)), "user-2")
+    flat = tr.flatten(conversation_spans(spark, sf_dir))
+    return reduce(DataFrame.unionByName, [tr.relevant(flat, c).select(F.lit(c).alias("component"), "trace_id") for c in RELEVANT])
 
 
 FAMILY_SQL = f"""WITH f AS ({FLAT_SQL}), t AS ({THRESHOLD_SQL}), c AS (SELECT trace_id, parent_id AS span_id, sum(duration) AS children_us FROM f GROUP BY 1, 2),
  g AS (SELECT f.*, p.span_id IS NOT NULL AS has_parent, p.service AS parent_service, gp.service AS grandparent_service, coalesce(c.children_us, 0) AS children_us, t.threshold FROM f LEFT JOIN f p ON p.trace_id = f.trace_id AND p.span_id = f.parent_id LEFT JOIN f gp ON gp.trace_id = f.trace_id AND gp.span_id = p.parent_id LEFT JOIN c ON c.trace_id = f.trace_id AND c.span_id = f.span_id LEFT JOIN t ON t.service = f.service AND t.operation = f.operation),
- k AS (SELECT *, 'error' AS kind FROM g WHERE log_error IS NOT NULL OR CAST(status_code AS INTEGER) BETWEEN 1 AND 19 OR CAST(status_code AS INTEGER) >= 400 UNION ALL SELECT *, 'latency' FROM g WHERE duration > threshold AND duration - children_us > 0.5 * threshold),
+ k AS (SELECT *, 'error' AS kind FROM g WHERE lower(error_tag) = 'true' OR log_error IS NOT NULL OR CAST(status_code AS INTEGER) BETWEEN 1 AND 19 OR CAST(status_code AS INTEGER) >= 400 UNION ALL SELECT *, 'latency' FROM g WHERE duration > threshold AND duration - children_us > 0.5 * threshold),
  found AS (SELECT trace_id, span_id, kind, CASE WHEN NOT has_parent THEN 'entrypoint' WHEN parent_service = service THEN coalesce(grandparent_service, 'entrypoint') ELSE parent_service END AS caller, CASE WHEN peer_service = 'redis' THEN 'redis-cart' ELSE service END AS callee, CASE WHEN peer_service = 'redis' THEN 'redis-cart' ELSE service END AS culprit, round(duration / 1000.0, 2) AS duration_ms, start_ms FROM k)"""
 
 
@@ -501,10 +662,9 @@ def failed_spans(spark, sf_dir):
     return tr.failed_spans(tr.flatten(conversation_spans(spark, sf_dir)), 14)
 
 
-@query(f"SELECT DISTINCT trace_id FROM ({FLAT_SQL}) WHERE status_code = '14'")
+@query(f"SELECT DISTINCT trace_id FROM ({FLAT_SQL}) WHERE lower(error_tag) = 'true'")
 def error_traces(spark, sf_dir):
-    flat = tr.flatten(conversation_spans(spark, sf_dir)).withColumn("error_tag", F.when(F.col("status_code") == "14", "True"))
-    return tr.error_traces(flat)
+    return tr.error_traces(tr.flatten(conversation_spans(spark, sf_dir)))
 
 
 @query(f"SELECT DISTINCT trace_id FROM (SELECT trace_id FROM ({FLAT_SQL}) WHERE parent_id = 'root' ORDER BY duration DESC, trace_id, span_id LIMIT 10)")
@@ -580,14 +740,35 @@ def service_expansion(spark, sf_dir):
 ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%SZ')"
 
 
-@query(f"""SELECT event_id, CASE WHEN event_id % 5 < 4 THEN {ISO.format('ts')} END AS start_text, CASE WHEN event_id % 5 < 4 THEN {ISO.format("ts + INTERVAL 10 MINUTE")} END AS end_text, CASE WHEN event_id % 5 IN (0, 1, 3) THEN {ISO.format('ts')} END AS loose_start FROM events""")
+RANGE_SQL = f"""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Seen from ' || a || ' to ' || b WHEN 1 THEN 'between ' || a || ' and ' || b WHEN 2 THEN 'at ' || a || ' to ' || b WHEN 3 THEN 'During ' || a || ' to ' || b WHEN 4 THEN '时间范围: ' || left(a, 10) || ' 到 ' || left(b, 10) WHEN 5 THEN 'from ' || left(a, 19) || '.250 to ' || b ELSE 'on ' || a END AS t
+ FROM (SELECT event_id, {ISO.format('ts')} AS a, {ISO.format("ts + INTERVAL 10 MINUTE")} AS b FROM events)"""
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 7 < 4 THEN nullif(regexp_extract(t, '(\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\dZ) (to|and) ', 1), '') END AS start_text, CASE WHEN event_id % 7 < 4 THEN nullif(regexp_extract(t, ' (to|and) (\S+)$', 2), '') END AS end_text,
+ nullif(regexp_extract(t, '{LOOSE_PATTERN}', 1), '') AS loose_start, nullif(regexp_extract(t, '{LOOSE_PATTERN}', 2), '') AS loose_end FROM ({RANGE_SQL})""")
 def time_ranges_in_text(spark, sf_dir):
     iso = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    a, b, k = iso(F.col("ts")), iso(F.expr("ts + INTERVAL 10 MINUTES")), F.col("event_id") % 5
-    text = F.when(k == 0, F.concat(F.lit("Seen from "), a, F.lit(" to "), b)).when(k == 1, F.concat(F.lit("between "), a, F.lit(" and "), b)).when(k == 2, F.concat(F.lit("at "), a, F.lit(" to "), b)).when(k == 3, F.concat(F.lit("during "), a, F.lit(" to "), b)).otherwise(F.concat(F.lit("on "), a))
+    a, b, k = iso(F.col("ts")), iso(F.expr("ts + INTERVAL 10 MINUTES")), F.col("event_id") % 7
+    forms = (("Seen from ", a, " to ", b), ("between ", a, " and ", b), ("at ", a, " to ", b), ("During ", a, " to ", b), ("时间范围: ", F.left(a, F.lit(10)), " 到 ", F.left(b, F.lit(10))), ("from ", F.concat(F.left(a, F.lit(19)), F.lit(".250")), " to ", b))
+    text = F.concat(F.lit("on "), a)
+    for i, parts in enumerate(forms):
+        text = F.when(k == i, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])).otherwise(text)
     start, end = range_columns(F.col("t"))
-    loose, _ = range_columns(F.col("t"), (LOOSE_PATTERN,))
-    return table(spark, sf_dir, "events").select("event_id", text.alias("t")).select("event_id", start.alias("start_text"), end.alias("end_text"), loose.alias("loose_start"))
+    loose_start, loose_end = range_columns(F.col("t"), (LOOSE_PATTERN,))
+    return table(spark, sf_dir, "events").select("event_id", text.alias("t")).select("event_id", start.alias("start_text"), end.alias("end_text"), loose_start.alias("loose_start"), loose_end.alias("loose_end"))
+
+
+@query("""WITH w AS (SELECT n_nationkey, TIMESTAMP '2024-01-01' + to_hours(n_nationkey) AS a, TIMESTAMP '2024-01-01' + to_hours(n_nationkey) + to_seconds(n_nationkey * 10) AS b FROM nation), x AS (SELECT n_nationkey, a, CASE WHEN n_nationkey * 10 < 120 THEN a + INTERVAL 120 SECOND ELSE b END AS e, CASE WHEN n_nationkey * 10 < 120 THEN a - INTERVAL 120 SECOND ELSE a END AS before FROM w)
+ SELECT n_nationkey, a AS start, e AS end, a - INTERVAL 15 MINUTE AS baseline_start, a - INTERVAL 5 MINUTE AS baseline_end, before AS before_start, before - INTERVAL 5 MINUTE AS before_baseline_end, a - INTERVAL 5 MINUTE AS log_context FROM x""")
+def incident_windows(spark, sf_dir):
+    """The windows are plain values; one for each nation."""
+    rows = []
+    for r in table(spark, sf_dir, "nation").select("n_nationkey").collect():  # 25 rows at every scale
+        a = datetime(2024, 1, 1) + timedelta(hours=r[0])
+        spec, moved, logs = (f(a, a + timedelta(seconds=10 * r[0])) for f in (WindowSpec.incident, lambda x, y: WindowSpec.incident(x, y, before=True), WindowSpec.logs))
+        rows.append((r[0], spec.start, spec.end, spec.baseline_start, spec.baseline_end, moved.start, moved.baseline_end, logs.baseline_start))
+    names = ("start", "end", "baseline_start", "baseline_end", "before_start", "before_baseline_end", "log_context")
+    return spark.createDataFrame(rows, "n_nationkey int, " + ", ".join(f"{n} timestamp_ntz" for n in names))
 
 
 @query("SELECT event_type AS plan, count(*) AS total, count(*) FILTER (WHERE user_id % 3 = 0) AS success, count(*) FILTER (WHERE user_id % 3 <> 0) AS failure FROM events GROUP BY event_type")
