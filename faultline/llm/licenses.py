@@ -1,20 +1,25 @@
 """License scans by conditional compression (operator 2).
 
-Lines with a cue word are the candidates; Spark finds them in the text in place. A candidate is
-cut into blocks (the line, or the sentences around a cue if the line is long). Each block is
-compressed once plainly and once with each template as a raw zstandard dictionary; templates are
-ranked by the share of bytes saved. The best ones are confirmed by exact wording: the block's
-words are aligned with the template's, and what the template has beyond the block (`missing`) and
-the block between the template's words (`extra`) is listed. A block is a license if no key word
-of the template (what tells it from its siblings: a version, NC, SA ...) is missing and at least
-`min_words` of the template's words are there in order.
-
-Result: doc_id, line, start (code point of the block in its line), license, reduction, missing,
-extra, exact; a row for each confirmed block of each input row.
+Spark keeps the texts that hold a cue word. In them every cue gives candidate blocks: the words
+around it, as many as the templates of a size class have, over line ends and comment signs, so
+wrapped notices and whole license texts lie in one block. Each block is compressed once plainly
+and once with each template of its class as a raw zstandard dictionary; the templates are ranked
+by the share of bytes saved. In this order all are confirmed by exact wording (none is left out
+for its rank: a name of three words hardly saves a byte): the block's words are aligned with the template's, and what the template has beyond the block
+(`missing`) and the block between the template's words (`extra`) is listed. It is confirmed if no
+key word of the template (what tells it from its siblings: a version, NC, SA ...) is missing, no
+sibling's key word stands in between, at least `min_words` of its words are there in order, and no
+more than the rest is extra. SPDX expressions are read as such: each known identifier counts.
+
+Of confirmed templates whose spans overlap the one with most words confirmed stays (of equals the
+better ranked, then the first in the list), so a text may hold several licenses.
+
+Result: doc_id, start, end (code points), kind (name, notice, text, spdx), license, reduction,
+missing, extra, exact; a row for each license found in each input row.
 
 Defined results: null and empty texts have no rows; repeated rows are reported each; a null
-doc_id is kept; of equal reductions the template that comes first in the list wins; an empty
-table or no templates give no row; other columns are ignored.
+doc_id is kept; an empty table or no templates give no row; other columns are ignored. What is
+kept of a long text are its distinct blocks, so a line that repeats is confirmed once.
 """
 
 from __future__ import annotations
@@ -30,109 +35,194 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Notices as their licenses or stewards word them.
+from faultline.llm.shared import texts_in_batches
+
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_WORK = "This work is licensed under the GNU {0} License, version {1}."
+_CC = "This work is licensed under a Creative Commons {0} 4.0 International License."
+
+# Fixed values: (license, kind, wording, key words), wordings as the licenses or their stewards give them.
 TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2.0"),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "apache 2.0 compliance"),
-    ("MIT", "Released under the MIT License.", "mit"),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction', "permission granted free charge deal restriction"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu general 3"),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gnu general 3 later redistribute"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", "gnu general 2"),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", "gnu lesser general 3"),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", "gnu affero general 3"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0.", "cc by 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "cc by sa 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "cc by nc 4.0"),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0.", "cc by nc sa 4.0"),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.", "cc by nd 4.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "creative commons attribution 4.0"),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "creative commons attribution noncommercial 4.0"),
-    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal.", "cc0 1.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "redistribution source binary permitted conditions"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla public 2.0"),
+    ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0.", "apache 2.0"),
+    ("Apache-2.0", "text", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.', "apache 2.0 compliance"),
+    ("Apache-2.0", "name", "Apache License 2.0", "apache 2.0"),
+    ("Apache-2.0", "name", "Apache License, Version 2.0", "apache 2.0"),
+    ("MIT", "notice", "Released under the MIT License.", "mit"),
+    ("MIT", "notice", "Licensed under the MIT License.", "mit"),
+    ("MIT", "name", "MIT License", "mit license"),
+    ("MIT", "notice", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction', "permission granted free charge deal restriction"),
+    ("MIT", "text", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.', "sublicense noninfringement furnished"),
+    ("ISC", "text", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.', "fee disclaims appear"),
+    ("GPL-3.0", "notice", _WORK.format("General Public", 3), "gnu general 3"),
+    ("GPL-3.0", "name", "GNU General Public License v3.0", "gnu general v3.0"),
+    ("GPL-3.0-or-later", "text", _GPL.format("General Public", 3), "gnu general 3 later redistribute"),
+    ("GPL-2.0", "notice", _WORK.format("General Public", 2), "gnu general 2"),
+    ("GPL-2.0", "name", "GNU General Public License v2.0", "gnu general v2.0"),
+    ("GPL-2.0-or-later", "text", _GPL.format("General Public", 2), "gnu general 2 later redistribute"),
+    ("LGPL-3.0", "notice", _WORK.format("Lesser General Public", 3), "gnu lesser general 3"),
+    ("LGPL-3.0-or-later", "text", _GPL.format("Lesser General Public", 3), "gnu lesser general 3 later redistribute"),
+    ("AGPL-3.0", "notice", _WORK.format("Affero General Public", 3), "gnu affero general 3"),
+    ("AGPL-3.0-or-later", "text", _GPL.format("Affero General Public", 3), "gnu affero general 3 later redistribute"),
+    ("CC-BY-4.0", "notice", "Licensed under CC BY 4.0.", "cc by 4.0"),
+    ("CC-BY-SA-4.0", "notice", "Licensed under CC BY-SA 4.0.", "cc by sa 4.0"),
+    ("CC-BY-NC-4.0", "notice", "Licensed under CC BY-NC 4.0.", "cc by nc 4.0"),
+    ("CC-BY-NC-SA-4.0", "notice", "Licensed under CC BY-NC-SA 4.0.", "cc by nc sa 4.0"),
+    ("CC-BY-ND-4.0", "notice", "Licensed under CC BY-ND 4.0.", "cc by nd 4.0"),
+    ("CC-BY-NC-ND-4.0", "notice", "Licensed under CC BY-NC-ND 4.0.", "cc by nc nd 4.0"),
+    ("CC-BY-4.0", "name", "CC BY 4.0", "cc by 4.0"),
+    ("CC-BY-SA-4.0", "name", "CC BY-SA 4.0", "cc by sa 4.0"),
+    ("CC-BY-NC-4.0", "name", "CC BY-NC 4.0", "cc by nc 4.0"),
+    ("CC-BY-NC-SA-4.0", "name", "CC BY-NC-SA 4.0", "cc by nc sa 4.0"),
+    ("CC-BY-ND-4.0", "name", "CC BY-ND 4.0", "cc by nd 4.0"),
+    ("CC-BY-NC-ND-4.0", "name", "CC BY-NC-ND 4.0", "cc by nc nd 4.0"),
+    ("CC-BY-4.0", "notice", _CC.format("Attribution"), "creative commons attribution 4.0"),
+    ("CC-BY-SA-4.0", "notice", _CC.format("Attribution-ShareAlike"), "creative commons attribution sharealike 4.0"),
+    ("CC-BY-NC-4.0", "notice", _CC.format("Attribution-NonCommercial"), "creative commons attribution noncommercial 4.0"),
+    ("CC0-1.0", "notice", "This work is dedicated to the public domain under CC0 1.0 Universal.", "cc0 1.0"),
+    ("BSD-2-Clause", "text", _BSD, "redistributions retain reproduce disclaimer"),
+    ("BSD-3-Clause", "text", _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "redistributions retain reproduce disclaimer neither endorse promote"),
+    ("BSD-3-Clause", "name", "BSD 3-Clause License", "bsd 3 clause"),
+    ("BSD-2-Clause", "name", "BSD 2-Clause License", "bsd 2 clause"),
+    ("MPL-2.0", "notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla public 2.0"),
+    ("MPL-2.0", "name", "Mozilla Public License 2.0", "mozilla public 2.0"),
+    ("Unlicense", "notice", "This is free and unencumbered software released into the public domain.", "unencumbered public domain"),
 )
-CUE = r"(?i)licen[sc]e|permission is hereby|redistribut|creative commons|copyright|public domain|spdx|all rights reserved"
-LONG_LINE, LEVEL, TRIED = 400, 3, 4
+# Identifiers in SPDX expressions.
+SPDX = ("0BSD", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "WTFPL", "Zlib")
+CUE = r"(?i)licen[sc]e|permission (?:is hereby|to use)|redistribution|creative commons|public domain|spdx|\bcc[ -]by|\bcc0"
+LEVEL = 3
+#: Size classes of templates in words; a block of a class has so many words, and SLACK, on both sides of a cue.
+CLASSES, SLACK = (12, 50, 300), 4
 
 _WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W_]+")
 _CUE = re.compile(CUE)
+_SPDX = re.compile(r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()/, \t-]+)")
+_IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9.-]*")
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks_of(line: str) -> list[tuple[int, str]]:
-    """(start, block): a short line whole; of a long one each sentence with a cue, with the one after it."""
-    if len(line) <= LONG_LINE:
-        return [(0, line)]
-    cuts = [0, *(m.end() for m in re.finditer(r"[.!?;:]\s+", line)), len(line)]
-    return [(a, line[a:b]) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if _CUE.search(line[a:b]) for b in [cuts[min(k + 2, len(cuts) - 1)] if b - a < 80 else b]]
-
-
 @dataclass
 class Template:
     license: str
+    kind: str
     words: list[str]
     keys: set[str]
     packer: zstandard.ZstdCompressor
 
 
+def _packer(text: str) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+
 @lru_cache(4)
-def prepared(templates: tuple[tuple[str, str, str], ...]) -> tuple[list[Template], zstandard.ZstdCompressor, set[str]]:
-    plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-    made = [Template(name, words_of(text), set(keys.split()), zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for name, text, keys in templates]
-    return made, plain, set().union(*(t.keys for t in made)) if made else set()
+def prepared(templates: tuple[tuple[str, str, str, str], ...]) -> tuple[list[Template], zstandard.ZstdCompressor, set[str]]:
+    made = [Template(name, kind, words_of(text), set(keys.split()), _packer(text)) for name, kind, text, keys in templates]
+    return made, zstandard.ZstdCompressor(level=LEVEL, write_content_size=False), set().union(*(t.keys for t in made)) if made else set()
 
 
-def wording(block: list[str], template: Template) -> tuple[list[str], list[str]]:
-    """(missing, extra): template words not in the block in order; block words between the first and last that match."""
+def wording(block: list[str], template: Template) -> tuple[list[str], list[str], int, int]:
+    """(missing, extra, first, last): template words not in the block in order; block words between the first and last that match; these two as places in the block."""
     same = [m for m in SequenceMatcher(None, block, template.words, autojunk=False).get_matching_blocks() if m.size]
     if not same:
-        return list(template.words), []
+        return list(template.words), [], 0, -1
     have = {i for m in same for i in range(m.b, m.b + m.size)}
     inside = {i for m in same for i in range(m.a, m.a + m.size)}
-    return [w for i, w in enumerate(template.words) if i not in have], [block[i] for i in range(same[0].a, same[-1].a + same[-1].size) if i not in inside]
+    first, last = same[0].a, same[-1].a + same[-1].size - 1
+    return [w for i, w in enumerate(template.words) if i not in have], [block[i] for i in range(first, last + 1) if i not in inside], first, last
 
 
-def best_license(block: str, templates: tuple[tuple[str, str, str], ...] = TEMPLATES, min_words: float = 0.8) -> tuple[str, float, list[str], list[str]] | None:
-    """(license, reduction, missing, extra) of the best template that is confirmed."""
-    made, plain, keys = prepared(templates)
-    data = block.encode("utf-8", "replace")
-    size = len(plain.compress(data))
-    ranked = sorted(((1 - len(t.packer.compress(data)) / size, -k) for k, t in enumerate(made)), reverse=True)
-    own = words_of(block)
-    found = []
-    for rank, (reduction, k) in enumerate(ranked[: max(TRIED, len(made) // 2)]):
-        t = made[-k]
-        missing, extra = wording(own, t)
-        # a sibling's key words in the wording (an extra NC, another version) make it another license
-        odd = (keys - t.keys) & set(extra)
-        if reduction > 0 and not t.keys & set(missing) and not odd and len(missing) <= (1 - min_words) * len(t.words):
-            found.append((len(missing) + len(extra), rank, t.license, reduction, missing, extra))
-    return min(found)[2:] if found else None
+@dataclass(frozen=True)
+class Found:
+    """first and last: words of the block, or of the text."""
+
+    first: int
+    last: int
+    rank: int
+    place: int
+    reduction: float
+    missing: tuple[str, ...]
+    extra: tuple[str, ...]
+    agree: int
 
 
-def licenses(docs: DataFrame, templates: tuple[tuple[str, str, str], ...] = TEMPLATES) -> DataFrame:
+def confirmed(block: list[str], text: str, size: int, templates: tuple[tuple[str, str, str, str], ...] = TEMPLATES, min_words: float = 0.8) -> list[Found]:
+    """Templates of a size class that a block holds; text is the block's."""
+    made, plain, keys = prepared(templates)
+    least = max([c for c in CLASSES if c < size], default=0)
+    data = text.encode("utf-8", "replace")
+    whole = len(plain.compress(data))
+    ranked = sorted(((1 - len(t.packer.compress(data)) / whole, -k) for k, t in enumerate(made) if least < len(t.words) <= size), reverse=True)
+    out = []
+    for rank, (reduction, k) in enumerate(ranked):
+        t = made[-k]
+        room = (1 - min_words) * len(t.words)
+        parts = [(0, len(block))]  # beside a confirmed span there may be another
+        while parts:
+            low, high = parts.pop()
+            if high - low < len(t.words) - room or not t.keys <= set(block[low:high]):  # a missing key word shows without an alignment
+                continue
+            missing, extra, first, last = wording(block[low:high], t)
+            odd = (keys - t.keys - set(t.words)) & set(extra)
+            if not t.keys & set(missing) and not odd and len(missing) <= room and len(extra) <= room:
+                out.append(Found(low + first, low + last, rank, -k, reduction, tuple(missing), tuple(extra), len(t.words) - len(missing) - len(extra)))
+                parts += [(low, low + first), (low + last + 1, high)]
+    return out
+
+
+def scan(text: str, templates: tuple[tuple[str, str, str, str], ...] = TEMPLATES, known: dict | None = None) -> list[tuple]:
+    """(start, end, kind, license, reduction, missing, extra, exact) of every license in a text. known: blocks that were confirmed before."""
+    known = {} if known is None else known
+    spans = [m.span() for m in _WORD.finditer(text)]
+    lower = [text[a:b].lower() for a, b in spans]
+    found: set[Found] = set()
+    at = 0
+    for cue in _CUE.finditer(text):
+        while at < len(spans) and spans[at][1] <= cue.start():
+            at += 1
+        for size in CLASSES:
+            low, high = max(0, at - size - SLACK), min(len(spans), at + size + SLACK + 1)
+            if low >= high:
+                continue
+            part = text[spans[low][0] : spans[high - 1][1]]
+            if (part, size) not in known:
+                if len(known) >= 10_000:
+                    known.clear()
+                known[part, size] = confirmed(lower[low:high], part, size, templates)
+            found |= {Found(low + f.first, low + f.last, f.rank, f.place, f.reduction, f.missing, f.extra, f.agree) for f in known[part, size]}
+    rows, taken = [], []
+    made = prepared(templates)[0]
+    for m in _SPDX.finditer(text) if made else ():
+        for name in _IDENTIFIER.finditer(m[1]):
+            match = next((x for x in SPDX if x.lower() == name[0].lower()), None)
+            if match:
+                a, b = m.start(1) + name.start(), m.start(1) + name.end()
+                whole, line = len(prepared(templates)[1].compress(m[0].encode())), f"SPDX-License-Identifier: {match}"
+                rows.append((a, b, "spdx", match, 1 - len(_packer(line).compress(m[0].encode())) / whole, "", "", True))
+        taken.append(m.span())
+    for f in sorted(found, key=lambda f: (-f.agree, f.rank, f.place, f.first)):
+        a, b = spans[f.first][0], spans[f.last][1]
+        if all(b <= x or y <= a for x, y in taken):
+            taken.append((a, b))
+            t = made[f.place]
+            rows.append((a, b, t.kind, t.license, f.reduction, " ".join(f.missing), " ".join(f.extra), not f.missing and not f.extra))
+    return sorted(rows)
+
+
+def licenses(docs: DataFrame, templates: tuple[tuple[str, str, str, str], ...] = TEMPLATES) -> DataFrame:
+    texts_in_batches(docs.sparkSession)
     text = F.col("text").cast("string")
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").rlike(CUE)).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "words")).where(F.col("words").rlike(CUE))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.col("text").rlike(CUE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple | None] = {}  # notices repeat word for word
+        known: dict = {}  # notices repeat word for word
         for b in batches:
-            rows = []
-            for doc, line, words in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                for start, block in blocks_of(words):
-                    if block not in known:
-                        if len(known) >= 10_000:
-                            known.clear()
-                        known[block] = best_license(block, templates)
-                    if known[block]:
-                        name, reduction, missing, extra = known[block]
-                        rows.append((doc, line, start, name, reduction, " ".join(missing), " ".join(extra), not missing and not extra))
-            names = ["doc_id", "line", "start", "license", "reduction", "missing", "extra", "exact"]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
+            rows = [(doc, *r) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in scan(t, templates, known)]
+            names = ["doc_id", "start", "end", "kind", "license", "reduction", "missing", "extra", "exact"]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
             yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return lines.mapInArrow(run, "doc_id long, line int, start int, license string, reduction double, missing string, extra string, exact boolean")
+    return source.mapInArrow(run, "doc_id long, start int, end int, kind string, license string, reduction double, missing string, extra string, exact boolean")

@@ -1,41 +1,77 @@
+import textwrap
+import time
+
 import pytest
 
-from faultline.llm.licenses import best_license, blocks_of, licenses
+from faultline.llm.licenses import TEMPLATES, licenses, scan, words_of
 from faultline.llm.shared import table
 
+SF = "/root/testdata/sf0.01"
+WORDING = {(name, kind): text for name, kind, text, _ in TEMPLATES}
 CASES = [
-    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
-    ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
-    ("licensed under CC-BY-SA 4.0", "CC-BY-SA-4.0"),
-    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
-    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
-    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
-    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
-    ("Released under the MIT License.", "MIT"),
-    ("The license of the inn was taken away.", None),
-    ("Licensed to drive in three countries.", None),
+    ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
+    ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+    ("licensed under CC-BY-SA 4.0", ["CC-BY-SA-4.0"]),
+    ("made available under CC BY 4.0", ["CC-BY-4.0"]),
+    ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+    ("Licensed under the Apache License, Version 2.0.", ["Apache-2.0"]),
+    ("Released under the MIT License.", ["MIT"]),
+    ("MIT License", ["MIT"]),
+    ("Licensed under the Apache License, Version 2.0 or the MIT License.", ["Apache-2.0", "MIT"]),
+    ("SPDX-License-Identifier: MIT/Apache-2.0", ["MIT", "Apache-2.0"]),
+    ("// SPDX-License-Identifier: GPL-2.0-only OR (BSD-3-Clause AND Unheard-1.0)", ["GPL-2.0-only", "BSD-3-Clause"]),
+    ("The license of the inn was taken away.", []),
+    ("Licensed to drive in three countries.", []),
+    ("The Apache helicopter needs no license, version 3.", []),
 ]
 
 
 @pytest.mark.parametrize("text,want", CASES)
 def test_wordings(text, want):
-    got = best_license(text)
-    assert (got and got[0]) == want
+    assert [r[3] for r in scan(text)] == want
+    assert [r[3] for r in scan("Plain words here. " * 60 + text + "\nMore words. " * 60)] == want
+
+
+@pytest.mark.parametrize("key", sorted({k for k in WORDING if k[1] == "text"}))
+def test_wrapped_texts_in_comments(key):
+    body = "\n".join("  * " + line for line in textwrap.wrap(WORDING[key], 70))
+    assert [(r[3], r[2], r[7]) for r in scan("int main() { return 0; }\n/*\n" + body + "\n */\nother code = 1;")] == [(key[0], "text", True)]
+
 
+def test_differences_are_listed():
+    row = scan('Permission is hereby granted, free of charge, to any person who is obtaining a copy of this software and documentation files (the "Software"), to deal in the Software without restriction')[0]
+    assert row[3:] == ("MIT", row[4], "associated", "who is", False) and 0 < row[4] < 1
 
-def test_long_lines_are_cut_at_sentences():
-    line = "Plain words here. " * 60 + "Released under the MIT License. " + "More words. " * 60
-    assert [best_license(b)[0] for _, b in blocks_of(line) if best_license(b)] == ["MIT"]
 
+def naive(text):
+    """(license) of every exact run of a template's words that lies in no longer one."""
+    words = words_of(text)
+    runs = []
+    for name, _, wording, _ in TEMPLATES:
+        own = words_of(wording)
+        runs += [(i, i + len(own), name) for i in range(len(words) - len(own) + 1) if words[i : i + len(own)] == own]
+    return sorted(name for a, b, name in runs if not any(c <= a and b <= d and d - c > b - a for c, d, _ in runs))
 
-def test_every_notice_of_the_documents(spark):
-    notices = [t for t, _ in CASES[:8]]
-    want = sorted((d["doc_id"], k) for d in table(spark, "/root/testdata/sf0.01", "documents").collect() for k, line in enumerate(d["text"].split("\n")) if line in notices)
-    got = sorted((r["doc_id"], r["line"]) for r in licenses(table(spark, "/root/testdata/sf0.01", "documents")).collect() if r["exact"])
-    assert want and got == want
+
+def test_every_row_of_the_documents(spark):
+    docs = {r["doc_id"]: r["text"] for r in table(spark, SF, "documents").collect()}
+    got: dict[int, list] = {}
+    for r in licenses(table(spark, SF, "documents")).collect():
+        assert r["exact"] and words_of(docs[r["doc_id"]][r["start"] : r["end"]])
+        got.setdefault(r["doc_id"], []).append(r["license"])
+    want = {d: naive(t) for d, t in docs.items()}
+    assert got and {d: sorted(x) for d, x in got.items()} == {d: x for d, x in want.items() if x}
 
 
 def test_odd_rows(spark):
-    frame = spark.createDataFrame([(1, None, 0), (2, "", 0), (None, "Released under the MIT License.", 0), (4, "a\nReleased under the MIT License.", 0), (4, "a\nReleased under the MIT License.", 0), (5, "license " * 20_000, 0)], "doc_id long, text string, line int")
-    assert sorted((r["doc_id"] or 0, r["line"], r["license"], r["exact"]) for r in licenses(frame).collect()) == [(0, 0, "MIT", True), (4, 1, "MIT", True), (4, 1, "MIT", True)]
+    frame = spark.createDataFrame([(1, None, 0), (2, "", 0), (None, "Released under the MIT License.", 0), (4, "a\nReleased under the MIT License.", 0), (4, "a\nReleased under the MIT License.", 0), (5, "license " * 20_000, 0)], "doc_id long, text string, start int")
+    assert sorted((r["doc_id"] or 0, r["start"], r["license"], r["exact"]) for r in licenses(frame).collect()) == [(0, 0, "MIT", True), (4, 2, "MIT", True), (4, 2, "MIT", True)]
     assert licenses(frame.limit(0)).count() == 0 and licenses(frame, ()).count() == 0
+
+
+def test_a_long_text_takes_seconds():
+    began = time.time()
+    text = "".join(f"Line {i}.\nReleased under the MIT License.\n" for i in range(5_000))
+    assert len(scan(text)) == 5_000 and time.time() - began < 60
