@@ -1,16 +1,20 @@
 """Benchmark decontamination (operator 3): a BM25 index of test items with block-max WAND.
 
-The test items are indexed, in shards of at most SHARD_TOKENS tokens, so that a broadcast index
-has a fixed bound; a larger test set makes more shards, and every document meets each of them.
+The test items are indexed by tasks, in shards of about SHARD_TOKENS tokens, dealt by hash, which
+lie in a table; word counts over all items are a Spark aggregate. A shard is broadcast alone, so
+what is broadcast has a fixed bound; a larger test set makes more shards, and every document meets
+each of them. The driver holds one shard at a time.
 
 Each document is cut into passages of 2L words, L apart, where L is the shard's longest item:
 any verbatim item lies whole in a passage. A passage is a BM25 query of its distinct words. A
 posting holds the item's BM25 weight of a word divided by the item's score for itself, so a
 passage that has all words of an item scores 1 for it and one threshold serves all items.
-Block-max WAND walks the postings by item and returns EVERY item that scores at least
-`threshold`: it skips blocks whose maxima cannot reach it, nothing else. A passage is walked only
-if it can hold an item: words are split into essential ones and a rest whose weights stay below
-the threshold in every item, so a passage must bring enough essential weight to some item.
+Words are split into essential ones and a rest whose weights stay below REST thresholds in every
+item, so an item's score is at most its essential weight plus `slack`, the largest rest. Block-max
+WAND walks the postings of a passage's essential words with this slack in its bounds and returns
+EVERY item that scores at least `threshold`: it skips blocks whose maxima cannot reach it, nothing
+else. Its first test, whether the lists' maxima can reach the threshold at all, is made for all
+passages of a batch at once.
 
 Retrieved items are verified on the whole document's words: the share of the question's and of
 the answer's word runs (RUN words) found in it. With columns for both a leak needs `min_question` of
@@ -27,8 +31,11 @@ item_id is reported as null; empty tables give no rows; other columns are ignore
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import texts_in_batches
+from faultline.llm.shared import saved, texts_in_batches
 from faultline.llm.textkernel import NON_WORD, U64, slices, words
 
 K1, B, BLOCK, RUN = 1.2, 0.75, 16, 4
@@ -80,6 +87,10 @@ class Postings:
     tops: list[float]
     top: float
 
+    def weight_of(self, item: int) -> float:
+        at = bisect_left(self.items, item)
+        return self.weights[at] if at < len(self.items) and self.items[at] == item else 0.0
+
 
 @dataclass
 class Shard:
@@ -88,20 +99,23 @@ class Shard:
     lists: list[Postings]
     essential: np.ndarray  # of each word: whether an item needs it or its like to reach the threshold
     rest: np.ndarray  # of each item: the weight of its words that are not essential
-    lists_at: np.ndarray  # where each word's postings begin in the two below
-    list_items: np.ndarray
-    list_weights: np.ndarray
+    tops: np.ndarray  # of each word: its largest weight
     length: int  # words of the longest item
     questions: list[np.ndarray]
     answers: list[np.ndarray]
 
+    @property
+    def slack(self) -> float:
+        return float(self.rest.max(initial=0.0))
+
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All (item, score) with score >= threshold for the query's distinct terms: block-max WAND with a fixed threshold."""
-        cursors = [[self.lists[t].items[0], 0, self.lists[t]] for t in terms]
-        found = []
+        """All (item, score) with score >= threshold for the query's distinct terms: block-max WAND over the essential ones with a fixed threshold."""
+        others = [self.lists[t] for t in terms if not self.essential[t]]
+        cursors = [[self.lists[t].items[0], 0, self.lists[t]] for t in terms if self.essential[t]]
+        slack, found = self.slack, []
         while cursors:
             cursors.sort(key=lambda c: c[0])
-            bound, pivot = 0.0, -1
+            bound, pivot = slack, -1
             for k, c in enumerate(cursors):
                 bound += c[2].top
                 if bound >= threshold:
@@ -113,47 +127,30 @@ class Shard:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             head = cursors[: pivot + 1]
-            blocks = [_block(c[2], item) for c in head]
-            if sum(c[2].tops[b] if b >= 0 else 0.0 for c, b in zip(head, blocks, strict=True)) < threshold:
+            blocks = [bisect_left(c[2].ends, item) for c in head]  # the block that would hold the item
+            if slack + sum(c[2].tops[b] for c, b in zip(head, blocks, strict=True) if b < len(c[2].ends)) < threshold:
                 # no item up to the nearest end of these blocks, or up to the next cursor, can reach it
-                to = min([c[2].ends[b] + 1 for c, b in zip(head, blocks, strict=True) if b >= 0] + ([cursors[pivot + 1][0]] if pivot + 1 < len(cursors) else []), default=item + 1)
+                to = min([c[2].ends[b] + 1 for c, b in zip(head, blocks, strict=True) if b < len(c[2].ends)] + ([cursors[pivot + 1][0]] if pivot + 1 < len(cursors) else []), default=item + 1)
                 to = max(to, item + 1)
             elif head[0][0] == item:
                 score = sum(c[2].weights[c[1]] for c in head)
-                if score >= threshold:
-                    found.append((item, score))
+                if score + self.rest[item] >= threshold:
+                    score += sum(p.weight_of(item) for p in others)
+                    if score >= threshold:
+                        found.append((item, score))
                 to = item + 1
             else:
                 to = item
             for c in head:
                 if c[0] < to:
-                    _advance(c, to)
+                    at = bisect_left(c[2].items, to, c[1])
+                    c[0], c[1] = (c[2].items[at], at) if at < len(c[2].items) else (-1, -1)
             cursors = [c for c in cursors if c[1] >= 0]
         return found
 
 
-def _block(p: Postings, item: int) -> int:
-    """The block that would hold item; -1 beyond the last."""
-    for b, end in enumerate(p.ends):
-        if end >= item:
-            return b
-    return -1
-
-
-def _advance(c: list, to: int) -> None:
-    p = c[2]
-    b = _block(p, to)
-    if b < 0:
-        c[1] = -1
-        return
-    at = max(c[1], b * BLOCK)
-    while p.items[at] < to:
-        at += 1
-    c[0], c[1] = p.items[at], at
-
-
 def build_shard(rows: list[tuple], n_items: int, mean_words: float, doc_freq: dict[int, int], threshold: float = 0.5) -> Shard:
-    """rows: (item_id, question, answer). Weights use the counts of all items, so shards agree."""
+    """rows: (item_id, question, answer). Weights use the counts of all items, so shards agree. The shard serves searches with this threshold or a higher one."""
     lists: dict[int, list[tuple[int, float]]] = {}
     item_ids, questions, answers, longest = [], [], [], 0
     for item_id, question, answer in rows:
@@ -162,8 +159,8 @@ def build_shard(rows: list[tuple], n_items: int, mean_words: float, doc_freq: di
         if not len(h):
             continue
         terms, tf = np.unique(h, return_counts=True)
-        idf = np.log1p((n_items - np.array([doc_freq[int(t)] for t in terms]) + 0.5) / (np.array([doc_freq[int(t)] for t in terms]) + 0.5))
-        weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / mean_words))
+        df = np.array([doc_freq[int(t)] for t in terms])
+        weight = np.log1p((n_items - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / mean_words))
         weight /= weight.sum()
         for t, w in zip(terms.tolist(), weight.tolist(), strict=True):
             lists.setdefault(t, []).append((len(item_ids), w))
@@ -184,9 +181,7 @@ def build_shard(rows: list[tuple], n_items: int, mean_words: float, doc_freq: di
         after = rest[built[t].items] + built[t].weights
         if (after < REST * threshold).all():
             rest[built[t].items], essential[t] = after, False
-    at = np.concatenate([[0], np.cumsum([len(p.items) for p in built])]).astype(np.int64)
-    flat = lambda of, kind: np.array([x for p in built for x in of(p)], kind)
-    return Shard(item_ids, vocabulary, built, essential, rest, at, flat(lambda p: p.items, np.int64), flat(lambda p: p.weights, np.float64), max(longest, 1), questions, answers)
+    return Shard(item_ids, vocabulary, built, essential, rest, np.array([p.top for p in built]), max(longest, 1), questions, answers)
 
 
 def search(shard: Shard, texts: pa.Array, threshold: float) -> Iterator[tuple[int, dict[int, float], np.ndarray]]:
@@ -212,13 +207,10 @@ def search(shard: Shard, texts: pa.Array, threshold: float) -> Iterator[tuple[in
         ok = (k >= 0) & (k < n_windows[of])
         held.append((window_at[of] + k)[ok] * len(shard.vocabulary) + at[word][ok])
     held = np.unique(np.concatenate(held))  # each word of a passage once
-    window, term = held // max(len(shard.vocabulary), 1), held % max(len(shard.vocabulary), 1)
-    sizes = np.diff(shard.lists_at)[term]
-    posting = np.repeat(shard.lists_at[term] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-    pair, inverse = np.unique(np.repeat(window, sizes) * len(shard.item_ids) + shard.list_items[posting], return_inverse=True)
-    reach = np.bincount(inverse, shard.list_weights[posting], len(pair)) + shard.rest[pair % max(len(shard.item_ids), 1)]
+    size = max(len(shard.vocabulary), 1)
+    reach = shard.slack + np.bincount(held // size, shard.tops[held % size], len(doc)) if len(held) else np.zeros(0)
     found: dict[int, dict[int, float]] = {}
-    for k in np.unique(pair[reach >= threshold - 1e-9] // max(len(shard.item_ids), 1)):
+    for k in np.flatnonzero(reach >= threshold - 1e-9):
         span = slice(first[k], last[k])
         for item, score in shard.wand(np.unique(at[span][known[span]]).tolist(), threshold - 1e-9):
             best = found.setdefault(int(doc[k]), {})
@@ -227,41 +219,53 @@ def search(shard: Shard, texts: pa.Array, threshold: float) -> Iterator[tuple[in
         yield i, items, w.hashes[w.offsets[i] : w.offsets[i + 1]]
 
 
+def shards(items: DataFrame, threshold: float, question: str | None, answer: str | None, shard_tokens: int) -> DataFrame:
+    """(shard, data): the pickled index shards, in a table."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    given = saved(items.select(F.col("item_id").cast("long").alias("item_id"), text(question or "text").alias("q"), (text(answer) if answer else F.lit("")).alias("a")), "test-items")
+
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [words(b.column(c), NON_WORD) for c in (1, 2)]
+            each = [np.concatenate([w.hashes[w.offsets[i] : w.offsets[i + 1]] for w in parts]) for i in range(len(b))]
+            yield pa.record_batch([pa.array([len(h) for h in each], pa.int64()), pa.array([np.unique(h).view(np.int64) for h in each], pa.list_(pa.int64()))], ["n", "terms"])
+
+    counted = given.mapInArrow(terms, "n long, terms array<long>").where("n > 0")
+    n_items, n_words = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    freq = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n_shards = max(1, -(-n_words // shard_tokens))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [words(b.column(c), NON_WORD) for c in (1, 2)]
+            hashes = [np.unique(np.concatenate([w.hashes[w.offsets[i] : w.offsets[i + 1]] for w in parts])).view(np.int64) for i in range(len(b))]
+            yield pa.record_batch([*b.columns, pa.array(hashes, pa.list_(pa.int64()))], [*b.schema.names, "terms"])
+
+    marked = given.withColumn("shard", F.pmod(F.xxhash64("item_id", "q", "a"), F.lit(n_shards)).cast("int")).mapInArrow(dealt, "item_id long, q string, a string, shard int, terms array<long>")
+    own = marked.select("shard", F.explode("terms").alias("term")).distinct().join(freq, "term").select(F.col("shard").alias("of"), "term", "df")
+
+    def build(key: tuple, rows: pa.Table, df: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("item_id", "q", "a")), strict=True), key=lambda r: (r[0] is not None, r))
+        known = dict(zip(df.column("term").to_numpy().view(U64).tolist(), df.column("df").to_pylist(), strict=True))
+        data = pickle.dumps(build_shard(rows, n_items, n_words / n_items, known, threshold)) if known else b""
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
+
+    return saved(marked.drop("terms").groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(build, "shard int, data binary"), "test-shards")
+
+
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_question: float = 0.6, min_answer: float = 0.5, min_whole: float = 0.5, question: str | None = None, answer: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """items: (item_id, text), or with the columns named by question and answer."""
     spark = docs.sparkSession
     texts_in_batches(spark)
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
-    cols = [F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col(question or "text").cast("string"), F.lit("")).alias("q"), (F.coalesce(F.col(answer).cast("string"), F.lit("")) if answer else F.lit("")).alias("a")]
-    shards: list[Shard] = []
-    rows: list[tuple] = []
-    size = 0
-    given = []
-    freq: dict[int, int] = {}
-    n_items = n_words = 0
-    # the test set passes through the driver one item at a time; only its shards are kept
-    for r in items.select(*cols).orderBy("item_id", "q", "a").toLocalIterator():
-        q, a = r["q"], r["a"]
-        h = np.concatenate([words(pa.array([x]), NON_WORD).hashes for x in (q, a)])
-        if not len(h):
-            continue
-        n_items, n_words = n_items + 1, n_words + len(h)
-        for t in np.unique(h).tolist():
-            freq[t] = freq.get(t, 0) + 1
-        if size + len(h) > shard_tokens and rows:
-            given.append(rows)
-            rows, size = [], 0
-        rows.append((r["item_id"], q, a))
-        size += len(h)
-    given += [rows] if rows else []
-    shards = [build_shard(x, n_items, n_words / n_items, freq, threshold) for x in given]
-    out = spark.createDataFrame([], schema)
+    index = shards(items, threshold, question, answer, shard_tokens).where("length(data) > 0")
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    for shard in shards:
-        shared = spark.sparkContext.broadcast(shard)
+    found: list[DataFrame] = []
+    for row in index.orderBy("shard").toLocalIterator():  # one shard at a time
+        shared = spark.sparkContext.broadcast(row["data"])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            shard = shared.value
+            shard = pickle.loads(shared.value)
             for batch in batches:
                 at, got = [], []
                 for i, j in slices(batch.column(1)):
@@ -275,9 +279,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_questio
                 ids, score, q, a = zip(*got, strict=True) if got else ((), (), (), ())
                 yield pa.record_batch([pc.take(batch.column(0), pa.array(at, pa.int64())), pa.array(ids, pa.int64()), pa.array(score, pa.float64()), pa.array(q, pa.float64()), pa.array(a, pa.float64())], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        found = source.mapInArrow(run, schema)
-        out = found if shard is shards[0] else out.unionByName(found)
-    return out
+        found.append(source.mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
 def _shorter(h: np.ndarray) -> np.ndarray:

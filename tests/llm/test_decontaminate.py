@@ -10,7 +10,7 @@ from faultline.llm.textkernel import NON_WORD, words
 SF = "/root/testdata/sf0.01"
 
 
-def shard_of(texts):
+def shard_of(texts, threshold=0.5):
     rows = [(i, *split_item(t)) for i, t in enumerate(texts)]
     freq, total = {}, 0
     for _, q, a in rows:
@@ -18,20 +18,23 @@ def shard_of(texts):
         total += len(h)
         for t in set(h.tolist()):
             freq[t] = freq.get(t, 0) + 1
-    return build_shard(rows, len(rows), total / len(rows), freq)
+    return build_shard(rows, len(rows), total / len(rows), freq, threshold)
 
 
 def test_wand_returns_every_item_above_the_threshold():
     rng = random.Random(2)
     vocab = [f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(600)]
-    shard = shard_of([" ".join(rng.choice(vocab) for _ in range(rng.randint(3, 30))) for _ in range(200)])
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(3, 30))) for _ in range(200)]
+    shards = {t: shard_of(texts, t) for t in (0.05, 0.2, 0.5)}
+    shard = shards[0.5]
     weights = np.zeros((len(shard.item_ids), len(shard.vocabulary)))
     for t, p in enumerate(shard.lists):
         weights[p.items, t] = p.weights
     np.testing.assert_allclose(weights.sum(1), 1)
-    for _ in range(200):
+    for _ in range(300):
         terms = sorted(rng.sample(range(len(shard.vocabulary)), rng.randint(1, 60)))
         threshold = rng.choice([0.05, 0.2, 0.5])
+        shard = shards[threshold]
         score = weights[:, terms].sum(1)
         assert sorted(i for i, _ in shard.wand(terms, threshold)) == np.flatnonzero(score >= threshold).tolist()
 
