@@ -12,9 +12,9 @@ passage that has all words of an item scores 1 for it and one threshold serves a
 Words are split into essential ones and a rest whose weights stay below REST thresholds in every
 item, so an item's score is at most its essential weight plus `slack`, the largest rest. Block-max
 WAND walks the postings of a passage's essential words with this slack in its bounds and returns
-EVERY item that scores at least `threshold`: it skips blocks whose maxima cannot reach it, nothing
-else. Its first test, whether the lists' maxima can reach the threshold at all, is made for all
-passages of a batch at once.
+EVERY item that scores at least `threshold`: it skips blocks (BLOCK items) whose maxima cannot
+reach it, nothing else. The sums of block maxima are made for all passages of a batch at once;
+the walk goes through the blocks that are left.
 
 Retrieved items are verified on the whole document's words: the share of the question's and of
 the answer's word runs (RUN words) found in it. With columns for both a leak needs `min_question` of
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from faultline.llm.shared import saved, texts_in_batches
 from faultline.llm.textkernel import NON_WORD, U64, slices, words
 
-K1, B, BLOCK, RUN = 1.2, 0.75, 16, 4
+K1, B, BLOCK, RUN = 1.2, 0.75, 8, 4
 #: What words that are not essential may hold of an item, in thresholds.
 REST = 0.5
 #: Tokens of an index shard (about 24 bytes each when broadcast).
@@ -79,13 +79,11 @@ def hash_run(h: np.ndarray) -> np.uint64:
 
 @dataclass
 class Postings:
-    """Of one word: items in ascending order, their weights, and each block's last item and largest weight."""
+    """Of one word: items in ascending order, their weights, and the largest weight in each block of BLOCK item numbers that has any."""
 
     items: list[int]
     weights: list[float]
-    ends: list[int]
-    tops: list[float]
-    top: float
+    tops: dict[int, float]
 
     def weight_of(self, item: int) -> float:
         at = bisect_left(self.items, item)
@@ -99,7 +97,9 @@ class Shard:
     lists: list[Postings]
     essential: np.ndarray  # of each word: whether an item needs it or its like to reach the threshold
     rest: np.ndarray  # of each item: the weight of its words that are not essential
-    tops: np.ndarray  # of each word: its largest weight
+    blocks_at: np.ndarray  # where each word's blocks begin in the two below
+    blocks: np.ndarray
+    tops: np.ndarray
     length: int  # words of the longest item
     questions: list[np.ndarray]
     answers: list[np.ndarray]
@@ -108,44 +108,55 @@ class Shard:
     def slack(self) -> float:
         return float(self.rest.max(initial=0.0))
 
-    def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All (item, score) with score >= threshold for the query's distinct terms: block-max WAND over the essential ones with a fixed threshold."""
-        others = [self.lists[t] for t in terms if not self.essential[t]]
-        cursors = [[self.lists[t].items[0], 0, self.lists[t]] for t in terms if self.essential[t]]
+    def passing(self, query: np.ndarray, term: np.ndarray, threshold: float) -> np.ndarray:
+        """query x n_blocks + block of the blocks whose maxima let an item reach the threshold; query, term: the queries' distinct essential terms."""
+        n = self.blocks_at[term + 1] - self.blocks_at[term]
+        at = np.repeat(self.blocks_at[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        pair, inverse = np.unique(np.repeat(query, n) * self.n_blocks + self.blocks[at], return_inverse=True)
+        return pair[self.slack + np.bincount(inverse, self.tops[at], len(pair)) >= threshold]
+
+    @property
+    def n_blocks(self) -> int:
+        return len(self.item_ids) // BLOCK + 1
+
+    def wand(self, terms: list[int], threshold: float, blocks: list[int] | None = None) -> list[tuple[int, float]]:
+        """All (item, score) with score >= threshold for the query's distinct terms: block-max WAND over the essential ones with a fixed threshold. blocks: those that pass, if known."""
+        mine, others = [self.lists[t] for t in terms if self.essential[t]], [self.lists[t] for t in terms if not self.essential[t]]
+        if blocks is None:
+            own = np.array([t for t in terms if self.essential[t]], np.int64)
+            blocks = self.passing(np.zeros(len(own), np.int64), own, threshold).tolist()
         slack, found = self.slack, []
-        while cursors:
-            cursors.sort(key=lambda c: c[0])
-            bound, pivot = slack, -1
-            for k, c in enumerate(cursors):
-                bound += c[2].top
-                if bound >= threshold:
-                    pivot = k
+        for block in blocks:
+            low, high = block * BLOCK, (block + 1) * BLOCK
+            cursors = []
+            for p in mine:
+                if block in p.tops:
+                    at = bisect_left(p.items, low)
+                    cursors.append([p.items[at], at, p])
+            while cursors:
+                cursors.sort(key=lambda c: c[0])
+                bound, pivot = slack, -1
+                for k, c in enumerate(cursors):
+                    bound += c[2].tops[block]
+                    if bound >= threshold:
+                        pivot = k
+                        break
+                if pivot < 0:
                     break
-            if pivot < 0:
-                return found
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-                pivot += 1
-            head = cursors[: pivot + 1]
-            blocks = [bisect_left(c[2].ends, item) for c in head]  # the block that would hold the item
-            if slack + sum(c[2].tops[b] for c, b in zip(head, blocks, strict=True) if b < len(c[2].ends)) < threshold:
-                # no item up to the nearest end of these blocks, or up to the next cursor, can reach it
-                to = min([c[2].ends[b] + 1 for c, b in zip(head, blocks, strict=True) if b < len(c[2].ends)] + ([cursors[pivot + 1][0]] if pivot + 1 < len(cursors) else []), default=item + 1)
-                to = max(to, item + 1)
-            elif head[0][0] == item:
-                score = sum(c[2].weights[c[1]] for c in head)
-                if score + self.rest[item] >= threshold:
-                    score += sum(p.weight_of(item) for p in others)
-                    if score >= threshold:
-                        found.append((item, score))
-                to = item + 1
-            else:
+                item = cursors[pivot][0]
                 to = item
-            for c in head:
-                if c[0] < to:
-                    at = bisect_left(c[2].items, to, c[1])
-                    c[0], c[1] = (c[2].items[at], at) if at < len(c[2].items) else (-1, -1)
-            cursors = [c for c in cursors if c[1] >= 0]
+                if cursors[0][0] == item:  # all before the pivot are there
+                    score = sum(c[2].weights[c[1]] for c in cursors if c[0] == item)
+                    if score + self.rest[item] >= threshold:
+                        score += sum(p.weight_of(item) for p in others)
+                        if score >= threshold:
+                            found.append((item, score))
+                    to = item + 1
+                for c in cursors:
+                    if c[0] < to:
+                        at = bisect_left(c[2].items, to, c[1])
+                        c[0], c[1] = (c[2].items[at] if at < len(c[2].items) else high), at
+                cursors = [c for c in cursors if c[0] < high]
         return found
 
 
@@ -172,16 +183,19 @@ def build_shard(rows: list[tuple], n_items: int, mean_words: float, doc_freq: di
     built = []
     for t in vocabulary.tolist():
         items, weights = map(list, zip(*lists[t], strict=True))
-        cuts = range(0, len(items), BLOCK)
-        tops = [max(weights[i : i + BLOCK]) for i in cuts]
-        built.append(Postings(items, weights, [items[min(i + BLOCK, len(items)) - 1] for i in cuts], tops, max(tops)))
+        tops: dict[int, float] = {}
+        for i, w in zip(items, weights, strict=True):
+            tops[i // BLOCK] = max(w, tops.get(i // BLOCK, 0.0))
+        built.append(Postings(items, weights, tops))
     # the words of most items leave first; a word stays essential where its items would reach the threshold without it
     rest, essential = np.zeros(len(item_ids)), np.ones(len(built), bool)
     for t in sorted(range(len(built)), key=lambda t: (-len(built[t].items), t)):
         after = rest[built[t].items] + built[t].weights
         if (after < REST * threshold).all():
             rest[built[t].items], essential[t] = after, False
-    return Shard(item_ids, vocabulary, built, essential, rest, np.array([p.top for p in built]), max(longest, 1), questions, answers)
+    at = np.concatenate([[0], np.cumsum([len(p.tops) for p in built])]).astype(np.int64)
+    flat = lambda of, kind: np.array([x for p in built for x in of(p.tops)], kind)
+    return Shard(item_ids, vocabulary, built, essential, rest, at, flat(dict.keys, np.int64), flat(dict.values, np.float64), max(longest, 1), questions, answers)
 
 
 def search(shard: Shard, texts: pa.Array, threshold: float) -> Iterator[tuple[int, dict[int, float], np.ndarray]]:
@@ -208,11 +222,12 @@ def search(shard: Shard, texts: pa.Array, threshold: float) -> Iterator[tuple[in
         held.append((window_at[of] + k)[ok] * len(shard.vocabulary) + at[word][ok])
     held = np.unique(np.concatenate(held))  # each word of a passage once
     size = max(len(shard.vocabulary), 1)
-    reach = shard.slack + np.bincount(held // size, shard.tops[held % size], len(doc)) if len(held) else np.zeros(0)
+    passing = shard.passing(held // size, held % size, threshold - 1e-9)
     found: dict[int, dict[int, float]] = {}
-    for k in np.flatnonzero(reach >= threshold - 1e-9):
+    passages, begin = np.unique(passing // shard.n_blocks, return_index=True)
+    for k, blocks in zip(passages.tolist(), np.split(passing % shard.n_blocks, begin[1:]), strict=False):
         span = slice(first[k], last[k])
-        for item, score in shard.wand(np.unique(at[span][known[span]]).tolist(), threshold - 1e-9):
+        for item, score in shard.wand(np.unique(at[span][known[span]]).tolist(), threshold - 1e-9, blocks.tolist()):
             best = found.setdefault(int(doc[k]), {})
             best[item] = max(score, best.get(item, 0.0))
     for i, items in found.items():
