@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.shared import saved, texts_in_batches
+from faultline.llm.shared import Scratch, saved, texts_in_batches
 from faultline.llm.textkernel import U64, mix, slices, words
 
 STEP, HASHES, BITS_PER_ENTRY = 1.25, 4, 12
@@ -183,7 +183,19 @@ def probed(segment: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def count_of(level: np.ndarray, floor: float = 1.0) -> np.ndarray:
-    return np.where(level > 0, floor * STEP ** (level - 0.5), 0.0)
+    """The mean of the whole counts that a level stands for, so that sums of counts keep their size; 0 for level 0."""
+    low, high = np.ceil(floor * STEP ** (level - 1.0) - 1e-9), np.ceil(floor * STEP**level.astype(np.float64) - 1e-9) - 1
+    return np.where(level > 0, (low + high) / 2, 0.0)
+
+
+def word_probability(c1: np.ndarray, denominator: float) -> np.ndarray:
+    """Of words by their count; what is left to 1 goes to the word that training never met."""
+    return (c1 + 0.5) / denominator
+
+
+def next_probability(c2: np.ndarray, before: np.ndarray, p1: np.ndarray, beta: float) -> np.ndarray:
+    """Of a word with the probability p1 after one of count `before`, c2 being the pair's count. Over all words it sums to 1, but for the steps of the counts."""
+    return (np.minimum(c2, before) + beta * p1) / (before + beta)
 
 
 class LogFrequencyFilter:
@@ -241,14 +253,19 @@ def _answer(rows: pa.Table) -> pa.Table:
 
 
 def lm_scores(docs: DataFrame, beta: float = BETA, top: int = TOP) -> DataFrame:
+    with Scratch(docs.sparkSession) as tmp:
+        return _scores(docs, beta, top, tmp)
+
+
+def _scores(docs: DataFrame, beta: float, top: int, tmp: Scratch) -> DataFrame:
     spark = docs.sparkSession
     texts_in_batches(spark)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("trains", ~held_out)
-    chunks = saved(chunked(source), "lm-chunks")
+    chunks = tmp.saved(chunked(source), "chunks")
     total = chunks.agg(F.sum("n")).first()[0] or 0
 
-    counts = saved(counted(chunks), "lm-words")
+    counts = tmp.saved(counted(chunks), "words")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
     first = counts.orderBy(F.desc("c"), "h").limit(top).toArrow()  # `top` rows at most
     known = first.column("h").to_numpy().view(U64)
@@ -276,20 +293,20 @@ def lm_scores(docs: DataFrame, beta: float = BETA, top: int = TOP) -> DataFrame:
         level[by_segment] = np.frombuffer(b"".join(answers.sort_by("segment").column("levels").to_pylist()), np.uint8)
         c = count_of(level)
         c1 = c[: len(x.words)][at]
-        p1 = (c1 + 0.5) / denominator
+        p1 = word_probability(c1, denominator)
         before = np.empty_like(c1)
         before[1:] = c1[:-1]
         before[offs[:-1]] = c[np.searchsorted(x.words, _END)]  # every text has an end
-        c2 = np.minimum(c[len(x.words) :][pair_at], before)
-        points = np.bincount(doc, np.log10((c2 + beta * p1) / (before + beta)), n_docs)
+        c2 = c[len(x.words) :][pair_at]
+        points = np.bincount(doc, np.log10(next_probability(c2, before, p1, beta)), n_docs)
         rest = np.concatenate([[0], np.cumsum(np.bincount(doc[~token_hit], minlength=n_docs))])
         rare_words = pa.ListArray.from_arrays(pa.array(rest.astype(np.int32), pa.int32()), pa.array(x.words[at[~token_hit]].view(np.int64)))
         return pa.table([pa.array(x.number + np.arange(n_docs)), x.ids, pa.array(x.sizes.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(points), rare_words], ["row", "doc_id", "n_tokens", "n_top", "base_top", "score", "rare"])
 
     answers = asked(chunks, n_segments).groupBy("segment").applyInArrow(_answer, "chunk long, segment long, levels binary")
-    scored = saved(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "row long, doc_id long, n_tokens long, n_top long, base_top double, score double, rare array<long>"), "lm-scored")
+    scored = tmp.saved(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "row long, doc_id long, n_tokens long, n_top long, base_top double, score double, rare array<long>"), "scored")
     rest = scored.select("row", F.explode("rare").alias("h")).join(counts, "h", "left").groupBy("row").agg(F.count("c").alias("n_rest"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / denominator)).alias("base_rest"))
-    return scored.drop("rare").join(rest, "row", "left").select(
+    out = scored.drop("rare").join(rest, "row", "left").select(
         "doc_id",
         held_out.alias("held_out"),
         "n_tokens",
@@ -298,3 +315,4 @@ def lm_scores(docs: DataFrame, beta: float = BETA, top: int = TOP) -> DataFrame:
         (F.col("base_top") + F.coalesce("base_rest", F.lit(0.0))).alias("base_score"),
         "score",
     )
+    return saved(out, "lm-scores")

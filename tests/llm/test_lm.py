@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from faultline.llm.lm import BETA, LogFrequencyFilter, build_filter, levels, lm_scores
+from faultline.llm.lm import BETA, LogFrequencyFilter, build_filter, count_of, levels, lm_scores, next_probability, word_probability
 from faultline.llm.shared import table
 from faultline.llm.textkernel import mix
 
@@ -59,7 +59,7 @@ def test_filter_reads_back_quantised_counts(spark):
     f = build_filter([frame], 4.0)
     got, kept = f.counts(keys), c >= 4
     assert isinstance(f, LogFrequencyFilter)
-    level = np.where(got > 0, np.round(np.log(np.maximum(got, 1e-9) / 4) / np.log(1.25) + 0.5), 0)
+    level = np.where(got > 0, levels(got, 4.0), 0)
     true = np.where(kept, levels(c, 4.0), 0)
     assert (level[kept] >= true[kept]).all()  # never below: probes have no false negatives
     assert np.mean(level == true) > 0.97
@@ -80,3 +80,45 @@ def test_rare_ngrams_count_in_a_large_corpus(spark):
     got = {r["doc_id"]: r for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert got[0]["train_tokens"] * 2.0**-22 > 1
     assert got[out[0]]["score"] > got[out[1]]["score"] + 1e-9 and got[out[1]]["score"] > got[out[2]]["score"] + 1e-9
+
+
+def test_small_counts_are_exact_and_large_ones_near():
+    c = np.arange(1, 100_000)
+    got = count_of(levels(c, 1.0))
+    assert (got[:4] == c[:4]).all() and (np.abs(got / c - 1) < 0.13).all()
+
+
+def test_probabilities_of_all_next_words_sum_to_one(spark):
+    texts = [r["text"] for r in table(spark, SF, "documents").collect()]
+    words, pairs = Counter(), Counter()
+    for t in texts:
+        own = toks(t)
+        words.update(own)
+        pairs.update(zip([None, *own], own))
+    denominator = sum(words.values()) + 0.5 * (len(words) + 1)
+    seen = lambda c: count_of(levels(np.array(c), 1.0))
+    p1 = dict(zip(words, word_probability(seen(list(words.values())), denominator)))
+    total = sum(p1.values()) + 0.5 / denominator
+    assert abs(total - 1) < 0.05
+    after = Counter()
+    for (v, w), c in pairs.items():  # what pairs add to the words' share
+        before = seen([words[v]])
+        after[v] += float((next_probability(seen([c]), before, np.array([p1[w]]), BETA) - next_probability(np.zeros(1), before, np.array([p1[w]]), BETA))[0])
+    for v, extra in after.items():
+        share = BETA / (float(seen([words[v]])[0]) + BETA)
+        assert abs(extra + share * total - 1) < 0.13
+
+
+def test_scores_follow_the_formula(spark):
+    rows = [(i, t) for i, t in enumerate(["a b a b c", "b a c", "a b d", "c c a b"] * 3)]
+    got = {r["doc_id"]: r["score"] for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    words, pairs = Counter(), Counter()
+    for d, t in rows:
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            words.update(toks(t))
+            pairs.update(zip([None, *toks(t)], toks(t)))
+    denominator = sum(words.values()) + 0.5 * (len(words) + 1)
+    seen = lambda c: float(count_of(levels(np.array([c]), 1.0))[0]) if c else 0.0
+    for d, t in rows:
+        want = sum(math.log10((min(seen(pairs[v, w]), seen(words[v])) + BETA * (seen(words[w]) + 0.5) / denominator) / (seen(words[v]) + BETA)) for v, w in zip([None, *toks(t)], toks(t)))
+        assert abs(got[d] - want) < 1e-6
