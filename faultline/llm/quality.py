@@ -2,10 +2,10 @@
 
 1. Random indexing: every word type (hashed into a fixed number of rows) has a sparse random
    index vector; a word's vector is the sum of the index vectors around it, over ALL documents.
-   Tasks sum into a table of fixed size and Spark adds the tables up, row by row.
-2. A document is pooled: mean and spread of its words' vectors, and the share of each class of
-   surface marks (punctuation runs, capitals, a word that repeats the one before it, ...), which
-   are tokens like the words.
+   Forms that hardly occur twice (symbols, capitals throughout, a word that repeats the one before
+   it, ...) share one type for each shape. Tasks sum into a table of fixed size and Spark adds the
+   tables up, row by row.
+2. A document is pooled: mean and spread of its words' vectors, nothing else.
 3. A two-layer network in numpy learns from a bounded sample of labelled rows (`max_train`, the
    rows of smallest doc_id hash); a temperature is fitted on a part that the weights did not see.
 
@@ -31,18 +31,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.llm.shared import texts_in_batches, whole_row
-from faultline.llm.textkernel import U64, mix, slices, text_bytes, words
+from faultline.llm.textkernel import U64, mix, slices, words
 
 DIM, ROWS, NONZEROS, WINDOW = 32, 1 << 14, 2, 2
 HELD_OUT = 2
-MARKS = ("word", "capital first", "all capitals", "mixed case", "symbols only", "symbol inside or after", "digits", "repeat", "bar", "long")
+SHAPES = ("all capitals", "mixed case", "symbols only", "symbol inside or after", "repeat", "bar", "long")
 
 
-def token_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row of each token's vector, token's mark class, texts' token offsets, texts' bytes). Tokens end at white space; what follows the letters of a word is not part of its row but of its mark."""
+def token_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each token's vector, texts' token offsets). Tokens end at white space; one that has a shape of SHAPES takes its row."""
     w = words(texts)
     raw, s, e = w.raw, w.starts, w.ends
-    n = e - s
     kinds = np.zeros((len(raw) + 1, 4), np.int32)
     upper, digit = (raw >= 65) & (raw <= 90), (raw >= 48) & (raw <= 57)
     letter = upper | ((raw >= 97) & (raw <= 122)) | (raw >= 128)
@@ -50,20 +49,16 @@ def token_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     for k, m in enumerate((upper, digit, letter, ~plain)):
         np.cumsum(m, out=kinds[1:, k])
     up, dig, let, odd = (kinds[e] - kinds[s]).T
-    first_up = upper[s] if len(s) else np.zeros(0, bool)
+    first_up, bar = (upper[s], raw[s] == 0x7C) if len(s) else (np.zeros(0, bool), np.zeros(0, bool))
     h = w.hashes
     same = np.zeros(len(h), bool)
     if len(h) > 1:
         same[1:] = h[1:] == h[:-1]
     same[w.offsets[:-1][w.counts > 0]] = False
-    mark = np.select(
-        [same, (let == 0) & (dig == 0) & (raw[s] == 0x7C if len(s) else False), (let == 0) & (dig == 0), (let == 0) & (dig > 0), odd > 0, dig > 0, (up >= 2) & (up == let), (up > 1) | ((up == 1) & ~first_up), n > 24, first_up],
-        [7, 8, 4, 6, 5, 6, 2, 3, 9, 1],
-        0,
-    )
-    row = (h >> U64(40)).astype(np.int64) % (ROWS - len(MARKS))
-    row = np.where((mark >= 2) & (mark != 6), ROWS - len(MARKS) + mark, row)
-    return row, mark, w.offsets, np.diff(text_bytes(texts)[1])
+    none = (let == 0) & (dig == 0)
+    shape = np.select([same, none & bar, none, (let == 0), odd > 0, dig > 0, (up >= 2) & (up == let), (up > 1) | ((up == 1) & ~first_up), e - s > 24], [4, 5, 2, -1, 3, -1, 0, 1, 6], -1)
+    row = (h >> U64(40)).astype(np.int64) % (ROWS - len(SHAPES))
+    return np.where(shape >= 0, ROWS - len(SHAPES) + shape, row), w.offsets
 
 
 def index_vectors() -> np.ndarray:
@@ -79,7 +74,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         index, total = index_vectors(), np.zeros(ROWS * DIM, np.float64)
         for batch in batches:
             for i, j in slices(batch.column(0), 1 << 21):
-                row, _, offs, _ = token_rows(batch.column(0).slice(i, j - i))
+                row, offs = token_rows(batch.column(0).slice(i, j - i))
                 doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
                 for d in range(1, WINDOW + 1):
                     if len(row) <= d:
@@ -103,14 +98,14 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return out / np.where(norm > 0, norm, 1)
 
 
-N_FEATURES = 2 * DIM + len(MARKS) + 3
+N_FEATURES = 2 * DIM
 
 
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """A row of features for each text."""
+    """A row of features for each text: mean and spread of its tokens' vectors."""
     out = []
     for i, j in slices(texts, 1 << 19):
-        row, mark, offs, size = token_rows(texts.slice(i, j - i))
+        row, offs = token_rows(texts.slice(i, j - i))
         n = np.diff(offs)
         f = np.zeros((j - i, N_FEATURES), np.float32)
         if len(row):
@@ -120,11 +115,7 @@ def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
             mean = (v[offs[1:]] - v[offs[:-1]]) / np.maximum(n, 1)[:, None]
             np.cumsum(np.square(vectors[row]), axis=0, dtype=np.float64, out=v[1:])
             square = (v[offs[1:]] - v[offs[:-1]]) / np.maximum(n, 1)[:, None]
-            f[:, :DIM], f[:, DIM : 2 * DIM] = mean, np.sqrt(np.maximum(square - mean * mean, 0))
-            doc = np.repeat(np.arange(j - i), n)
-            share = np.bincount(doc * len(MARKS) + mark, minlength=(j - i) * len(MARKS)).reshape(j - i, len(MARKS)) / np.maximum(n, 1)[:, None]
-            f[:, 2 * DIM : 2 * DIM + len(MARKS)] = 3 * share
-        f[:, -3], f[:, -2], f[:, -1] = np.log1p(n) / 5, np.linalg.norm(f[:, :DIM], axis=1), size / np.maximum(n, 1) / 10
+            f[:, :DIM], f[:, DIM:] = mean, np.sqrt(np.maximum(square - mean * mean, 0))
         out.append(f)
     return np.concatenate(out) if out else np.zeros((0, N_FEATURES), np.float32)
 
