@@ -7,13 +7,15 @@ batches hold two fixed-size-list columns: `ids` (equal-length sequences) and `ma
 the padding of a shard's last sequence). The values of a batch are one contiguous buffer, so a
 memory-mapped file gives any sequence, or any document through the index, without a copy.
 
-Spark deals documents to shards by cut points of doc_id (approximate quantiles, a bounded
-list), sorts within partitions and writes; a file is written under a name of its own and then
-moved, so a task that runs again after a lost executor replaces it by the same bytes.
+Spark deals documents to shards by cut points of doc_id. Candidates for cuts are a hash sample of
+the ids (CUT_SAMPLE at about, whatever the input); the bytes of text between them are counted over
+all documents, and neighbouring spans are joined up to SHARD_BYTES. Each shard is a partition of
+its own, sorted there and written; a file is written under a name of its own and then moved, so a
+task that runs again after a lost executor replaces it by the same bytes.
 
 Defined results: a null text is empty (only the end id); null doc_ids come first; rows that
 share a doc_id keep one entry each, ordered by their ids; an empty table writes no file and
-returns no row; other columns are ignored.
+returns no row; other columns are ignored. Rows of one doc_id lie in one shard.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ from faultline.llm.shared import new_dir, texts_in_batches
 from faultline.llm.textkernel import SPACE, U64, slices, span_hashes, text_bytes
 
 #: A worker's store of encoded chunks is emptied beyond this many.
-CACHE_CHUNKS = 1_500_000
+CACHE_CHUNKS = 1_000_000
+#: Bytes of text in a shard, and how many candidates for cuts between shards there are.
+SHARD_BYTES, CUT_SAMPLE = 64 << 20, 1 << 16
 #: Ids of a shard's batch in memory: sequences in a batch times their length.
 BATCH_ROWS = 256
 
@@ -179,12 +183,38 @@ class ShardWriter:
         self.fs.move(self.part, self.path)
 
 
+def shard_cuts(docs: DataFrame, shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> list[int]:
+    """doc_ids at which shards begin, so that they hold about equal bytes of text: `shards` of them, or as many as shard_bytes asks for and as tasks can run at once."""
+    spark = docs.sparkSession
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    step = max(1, ids.count() // CUT_SAMPLE)
+    points = np.sort(ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).distinct().toArrow().column("doc_id").to_numpy())  # about CUT_SAMPLE
+    if not len(points):
+        return []
+    shared = spark.sparkContext.broadcast(points)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = shared.value
+        total = np.zeros(len(points) + 1, np.int64)
+        for b in batches:
+            total += np.bincount(np.searchsorted(points, b.column(0).to_numpy(), "right"), b.column(1).to_numpy(), len(total)).astype(np.int64)
+        kept = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(kept), pa.array(total[kept])], ["span", "bytes"])
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(points[0]))).alias("doc_id"), (F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 8).cast("long").alias("bytes"))
+    got = rows.mapInArrow(sizes, "span long, bytes long").groupBy("span").agg(F.sum("bytes").alias("bytes")).toArrow()  # a row for each candidate at most
+    size = np.zeros(len(points) + 1, np.int64)
+    size[got.column("span").to_numpy()] = got.column("bytes").to_numpy()
+    before = np.cumsum(size) - size  # bytes before each span
+    n = shards or max(-(-int(size.sum()) // shard_bytes), spark.sparkContext.defaultParallelism)
+    at = np.searchsorted(before, np.arange(1, n) * (size.sum() / n))
+    return np.unique(points[at[(at > 0) & (at <= len(points))] - 1]).tolist()
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, length: int = 2048, shards: int | None = None) -> DataFrame:
     """Writes the shards to folder/files and the index (shard, doc_id, at, n_tokens) to folder/index; returns the index."""
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col("doc_id").cast("long"))
-    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / shards for i in range(1, shards)], 0.1 / shards)}) if shards > 1 else []
+    cuts = shard_cuts(docs, shards)
     dtype = encoder(tokenizer).dtype.str
     texts_in_batches(spark)
     files = f"{folder}/files"
@@ -206,7 +236,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
         if out:
             out.close()
 
-    index = encoded(docs, tokenizer, end_id, cuts).repartition(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(write, "shard int, doc_id long, at long, n_tokens long")
+    index = encoded(docs, tokenizer, end_id, cuts).repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(write, "shard int, doc_id long, at long, n_tokens long")
     index.write.parquet(f"{folder}/index")
     return spark.read.schema(index.schema).parquet(f"{folder}/index")
 
@@ -263,7 +293,7 @@ def read_token_index(index: DataFrame, folder: str) -> DataFrame:
         if reader:
             reader.close()
 
-    return index.repartition(max(1, len(base)), "shard").sortWithinPartitions("shard", "at").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return index.repartitionById(max([0, *base]) + 1, "shard").sortWithinPartitions("shard", "at").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 2048, folder: str | None = None) -> DataFrame:

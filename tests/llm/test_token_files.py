@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from faultline.llm.queries import TOKENIZER
-from faultline.llm.token_files import encoder, token_files
+from faultline.llm.token_files import encoder, shard_cuts, token_files
 
 PLAIN = Tokenizer.from_file(TOKENIZER)
 
@@ -33,3 +33,14 @@ def test_files_hold_every_text(spark):
 
 def test_empty_table(spark):
     assert token_files(spark.createDataFrame([], "doc_id long, text string"), TOKENIZER).count() == 0
+
+
+def test_shards_hold_like_bytes(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(d), "x" * int(n)) for d, n in zip(rng.permutation(5000) ** 2, rng.pareto(1.5, 5000) * 100)]
+    docs = spark.createDataFrame([*rows, (None, "y")], "doc_id long, text string").repartition(5)
+    cuts = shard_cuts(docs, shards=20)
+    sizes = np.bincount(np.searchsorted(cuts, [d for d, _ in rows], "right"), [len(t) + 8 for _, t in rows])
+    largest = max(len(t) for _, t in rows)
+    assert len(sizes) == len(cuts) + 1 and sizes.max() <= sizes.sum() / 20 + 2 * largest
+    assert shard_cuts(docs.where("doc_id is null")) == []
