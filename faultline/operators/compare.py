@@ -61,15 +61,49 @@ def counter_rates(long: DataFrame, keys: list[str], is_counter: Column, name: Co
     return marked.withColumns({value: F.when(F.col("__counter"), rate).otherwise(F.col(value)), metric: F.when(F.col("__counter"), name).otherwise(F.col(metric))}).drop("__counter", "__s", "__d")
 
 
+def _part_of(value: Column, cuts: list[float], low: int, high: int) -> Column:
+    """How many of the cuts low:high are at most value, plus low, by halves."""
+    if low == high:
+        return F.lit(low)
+    mid = (low + high) // 2
+    return F.when(value >= cuts[mid], _part_of(value, cuts, mid + 1, high)).otherwise(_part_of(value, cuts, low, mid))
+
+
+def numbered(df: DataFrame, value: Column, order: list[Column], by: list[str] | None = None, parts: int = 256) -> DataFrame:
+    """df with __rank, a row's place (from 1) in its group by `order`, and __n, the group's rows; value is a number that rises with order.
+
+    The values are cut at approximate quantiles, which are literals, so that every pass deals rows alike; rows are counted by part
+    and numbered within it. No task orders a whole group.
+    """
+    by = by or []
+    marked = df.withColumn("__value", value.cast("double"))
+    cuts = sorted(set(marked.approxQuantile("__value", [i / parts for i in range(1, parts)], 1 / (4 * parts))))
+    marked = marked.withColumn("__part", _part_of(F.col("__value"), cuts, 0, len(cuts))).drop("__value")
+    sizes = marked.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__size"))  # `parts` rows for each group at most
+    group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    before = sizes.select(*by, "__part", (F.sum("__size").over(group.orderBy("__part")) - F.col("__size")).alias("__before"), F.sum("__size").over(group).alias("__n"))
+    own = marked.withColumn("__rank", F.row_number().over(W.partitionBy(*by, "__part").orderBy(*order)))
+    return own.join(before, [*by, "__part"]).withColumn("__rank", F.col("__rank") + F.col("__before")).drop("__part", "__before")
+
+
+def percentiles(df: DataFrame, group: str, y: str, at: dict[str, float]) -> DataFrame:
+    """(group, the names in at): exact percentiles with linear interpolation, of values that are not null."""
+    known = df.where(F.col(y).isNotNull() & F.col(group).isNotNull()).select(group, F.col(y).cast("double").alias(y))
+    place = lambda p: p * (F.col("__n") - 1) + 1
+    near = reduce(lambda a, b: a | b, [F.col("__rank").isin(F.floor(place(p)), F.ceil(place(p))) for p in at.values()])
+    picked = numbered(known, F.col(y), [F.col(y)], [group]).where(near)
+    low = lambda p: F.max(F.when(F.col("__rank") == F.floor(place(p)), F.col(y)))
+    high = lambda p: F.max(F.when(F.col("__rank") == F.ceil(place(p)), F.col(y)))
+    share = lambda p: F.max(place(p) - F.floor(place(p)))
+    return picked.groupBy(group).agg(*[(low(p) + (high(p) - low(p)) * share(p)).alias(name) for name, p in at.items()])
+
+
 def systematic_sample(df: DataFrame, limit: int, time: str = "time", tie: str | None = None, seed: int = 42) -> DataFrame:
-    """Every (n // limit)-th row in order of time; if that is still over limit, the rows of smallest hash. The row numbers are made by ranges of time, not in one task."""
+    """Every (n // limit)-th row in order of time; if that is still over limit, the rows of smallest hash."""
     n = df.count()
     step = max(n // max(limit, 1), 1)
     order = [F.col(time), *([F.col(tie)] if tie else [])]
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    sizes = parts.groupBy("__part").count().withColumn("__before", F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    numbered = parts.withColumn("__rn", F.row_number().over(W.partitionBy("__part").orderBy(*order))).join(F.broadcast(sizes.select("__part", "__before")), "__part")
-    kept = numbered.where((F.col("__rn") + F.col("__before") - 1) % step == 0)
+    kept = numbered(df, F.unix_micros(F.col(time).cast("timestamp")), order).where((F.col("__rank") - 1) % step == 0)
     if -(-n // step) > limit:
         kept = kept.orderBy(F.xxhash64(F.lit(seed), *order), *order).limit(limit)
-    return kept.drop("__part", "__rn", "__before")
+    return kept.drop("__rank", "__n")

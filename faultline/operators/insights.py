@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from faultline.operators.compare import percentiles
+
 
 def trend(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     """(group, slope, r2) of y over x."""
@@ -23,14 +25,22 @@ def spearman(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
 
 
 def statistics(df: DataFrame, group: str, y: str) -> DataFrame:
-    q = lambda p: F.percentile(y, F.lit(p))
-    return df.groupBy(group).agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), (F.stddev_samp(y) / F.avg(y)).alias("volatility"))
+    """Quartiles are exact; no task holds a whole group (see `percentiles`)."""
+    moments = df.groupBy(group).agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"))
+    met = moments.join(percentiles(df, group, y, {"q1": 0.25, "median": 0.5, "q3": 0.75}), group, "left")
+    return met.select(group, "mean", "std", "q1", "median", "q3", (F.col("std") / F.col("mean")).alias("volatility"))
+
+
+#: Groups whose fences are broadcast; more are joined by key.
+FEW_GROUPS = 100_000
 
 
 def outliers(df: DataFrame, group: str, y: str, spread: float = 1.5) -> DataFrame:
-    """Rows outside the quartiles by `spread` interquartile ranges. The statistics are joined back, one row for each group."""
-    fences = statistics(df, group, y).select(group, (F.col("q1") - spread * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + spread * (F.col("q3") - F.col("q1"))).alias("high"))
-    return df.join(fences, group).where((F.col(y) < F.col("low")) | (F.col(y) > F.col("high")))
+    """Rows outside the quartiles by `spread` interquartile ranges."""
+    q = percentiles(df, group, y, {"q1": 0.25, "q3": 0.75})
+    fences = q.select(group, (F.col("q1") - spread * (F.col("q3") - F.col("q1"))).alias("low"), (F.col("q3") + spread * (F.col("q3") - F.col("q1"))).alias("high"))
+    few = df.select(group).distinct().count() <= FEW_GROUPS
+    return df.join(F.broadcast(fences) if few else fences, group).where((F.col(y) < F.col("low")) | (F.col(y) > F.col("high")))
 
 
 def extremes(df: DataFrame, group: str, y: str, label: str) -> DataFrame:

@@ -63,3 +63,25 @@ def test_templates(spark):
 def test_html(spark):
     html = "<html><head><style>p{}</style><script>x<y</script></head><body><nav>menu</nav><p>A &amp;\n B</p><footer>f</footer></body></html>"
     assert one(spark, ex.html_text(F.col("h")), h=html) == "A & B"
+
+
+def test_percentiles_and_ranks_of_skewed_groups(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from faultline.operators.compare import numbered, percentiles, systematic_sample
+
+    rng = np.random.default_rng(2)
+    rows = [("hot", float(np.round(x, 1))) for x in rng.pareto(1.2, 3000)] + [("one", 5.0), ("two", 1.0), ("two", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, y double").repartition(5)
+    got = {r["g"]: (r["a"], r["b"]) for r in percentiles(df, "g", "y", {"a": 0.25, "b": 0.9}).collect()}
+    for g in ("hot", "one", "two"):
+        own = [y for h, y in rows if h == g]
+        np.testing.assert_allclose(got[g], np.quantile(own, [0.25, 0.9]))
+    assert "none" not in got
+    ranks = numbered(df.where("y is not null"), F.col("y"), [F.col("y")], ["g"]).where("g = 'hot'").select("__rank").collect()
+    assert sorted(r[0] for r in ranks) == list(range(1, 3001))
+    times = spark.range(1000).select(F.timestamp_seconds(F.col("id") * 7 % 1000).alias("time"), "id").repartition(3)
+    kept = systematic_sample(times, 100, "time")
+    assert sorted(r["id"] * 7 % 1000 for r in kept.collect()) == list(range(0, 1000, 10))
+    assert systematic_sample(times, 600, "time").count() == 600 and systematic_sample(times.limit(0), 5, "time").count() == 0
