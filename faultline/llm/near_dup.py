@@ -289,3 +289,18 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, with_hash: bool = F
         copies = wordy.select(*own, "id").join(of_text, "id").select(*own, "class_id", "n_links")
         alone = sk.where("n = 0").select(*own, F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
         return saved(copies.unionByName(alone), "near-duplicates")
+
+
+def oracle(threshold: float = 0.8) -> str:
+    """(doc_id, class_id) in DuckDB's SQL, by every pair of texts that share a shingle; for tables whose doc_ids do not repeat."""
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+') AS w FROM documents),
+ s AS (SELECT doc_id, s, CAST(count(*) AS DOUBLE) AS c FROM (SELECT doc_id, array_to_string(w[i:i + {K - 1}], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - {K - 1}, 1) + 1)) AS u(i) WHERE len(w) > 0) GROUP BY ALL),
+ n AS (SELECT doc_id, count(*) AS n, sum(c) AS t FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n, sum(a.c) AS ca, sum(b.c) AS cb, sum(least(a.c / m.t, b.c / k.t)) AS least_sum FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id JOIN n m ON m.doc_id = a.doc_id JOIN n k ON k.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id),
+ q AS (SELECT p.*, both_n / (m.n + k.n - both_n) AS j, m.t AS ta, k.t AS tb FROM p JOIN n m ON m.doc_id = a JOIN n k ON k.doc_id = b),
+ c AS (SELECT q.a, q.b, q.ta - q.ca AS only_a, q.tb - q.cb AS only_b, x.s, x.c AS x, y.c AS y FROM q JOIN s x ON x.doc_id = q.a JOIN s y ON y.doc_id = q.b AND y.s = x.s WHERE j < {threshold} AND least_sum >= {threshold} - 1e-9),
+ g AS (SELECT a, b, sum(1 / share) AS jp FROM (SELECT i.a, i.b, i.s, sum(greatest(o.x / i.x, o.y / i.y)) + any_value(i.only_a / i.x + i.only_b / i.y) AS share FROM c i JOIN c o ON o.a = i.a AND o.b = i.b GROUP BY i.a, i.b, i.s) GROUP BY a, b),
+ e AS (SELECT a, b FROM q WHERE j >= {threshold} UNION ALL SELECT a, b FROM g WHERE jp >= {threshold}),
+ l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+ r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+ SELECT doc_id, coalesce(least(doc_id, min(r.b)), doc_id) AS class_id FROM d LEFT JOIN r ON r.a = doc_id GROUP BY doc_id"""

@@ -15,6 +15,7 @@ from faultline.llm.licenses import licenses
 from faultline.llm.lm import lm_scores
 from faultline.llm.mixing import soft_mixture
 from faultline.llm.near_dup import near_duplicates
+from faultline.llm.near_dup import oracle as classes_oracle
 from faultline.llm.quality import quality_scores
 from faultline.llm.secrets import oracle as secrets_oracle
 from faultline.llm.secrets import secrets
@@ -51,7 +52,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secrets": secrets_oracle(), "op7_nearest": NEAREST_ORACLE}
+    return {"op4_secrets": secrets_oracle(), "op5_near_duplicates": classes_oracle(), "op7_nearest": NEAREST_ORACLE}

@@ -103,3 +103,17 @@ def test_one_line_repeated_many_times(spark):
         lines = [" ".join(f"g{g}w{k}" for k in range(i, i + 10)) for i in range(0, 110, 10)]
         texts += ["\n".join(lines), "\n".join(lines + lines[-1:] * 59)]
     assert class_of(spark, texts) == {i: i - i % 2 for i in range(40)}
+
+
+def test_sql_gives_the_same_rows(spark):
+    import duckdb
+
+    from faultline.llm.queries import op5_near_duplicates, oracle_sql
+
+    sf = "/root/testdata/sf0.01"
+    got = op5_near_duplicates(spark, sf)
+    duckdb.sql(f"create or replace view documents as select * from '{sf}/documents.parquet'")
+    want = duckdb.sql(oracle_sql()["op5_near_duplicates"])
+    rows = sorted(want.fetchall())
+    assert sorted(got.columns) == sorted(want.columns) and sorted(tuple(r) for r in got.select(*want.columns).collect()) == rows
+    assert len({c for _, c in rows}) < len(rows)
