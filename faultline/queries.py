@@ -744,7 +744,7 @@ RANGE_SQL = f"""SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'Seen from ' || a
  FROM (SELECT event_id, {ISO.format('ts')} AS a, {ISO.format("ts + INTERVAL 10 MINUTE")} AS b FROM events)"""
 
 
-@query(f"""SELECT event_id, CASE WHEN event_id % 7 < 4 THEN nullif(regexp_extract(t, '(\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\dZ) (to|and) ', 1), '') END AS start_text, CASE WHEN event_id % 7 < 4 THEN nullif(regexp_extract(t, ' (to|and) (\S+)$', 2), '') END AS end_text,
+@query(rf"""SELECT event_id, CASE WHEN event_id % 7 < 4 THEN nullif(regexp_extract(t, '(\d{{4}}-\d\d-\d\dT\d\d:\d\d:\d\dZ) (to|and) ', 1), '') END AS start_text, CASE WHEN event_id % 7 < 4 THEN nullif(regexp_extract(t, ' (to|and) (\S+)$', 2), '') END AS end_text,
  nullif(regexp_extract(t, '{LOOSE_PATTERN}', 1), '') AS loose_start, nullif(regexp_extract(t, '{LOOSE_PATTERN}', 2), '') AS loose_end FROM ({RANGE_SQL})""")
 def time_ranges_in_text(spark, sf_dir):
     iso = lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")
