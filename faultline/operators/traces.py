@@ -54,8 +54,8 @@ def flatten(spans: DataFrame) -> DataFrame:
     )
 
 
-def export_rows(spans: DataFrame) -> DataFrame:
-    """Rows for files: only the HTTP status (0 if there is none), the store's service under its full name, ordered by trace and start."""
+def export_rows(spans: DataFrame, *more: str) -> DataFrame:
+    """Rows for files, with `more` columns of the spans: only the HTTP status (0 if there is none), the store's service under its full name, ordered by trace and start."""
     tags, process = F.col("tags"), F.col("process")
     pod = tag(process["tags"], "name", "podName")
     service = F.coalesce(process["serviceName"], F.regexp_replace(pod, "-[0-9]+$", ""))
@@ -71,6 +71,7 @@ def export_rows(spans: DataFrame) -> DataFrame:
         pod.alias("pod_name"),
         tag(process["tags"], "node_name", "nodeName").alias("node_name"),
         F.coalesce(F.expr("try_cast(get(filter(tags, t -> t.key = 'http.status_code'), 0).value AS int)"), F.lit(0)).alias("status_code"),
+        *more,
     ).orderBy("traceID", "startTime")
 
 
@@ -145,14 +146,20 @@ def error_traces(flat: DataFrame) -> DataFrame:
 
 
 def profile(flat: DataFrame) -> DataFrame:
-    """(measure, item, n): spans, roots, children, spans per trace, statuses, services."""
+    """(measure, item, n): spans, roots, children, spans per trace, statuses, services, and each column's percentage of nulls."""
     status = F.coalesce(F.expr("try_cast(status_code AS int)"), F.lit(0)).cast("string")
     totals = flat.agg(F.count(F.lit(1)).alias("spans"), F.count_if(F.col("parent_id") == "root").alias("roots"), F.count_if(F.col("parent_id") != "root").alias("children"), F.count_if(F.col("pod").isNull()).alias("no_pod")).unpivot([], ["spans", "roots", "children", "no_pod"], "measure", "n").select("measure", F.lit("").alias("item"), F.col("n").cast("double").alias("n"))
     sizes = flat.groupBy("trace_id").count()
     per_trace = sizes.agg(F.avg("count").alias("mean_spans"), F.max("count").cast("double").alias("max_spans"), F.min("count").cast("double").alias("min_spans")).unpivot([], ["mean_spans", "max_spans", "min_spans"], "measure", "n").select("measure", F.lit("").alias("item"), "n")
     by_status = flat.groupBy(status.alias("item")).agg(F.count(F.lit(1)).cast("double").alias("n")).select(F.lit("status").alias("measure"), "item", "n")
     top = flat.where("service is not null").groupBy(F.col("service").alias("item")).agg(F.count(F.lit(1)).cast("double").alias("n")).orderBy(F.desc("n"), "item").limit(10).select(F.lit("service").alias("measure"), "item", "n")
-    return totals.unionByName(per_trace).unionByName(by_status).unionByName(top)
+    nulls = flat.agg(*[(F.count_if(F.col(c).isNull()) * 100.0 / F.count(F.lit(1))).alias(c) for c in flat.columns]).unpivot([], flat.columns, "item", "n").select(F.lit("null_percent").alias("measure"), "item", "n")
+    return totals.unionByName(per_trace).unionByName(by_status).unionByName(top).unionByName(nulls)
+
+
+def ids_in_range(spans: DataFrame, start_us: int, end_us: int) -> DataFrame:
+    """The distinct trace ids of spans that start within the bounds (microseconds, both included)."""
+    return spans.where(F.col("startTime").between(start_us, end_us)).select("traceID").distinct()
 
 
 def slow_spans(flat: DataFrame, thresholds: DataFrame, by: tuple[str, str] = ("pod", "operation")) -> DataFrame:

@@ -603,6 +603,26 @@ FLAT_SQL = """SELECT CAST(conv_id AS VARCHAR) AS trace_id, CAST(turn AS VARCHAR)
  CASE (conv_id + turn) % 7 WHEN 0 THEN 'exception: boom' WHEN 1 THEN CASE WHEN turn % 2 = 0 THEN 'error event: no host' ELSE 'error event: undescribed error' END END AS log_error FROM conversations"""
 
 
+FLAT_COLUMNS = ("trace_id", "span_id", "parent_id", "operation", "service", "pod", "node", "start_us", "start_ms", "duration", "status_code", "error_tag", "status_message", "peer_service", "span_kind", "peer_ip", "log_error")
+
+
+@query("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS \"traceID\" FROM conversations WHERE conv_id * 1000000 + turn BETWEEN 20000001 AND 90000002")
+def trace_ids_in_range(spark, sf_dir):
+    return tr.ids_in_range(conversation_spans(spark, sf_dir), 20_000_001, 90_000_002)
+
+
+@query("SELECT event_id, strftime(ts, '%H:%M:%SZ') AS clock FROM events")
+def clock_texts(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", ex.clock(F.col("ts")).alias("clock"))
+
+
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus END, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, 'node-' || CAST(o_custkey % 4 AS VARCHAR)) AS component FROM orders")
+def component_columns(spark, sf_dir):
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(key, F.when(key % 4 == 0, F.col("o_orderstatus")).alias("pod"), F.when(key % 3 == 0, F.col("o_orderpriority")).alias("instance"), F.concat(F.lit("node-"), F.col("o_custkey") % 4).alias("node"))
+    return rows.select("o_orderkey", infra.first_component_column(rows).alias("component"))
+
+
 @query(FLAT_SQL)
 def flatten_spans(spark, sf_dir):
     return tr.flatten(conversation_spans(spark, sf_dir))
@@ -673,7 +693,7 @@ def slowest_traces(spark, sf_dir):
 
 
 @query(f"""WITH f AS ({FLAT_SQL}), s AS (SELECT trace_id, count(*) AS n FROM f GROUP BY trace_id) SELECT 'spans' AS measure, '' AS item, count(*)::DOUBLE AS n FROM f UNION ALL SELECT 'roots', '', count(*) FILTER (WHERE parent_id = 'root') FROM f UNION ALL SELECT 'children', '', count(*) FILTER (WHERE parent_id <> 'root') FROM f UNION ALL SELECT 'no_pod', '', count(*) FILTER (WHERE pod IS NULL) FROM f
- UNION ALL SELECT 'mean_spans', '', round(avg(n), 6) FROM s UNION ALL SELECT 'max_spans', '', max(n) FROM s UNION ALL SELECT 'min_spans', '', min(n) FROM s UNION ALL SELECT 'status', status_code, count(*) FROM f GROUP BY status_code UNION ALL SELECT * FROM (SELECT 'service', service, count(*) FROM f GROUP BY service ORDER BY count(*) DESC, service LIMIT 10)""")
+ UNION ALL SELECT 'mean_spans', '', round(avg(n), 6) FROM s UNION ALL SELECT 'max_spans', '', max(n) FROM s UNION ALL SELECT 'min_spans', '', min(n) FROM s UNION ALL SELECT 'status', status_code, count(*) FROM f GROUP BY status_code UNION ALL SELECT * FROM (SELECT 'service', service, count(*) FROM f GROUP BY service ORDER BY count(*) DESC, service LIMIT 10) """ + " ".join(f"UNION ALL SELECT 'null_percent', '{c}', round(count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*), 6) FROM f" for c in FLAT_COLUMNS))
 def trace_profile(spark, sf_dir):
     return rounded(tr.profile(tr.flatten(conversation_spans(spark, sf_dir))))
 

@@ -6,9 +6,6 @@ Spark's own file system, so any store that Spark reads will do. Rows are then fi
 
 from __future__ import annotations
 
-import csv
-import io
-import json
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -18,6 +15,7 @@ from pyspark.sql import types as T
 
 from faultline.operators.infra_metrics import component_id, database_identity, kpi_of_file, node_fields, type_of_file
 from faultline.operators.service_metrics import wide_to_long
+from faultline.operators.traces import export_rows
 
 LOCAL = timedelta(hours=8)
 
@@ -195,17 +193,15 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
-
-
-def report_json(report: dict) -> str:
-    return json.dumps(report, ensure_ascii=False, indent=2, default=str)
+def export_traces(spark: SparkSession, root: str, start: datetime, end: datetime, path: str) -> DataFrame | None:
+    """Flattened spans as CSV, a folder for each file they came from; returns what was written."""
+    df = spans(spark, root, start, end)
+    if df is None:
+        return None
+    rows = export_rows(df, "source_file")
+    rows.write.mode("overwrite").partitionBy("source_file").option("header", "true").csv(path)
+    return rows
 
 
-def csv_text(rows: list[dict]) -> str:
-    out = io.StringIO()
-    writer = csv.DictWriter(out, list(rows[0]) if rows else [])
-    writer.writeheader()
-    writer.writerows(rows)
-    return out.getvalue()
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)

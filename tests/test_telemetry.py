@@ -141,6 +141,13 @@ def test_csv_and_json(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 2
 
 
+def test_traces_go_to_a_folder_for_each_file(spark, lake, tmp_path):
+    rows = telemetry.export_traces(spark, lake, AT - timedelta(minutes=30), AT + timedelta(minutes=10), str(tmp_path / "csv"))
+    back = spark.read.option("header", "true").csv(str(tmp_path / "csv"))
+    assert back.count() == rows.count() == 42 and back.select("source_file").distinct().count() == 2
+    assert telemetry.export_traces(spark, lake, AT - timedelta(days=9), AT - timedelta(days=8), str(tmp_path / "none")) is None
+
+
 def test_stream(spark, tmp_path):
     rows = [(AT + timedelta(seconds=s), "a", "rrt", float(s)) for s in (0, 30, 70)]
     df = spark.createDataFrame(rows, "time timestamp, object_id string, metric string, value double")
