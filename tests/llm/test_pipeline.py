@@ -104,3 +104,19 @@ def test_odd_rows(spark):
         assert stage(spark, frame, SF).columns == frame.columns
         assert stage(spark, frame.limit(0), SF).count() == 0
     assert cp.write_tokens(spark, frame, SF).count() == 7
+
+
+def test_columns_that_clash_or_are_odd_survive_every_stage(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["the", "of", "rain", "hill", "and", "over"]) for _ in range(80)), "en", "s", 3, 77, 88, "q", {"k": 1}, 5, "t") for i in range(6)]
+    rows.append(rows[0])
+    names = "doc_id long, text string, lang string, source string, n_chars long, __id long, __n long, quality_score string, m map<string,int>, `a.b` long, row string"
+    frame = spark.createDataFrame(rows, names)
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, frame, SF)
+        assert out.columns == frame.columns, name
+        kept = out.collect()
+        assert all((r["__id"], r["__n"], r["quality_score"], r["m"], r["a.b"], r["row"]) == (77, 88, "q", {"k": 1}, 5, "t") for r in kept), name
+        if name == "MinHash near-dedup":
+            assert sorted(r["doc_id"] for r in kept) == [0, 1, 2, 3, 4, 5]
+    assert cp.write_tokens(spark, frame, SF).count() == 7
