@@ -16,13 +16,14 @@ EVERY item that scores at least `threshold`: it skips blocks (BLOCK items) whose
 reach it, nothing else. The sums of block maxima are made for all passages of a batch at once;
 the walk goes through the blocks that are left.
 
-Retrieved items are verified on the whole document's words: the share of the question's and of
-the answer's word runs (RUN words) found in it. With columns for both a leak needs `min_question` of
-the question and `min_answer` of the answer. An item of one text is a question without answer
-(answer_overlap is 1), and a leak needs `min_whole` of it, whichever part that is.
+Retrieved items are verified on the whole document's words: the share of the item's, the
+question's and the answer's word runs (RUN words) found in it. A leak needs `min_question` of the
+question and `min_answer` of the answer. Of an item that is one text the last sentence counts as the
+answer; as it may be no answer at all, `min_whole` of the whole item, whichever part that is, is a
+leak as well.
 
-Result: (doc_id, item_id, score, question_overlap, answer_overlap), a row for each document row
-and leaked item.
+Result: (doc_id, item_id, score, overlap, question_overlap, answer_overlap), a row for each document
+row and leaked item.
 
 Defined results: null or empty texts leak nothing; items without words are ignored; items that
 share a text are reported each; repeated document rows are reported each; a null doc_id or
@@ -101,6 +102,7 @@ class Shard:
     blocks: np.ndarray
     tops: np.ndarray
     length: int  # words of the longest item
+    wholes: list[np.ndarray]
     questions: list[np.ndarray]
     answers: list[np.ndarray]
 
@@ -163,7 +165,7 @@ class Shard:
 def build_shard(rows: list[tuple], n_items: int, mean_words: float, doc_freq: dict[int, int], threshold: float = 0.5) -> Shard:
     """rows: (item_id, question, answer). Weights use the counts of all items, so shards agree. The shard serves searches with this threshold or a higher one."""
     lists: dict[int, list[tuple[int, float]]] = {}
-    item_ids, questions, answers, longest = [], [], [], 0
+    item_ids, wholes, questions, answers, longest = [], [], [], [], 0
     for item_id, question, answer in rows:
         q, a = (words(pa.array([x]), NON_WORD).hashes for x in (question, answer))
         h = np.concatenate([q, a])
@@ -176,6 +178,7 @@ def build_shard(rows: list[tuple], n_items: int, mean_words: float, doc_freq: di
         for t, w in zip(terms.tolist(), weight.tolist(), strict=True):
             lists.setdefault(t, []).append((len(item_ids), w))
         item_ids.append(item_id)
+        wholes.append(runs(h))
         questions.append(runs(q))
         answers.append(runs(a))
         longest = max(longest, len(h))
@@ -195,7 +198,7 @@ def build_shard(rows: list[tuple], n_items: int, mean_words: float, doc_freq: di
             rest[built[t].items], essential[t] = after, False
     at = np.concatenate([[0], np.cumsum([len(p.tops) for p in built])]).astype(np.int64)
     flat = lambda of, kind: np.array([x for p in built for x in of(p.tops)], kind)
-    return Shard(item_ids, vocabulary, built, essential, rest, at, flat(dict.keys, np.int64), flat(dict.values, np.float64), max(longest, 1), questions, answers)
+    return Shard(item_ids, vocabulary, built, essential, rest, at, flat(dict.keys, np.int64), flat(dict.values, np.float64), max(longest, 1), wholes, questions, answers)
 
 
 def search(shard: Shard, texts: pa.Array, threshold: float) -> Iterator[tuple[int, dict[int, float], np.ndarray]]:
@@ -261,6 +264,7 @@ def shards(items: DataFrame, threshold: float, question: str | None, answer: str
 
     def build(key: tuple, rows: pa.Table, df: pa.Table) -> pa.Table:
         rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("item_id", "q", "a")), strict=True), key=lambda r: (r[0] is not None, r))
+        rows = rows if answer else [(i, *split_item(q)) for i, q, _ in rows]
         known = dict(zip(df.column("term").to_numpy().view(U64).tolist(), df.column("df").to_pylist(), strict=True))
         data = pickle.dumps(build_shard(rows, n_items, n_words / n_items, known, threshold)) if known else b""
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
@@ -272,7 +276,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_questio
     """items: (item_id, text), or with the columns named by question and answer."""
     spark = docs.sparkSession
     texts_in_batches(spark)
-    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    schema = "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double"
     index = shards(items, threshold, question, answer, shard_tokens).where("length(data) > 0")
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found: list[DataFrame] = []
@@ -287,12 +291,12 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_questio
                     for k, best, h in search(shard, batch.column(1).slice(i, j - i), threshold):
                         own = np.unique(np.concatenate([runs(h), _shorter(h)]))
                         for item, score in best.items():
-                            q, a = (float(np.isin(x, own).mean()) if len(x) else 1.0 for x in (shard.questions[item], shard.answers[item]))
-                            if q >= (min_question if answer else min_whole) and a >= min_answer:
+                            whole, q, a = (float(np.isin(x, own).mean()) if len(x) else 1.0 for x in (shard.wholes[item], shard.questions[item], shard.answers[item]))
+                            if (q >= min_question and a >= min_answer) or (not answer and whole >= min_whole):
                                 at.append(i + k)
-                                got.append((shard.item_ids[item], min(score, 1.0), q, a))
-                ids, score, q, a = zip(*got, strict=True) if got else ((), (), (), ())
-                yield pa.record_batch([pc.take(batch.column(0), pa.array(at, pa.int64())), pa.array(ids, pa.int64()), pa.array(score, pa.float64()), pa.array(q, pa.float64()), pa.array(a, pa.float64())], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                                got.append((shard.item_ids[item], min(score, 1.0), whole, q, a))
+                ids, *shares = zip(*got, strict=True) if got else [()] * 5
+                yield pa.record_batch([pc.take(batch.column(0), pa.array(at, pa.int64())), pa.array(ids, pa.int64()), *(pa.array(x, pa.float64()) for x in shares)], ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
 
         found.append(source.mapInArrow(run, schema))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)

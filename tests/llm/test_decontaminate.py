@@ -95,3 +95,14 @@ def test_copies_without_the_first_or_the_last_sentence(spark):
     docs = [(10 * k + j, "filler words here. " + " ".join(x) + " and an end") for k, item in enumerate(items) for j, x in enumerate((item, item[1:], item[:-1], item[:1]))]
     got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string"))
     assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(10 * k + j, k) for k in range(5) for j in range(3)]
+
+
+def test_a_question_and_its_answer_apart_are_a_leak(spark):
+    rng = random.Random(10)
+    new = lambda n: " ".join(f"z{rng.randrange(10**6)}" for _ in range(n))
+    question, answer = new(12) + "?", new(3)
+    items = spark.createDataFrame([(1, f"{question} {answer}", question, answer)], "item_id long, text string, q string, a string")
+    docs = spark.createDataFrame([(1, f"{question} well {answer}"), (2, question), (3, f"{new(9)} {answer} {new(9)}")], "doc_id long, text string")
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    assert ids(leaks(docs, items)) == [1, 2]  # one text: the question alone is most of it
+    assert ids(leaks(docs, items, question="q", answer="a")) == [1]
