@@ -35,7 +35,7 @@ from faultline.llm.shared import new_dir, texts_in_batches
 from faultline.llm.textkernel import SPACE, U64, slices, span_hashes, text_bytes
 
 #: A worker's store of encoded chunks is emptied beyond this many.
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 1_500_000
 #: Bytes of text in a shard, and how many candidates for cuts between shards there are.
 SHARD_BYTES, CUT_SAMPLE = 64 << 20, 1 << 16
 #: Ids of a shard's batch in memory: sequences in a batch times their length.
@@ -63,6 +63,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        marks = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
+        self.mark_id, self.mark = min(marks, default=(-1, ""))
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.clear()
 
@@ -71,21 +73,33 @@ class ChunkEncoder:
         self.keys, self.first, self.size = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 18, self.dtype), 0
 
-    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, chunks: list[bytes]) -> None:
         """keys: ascending and new."""
-        first, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int32)
-        for at in range(0, len(chunks), 5_000):
-            for k, e in enumerate(self.tokenizer.encode_batch_fast(chunks[at : at + 5_000], add_special_tokens=False), at):
-                ids = e.ids
-                n = len(ids)
-                if self.used + n > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool) // 2, n), self.dtype)])
-                self.pool[self.used : self.used + n] = ids
-                first[k], size[k] = self.used, n
-                self.used += n
+        parts, sizes = [], []
+        for at in range(0, len(chunks), 10_000):
+            ids, size = self._encoded(chunks[at : at + 10_000])
+            parts.append(ids)
+            sizes.append(size)
+        ids, size = np.concatenate(parts), np.concatenate(sizes)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool) // 2, len(ids)), self.dtype)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        first = self.used + np.cumsum(size, dtype=np.int64) - size
+        self.used += len(ids)
         at = np.searchsorted(self.keys, keys)
         self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size)
 
+    def _encoded(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks, how many each has). Chunks go as one text, parted by a special token, which nothing merges with."""
+        if self.mark:
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.encode().join(chunks).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.int64)
+            cut = np.flatnonzero(ids == self.mark_id)
+            if len(cut) == len(chunks) - 1:
+                return np.delete(ids, cut).astype(self.dtype), (np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1).astype(np.int32)
+        # no such token, or a chunk spells it
+        each = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)]
+        return np.array([x for e in each for x in e], self.dtype), np.array([len(e) for e in each], np.int32)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets)."""
         raw, offs = text_bytes(texts)
@@ -97,10 +111,10 @@ class ChunkEncoder:
         if len(self.keys) + len(uniq) > max(CACHE_CHUNKS, len(uniq)):
             self.clear()
         at = np.searchsorted(self.keys, uniq)
-        new = np.flatnonzero((at == len(self.keys)) | (np.append(self.keys, U64(0))[at] != uniq))
+        new = np.flatnonzero((at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != uniq)) if len(self.keys) else np.arange(len(uniq))
         if len(new):
             data = raw.tobytes()
-            self._learn(uniq[new], [data[starts[j] : ends[j]].decode("utf-8", "replace") for j in where[new]])
+            self._learn(uniq[new], [data[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
         slots = np.searchsorted(self.keys, uniq)[inverse]
         n = self.size[slots].astype(np.int64)
         total = np.cumsum(n)
