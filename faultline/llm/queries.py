@@ -16,6 +16,8 @@ from faultline.llm.lm import lm_scores
 from faultline.llm.mixing import soft_mixture
 from faultline.llm.near_dup import near_duplicates
 from faultline.llm.near_dup import oracle as classes_oracle
+from faultline.llm.prefix_trie import ORACLE as TRIE_ORACLE
+from faultline.llm.prefix_trie import prefix_trie
 from faultline.llm.quality import quality_scores
 from faultline.llm.secrets import oracle as secrets_oracle
 from faultline.llm.secrets import secrets
@@ -75,10 +77,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_licenses, op3_leaks, op4_secrets, op5_near_duplicates, op6_lm_scores, op7_nearest, op8_token_counts, op9_token_files, op10_quality)
+    found = (op1_mixing, op2_licenses, op3_leaks, op4_secrets, op5_near_duplicates, op6_lm_scores, op7_nearest, op8_token_counts, op9_token_files, op10_quality, op11_prefix_trie)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secrets": secrets_oracle(), "op5_near_duplicates": classes_oracle(), "op7_nearest": NEAREST_ORACLE}
+    return {"op4_secrets": secrets_oracle(), "op5_near_duplicates": classes_oracle(), "op7_nearest": NEAREST_ORACLE, "op11_prefix_trie": TRIE_ORACLE}
