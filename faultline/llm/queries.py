@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from faultline.llm.ann import ORACLE as NEAREST_ORACLE
 from faultline.llm.ann import nearest
 from faultline.llm.decontaminate import leaks
+from faultline.llm.hard_negatives import ORACLE as NEGATIVES_ORACLE
+from faultline.llm.hard_negatives import hard_negatives
 from faultline.llm.licenses import licenses
 from faultline.llm.lm import lm_scores
 from faultline.llm.mixing import soft_mixture
@@ -22,6 +24,7 @@ from faultline.llm.quality import quality_scores
 from faultline.llm.secrets import oracle as secrets_oracle
 from faultline.llm.secrets import secrets
 from faultline.llm.shared import table
+from faultline.llm.simhash import simhash_components
 from faultline.llm.token_counts import masked_token_counts
 from faultline.llm.token_files import token_files
 
@@ -81,10 +84,18 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_mixing, op2_licenses, op3_leaks, op4_secrets, op5_near_duplicates, op6_lm_scores, op7_nearest, op8_token_counts, op9_token_files, op10_quality, op11_prefix_trie)
+    found = (op1_mixing, op2_licenses, op3_leaks, op4_secrets, op5_near_duplicates, op6_lm_scores, op7_nearest, op8_token_counts, op9_token_files, op10_quality, op11_prefix_trie, op12_simhash, op13_hard_negatives)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secrets": secrets_oracle(), "op5_near_duplicates": classes_oracle(), "op7_nearest": NEAREST_ORACLE, "op11_prefix_trie": TRIE_ORACLE}
+    return {"op4_secrets": secrets_oracle(), "op5_near_duplicates": classes_oracle(), "op7_nearest": NEAREST_ORACLE, "op11_prefix_trie": TRIE_ORACLE, "op13_hard_negatives": NEGATIVES_ORACLE}
