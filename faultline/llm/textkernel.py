@@ -1,12 +1,15 @@
 """Word boundaries and word hashes of many texts at once, on the bytes of an Arrow column.
 
-Separators are ASCII bytes, so UTF-8 needs no decoding. A word's hash is a polynomial over
-its bytes modulo 2**64, taken from prefix sums and then mixed.
+Separators are ASCII bytes, so UTF-8 needs no decoding. A short word's hash is a polynomial over
+its bytes modulo 2**64, taken from prefix sums and then mixed. Polynomials modulo 2**64 collide on
+long words of a regular build (Thue-Morse words, whatever the base), so words of over SHORT bytes
+are hashed by BLAKE2b.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +29,9 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 NON_WORD = np.zeros(256, bool)
 NON_WORD[:128] = [not chr(i).isalnum() for i in range(128)]
 
+#: Bytes of a span up to which the polynomial is its hash.
+SHORT = 64
+
 _POWERS_KEPT = (1 << 20) + 1
 _powers: dict[int, np.ndarray] = {}
 
@@ -90,7 +96,11 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: boo
     up, down = _powers_of(_BASE, len(raw) + 1), _powers_of(_BASE_INV, len(raw) + 1)
     sums = np.zeros(len(raw) + 1, U64)
     np.cumsum((_FOLDED if fold else _BYTE)[raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    out = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    for k in np.flatnonzero(ends - starts > SHORT).tolist():
+        span = raw[starts[k] : ends[k]].tobytes()
+        out[k] = int.from_bytes(hashlib.blake2b(span.lower() if fold else span, digest_size=8).digest(), "little")
+    return out
 
 
 @dataclass

@@ -8,6 +8,7 @@ import numpy as np
 from faultline.llm.lm import BETA, LogFrequencyFilter, build_filter, count_of, levels, lm_scores, next_probability, word_probability
 from faultline.llm.shared import table
 from faultline.llm.textkernel import mix
+from tests.llm.thue_morse import pair
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,6 +43,12 @@ def test_base_counts_match_brute_force(spark):
     same(rows, lm_scores(docs, top=50).collect())  # most words take the join
 
 
+def test_words_that_polynomials_confuse(spark):
+    texts = [t for bits in range(10, 15) for t in pair(bits)]
+    rows = [(i, t) for i, t in enumerate(texts * 2)] + [(100 + i, f"{a} {b} {a.upper()}") for i, (a, b) in enumerate([pair(10), pair(12)])]
+    same(rows, lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "É a B\tb\u00a0c " * 20_000), (None, "a b c"), (7, " \n ")]
     frame = spark.createDataFrame([(d, t, 1.0) for d, t in rows], "doc_id long, text string, score double")

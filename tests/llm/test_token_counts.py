@@ -10,6 +10,7 @@ from faultline.llm.queries import TOKENIZER
 from faultline.llm.shared import table
 from faultline.llm.token_counts import MASKED, TokenTree, apply_edits, count_tokens, edit_tokens, leaf_arrays, masked_token_counts, masking_edits
 from faultline.llm.token_files import encoder
+from tests.llm.thue_morse import pair
 
 PLAIN = Tokenizer.from_file(TOKENIZER)
 count = lambda t: len(PLAIN.encode(t, add_special_tokens=False).ids)
@@ -106,3 +107,11 @@ def test_odd_rows(spark):
     assert (by[1]["n_tokens"], by[2]["n_tokens_after"], by[None]["n_edits"], by[None]["n_tokens_after"]) == (0, 0, 1, count(" b"))
     assert by[4]["n_tokens_after"] == count("xy" + ("x " * 50_000)[2:])
     assert masked_token_counts(frame, TOKENIZER).count() == 5 and masked_token_counts(frame.limit(0), TOKENIZER).count() == 0
+
+
+def test_texts_that_polynomials_confuse(spark):
+    rows = [(i, t) for i, t in enumerate(t for bits in range(10, 15) for t in pair(bits))]
+    for own in (rows, rows[::-1]):
+        encoder(TOKENIZER).clear()
+        chars, tokens, offsets = leaf_arrays(encoder(TOKENIZER), pa.array([t for _, t in own]))
+        assert [int(tokens[a:b].sum()) for a, b in zip(offsets[:-1], offsets[1:])] == [count(t) for _, t in own]

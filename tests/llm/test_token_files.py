@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 from faultline.llm.queries import TOKENIZER
 from faultline.llm.token_files import encoder, shard_cuts, token_files
+from tests.llm.thue_morse import pair
 
 PLAIN = Tokenizer.from_file(TOKENIZER)
 
@@ -19,6 +20,14 @@ def test_chunks_encode_as_whole_texts(texts):
     assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_texts_that_polynomials_confuse():
+    texts = [t for bits in range(10, 15) for t in pair(bits)]
+    encoder(TOKENIZER).clear()
+    for batch in (texts, texts[::-1]):
+        ids, at = encoder(TOKENIZER).encode(pa.array(batch))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [PLAIN.encode(t, add_special_tokens=False).ids for t in batch]
+
+
 def test_files_hold_every_text(spark):
     texts = {3: "One two  three\n", 1: "", 7: None, 5: "déjà vu " * 3000, -2: "x" * 50_000, 4: "a b"}
     rows = [(k, v, "t") for k, v in texts.items()] + [(4, "a b", "again"), (None, "no id", "n")]
