@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultline.operators.compare import percentiles
+from faultline.operators.series import PART_ROWS, series
 
 
 def trend(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
@@ -18,14 +19,23 @@ def pearson(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     return df.groupBy(group).agg(F.corr(x, y).alias("pearson"))
 
 
-def spearman(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
+def _average_ranks(df: DataFrame, group: str, c: str, name: str, rows: int) -> DataFrame:
+    """(group, c, name): the mean place of equal values among their group's, from counted values; nulls come first."""
+    counted = df.groupBy(group, c).agg(F.count(F.lit(1)).alias("__c"))
+    placed = series(counted, [group], [c], rows).running({"__upto": ("sum", F.col("__c"))}).plain
+    return placed.select(F.struct(group, c).alias("__value"), (F.col("__upto") - (F.col("__c") - 1) / 2).alias(name))
+
+
+def spearman(df: DataFrame, group: str, x: str, y: str, rows: int = PART_ROWS) -> DataFrame:
     """Correlation of average ranks."""
-    average = lambda c: F.rank().over(W.partitionBy(group).orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(group, c)) - 1) / 2
-    return df.select(group, average(x).alias("rx"), average(y).alias("ry")).groupBy(group).agg(F.corr("rx", "ry").alias("spearman"))
+    out = df.select(group, x, y)
+    for c, name in ((x, "__rx"), (y, "__ry")):
+        out = out.withColumn("__value", F.struct(group, c)).join(_average_ranks(df, group, c, name, rows), "__value").drop("__value")
+    return out.groupBy(group).agg(F.corr("__rx", "__ry").alias("spearman"))
 
 
 def statistics(df: DataFrame, group: str, y: str) -> DataFrame:
-    """Quartiles are exact; no task holds a whole group (see `percentiles`)."""
+    """Quartiles are exact (see `percentiles`)."""
     moments = df.groupBy(group).agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"))
     met = moments.join(percentiles(df, group, y, {"q1": 0.25, "median": 0.5, "q3": 0.75}), group, "left")
     return met.select(group, "mean", "std", "q1", "median", "q3", (F.col("std") / F.col("mean")).alias("volatility"))
@@ -54,23 +64,20 @@ def majority(df: DataFrame, group: str, y: str, label: str, share: float = 0.5)
     return sums.withColumn("share", F.col("part") / F.sum("part").over(W.partitionBy(group))).where(F.col("share") > share).select(group, label, "share")
 
 
-def turning_points(series: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    """Points of a short series (a row for each x) where the sign of the change flips."""
-    w = W.partitionBy(group).orderBy(x)
-    d, nxt = F.col(y) - F.lag(y).over(w), F.lead(y).over(w) - F.col(y)
-    return series.withColumns({"change": d, "next_change": nxt}).where(F.col("change") * F.col("next_change") < 0)
+def turning_points(df: DataFrame, group: str, x: str, y: str, rows: int = PART_ROWS) -> DataFrame:
+    """Points of a series (a row for each x) where the sign of the change flips."""
+    s = series(df, [group], [x], rows).shifted({"__was": F.col(y)}).shifted({"__next": F.col(y)}, ahead=True)
+    return s.plain.withColumns({"change": F.col(y) - F.col("__was"), "next_change": F.col("__next") - F.col(y)}).where(F.col("change") * F.col("next_change") < 0).drop("__was", "__next")
 
 
-def page_hinkley(series: DataFrame, group: str, x: str, y: str, delta: float = 0.005, limit: float = 50.0) -> DataFrame:
+def page_hinkley(df: DataFrame, group: str, x: str, y: str, delta: float = 0.005, limit: float = 50.0, rows: int = PART_ROWS) -> DataFrame:
     """Points where the cumulated deviation from the running mean exceeds its running minimum by `limit`."""
-    w = W.partitionBy(group).orderBy(x)
-    dev = series.withColumn("dev", F.col(y) - F.avg(y).over(w) - delta)
-    cum = dev.withColumn("m", F.sum("dev").over(w))
-    return cum.withColumn("ph", F.col("m") - F.min("m").over(w)).where(F.col("ph") > limit).select(group, x, y, "ph")
+    s = series(df, [group], [x], rows).running({"__sum": ("sum", F.col(y)), "__n": ("count", F.col(y))})
+    s = s.with_columns({"__dev": F.col(y) - F.col("__sum") / F.col("__n") - delta}).running({"__m": ("sum", F.col("__dev"))}).running({"__low": ("min", F.col("__m"))})
+    return s.plain.withColumn("ph", F.col("__m") - F.col("__low")).where(F.col("ph") > limit).select(group, x, y, "ph")
 
 
-def difference_outliers(series: DataFrame, group: str, x: str, y: str, z: float = 2.0) -> DataFrame:
+def difference_outliers(df: DataFrame, group: str, x: str, y: str, z: float = 2.0, rows: int = PART_ROWS) -> DataFrame:
     """Points whose change from the one before is more than z standard deviations from the mean change."""
-    w = W.partitionBy(group)
-    d = series.withColumn("d", F.col(y) - F.lag(y).over(w.orderBy(x)))
-    return d.withColumn("z", (F.col("d") - F.avg("d").over(w)) / F.stddev_samp("d").over(w)).where(F.abs("z") > z).select(group, x, y, "d", "z")
+    s = series(df, [group], [x], rows).shifted({"__was": F.col(y)}).with_columns({"d": F.col(y) - F.col("__was")}).whole({"__mean": F.avg("d"), "__std": F.stddev_samp("d")})
+    return s.plain.withColumn("z", (F.col("d") - F.col("__mean")) / F.col("__std")).where(F.abs("z") > z).select(group, x, y, "d", "z")

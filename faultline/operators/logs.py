@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultline.functions.expressions import log_level, usable
-from faultline.plans.windows import WindowSpec
+from faultline.plans.windows import WindowSpec, in_windows
 
 # The default keywords.
 KEYWORDS = ("error", "exception", "failed", "timeout", "refused", "unavailable", "critical", "panic", "fatal", "traceback", "deadlock", "corrupt", "denied")
@@ -24,6 +24,19 @@ def of_components(logs: DataFrame, components: list[str] | None) -> DataFrame:
     return logs.where(F.col("pod").isin(components) | F.col("node").isin(components)) if components else logs
 
 
+def _states(counts: DataFrame, keys: list[str], minutes: Column, silent_too: bool) -> DataFrame:
+    """(keys, rate, mean, std, state) from the lines of each minute in the baseline (b) and in the anomaly window (a)."""
+    per_minute = F.when(F.col("b") > 0, F.col("b")).cast("double")
+    stats = counts.groupBy(*keys).agg(
+        (F.sum("a") / minutes).alias("rate"),
+        F.coalesce(F.avg(per_minute), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.stddev_samp(per_minute), F.lit(0.0)).alias("std"),
+    )
+    surge = (F.col("rate") > F.col("mean") + 3 * F.greatest("std", F.lit(0.1))) & (F.col("rate") > 5)
+    state = F.when(surge, "surge").when((F.col("mean") < 1) & (F.col("rate") > 10), "wakes").when((F.col("mean") > 5) & (F.col("rate") < 1), "falls_silent")
+    return (stats if silent_too else stats.where("rate > 0")).withColumn("state", state)
+
+
 def activity(logs: DataFrame, spec: WindowSpec, component: str = "component", time: str = "time", kind: str = "timestamp_ntz", silent_too: bool = True) -> DataFrame:
     """(component, rate, mean, std, state): lines a minute against the baseline's minutes that have lines.
 
@@ -32,15 +45,16 @@ def activity(logs: DataFrame, spec: WindowSpec, component: str = "component", ti
     base, anomaly = spec.in_baseline(time, kind), spec.in_anomaly(time, kind)
     minute = F.date_trunc("minute", F.col(time))
     counts = logs.where((base | anomaly) & F.col(component).isNotNull()).groupBy(component, minute.alias("minute")).agg(F.count_if(base).alias("b"), F.count_if(anomaly).alias("a"))
-    per_minute = F.when(F.col("b") > 0, F.col("b")).cast("double")
-    stats = counts.groupBy(component).agg(
-        (F.sum("a") / F.lit(spec.minutes)).alias("rate"),
-        F.coalesce(F.avg(per_minute), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.stddev_samp(per_minute), F.lit(0.0)).alias("std"),
-    )
-    surge = (F.col("rate") > F.col("mean") + 3 * F.greatest("std", F.lit(0.1))) & (F.col("rate") > 5)
-    state = F.when(surge, "surge").when((F.col("mean") < 1) & (F.col("rate") > 10), "wakes").when((F.col("mean") > 5) & (F.col("rate") < 1), "falls_silent")
-    return (stats if silent_too else stats.where("rate > 0")).withColumn("state", state)
+    return _states(counts, [component], F.lit(spec.minutes), silent_too)
+
+
+def activity_windows(logs: DataFrame, windows: DataFrame, ids: list[str], component: str = "component", time: str = "time", silent_too: bool = True) -> DataFrame:
+    """activity() for every window of a table (see windows.log_table) by one scan; ids: the columns that name a window."""
+    met = in_windows(logs.where(F.col(component).isNotNull()), windows, time)
+    minutes = (F.unix_micros(F.col("window.end").cast("timestamp")) - F.unix_micros(F.col("window.start").cast("timestamp"))) / 60e6
+    minute = F.date_trunc("minute", F.col(time))
+    counts = met.groupBy(*[F.col(f"window.`{i}`").alias(i) for i in ids], component, minute.alias("minute")).agg(F.count_if("__base").alias("b"), F.count_if("__anomaly").alias("a"), F.any_value(minutes).alias("minutes"))
+    return _states(counts, [*ids, component], F.max("minutes"), silent_too)
 
 
 def error_patterns(logs: DataFrame, template: Column, pod: str = "pod", node: str = "node", time: str = "time", message: str = "message") -> DataFrame:

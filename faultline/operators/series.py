@@ -42,9 +42,9 @@ KINDS: dict[str, tuple[Callable, Callable, Callable]] = {
 }
 
 
-def largest(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest key."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+def fits(df: DataFrame, keys: list[str], rows: int = PART_ROWS) -> bool:
+    """Whether no key has more rows than one task may hold."""
+    return df.count() <= rows or (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= rows
 
 
 @dataclass(frozen=True)
@@ -92,19 +92,21 @@ class Series:
         at_edge = F.row_number().over(outer) == 1
         return self._with(whole, before, {name: F.when(at_edge, F.col(f"__{name}.v")).otherwise(here[name]) for name in of})
 
-    def whole(self, of: Of) -> Series:
+    def whole(self, of: dict[str, Column]) -> Series:
         """Aggregates of each whole series, in every row."""
         if not self.split:
-            return replace(self, rows=self.rows.withColumns({name: KINDS[kind][0](c).over(W.partitionBy("__key", "__part")) for name, (kind, c) in of.items()}))
-        sums = self.rows.groupBy("__key").agg(*[KINDS[kind][0](c).alias(name) for name, (kind, c) in of.items()])
+            return replace(self, rows=self.rows.withColumns({name: c.over(W.partitionBy("__key", "__part")) for name, c in of.items()}))
+        sums = self.rows.groupBy("__key").agg(*[c.alias(name) for name, c in of.items()])
         return replace(self, rows=self.rows.join(sums, "__key"))
 
+    def with_columns(self, of: dict[str, Column]) -> Series:
+        return replace(self, rows=self.rows.withColumns(of))
+
 
 def series(df: DataFrame, keys: list[str], order: list[str], rows: int = PART_ROWS) -> Series:
     """df as series of each value of `keys` (none: a single one), cut into parts if the longest has over `rows` rows."""
     marked = df.withColumn("__key", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
-    sizes = marked.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
-    if (sizes["most"] or 0) <= rows:
+    if fits(marked, ["__key"], rows):
         return Series(marked.withColumn("__part", F.lit(0)), order, False)
-    dealt = marked.repartitionByRange(math.ceil(sizes["n"] / rows), *keys, *order)
+    dealt = marked.repartitionByRange(math.ceil(df.count() / rows), *keys, *order)
     return Series(saved(dealt.withColumn("__part", F.spark_partition_id()), "series"), order, True)

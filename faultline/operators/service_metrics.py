@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultline.functions.expressions import is_pod, service_of, severity_rank, spike
-from faultline.operators.compare import compare
+from faultline.operators.compare import compare, grouped
 from faultline.plans.windows import WindowSpec
 
 # Metric columns of a wide row, and names that are not components.
@@ -67,7 +67,8 @@ def static_dynamic_anomalies(long: DataFrame, spec: WindowSpec, kind: str = "tim
     """(object_id, object_type, metric, rule, value, bound): fixed limits of the window's maximum, and latency over the baseline's p95 + 2 std."""
     limits = limits or {"error_ratio": 0.01, "server_error_ratio": 0.01, "timeout": 1.0}
     base, anomaly, v = spec.in_baseline("time", kind), spec.in_anomaly("time", kind), F.col("value")
-    stats = long.where((base | anomaly) & F.col("metric").isin(*limits, "rrt")).groupBy(*KEYS).agg(F.max(F.when(anomaly, v)).alias("value"), F.percentile(F.when(base, v), F.lit(0.95)).alias("p95"), F.stddev_samp(F.when(base, v)).alias("std"))
+    rows = long.where((base | anomaly) & F.col("metric").isin(*limits, "rrt"))
+    stats = grouped(rows, KEYS, [F.max(F.when(anomaly, v)).alias("value"), F.stddev_samp(F.when(base, v)).alias("std")], {"p95": (F.when(base, v), 0.95)})
     fixed = F.lit(None).cast("double")
     for m, x in limits.items():
         fixed = F.when(F.col("metric") == m, F.lit(x)).otherwise(fixed)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultline.functions.expressions import comparable_name
+from faultline.operators.compare import grouped
 
 
 def tag(tags: Column, *keys: str) -> Column:
@@ -89,7 +90,7 @@ def of_traces(flat: DataFrame, ids: DataFrame) -> DataFrame:
 def latency_thresholds(flat: DataFrame, by: tuple[str, str] = ("service", "operation"), least_rows: int = 5, floor: int = 1000) -> DataFrame:
     """(by, threshold): the 95th percentile, 1000 at least, where there are five spans."""
     known = flat.where(F.col(by[0]).isNotNull() & F.col(by[1]).isNotNull())
-    return known.groupBy(*by).agg(F.count("duration").alias("n"), F.percentile("duration", F.lit(0.95)).alias("p95")).where(F.col("n") >= least_rows).select(*by, F.greatest(F.floor(F.round("p95", 6)), F.lit(floor)).cast("long").alias("threshold"))
+    return grouped(known, list(by), [F.count("duration").alias("n")], {"p95": (F.col("duration"), 0.95)}).where(F.col("n") >= least_rows).select(*by, F.greatest(F.floor(F.round("p95", 6)), F.lit(floor)).cast("long").alias("threshold"))
 
 
 def one_span_each(flat: DataFrame, order: list[Column]) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_SECONDS, QUARANTINE, BASELINE, LOG_CONTEXT = 120, timedelta(minutes=5), timedelta(minutes=10), timedelta(minutes=5)
@@ -100,3 +100,40 @@ class WindowSpec:
 
     def in_anomaly(self, time: str, kind: str = "timestamp_ntz") -> Column:
         return F.col(time).between(self.bound(self.start, kind), self.bound(self.end, kind))
+
+
+def incident_table(cases: DataFrame, start: str = "start", end: str = "end", quarantine: timedelta = QUARANTINE, baseline: timedelta = BASELINE, before: bool = False) -> DataFrame:
+    """cases with the window of each (baseline_start, baseline_end, start, end), by the rules of WindowSpec.incident."""
+    a, b = F.col(start), F.col(end)
+    least = F.make_dt_interval(secs=F.lit(MIN_SECONDS))
+    short = b < a + least
+    a = F.when(short, a - least).otherwise(a) if before else a
+    b = F.when(short, a + least).otherwise(b)
+    return cases.select(*[c for c in cases.columns if c not in (start, end)], (a - F.lit(quarantine + baseline)).alias("baseline_start"), (a - F.lit(quarantine)).alias("baseline_end"), a.alias("start"), b.alias("end"))
+
+
+def log_table(cases: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """As incident_table, by the rules of WindowSpec.logs."""
+    own = incident_table(cases, start, end)
+    return own.withColumns({"baseline_start": F.col("start") - F.lit(LOG_CONTEXT), "baseline_end": F.col("start")})
+
+
+#: Seconds of the time buckets by which rows and windows meet, and windows' buckets that are broadcast at most.
+BUCKET_SECONDS, BROADCAST_BUCKETS = 600, 200_000
+
+
+def in_windows(rows: DataFrame, windows: DataFrame, time: str = "time") -> DataFrame:
+    """rows with `window`, for each window whose baseline (half-open) or anomaly part (closed) holds the row's time, and the flags __base and __anomaly.
+
+    One scan serves all windows, which may overlap: rows and windows meet by time buckets. The scan is bounded by the first and the last time of all.
+    """
+    bucket = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / (BUCKET_SECONDS * 1_000_000))
+    part = lambda a, b: F.sequence(bucket(F.col(a)), bucket(F.col(b)))
+    fine = windows.where((F.col("baseline_start") <= F.col("baseline_end")) & (F.col("start") <= F.col("end")))
+    held = fine.select(F.struct(*windows.columns).alias("window"), F.explode(F.array_distinct(F.concat(part("baseline_start", "baseline_end"), part("start", "end")))).alias("__bucket"))
+    ends = fine.agg(F.min(F.least("baseline_start", "start")).cast("string").alias("low"), F.max(F.greatest("baseline_end", "end")).cast("string").alias("high"), F.sum(F.size(part("baseline_start", "baseline_end")) + F.size(part("start", "end"))).alias("n")).first()
+    kind = rows.schema[time].dataType
+    own = rows.where(F.col(time).between(F.lit(ends["low"]).cast(kind), F.lit(ends["high"]).cast(kind))).withColumn("__bucket", bucket(F.col(time)))
+    met = own.join(F.broadcast(held) if (ends["n"] or 0) <= BROADCAST_BUCKETS else held, "__bucket").drop("__bucket")
+    base = (F.col(time) >= F.col("window.baseline_start")) & (F.col(time) < F.col("window.baseline_end"))
+    return met.withColumns({"__base": base, "__anomaly": F.col(time).between(F.col("window.start"), F.col("window.end"))}).where("__base or __anomaly")

@@ -22,9 +22,10 @@ from faultline.operators import insights as ins
 from faultline.operators import logs as log_ops
 from faultline.operators import service_metrics as svc
 from faultline.operators import traces as tr
-from faultline.operators.compare import compare, counter_rates, systematic_sample
+from faultline.operators.compare import compare, compare_windows, counter_rates, percentiles, systematic_sample
+from faultline.operators.series import series
 from faultline.plans import diagnosis, topology
-from faultline.plans.windows import LOOSE_PATTERN, WindowSpec, range_columns
+from faultline.plans.windows import LOOSE_PATTERN, WindowSpec, incident_table, log_table, range_columns
 from faultline.sources import telemetry
 from faultline.streaming.windows import metric_windows
 
@@ -781,14 +782,46 @@ def time_ranges_in_text(spark, sf_dir):
 @query("""WITH w AS (SELECT n_nationkey, TIMESTAMP '2024-01-01' + to_hours(n_nationkey) AS a, TIMESTAMP '2024-01-01' + to_hours(n_nationkey) + to_seconds(n_nationkey * 10) AS b FROM nation), x AS (SELECT n_nationkey, a, CASE WHEN n_nationkey * 10 < 120 THEN a + INTERVAL 120 SECOND ELSE b END AS e, CASE WHEN n_nationkey * 10 < 120 THEN a - INTERVAL 120 SECOND ELSE a END AS before FROM w)
  SELECT n_nationkey, a AS start, e AS end, a - INTERVAL 15 MINUTE AS baseline_start, a - INTERVAL 5 MINUTE AS baseline_end, before AS before_start, before - INTERVAL 5 MINUTE AS before_baseline_end, a - INTERVAL 5 MINUTE AS log_context FROM x""")
 def incident_windows(spark, sf_dir):
-    """The windows are plain values; one for each nation."""
-    rows = []
-    for r in table(spark, sf_dir, "nation").select("n_nationkey").collect():  # 25 rows at every scale
-        a = datetime(2024, 1, 1) + timedelta(hours=r[0])
-        spec, moved, logs = (f(a, a + timedelta(seconds=10 * r[0])) for f in (WindowSpec.incident, lambda x, y: WindowSpec.incident(x, y, before=True), WindowSpec.logs))
-        rows.append((r[0], spec.start, spec.end, spec.baseline_start, spec.baseline_end, moved.start, moved.baseline_end, logs.baseline_start))
-    names = ("start", "end", "baseline_start", "baseline_end", "before_start", "before_baseline_end", "log_context")
-    return spark.createDataFrame(rows, "n_nationkey int, " + ", ".join(f"{n} timestamp_ntz" for n in names))
+    """The three rules for a window, for a case of each nation."""
+    a = F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("n_nationkey"))
+    cases = table(spark, sf_dir, "nation").select("n_nationkey", a.alias("start"), (a + F.make_dt_interval(secs=F.col("n_nationkey") * 10)).alias("end"))
+    own, moved, logs = incident_table(cases), incident_table(cases, before=True), log_table(cases)
+    out = own.join(moved.select("n_nationkey", F.col("start").alias("before_start"), F.col("baseline_end").alias("before_baseline_end")), "n_nationkey")
+    return out.join(logs.select("n_nationkey", F.col("baseline_start").alias("log_context")), "n_nationkey")
+
+
+def overlapping_cases(spark, sf_dir):
+    """A case for each nation: windows of 6 to 54 hours, 12 hours apart."""
+    a = F.lit(datetime(2024, 1, 8)).cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("n_nationkey") * 12)
+    return table(spark, sf_dir, "nation").select("n_nationkey", a.alias("start"), (a + F.make_dt_interval(hours=F.col("n_nationkey") * 2 + 6)).alias("end"))
+
+
+CASES_SQL = "SELECT n_nationkey, TIMESTAMP '2024-01-08' + to_hours(n_nationkey * 12) AS s, TIMESTAMP '2024-01-08' + to_hours(n_nationkey * 14 + 6) AS e FROM nation"
+
+
+@query(f"""WITH c AS ({CASES_SQL}), m AS ({LONG_SQL}),
+ j AS (SELECT *, time >= s - INTERVAL 60 HOUR AND time < s - INTERVAL 12 HOUR AS base, time BETWEEN s AND e AS anomaly FROM m JOIN c ON time BETWEEN s - INTERVAL 60 HOUR AND e),
+ g AS (SELECT n_nationkey, object_id, metric, coalesce(avg(value) FILTER (WHERE base), 0) AS bv, coalesce(stddev_samp(value) FILTER (WHERE base), 0) AS bs, coalesce(quantile_cont(value::DOUBLE, 0.99) FILTER (WHERE base), 0) AS bp, avg(value) FILTER (WHERE anomaly) AS av, max(value) FILTER (WHERE anomaly) AS amax, count(*) FILTER (WHERE anomaly) AS n, count(*) FILTER (WHERE base) AS nb FROM j GROUP BY ALL)
+ SELECT n_nationkey, object_id, metric, round(bv, 6) AS baseline_value, round(bs, 6) AS baseline_std, round(bp, 6) AS baseline_p99, round(av, 6) AS anomaly_value, round(amax, 6) AS anomaly_max, n AS n_anomaly, nb AS n_baseline, round(CASE WHEN abs(bv) <= 1e-8 AND av > 0.001 THEN 99999.0 WHEN abs(bv) <= 1e-8 THEN 0.0 ELSE (av - bv) / bv * 100 END, 6) AS change_percentage FROM g WHERE n > 0""")
+def incidents_compared(spark, sf_dir):
+    """Twenty-five overlapping incidents by one scan of the metrics."""
+    windows = incident_table(overlapping_cases(spark, sf_dir), quarantine=timedelta(hours=12), baseline=timedelta(hours=48))
+    stats = compare_windows(metric_long(spark, sf_dir), ["object_id", "metric"], windows, ["n_nationkey"])
+    return rounded(stats.select("n_nationkey", "object_id", "metric", "baseline_value", "baseline_std", "baseline_p99", "anomaly_value", "anomaly_max", "n_anomaly", "n_baseline", "change_percentage"))
+
+
+@query("""WITH l AS (SELECT 'pod-' || CAST(user_id % 6 AS VARCHAR) AS component, TIMESTAMP '2024-01-20 10:00:00' + to_seconds(CASE user_id % 6 WHEN 5 THEN event_id % 480 ELSE event_id * 7 % 1500 END) AS time FROM events),
+ c AS (SELECT n_nationkey, TIMESTAMP '2024-01-20 10:05:00' + to_seconds(n_nationkey * 20) AS s, TIMESTAMP '2024-01-20 10:05:00' + to_seconds(n_nationkey * 20 + greatest(n_nationkey * 30, 120)) AS e FROM nation),
+ m AS (SELECT n_nationkey, component, date_trunc('minute', time) AS minute, any_value(s) AS s, any_value(e) AS e, count(*) FILTER (WHERE time < s) AS b, count(*) FILTER (WHERE time >= s) AS a FROM l JOIN c ON time >= s - INTERVAL 5 MINUTE AND time <= e GROUP BY ALL),
+ g AS (SELECT n_nationkey, component, sum(a) / (epoch(any_value(e)) - epoch(any_value(s))) * 60 AS rate, coalesce(avg(b::DOUBLE) FILTER (WHERE b > 0), 0) AS mean, coalesce(stddev_samp(b::DOUBLE) FILTER (WHERE b > 0), 0) AS std FROM m GROUP BY 1, 2)
+ SELECT n_nationkey, component, round(rate, 6) AS rate, round(mean, 6) AS mean, round(std, 6) AS std, CASE WHEN rate > mean + 3 * greatest(std, 0.1) AND rate > 5 THEN 'surge' WHEN mean < 1 AND rate > 10 THEN 'wakes' WHEN mean > 5 AND rate < 1 THEN 'falls_silent' END AS state FROM g""")
+def incidents_log_activity(spark, sf_dir):
+    """As incidents_compared, for lines; one component falls silent after eight minutes."""
+    seconds = F.when(F.col("user_id") % 6 == 5, F.col("event_id") % 480).otherwise(F.col("event_id") * 7 % 1500)
+    lines = table(spark, sf_dir, "events").select(F.concat(F.lit("pod-"), F.col("user_id") % 6).alias("component"), (F.lit("2024-01-20 10:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)).alias("time"))
+    a = F.lit("2024-01-20 10:05:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("n_nationkey") * 20)
+    cases = table(spark, sf_dir, "nation").select("n_nationkey", a.alias("start"), (a + F.make_dt_interval(secs=F.col("n_nationkey") * 30)).alias("end"))
+    return rounded(log_ops.activity_windows(lines, log_table(cases), ["n_nationkey"]))
 
 
 @query("SELECT event_type AS plan, count(*) AS total, count(*) FILTER (WHERE user_id % 3 = 0) AS success, count(*) FILTER (WHERE user_id % 3 <> 0) AS failure FROM events GROUP BY event_type")
@@ -817,6 +850,67 @@ def resource_causes(spark, sf_dir):
     return diagnosis.resource_causes(findings(spark, sf_dir), calls)
 
 
+# ---- long series ------------------------------------------------------------------------------
+
+#: Rows of a part in these queries, so that their one series is cut at every scale.
+SMALL_PARTS = 2000
+
+
+def all_events(spark, sf_dir):
+    """All events as one series; x is its order."""
+    return table(spark, sf_dir, "events").select(F.lit("all").alias("all"), F.struct("ts", "event_id").alias("x"), F.col("event_id"), "ts", "value")
+
+
+@query("""SELECT event_id, round(sum(value) OVER w, 4) AS total, count(*) OVER w AS n, min(value) OVER w AS low, max(value) OVER w AS high, lag(value) OVER w AS was, lead(event_id) OVER w AS next_id FROM events WINDOW w AS (ORDER BY ts, event_id)""")
+def split_series(spark, sf_dir):
+    s = series(table(spark, sf_dir, "events").select("ts", "event_id", "value"), [], ["ts", "event_id"], SMALL_PARTS)
+    s = s.running({"total": ("sum", F.col("value")), "n": ("count", F.lit(1)), "low": ("min", F.col("value")), "high": ("max", F.col("value"))})
+    s = s.shifted({"was": F.col("value")}).shifted({"next_id": F.col("event_id")}, ahead=True)
+    return s.plain.select("event_id", F.round("total", 4).alias("total"), "n", "low", "high", "was", "next_id")
+
+
+@query("""WITH d AS (SELECT event_id, value, value - lag(value) OVER w AS d, lead(value) OVER w - value AS n FROM events WINDOW w AS (ORDER BY ts, event_id)),
+ z AS (SELECT *, (d - avg(d) OVER ()) / stddev_samp(d) OVER () AS z FROM d)
+ SELECT event_id, 'turn' AS kind, round(d, 4) AS change FROM d WHERE d * n < 0 UNION ALL SELECT event_id, 'jump', round(d, 4) FROM z WHERE abs(z) > 2""")
+def split_series_changes(spark, sf_dir):
+    e = all_events(spark, sf_dir)
+    turns = ins.turning_points(e, "all", "x", "value", SMALL_PARTS).select("event_id", F.lit("turn").alias("kind"), F.round("change", 4).alias("change"))
+    jumps = ins.difference_outliers(e, "all", "x", "value", rows=SMALL_PARTS).select(F.col("x.event_id").alias("event_id"), F.lit("jump").alias("kind"), F.round("d", 4).alias("change"))
+    return turns.unionByName(jumps)
+
+
+@query("""WITH a AS (SELECT event_id, ts, value, value - avg(value) OVER (ORDER BY ts, event_id) - 0.005 AS dev FROM events), m AS (SELECT *, sum(dev) OVER (ORDER BY ts, event_id) AS m FROM a)
+ SELECT event_id, round(ph, 3) AS ph FROM (SELECT event_id, m - min(m) OVER (ORDER BY ts, event_id) AS ph FROM m) WHERE ph > 1000""")
+def split_series_shifts(spark, sf_dir):
+    found = ins.page_hinkley(all_events(spark, sf_dir), "all", "x", "value", limit=1000.0, rows=SMALL_PARTS)
+    return found.select("x.event_id", F.round("ph", 3).alias("ph"))
+
+
+@query("""WITH t AS (SELECT event_id, ts, sum(value) OVER (ORDER BY ts, event_id) AS total FROM events), d AS (SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS us, total - lag(total) OVER w AS dv FROM t WINDOW w AS (ORDER BY ts, event_id))
+ SELECT event_id, round(coalesce(CASE WHEN us > 0 THEN dv / (us / 1e6) END, 0.0), 6) AS value FROM d""")
+def split_series_rate(spark, sf_dir):
+    """One counter over all events, as a rate."""
+    s = series(table(spark, sf_dir, "events").select(F.lit("all").alias("k"), F.lit("total").alias("kpi_key"), F.col("ts").alias("time"), "event_id", "value"), [], ["time", "event_id"], SMALL_PARTS)
+    counter = s.running({"total": ("sum", F.col("value"))}).plain.drop("value").withColumnRenamed("total", "value")
+    return rounded(counter_rates(counter, ["k"], F.lit(True), F.lit("total_per_second"), tie="event_id", limit=SMALL_PARTS).select("event_id", "value"))
+
+
+@query("""SELECT l_returnflag, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.995), 6) AS p995, round(quantile_cont(v, 0.9999), 6) AS p9999
+ FROM (SELECT l_returnflag, CASE WHEN l_orderkey % 100 = 7 THEN l_extendedprice ELSE 0.0 END::DOUBLE AS v FROM lineitem) GROUP BY l_returnflag""")
+def counted_percentiles(spark, sf_dir):
+    """Of groups in which 99 rows of 100 are zero, ordered in parts."""
+    v = F.when(F.col("l_orderkey") % 100 == 7, F.col("l_extendedprice")).otherwise(0.0)
+    at = {"median": 0.5, "p95": 0.95, "p995": 0.995, "p9999": 0.9999}
+    return rounded(percentiles(table(spark, sf_dir, "lineitem").select("l_returnflag", v.alias("v")), "l_returnflag", "v", at, rows=100))
+
+
+@query("""WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS rx, rank() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_returnflag, l_extendedprice) - 1) / 2 AS ry FROM lineitem)
+ SELECT l_returnflag, round(corr(rx, ry), 6) AS spearman FROM r GROUP BY l_returnflag""")
+def rank_correlation(spark, sf_dir):
+    """Of many rows with ties, ranked in parts."""
+    return rounded(ins.spearman(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice", SMALL_PARTS))
+
+
 # ---- text and insights ------------------------------------------------------------------------
 
 

@@ -30,7 +30,7 @@ def test_running_and_shifted(frame, sorted_rows, rows):
     s = series(frame, ["k"], ["t", "id"], rows)
     assert s.split == (rows < 1000)
     s = s.running({"total": ("sum", F.col("v")), "n": ("count", F.lit(1)), "low": ("min", F.col("v")), "bits": ("xor", F.col("id"))})
-    s = s.shifted({"was": F.col("v")}).shifted({"next": F.col("v")}, ahead=True).whole({"all": ("count", F.lit(1))})
+    s = s.shifted({"was": F.col("v")}).shifted({"next": F.col("v")}, ahead=True).whole({"all": F.count(F.lit(1))})
     if s.split:
         assert s.rows.select("__part").distinct().count() >= 20
     got = s.plain.toPandas().sort_values("id").reset_index(drop=True)
