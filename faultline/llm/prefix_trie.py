@@ -111,7 +111,7 @@ def prefix_trie(conversations: DataFrame, rows: int = PART_ROWS) -> DataFrame:
         b1, b2 = _bits(F.col("digest"), F.col("depth"))
         told = rebuilt(own, rows).withColumns({"b1": F.when(F.col("depth") > 0, b1).otherwise(0), "b2": F.when(F.col("depth") > 0, b2).otherwise(0)})
         path = series(tmp.saved(told, "rebuilt"), ["conv_id"], ["depth"], rows)
-        path = path.running({"k1": ("xor", F.col("b1")), "k2": ("xor", F.col("b2")), "upto": ("sum", F.col("bytes"))}).whole({"length": ("max", F.col("depth")), "total": ("sum", F.col("bytes"))})
+        path = path.running({"k1": ("xor", F.col("b1")), "k2": ("xor", F.col("b2")), "upto": ("sum", F.col("bytes"))}).whole({"length": F.max("depth"), "total": F.sum("bytes")})
         before = F.col("upto") - F.col("bytes")
         up = lambda k, b: F.col(k).bitwiseXOR(F.col(b))
         paths = tmp.saved(path.plain.select("conv_id", *NODE, "digest", up("k1", "b1").alias("p1"), up("k2", "b2").alias("p2"), before.alias("before"), "total", "length", (F.col("depth") == F.col("length")).alias("ends")), "paths")
