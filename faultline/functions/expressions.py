@@ -157,17 +157,3 @@ def log_template(message: Column, depth: int = 3) -> Column:
         return F.when(o.isNull(), plain_template(message)).when(is_text, nested).otherwise(F.array_join(F.array_sort(F.map_keys(o)), "_"))
 
     return F.when(message.isNull(), "non-string log message").otherwise(_once(F.try_variant_get(F.try_parse_json(message), "$", "map<string,variant>"), of_object))
-
-
-HTML_MARKUP = (r"(?is)<!--.*?-->", *(rf"(?is)<{t}\b[^>]*>.*?</{t}[ ]*>" for t in ("script", "style", "header", "footer", "nav")), r"(?s)<[^>]*>")
-HTML_NAMES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-HTML_LIMIT = 10_000
-
-
-def html_text(html: Column, limit: int = HTML_LIMIT) -> Column:
-    """Without markup and what is not prose, white space collapsed, `limit` characters at most."""
-    for pattern in HTML_MARKUP:
-        html = F.regexp_replace(html, pattern, " ")
-    for name, new in HTML_NAMES:
-        html = F.replace(html, F.lit(name), F.lit(new))
-    return F.substring(F.trim(F.regexp_replace(html, r"[ \t\r\n\f\x0B]+", " ")), 1, limit)

@@ -105,12 +105,19 @@ def counter_rates(long: DataFrame, keys: list[str], is_counter: Column, name: Co
     return marked.withColumns({value: F.when(F.col("__counter"), rate).otherwise(F.col(value)), metric: F.when(F.col("__counter"), name).otherwise(F.col(metric))}).drop("__counter", "__s", "__d", "__time", "__was", "__window")
 
 
+def numbered(df: DataFrame, value: Column, order: list[Column], by: list[str] | None = None, rows: int = PART_ROWS) -> DataFrame:
+    """df with __rank, a row's place (from 1) in its group by value and order, and __n, the group's rows."""
+    names = [f"__o{i}" for i in range(len(order) + 1)]
+    marked = df.withColumns(dict(zip(names, [value, *order], strict=True)))
+    return series(marked, by or [], names, rows).running({"__rank": ("count", F.lit(1))}).whole({"__n": F.count(F.lit(1))}).plain.drop(*names)
+
+
 def systematic_sample(df: DataFrame, limit: int, time: str = "time", tie: str | None = None, seed: int = 42, rows: int = PART_ROWS) -> DataFrame:
     """Every (n // limit)-th row in order of time; if that is still over limit, the rows of smallest hash."""
     n = df.count()
     step = max(n // max(limit, 1), 1)
-    order = [time, *([tie] if tie else [])]
-    kept = series(df, [], order, rows).running({"__rank": ("count", F.lit(1))}).plain.where((F.col("__rank") - 1) % step == 0)
+    order = [F.col(time), *([F.col(tie)] if tie else [])]
+    kept = numbered(df, order[0], order[1:], rows=rows).where((F.col("__rank") - 1) % step == 0)
     if -(-n // step) > limit:
         kept = kept.orderBy(F.xxhash64(F.lit(seed), *order), *order).limit(limit)
-    return kept.drop("__rank")
+    return kept.drop("__rank", "__n")

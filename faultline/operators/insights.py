@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +17,32 @@ def trend(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     return df.groupBy(group).agg(F.regr_slope(y, x).alias("slope"), F.regr_r2(y, x).alias("r2"))
 
 
+def trend_break(df: DataFrame, group: str, x: str, y: str, least: int = 3, abnormal_from: float = 0.5, rows: int = PART_ROWS) -> DataFrame:
+    """(group, since, slope_before, slope_after, explained, abnormal): the place where two lines fit a series best.
+
+    `since` is the x of the second line's first point (ties: the smallest); each line has `least` points or more. explained: the share of the one
+    line's squared error that the second takes away; abnormal: at least `abnormal_from`. Every place is tried, on running sums of moments about the means; series that lie on one line give no row.
+    """
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    s = series(known, [group], ["__x", "__y"], rows).whole({"__mx": F.avg("__x"), "__my": F.avg("__y")}).with_columns({"__x0": F.col("__x") - F.col("__mx"), "__y0": F.col("__y") - F.col("__my")})
+    moments = {"n": F.lit(1.0), "x": F.col("__x0"), "y": F.col("__y0"), "xx": F.col("__x0") * F.col("__x0"), "xy": F.col("__x0") * F.col("__y0"), "yy": F.col("__y0") * F.col("__y0")}
+    s = s.running({f"__a{m}": ("sum", c) for m, c in moments.items()}).whole({f"__t{m}": F.sum(c) for m, c in moments.items()})
+
+    def line(of: Callable[[str], Column]) -> tuple[Column, Column]:
+        """(slope, squared error) from the six sums."""
+        sxx, sxy, syy = of("xx") - of("x") * of("x") / of("n"), of("xy") - of("x") * of("y") / of("n"), of("yy") - of("y") * of("y") / of("n")
+        slope = F.when(sxx > 1e-12 * F.greatest(F.col("__txx"), F.lit(1e-300)), sxy / sxx)
+        return slope, F.greatest(syy - F.coalesce(slope * sxy, F.lit(0.0)), F.lit(0.0))
+
+    before, error_before = line(lambda m: F.col(f"__a{m}"))
+    after, error_after = line(lambda m: F.col(f"__t{m}") - F.col(f"__a{m}"))
+    _, error = line(lambda m: F.col(f"__t{m}"))
+    tried = s.shifted({"__next": F.col("__x")}, ahead=True).rows.where((F.col("__an") >= least) & (F.col("__tn") - F.col("__an") >= least))
+    tried = tried.select(group, F.col("__next").alias("since"), before.alias("slope_before"), after.alias("slope_after"), error.alias("one"), (error_before + error_after).alias("two"), F.col("__tyy").alias("all")).where(F.col("one") > 1e-9 * F.col("all"))
+    best = tried.groupBy(group).agg(F.min(F.struct(F.round(F.col("two") / F.col("all"), 12).alias("e"), "since", "slope_before", "slope_after", (1 - F.col("two") / F.col("one")).alias("explained"))).alias("b"))
+    return best.select(group, "b.since", "b.slope_before", "b.slope_after", "b.explained", (F.col("b.explained") >= abnormal_from).alias("abnormal"))
+
+
 def pearson(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     return df.groupBy(group).agg(F.corr(x, y).alias("pearson"))
 

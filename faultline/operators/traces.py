@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,10 +80,41 @@ def export_rows(spans: DataFrame, *more: str) -> DataFrame:
     ).orderBy("traceID", "startTime")
 
 
+#: The columns in which a span names a component.
+NAMED_IN = ("pod", "service", "operation", "peer_service", "peer_ip")
+
+
+def relevant_to(flat: DataFrame, components: list[str]) -> DataFrame:
+    """(component, trace_id) of traces with a span that names the component in its pod, service, operation or peer.
+
+    One scan for all components: an automaton over their names goes once through what a span holds.
+    """
+    import ahocorasick
+
+    wanted: dict[str, list[str]] = {}
+    for c in components:
+        plain = re.sub("[^a-z0-9]", "", ("redis" if c == "redis-cart" else c).lower())
+        wanted.setdefault(plain, []).append(c)
+    everywhere = wanted.pop("", [])  # a name without letters or digits is in every text
+    automaton = ahocorasick.Automaton()
+    for plain, own in wanted.items():
+        automaton.add_word(plain, tuple(own))
+    automaton.make_automaton()
+
+    @F.pandas_udf("array<string>")
+    def named(texts: pd.Series) -> pd.Series:
+        search = automaton.iter if len(automaton) else lambda _: ()
+        return texts.map(lambda t: sorted({c for _, own in search(t) for c in own}.union(everywhere if t else ())))
+
+    held = F.concat_ws("\n", *[comparable_name(F.col(c)) for c in NAMED_IN])  # the mark is in no name
+    known = flat.where(F.coalesce(*NAMED_IN).isNotNull())
+    return known.select("trace_id", F.explode(named(F.concat(held, F.lit("\n")))).alias("component")).distinct().select("component", "trace_id")
+
+
 def relevant(flat: DataFrame, component: str) -> DataFrame:
-    """(trace_id) of traces with a span that names the component in its pod, service, operation or peer."""
+    """(trace_id) of the traces relevant to one component."""
     wanted = comparable_name(F.lit("redis" if component == "redis-cart" else component))
-    hit = comparable_name(F.col("pod")).contains(wanted) | comparable_name(F.col("service")).contains(wanted) | comparable_name(F.col("operation")).contains(wanted) | comparable_name(F.col("peer_service")).contains(wanted) | comparable_name(F.col("peer_ip")).contains(wanted)
+    hit = reduce(lambda a, b: a | b, [comparable_name(F.col(c)).contains(wanted) for c in NAMED_IN])
     return flat.where(hit).select("trace_id").distinct()
 
 

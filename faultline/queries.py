@@ -6,8 +6,6 @@ properties are log lines, conversations are traces, lineitem is a dirty trace.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 from functools import reduce
@@ -17,16 +15,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from faultline.functions import expressions as ex
+from faultline.functions.html import HTML_LIMIT, html_text
 from faultline.operators import infra_metrics as infra
 from faultline.operators import insights as ins
 from faultline.operators import logs as log_ops
 from faultline.operators import service_metrics as svc
 from faultline.operators import traces as tr
 from faultline.operators.compare import compare, compare_windows, counter_rates, percentiles, systematic_sample
+from faultline.operators.density import dbscan, local_outlier_factor
 from faultline.operators.series import series
 from faultline.plans import diagnosis, topology
 from faultline.plans.windows import LOOSE_PATTERN, WindowSpec, incident_table, log_table, range_columns
 from faultline.sources import telemetry
+from faultline.sources.scratch import new_dir
 from faultline.streaming.windows import metric_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -476,8 +477,7 @@ LAKE_SQL = "time BETWEEN TIMESTAMP '2024-01-09 14:30:00' AND TIMESTAMP '2024-01-
 
 def lake(spark: SparkSession, rows: DataFrame, path: str, time: str = "local", **names: str) -> str:
     """Writes rows (with the column `local`, a UTC+8 time) below a new folder, a file for each local date or hour, and more files than the window needs."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="faultline-lake-")
-    root = f"{root}/lake-{uuid.uuid4().hex}"
+    root = new_dir(spark, "lake")
     hours = "{hour}" in path
     marked = rows.withColumns({"__day": F.date_format("local", "yyyy-MM-dd"), "__hour": F.date_format("local", "HH")}).drop("local")
     for r in marked.select("__day", *(["__hour"] if hours else [])).distinct().collect():  # a row for each file
@@ -551,8 +551,7 @@ def lake_spans(spark, sf_dir):
 @query(f"SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS id, CASE WHEN conv_id % 4 = 0 THEN CASE WHEN (conv_id + turn) % 5 = 0 THEN 503 ELSE 200 END ELSE 0 END AS status_code FROM conversations")
 def csv_of_traces(spark, sf_dir):
     """Flattened traces as CSV, and back."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="faultline-csv-")
-    path = f"{root}/csv-{uuid.uuid4().hex}"
+    path = new_dir(spark, "csv")
     telemetry.write_csv(tr.export_rows(conversation_spans(spark, sf_dir)), path)
     back = telemetry.chart_rows(spark, path).select(F.from_json("record", "traceID string, spanID string, status_code int").alias("r"))
     return back.select(F.concat("r.traceID", F.lit("/"), "r.spanID").alias("id"), "r.status_code")
@@ -560,8 +559,7 @@ def csv_of_traces(spark, sf_dir):
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY o_orderstatus")
 def json_sink(spark, sf_dir):
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="faultline-json-")
-    path = f"{root}/json-{uuid.uuid4().hex}"
+    path = new_dir(spark, "json")
     telemetry.write_json(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")), path)
     return spark.read.schema("status string").json(path).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -648,8 +646,7 @@ PLAIN_NAME = "regexp_replace(lower({0}), '[^a-z0-9]', '', 'g')"
 
 @query(f"WITH f AS ({FLAT_SQL}) " + " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS component, trace_id FROM f WHERE " + " OR ".join(f"contains({PLAIN_NAME.format(x)}, {PLAIN_NAME.format(repr('redis' if c == 'redis-cart' else c))})" for x in ("pod", "service", "operation", "peer_service", "peer_ip")) for c in RELEVANT))
 def relevant_traces(spark, sf_dir):
-    flat = tr.flatten(conversation_spans(spark, sf_dir))
-    return reduce(DataFrame.unionByName, [tr.relevant(flat, c).select(F.lit(c).alias("component"), "trace_id") for c in RELEVANT])
+    return tr.relevant_to(tr.flatten(conversation_spans(spark, sf_dir)), list(RELEVANT))
 
 
 FAMILY_SQL = f"""WITH f AS ({FLAT_SQL}), t AS ({THRESHOLD_SQL}), c AS (SELECT trace_id, parent_id AS span_id, sum(duration) AS children_us FROM f GROUP BY 1, 2),
@@ -914,16 +911,19 @@ def rank_correlation(spark, sf_dir):
 # ---- text and insights ------------------------------------------------------------------------
 
 
+# The pages hold no nested removed elements, quoted signs or rare entities: there these patterns give what the tokenizer gives.
+HTML_MARKUP = (r"(?is)<!--.*?-->", *(rf"(?is)<{t}\b[^>]*>.*?</{t}[ ]*>" for t in ("script", "style", "header", "footer", "nav")), r"(?s)<[^>]*>")
+HTML_NAMES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 HTML_SQL = "html"
-for _pattern in ex.HTML_MARKUP:
+for _pattern in HTML_MARKUP:
     HTML_SQL = f"regexp_replace({HTML_SQL}, '{_pattern}', ' ', 'g')"
-for _name, _new in ex.HTML_NAMES:
+for _name, _new in HTML_NAMES:
     HTML_SQL = f"replace({HTML_SQL}, '{_name}', '{_new.replace(chr(39), chr(39) * 2)}')"
 
 
-@query(f"SELECT page_id, substring(trim(regexp_replace({HTML_SQL}, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')), 1, {ex.HTML_LIMIT}) AS text FROM pages")
+@query(f"SELECT page_id, substring(trim(regexp_replace({HTML_SQL}, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g')), 1, {HTML_LIMIT}) AS text FROM pages")
 def html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", ex.html_text(F.col("html")).alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
 DAILY_SQL = "SELECT event_type, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS day, sum(value) AS value FROM events GROUP BY 1, 2"
@@ -987,6 +987,56 @@ def metric_windows_hourly(spark, sf_dir):
     return rounded(metric_windows(metric_long(spark, sf_dir), "1 hour"))
 
 
+@query(f"""WITH d AS ({{DAILY}}), p AS (SELECT a.event_type, a.day AS since, count(*) FILTER (WHERE b.day < a.day) AS n1, count(*) FILTER (WHERE b.day >= a.day) AS n2,
+  regr_slope(b.value, b.day) FILTER (WHERE b.day < a.day) AS s1, regr_slope(b.value, b.day) FILTER (WHERE b.day >= a.day) AS s2,
+  regr_syy(b.value, b.day) FILTER (WHERE b.day < a.day) * (1 - regr_r2(b.value, b.day) FILTER (WHERE b.day < a.day)) + regr_syy(b.value, b.day) FILTER (WHERE b.day >= a.day) * (1 - regr_r2(b.value, b.day) FILTER (WHERE b.day >= a.day)) AS two,
+  regr_syy(b.value, b.day) * (1 - regr_r2(b.value, b.day)) AS one FROM d a JOIN d b USING (event_type) GROUP BY 1, 2)
+ SELECT event_type, CAST(since AS DOUBLE) AS since, round(s1, 4) AS slope_before, round(s2, 4) AS slope_after, round(1 - two / one, 6) AS explained, 1 - two / one >= 0.5 AS abnormal FROM p WHERE n1 >= 3 AND n2 >= 3 QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY two, since) = 1""".replace("{DAILY}", DAILY_SQL))
+def insight_abnormal_trend(spark, sf_dir):
+    t = ins.trend_break(daily(spark, sf_dir), "event_type", "day", "value")
+    return t.select("event_type", "since", F.round("slope_before", 4).alias("slope_before"), F.round("slope_after", 4).alias("slope_after"), F.round("explained", 6).alias("explained"), "abnormal")
+
+
+#: Days and sixteenths of value: one unit of either counts alike.
+PLANE_SQL = "SELECT event_id AS id, epoch(ts) / 86400.0 AS x, value / 16 AS y FROM events"
+
+
+@query(f"""WITH RECURSIVE p AS ({PLANE_SQL}), n AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON b.x BETWEEN a.x - 0.2 AND a.x + 0.2 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.2 * 0.2),
+ c AS (SELECT a AS id FROM n GROUP BY a HAVING count(*) >= 6), e AS (SELECT a, b FROM n WHERE a IN (SELECT id FROM c) AND b IN (SELECT id FROM c)),
+ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b), k AS (SELECT a AS id, min(b) AS cluster FROM r GROUP BY a)
+ SELECT p.id AS event_id, k.id IS NOT NULL AS core, coalesce(k.cluster, (SELECT min(o.cluster) FROM n JOIN k o ON o.id = n.b WHERE n.a = p.id)) AS cluster FROM p LEFT JOIN k ON k.id = p.id""")
+def insight_clusters(spark, sf_dir):
+    plane = table(spark, sf_dir, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 86400e6).alias("x"), (F.col("value") / 16).alias("y"))
+    return dbscan(plane, "event_id", ["x", "y"], 0.2, 6)
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 20 AS y FROM part), d AS (SELECT a.id, b.id AS other, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM p a JOIN p b ON a.id <> b.id),
+ k AS (SELECT id, max(d) AS kth FROM (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d) <= 8) GROUP BY id), n AS (SELECT d.* FROM d JOIN k USING (id) WHERE d <= kth),
+ l AS (SELECT n.id, 1 / (avg(greatest(n.d, k.kth)) + 1e-10) AS lrd FROM n JOIN k ON k.id = n.other GROUP BY n.id)
+ SELECT n.id AS p_partkey, round(avg(o.lrd) / any_value(m.lrd), 4) AS lof FROM n JOIN l m ON m.id = n.id JOIN l o ON o.id = n.other GROUP BY n.id""")
+def insight_local_outliers(spark, sf_dir):
+    plane = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 20).alias("y"))
+    return rounded(local_outlier_factor(plane, "p_partkey", ["x", "y"], 8), 4)
+
+
+CHAIN_FINDINGS_SQL = "SELECT CASE WHEN event_type = 'error' THEN 'infra' ELSE 'service' END AS source, 's' || CAST(user_id AS VARCHAR) AS component, CASE WHEN value > 250 THEN 'critical' ELSE 'minor' END AS severity FROM events WHERE event_type = 'error' OR (event_type = 'purchase' AND value > 280)"
+CALLS_SQL = "SELECT 's' || CAST(conv_id AS VARCHAR) AS src, 's' || CAST(CASE turn % 4 WHEN 0 THEN conv_id * 2 + 1 WHEN 1 THEN conv_id * 2 + 2 WHEN 2 THEN conv_id + 37 ELSE conv_id // 2 END AS VARCHAR) AS dst FROM conversations WHERE turn % 4 < 3 OR conv_id % 20 = 9"
+
+
+@query(f"""WITH RECURSIVE f AS ({CHAIN_FINDINGS_SQL}), g AS (SELECT DISTINCT * FROM ({CALLS_SQL})), full_ AS (SELECT DISTINCT component AS node FROM f WHERE source = 'infra' AND severity = 'critical'), odd AS (SELECT DISTINCT component AS node FROM f WHERE source <> 'infra'),
+ r AS (SELECT src AS start, dst AS node, 1 AS hops FROM g UNION SELECT r.start, g.dst, r.hops + 1 FROM r JOIN g ON g.src = r.node WHERE r.hops < 60), s AS (SELECT start, node, min(hops) AS hops FROM r WHERE start <> node GROUP BY 1, 2)
+ SELECT node AS dst, count(*) AS n_anchors, min(hops) AS nearest FROM s WHERE start IN (SELECT node FROM odd) AND node IN (SELECT node FROM full_)
+ AND NOT EXISTS (SELECT 1 FROM s t WHERE t.start = s.node AND (t.node IN (SELECT node FROM full_) OR t.node IN (SELECT node FROM odd))) GROUP BY node""")
+def chain_causes(spark, sf_dir):
+    """Conversations call each other as turns say, some in cycles; users' events are findings."""
+    e = table(spark, sf_dir, "events").where("event_type = 'error' or (event_type = 'purchase' and value > 280)")
+    found = e.select(F.when(F.col("event_type") == "error", "infra").otherwise("service").alias("source"), F.concat(F.lit("s"), "user_id").alias("component"), F.when(F.col("value") > 250, "critical").otherwise("minor").alias("severity"))
+    c, kind = F.col("conv_id"), F.col("turn") % 4
+    to = F.when(kind == 0, c * 2 + 1).when(kind == 1, c * 2 + 2).when(kind == 2, c + 37).otherwise(F.floor(c / 2))
+    calls = table(spark, sf_dir, "conversations").where("turn % 4 < 3 or conv_id % 20 = 9").select(F.concat(F.lit("s"), c).alias("src"), F.concat(F.lit("s"), to).alias("dst"))
+    return diagnosis.chain_causes(found, calls)
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

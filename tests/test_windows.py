@@ -1,6 +1,7 @@
 from datetime import UTC, datetime, timedelta
 
 from faultline.functions import expressions as ex
+from faultline.functions.html import html_text
 from faultline.plans.windows import WindowSpec, find_range, parse_time, range_columns
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def test_templates(spark):
 
 def test_html(spark):
     html = "<html><head><style>p{}</style><script>x<y</script></head><body><nav>menu</nav><p>A &amp;\n B</p><footer>f</footer></body></html>"
-    assert one(spark, ex.html_text(F.col("h")), h=html) == "A & B"
+    assert one(spark, html_text(F.col("h")), h=html) == "A & B"
 
 
 def test_percentiles_and_ranks_of_skewed_groups(spark):
