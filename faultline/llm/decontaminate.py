@@ -298,7 +298,8 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.5, min_questio
                 ids, *shares = zip(*got, strict=True) if got else [()] * 5
                 yield pa.record_batch([pc.take(batch.column(0), pa.array(at, pa.int64())), pa.array(ids, pa.int64()), *(pa.array(x, pa.float64()) for x in shares)], ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
 
-        found.append(source.mapInArrow(run, schema))
+        found.append(saved(source.mapInArrow(run, schema), "leaks-of-a-shard"))
+        shared.destroy()  # what the shard found is written, so no executor needs it again
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
