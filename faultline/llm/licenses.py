@@ -8,7 +8,7 @@ by the share of bytes saved. In this order all are confirmed by exact wording (n
 for its rank: a name of three words hardly saves a byte): the block's words are aligned with the template's, and what the template has beyond the block
 (`missing`) and the block between the template's words (`extra`) is listed. It is confirmed if no
 key word of the template (what tells it from its siblings: a version, NC, SA ...) is missing, no
-sibling's key word stands in between, at least `min_words` of its words are there in order, and no
+sibling's key word or QUALIFIER stands in between, at least `min_words` of its words are there in order, and no
 more than the rest is extra. SPDX expressions are read as such: each known identifier counts.
 
 Of confirmed templates whose spans overlap the one with most words confirmed stays (of equals the
@@ -39,8 +39,49 @@ from faultline.llm.shared import texts_in_batches
 
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 _GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_LIBRARY = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU {0} License as published by the Free Software Foundation; either version {1} of the License, or (at your option) any later version."
 _WORK = "This work is licensed under the GNU {0} License, version {1}."
-_CC = "This work is licensed under a Creative Commons {0} 4.0 International License."
+_CC = "This work is licensed under a Creative Commons {0} {1} {2} License."
+
+# The parts, licenses, versions and forms of the Creative Commons family; names and versions of the GNU family.
+_CC_PARTS = {"BY": "Attribution", "NC": "NonCommercial", "ND": "NoDerivatives", "SA": "ShareAlike"}
+_CC_CODES = ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND")
+_CC_VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+_GNU = {"GPL": ("General Public", ("2.0", "3.0")), "LGPL": ("Lesser General Public", ("2.1", "3.0")), "AGPL": ("Affero General Public", ("3.0",))}
+#: Words that make another license of one, where they stand between its words; so in no template they block as well.
+QUALIFIERS = frozenset("non noncommercial commercial no noderivatives noderivs derivatives derivative share sharealike alike lesser library affero jurisdiction ported".split())
+
+
+def _creative_commons() -> list[tuple[str, str, str, str]]:
+    out = []
+    for code in _CC_CODES:
+        words = [_CC_PARTS[p] for p in code.split("-")]
+        for version, form in _CC_VERSIONS.items():
+            name, short, long = f"CC-{code}-{version}", f"cc {code.replace('-', ' ').lower()} {version}", f"creative commons {' '.join(words).lower()} {version}"
+            out += [(name, "notice", f"Licensed under CC {code} {version}.", short), (name, "name", f"CC {code} {version}", short)]
+            out += [(name, "notice", _CC.format("-".join(words), version, form), long), (name, "name", f"Creative Commons {'-'.join(words)} {version}", long)]
+    return out
+
+
+def _gnu() -> list[tuple[str, str, str, str]]:
+    out = []
+    for short, (long, versions) in _GNU.items():
+        first = long.lower().replace(" public", "")
+        for v in versions:
+            name, n = f"{short}-{v}", v.removesuffix(".0")
+            out += [(name, "notice", _WORK.format(long, n), f"gnu {first} {n}"), (f"{name}-or-later", "text", _GPL.format(long, n), f"gnu {first} {n} later redistribute program"), (f"{name}-or-later", "text", _LIBRARY.format(long, n), f"gnu {first} {n} later redistribute library")]
+            for x in dict.fromkeys((v, n)):
+                out += [(name, "name", f"GNU {long} License v{x}", f"gnu {first} v{x}"), (name, "name", f"GNU {long} License version {x}", f"gnu {first} version {x}"), (name, "name", f"GNU {short} v{x}", f"gnu {short.lower()} v{x}"), (name, "name", f"GNU {short} {x}", f"gnu {short.lower()} {x}"), (name, "name", f"{short} {x}", f"{short.lower()} {x}"), (name, "name", f"{short} v{x}", f"{short.lower()} v{x}")]
+            joined = f"{short}v{n}"
+            out += [(name, "name", joined, " ".join(words_of(joined)))]
+    return out
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+_WORD = re.compile(r"v?[0-9]+(?:\.[0-9]+)*|[^\W_]+")
 
 # Fixed values: (license, kind, wording, key words), wordings as the licenses or their stewards give them.
 TEMPLATES = (
@@ -51,34 +92,18 @@ TEMPLATES = (
     ("MIT", "notice", "Released under the MIT License.", "mit"),
     ("MIT", "notice", "Licensed under the MIT License.", "mit"),
     ("MIT", "name", "MIT License", "mit license"),
+    ("MIT", "name", "MIT licensed", "mit licensed"),
+    ("MIT", "notice", "Dual licensed under MIT", "dual mit"),
+    ("EPL-2.0", "name", "Eclipse Public License 2.0", "eclipse public 2.0"),
+    ("EPL-2.0", "name", "Eclipse Public License, Version 2.0", "eclipse public 2.0"),
+    ("EPL-2.0", "name", "Eclipse Public License v2.0", "eclipse public v2.0"),
+    ("EPL-1.0", "name", "Eclipse Public License 1.0", "eclipse public 1.0"),
+    ("EPL-1.0", "name", "Eclipse Public License v1.0", "eclipse public v1.0"),
+    ("BSL-1.0", "name", "Boost Software License 1.0", "boost 1.0"),
+    ("BSL-1.0", "name", "Boost Software License, Version 1.0", "boost 1.0"),
     ("MIT", "notice", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction', "permission granted free charge deal restriction"),
     ("MIT", "text", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.', "sublicense noninfringement furnished"),
     ("ISC", "text", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.', "fee disclaims appear"),
-    ("GPL-3.0", "notice", _WORK.format("General Public", 3), "gnu general 3"),
-    ("GPL-3.0", "name", "GNU General Public License v3.0", "gnu general v3.0"),
-    ("GPL-3.0-or-later", "text", _GPL.format("General Public", 3), "gnu general 3 later redistribute"),
-    ("GPL-2.0", "notice", _WORK.format("General Public", 2), "gnu general 2"),
-    ("GPL-2.0", "name", "GNU General Public License v2.0", "gnu general v2.0"),
-    ("GPL-2.0-or-later", "text", _GPL.format("General Public", 2), "gnu general 2 later redistribute"),
-    ("LGPL-3.0", "notice", _WORK.format("Lesser General Public", 3), "gnu lesser general 3"),
-    ("LGPL-3.0-or-later", "text", _GPL.format("Lesser General Public", 3), "gnu lesser general 3 later redistribute"),
-    ("AGPL-3.0", "notice", _WORK.format("Affero General Public", 3), "gnu affero general 3"),
-    ("AGPL-3.0-or-later", "text", _GPL.format("Affero General Public", 3), "gnu affero general 3 later redistribute"),
-    ("CC-BY-4.0", "notice", "Licensed under CC BY 4.0.", "cc by 4.0"),
-    ("CC-BY-SA-4.0", "notice", "Licensed under CC BY-SA 4.0.", "cc by sa 4.0"),
-    ("CC-BY-NC-4.0", "notice", "Licensed under CC BY-NC 4.0.", "cc by nc 4.0"),
-    ("CC-BY-NC-SA-4.0", "notice", "Licensed under CC BY-NC-SA 4.0.", "cc by nc sa 4.0"),
-    ("CC-BY-ND-4.0", "notice", "Licensed under CC BY-ND 4.0.", "cc by nd 4.0"),
-    ("CC-BY-NC-ND-4.0", "notice", "Licensed under CC BY-NC-ND 4.0.", "cc by nc nd 4.0"),
-    ("CC-BY-4.0", "name", "CC BY 4.0", "cc by 4.0"),
-    ("CC-BY-SA-4.0", "name", "CC BY-SA 4.0", "cc by sa 4.0"),
-    ("CC-BY-NC-4.0", "name", "CC BY-NC 4.0", "cc by nc 4.0"),
-    ("CC-BY-NC-SA-4.0", "name", "CC BY-NC-SA 4.0", "cc by nc sa 4.0"),
-    ("CC-BY-ND-4.0", "name", "CC BY-ND 4.0", "cc by nd 4.0"),
-    ("CC-BY-NC-ND-4.0", "name", "CC BY-NC-ND 4.0", "cc by nc nd 4.0"),
-    ("CC-BY-4.0", "notice", _CC.format("Attribution"), "creative commons attribution 4.0"),
-    ("CC-BY-SA-4.0", "notice", _CC.format("Attribution-ShareAlike"), "creative commons attribution sharealike 4.0"),
-    ("CC-BY-NC-4.0", "notice", _CC.format("Attribution-NonCommercial"), "creative commons attribution noncommercial 4.0"),
     ("CC0-1.0", "notice", "This work is dedicated to the public domain under CC0 1.0 Universal.", "cc0 1.0"),
     ("BSD-2-Clause", "text", _BSD, "redistributions retain reproduce disclaimer"),
     ("BSD-3-Clause", "text", _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "redistributions retain reproduce disclaimer neither endorse promote"),
@@ -87,6 +112,8 @@ TEMPLATES = (
     ("MPL-2.0", "notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla public 2.0"),
     ("MPL-2.0", "name", "Mozilla Public License 2.0", "mozilla public 2.0"),
     ("Unlicense", "notice", "This is free and unencumbered software released into the public domain.", "unencumbered public domain"),
+    *_gnu(),
+    *_creative_commons(),
 )
 # Identifiers in SPDX expressions.
 SPDX = ("0BSD", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "WTFPL", "Zlib")
@@ -95,14 +122,9 @@ LEVEL = 3
 #: Size classes of templates in words; a block of a class has so many words, and SLACK, on both sides of a cue.
 CLASSES, SLACK = (12, 50, 300), 4
 
-_WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W_]+")
 _CUE = re.compile(CUE)
 _SPDX = re.compile(r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()/, \t-]+)")
-_IDENTIFIER = re.compile(r"[A-Za-z0-9][A-Za-z0-9.-]*")
-
-
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+_IDENTIFIER = re.compile(r"([A-Za-z0-9][A-Za-z0-9.-]*)(\+?)")
 
 
 @dataclass
@@ -166,7 +188,7 @@ def confirmed(block: list[str], text: str, size: int, templates: tuple[tuple[str
             if high - low < len(t.words) - room or not t.keys <= set(block[low:high]):  # a missing key word shows without an alignment
                 continue
             missing, extra, first, last = wording(block[low:high], t)
-            odd = (keys - t.keys - set(t.words)) & set(extra)
+            odd = ((keys | QUALIFIERS) - t.keys - set(t.words)) & set(extra)
             if not t.keys & set(missing) and not odd and len(missing) <= room and len(extra) <= room:
                 out.append(Found(low + first, low + last, rank, -k, reduction, tuple(missing), tuple(extra), len(t.words) - len(missing) - len(extra)))
                 parts += [(low, low + first), (low + last + 1, high)]
@@ -197,7 +219,7 @@ def scan(text: str, templates: tuple[tuple[str, str, str, str], ...] = TEMPLATES
     made = prepared(templates)[0]
     for m in _SPDX.finditer(text) if made else ():
         for name in _IDENTIFIER.finditer(m[1]):
-            match = next((x for x in SPDX if x.lower() == name[0].lower()), None)
+            match = next((x + name[2] for x in SPDX if x.lower() == name[1].lower()), None)
             if match:
                 a, b = m.start(1) + name.start(), m.start(1) + name.end()
                 whole, line = len(prepared(templates)[1].compress(m[0].encode())), f"SPDX-License-Identifier: {match}"

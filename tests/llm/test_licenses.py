@@ -75,3 +75,30 @@ def test_a_long_text_takes_seconds():
     began = time.time()
     text = "".join(f"Line {i}.\nReleased under the MIT License.\n" for i in range(5_000))
     assert len(scan(text)) == 5_000 and time.time() - began < 60
+
+
+FAMILIES = [
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ["CC-BY-ND-4.0"]),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", ["CC-BY-NC-SA-4.0"]),
+    ("This work is licensed under a Creative Commons Attribution-Non-Commercial 4.0 International License.", []),
+    ("This work is licensed under a Creative Commons Attribution 3.0 Unported License.", ["CC-BY-3.0"]),
+    ("Licensed under CC BY 3.0.", ["CC-BY-3.0"]),
+    ("Licensed under the GPLv3.", ["GPL-3.0"]),
+    ("license: LGPLv2.1", ["LGPL-2.1"]),
+    ("GNU Affero General Public License v3.0", ["AGPL-3.0"]),
+    ("GNU General Public License v2.0", ["GPL-2.0"]),
+    ("the license is GNU LGPL v2.1 here", ["LGPL-2.1"]),
+    ("Eclipse Public License 2.0", ["EPL-2.0"]),
+    ("Boost Software License, Version 1.0", ["BSL-1.0"]),
+    ("MIT licensed", ["MIT"]),
+    ("Dual licensed under MIT and GPL-2.0", ["MIT", "GPL-2.0"]),
+    ("SPDX-License-Identifier: GPL-2.0+", ["GPL-2.0+"]),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", ["LGPL-2.1-or-later"]),
+    ("A license for non-commercial use of GPL 9 engines.", []),
+]
+
+
+@pytest.mark.parametrize("text,want", FAMILIES)
+def test_families(text, want):
+    assert [r[3] for r in scan(text)] == want
+    assert [r[3] for r in scan("Plain words here. " * 60 + text + "\nMore words. " * 60)] == want
