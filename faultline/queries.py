@@ -511,6 +511,37 @@ def lake_service_metrics(spark, sf_dir):
     return rounded(got.select(in_utc(F.col("time")).alias("time"), "object_id", "metric", "value"))
 
 
+def torn(spark: SparkSession, file: str, share: float, to: str) -> None:
+    """Writes the first part of a data file of a written table beside it."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(file)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    first = next(x.getPath() for x in fs.listStatus(path) if x.getPath().getName().endswith(".parquet"))
+    stream = fs.open(first)
+    data = bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    stream.close()
+    out = fs.create(jvm.org.apache.hadoop.fs.Path(to))
+    out.write(data[: int(len(data) * share)])
+    out.close()
+
+
+@query("""WITH d AS (SELECT DISTINCT strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS day FROM events WHERE ts >= TIMESTAMP '2024-01-09' AND ts < TIMESTAMP '2024-01-12' AND ts + INTERVAL 8 HOUR >= TIMESTAMP '2024-01-09' AND ts + INTERVAL 8 HOUR < TIMESTAMP '2024-01-12'),
+ r AS (SELECT count(*) AS n FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-09 14:30:00' AND TIMESTAMP '2024-01-10 17:15:00')
+ SELECT 'service_' || k || '_' || day || '.parquet' AS file, true AS skipped, NULL::BIGINT AS n FROM d, (VALUES ('empty'), ('torn')) AS k(k) UNION ALL SELECT 'all others', false, 2 * n FROM r""")
+def lake_skipped_files(spark, sf_dir):
+    """Of a lake where each day has a torn and an empty file: these, and the rows that are read nevertheless."""
+    e = lake_events(spark, sf_dir)
+    wide = e.select("time", F.concat(F.lit("svc-"), "user_id").alias("object_id"), F.lit("service").alias("object_type"), F.col("value").alias("rrt"), F.lit("3").alias("error"), "local")
+    root = lake(spark, wide, "{day}/metric-parquet/apm/service/service_all_{day}.parquet")
+    for file in telemetry.service_files(spark, root, *LAKE):
+        torn(spark, file, 0.6, file.replace("_all_", "_torn_"))
+        torn(spark, file, 0.0, file.replace("_all_", "_empty_"))
+    bad = telemetry.skipped_files(spark, telemetry.service_files(spark, root, *LAKE))
+    rows = telemetry.service_metrics(spark, root, *LAKE).agg(F.count(F.lit(1)).alias("n"))
+    named = bad.where("reason is not null").select(F.regexp_extract("file", "([^/]+)$", 1).alias("file"), F.lit(True).alias("skipped"), F.lit(None).cast("long").alias("n"))
+    return named.unionByName(rows.select(F.lit("all others").alias("file"), F.lit(False).alias("skipped"), "n"))
+
+
 @query(f"SELECT time, CASE WHEN user_id % 2 = 0 THEN 'pod-' || CAST(user_id AS VARCHAR) ELSE 'node-' || CAST(user_id % 4 AS VARCHAR) END AS component_id, 'pod_cpu_usage' AS kpi_key, 'pod' AS component_type, '10.0.0.' || CAST(user_id AS VARCHAR) AS ip_address, round(value, 6) AS value FROM (SELECT ts AS time, * FROM events) WHERE {LAKE_SQL} AND event_type <> 'signup'")
 def lake_infra_metrics(spark, sf_dir):
     e = lake_events(spark, sf_dir)

@@ -6,9 +6,12 @@ Spark's own file system, so any store that Spark reads will do. Rows are then fi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,12 +117,51 @@ def in_time(df: DataFrame, column: str, start: datetime, end: datetime) -> DataF
 
 
 def read_files(spark: SparkSession, files: list[str], schema: T.StructType | None = None) -> DataFrame | None:
+    """Rows of the files that can be read; skipped_files names the others."""
     if not files:
         return None
     reader = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true")
     return (reader.schema(schema) if schema else reader).parquet(*files).withColumn("source_file", F.col("_metadata.file_name"))
 
 
+def skipped_files(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, bytes, reason): the Parquet files among these that read_files leaves out, and why.
+
+    Tasks read each file whole (at most 2 GB, Spark's bound for a binary value), its footer and every row group. Empty for no files.
+    """
+    if not files:
+        return spark.createDataFrame([], "file string, bytes long, reason string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            reasons = [unreadable(c) for c in b.column("content")]
+            bad = pa.array([r is not None for r in reasons])
+            yield pa.record_batch([b.column("path").filter(bad), b.column("length").filter(bad), pa.array(reasons, pa.string()).filter(bad)], ["file", "bytes", "reason"])
+
+    schema = "file string, bytes long, reason string"
+    empty = []  # Spark's readers pass over files without a byte, so the listing tells of them
+    for f in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(path):
+            name = status.getPath().getName()
+            if status.isFile() and not status.getLen() and name.endswith(".parquet"):
+                empty.append((status.getPath().toString(), 0, "no bytes"))
+    read = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(files).select("path", "length", "content").mapInArrow(run, schema)
+    return read.unionByName(spark.createDataFrame(empty, schema))
+
+
+def unreadable(content: pa.BinaryScalar) -> str | None:
+    """Why a file's bytes are no whole Parquet file; null if they are one."""
+    try:
+        held = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
+        for i in range(held.num_row_groups):
+            held.read_row_group(i)
+    except (pa.ArrowException, OSError, ValueError) as e:
+        return f"{type(e).__name__}: {str(e)[:200]}"
+    return None
+
+
 def service_metrics(spark: SparkSession, root: str, start: datetime, end: datetime) -> DataFrame | None:
     wide = read_files(spark, service_files(spark, root, start, end))
     return wide_to_long(in_time(wide, "time", start, end)) if wide is not None else None

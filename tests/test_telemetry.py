@@ -157,3 +157,18 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     assert [(r["n"], r["top"]) for r in spark.table("windows").orderBy("start").collect()] == [(2, 30.0), (1, 70.0)]
     assert F.col("n") is not None
+
+
+def test_skipped_files_have_reasons(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "cast(id as string) as s").coalesce(1).write.parquet(str(tmp_path / "day"))
+    whole = next((tmp_path / "day").glob("*.parquet"))
+    data = whole.read_bytes()
+    rotten = bytearray(data)
+    rotten[len(data) // 4 : len(data) // 2] = b"\xff" * (len(data) // 2 - len(data) // 4)
+    for name, content in {"torn": data[: len(data) // 2], "empty": b"", "rotten": bytes(rotten), "text": b"no parquet at all", "copy": data}.items():
+        (tmp_path / f"{name}.parquet").write_bytes(content)
+    files = [str(p) for p in tmp_path.iterdir()]
+    got = {r.file.rsplit("/", 1)[-1]: r for r in telemetry.skipped_files(spark, files).collect()}
+    assert set(got) == {"torn.parquet", "empty.parquet", "rotten.parquet", "text.parquet"}
+    assert all(r.reason for r in got.values()) and got["torn.parquet"].bytes == len(data) // 2
+    assert telemetry.skipped_files(spark, []).count() == 0
