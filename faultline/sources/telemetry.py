@@ -6,12 +6,13 @@ Spark's own file system, so any store that Spark reads will do. Rows are then fi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
 from functools import reduce
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -168,25 +169,37 @@ def service_metrics(spark: SparkSession, root: str, start: datetime, end: dateti
 
 
 def tall_metrics(spark: SparkSession, files: list[str], start: datetime, end: datetime, value_column: bool = True) -> DataFrame | None:
-    """Files of one metric each: the column named after the metric (or `value`) becomes value. Files of one metric are read together."""
-    groups: dict[str, list[str]] = {}
-    for f in files:
-        name = f.rsplit("/", 1)[-1]
-        groups.setdefault(name, []).append(f)
-    parts = []
-    by_kpi: dict[tuple[str, str], list[str]] = {}
-    names = spark.createDataFrame([(n,) for n in groups] or [("",)], "n string")
-    for r in names.select("n", kpi_of_file(F.col("n")).alias("kpi"), type_of_file(F.col("n")).alias("kind")).collect():
-        if r["n"]:
-            by_kpi.setdefault((r["kpi"], r["kind"]), []).extend(groups[r["n"]])
-    for (kpi, kind), own in sorted(by_kpi.items()):
-        df = read_files(spark, own)
-        source = kpi if kpi in df.columns else "value" if value_column and "value" in df.columns else None
-        if source:
-            value = F.expr(f"try_cast(`{source}` AS double)")
-            df = in_time(df, "time", start, end).withColumns({"value": value, "kpi_key": F.lit(kpi), "component_type": F.lit(kind)})
-            parts.append(df.drop(kpi) if source == kpi and kpi != "value" else df)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+    """Files of one metric each: the column named after the metric (or `value`) becomes value; kpi_key and component_type come from the file's name.
+
+    One scan reads all metrics, as a column that a file lacks is null in its rows. Files without a column for their metric give no row. Where a column's type differs
+    from metric to metric, each type of files is read on its own. None if no file has its column.
+    """
+    named = spark.createDataFrame([(f, f.rsplit("/", 1)[-1]) for f in files], "f string, n string") if files else None
+    kpis: dict[str, list[str]] = {}
+    for r in named.select("f", kpi_of_file(F.col("n")).alias("kpi")).collect() if files else ():
+        kpis.setdefault(r["kpi"], []).append(r["f"])
+    try:
+        parts = [_tall(read_files(spark, files), kpis, start, end, value_column)] if files else []
+    except Py4JJavaError as e:
+        if "CANNOT_MERGE" not in str(e):
+            raise
+        parts = [_tall(read_files(spark, own), {kpi: own}, start, end, value_column) for kpi, own in sorted(kpis.items())]
+    found = [p for p in parts if p is not None]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found) if found else None
+
+
+def _tall(df: DataFrame, kpis: Iterable[str], start: datetime, end: datetime, value_column: bool) -> DataFrame | None:
+    own = [k for k in sorted(kpis) if k in df.columns]
+    plain = sorted(set(kpis) - set(own)) if value_column and "value" in df.columns else []
+    if not own and not plain:
+        return None
+    # a metric's table may be a folder of files, whose name counts then
+    name = F.regexp_extract("source_path", "/(infra_[^/]*[.]parquet)(/[^/]*)?$", 1)
+    kpi = F.col("kpi_key")
+    value = reduce(lambda w, k: w.when(kpi == k, F.expr(f"try_cast(`{k}` AS double)")), own, F)
+    value = (value.otherwise(F.expr("try_cast(`value` AS double)")) if own else F.expr("try_cast(`value` AS double)")) if plain else value
+    timed = in_time(df.withColumn("source_path", F.col("_metadata.file_path")), "time", start, end).withColumns({"kpi_key": kpi_of_file(name), "component_type": type_of_file(name)})
+    return timed.where(kpi.isin([*own, *plain])).withColumn("value", value).drop("source_path", *[k for k in own if k != "value"])
 
 
 def infra_metrics(spark: SparkSession, root: str, start: datetime, end: datetime) -> DataFrame | None:

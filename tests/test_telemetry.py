@@ -172,3 +172,30 @@ def test_skipped_files_have_reasons(spark, tmp_path):
     assert set(got) == {"torn.parquet", "empty.parquet", "rotten.parquet", "text.parquet"}
     assert all(r.reason for r in got.values()) and got["torn.parquet"].bytes == len(data) // 2
     assert telemetry.skipped_files(spark, []).count() == 0
+
+
+def scans(df):
+    """How many file scans a plan has."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_metrics_of_many_files_come_by_one_scan(spark, tmp_path):
+    folder = f"{DAY}/metric-parquet/infra/infra_pod"
+    row = lambda m, v, **more: Row(time=AT + timedelta(minutes=m), pod=f"p-{m}", kubernetes_node="n", instance="10.0.0.1:9100", **v, **more)
+    made = {
+        "pod_cpu_usage": [row(m, {"pod_cpu_usage": m / 2}) for m in range(5)],
+        "pod_processes": [row(m, {"pod_processes": m}) for m in range(5)],  # whole numbers
+        "pod_memory": [row(m, {"value": float(m)}, pod_cpu_usage=9.0) for m in range(5)],  # no column of its own, but a foreign one
+        "pod_disk": [row(m, {"other": 1.0}) for m in range(5)],
+    }
+    for kpi, rows in made.items():
+        spark.createDataFrame(rows).write.parquet(f"{tmp_path}/{folder}/infra_pod_{kpi}_{DAY}.parquet")
+    got = telemetry.infra_metrics(spark, str(tmp_path), AT, AT + timedelta(minutes=3))
+    want = {(k, f"p-{m}", float(m / 2 if k == "pod_cpu_usage" else m)) for k in ("pod_cpu_usage", "pod_processes", "pod_memory") for m in range(4)}
+    assert {(r["kpi_key"], r["pod"], r["value"]) for r in got.collect()} == want and got.count() == len(want)
+    assert scans(got) == 1 and "pod_cpu_usage" not in got.columns
+    # whole and broken numbers in one column: metric by metric
+    spark.createDataFrame([row(1, {"value": 7})]).write.parquet(f"{tmp_path}/{folder}/infra_pod_pod_fs_{DAY}.parquet")
+    both = telemetry.infra_metrics(spark, str(tmp_path), AT, AT + timedelta(minutes=3))
+    assert {(r["kpi_key"], r["pod"], r["value"]) for r in both.collect()} == want | {("pod_fs", "p-1", 7.0)}
+    assert telemetry.infra_metrics(spark, str(tmp_path), AT + timedelta(days=9), AT + timedelta(days=9)) is None
