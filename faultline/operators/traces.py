@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions.expressions import comparable_name
 from faultline.operators.compare import grouped
+from faultline.sources.scratch import saved
 
 
 def tag(tags: Column, *keys: str) -> Column:
@@ -135,8 +136,11 @@ def one_span_each(flat: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def with_family(flat: DataFrame) -> DataFrame:
-    """flat with parent_service, grandparent_service, has_parent and children_us. All joins are on the trace, for which the table is dealt out once."""
-    spans = flat.repartition("trace_id")
+    """flat with parent_service, grandparent_service, has_parent and children_us.
+
+    The flat spans are written once; the joins read the few columns that they need from there. Each is keyed by trace and span, so the spans of one large trace are dealt out as well.
+    """
+    spans = saved(flat, "spans")
     up = lambda n, c: spans.select("trace_id", F.col("span_id").alias(n), F.col("service").alias(f"{c}_service"), F.col("parent_id").alias(f"{c}_parent"))
     children = spans.groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(F.sum("duration").alias("children_us"))
     out = spans.join(up("parent_id", "parent"), ["trace_id", "parent_id"], "left")
@@ -182,15 +186,29 @@ def error_traces(flat: DataFrame) -> DataFrame:
 
 
 def profile(flat: DataFrame) -> DataFrame:
-    """(measure, item, n): spans, roots, children, spans per trace, statuses, services, and each column's percentage of nulls."""
+    """(measure, item, n): spans, roots, children, spans per trace, statuses, services, and each column's percentage of nulls.
+
+    One aggregate over the table, by trace, by status, by service and over all, which is written; what is told comes from its rows. No spans: no counts.
+    """
     status = F.coalesce(F.expr("try_cast(status_code AS int)"), F.lit(0)).cast("string")
-    totals = flat.agg(F.count(F.lit(1)).alias("spans"), F.count_if(F.col("parent_id") == "root").alias("roots"), F.count_if(F.col("parent_id") != "root").alias("children"), F.count_if(F.col("pod").isNull()).alias("no_pod")).unpivot([], ["spans", "roots", "children", "no_pod"], "measure", "n").select("measure", F.lit("").alias("item"), F.col("n").cast("double").alias("n"))
-    sizes = flat.groupBy("trace_id").count()
-    per_trace = sizes.agg(F.avg("count").alias("mean_spans"), F.max("count").cast("double").alias("max_spans"), F.min("count").cast("double").alias("min_spans")).unpivot([], ["mean_spans", "max_spans", "min_spans"], "measure", "n").select("measure", F.lit("").alias("item"), "n")
-    by_status = flat.groupBy(status.alias("item")).agg(F.count(F.lit(1)).cast("double").alias("n")).select(F.lit("status").alias("measure"), "item", "n")
-    top = flat.where("service is not null").groupBy(F.col("service").alias("item")).agg(F.count(F.lit(1)).cast("double").alias("n")).orderBy(F.desc("n"), "item").limit(10).select(F.lit("service").alias("measure"), "item", "n")
-    nulls = flat.agg(*[(F.count_if(F.col(c).isNull()) * 100.0 / F.count(F.lit(1))).alias(c) for c in flat.columns]).unpivot([], flat.columns, "item", "n").select(F.lit("null_percent").alias("measure"), "item", "n")
-    return totals.unionByName(per_trace).unionByName(by_status).unionByName(top).unionByName(nulls)
+    root = F.col("parent_id") == "root"
+    told = flat.withColumn("__status", status)
+    keys = ["trace_id", "__status", "service"]
+    counts = {"spans": F.count(F.lit(1)), "roots": F.count_if(root), "children": F.count_if(~root), "no_pod": F.count_if(F.col("pod").isNull())}
+    # grouping columns are null in the rows of other sets, so their nulls are counted from copies
+    copies = told.withColumns({f"__of_{c}": F.col(c) for c in keys if c in flat.columns})
+    nulls = {f"__null_{c}": F.count_if(F.col(f"__of_{c}" if c in keys else c).isNull()) for c in flat.columns}
+    sets = copies.groupingSets([[keys[0]], [keys[1]], [keys[2]], []], *keys).agg(F.grouping_id().alias("__set"), *[c.alias(n) for n, c in (counts | nulls).items()])
+    sets = saved(sets, "profile")
+    by = lambda i: sets.where(F.col("__set") == 7 - (1 << (2 - i)))
+    whole = sets.where("__set = 7").select(*[F.col(c).cast("double").alias(c) for c in counts], *[(F.col(f"__null_{c}") * 100.0 / F.col("spans")).alias(f"__null_{c}") for c in flat.columns])
+    totals = whole.unpivot([], list(counts), "measure", "n").select("measure", F.lit("").alias("item"), "n")
+    shares = whole.unpivot([], list(nulls), "item", "n").select(F.lit("null_percent").alias("measure"), F.substring("item", len("__null_") + 1, 1000).alias("item"), "n")
+    sizes = by(0).agg(F.avg("spans").alias("mean_spans"), F.max("spans").cast("double").alias("max_spans"), F.min("spans").cast("double").alias("min_spans"))
+    per_trace = sizes.unpivot([], ["mean_spans", "max_spans", "min_spans"], "measure", "n").select("measure", F.lit("").alias("item"), "n")
+    by_status = by(1).select(F.lit("status").alias("measure"), F.col("__status").alias("item"), F.col("spans").cast("double").alias("n"))
+    top = by(2).where("service is not null").select(F.lit("service").alias("measure"), F.col("service").alias("item"), F.col("spans").cast("double").alias("n")).orderBy(F.desc("n"), "item").limit(10)
+    return totals.unionByName(per_trace).unionByName(by_status).unionByName(top).unionByName(shares)
 
 
 def ids_in_range(spans: DataFrame, start_us: int, end_us: int) -> DataFrame:

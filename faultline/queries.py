@@ -392,13 +392,13 @@ def error_patterns(spark, sf_dir):
 LEVEL_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(top_template), '{w}')" for w in words) + f" THEN '{level}'" for level, words in ex.LOG_LEVELS.items()) + " ELSE 'unknown' END"
 
 
-# some lines only, so that not every component has a storm
-SOME_LINES = "event_id % (1 + user_id % 8 * 10) = 0"
-ROLLUP_SQL = f"""WITH p AS (SELECT pod, template, count(*) AS count, min(time) AS first_time, coalesce(arg_min(CASE WHEN node <> 'null' THEN node END, (time, node)) FILTER (WHERE node <> 'null'), 'N/A') AS node, arg_min(message, (time, message)) AS details FROM ({LOG_SQL} WHERE {SOME_LINES}) GROUP BY pod, template)"""
+# a component with few lines beside the others, so that not every one has a storm
+FEW_LINES = "event_id % 997 = 5"
+ROLLUP_SQL = f"""WITH p AS (SELECT pod, template, count(*) AS count, min(time) AS first_time, coalesce(arg_min(CASE WHEN node <> 'null' THEN node END, (time, node)) FILTER (WHERE node <> 'null'), 'N/A') AS node, arg_min(message, (time, message)) AS details FROM (SELECT * REPLACE (CASE WHEN {FEW_LINES} THEN 'pod-quiet' ELSE pod END AS pod) FROM ({LOG_SQL})) GROUP BY pod, template)"""
 
 
 def rollup(spark, sf_dir):
-    lines = log_lines(spark, sf_dir).join(table(spark, sf_dir, "events").where(SOME_LINES).select("event_id"), "event_id", "left_semi")
+    lines = log_lines(spark, sf_dir).withColumn("pod", F.when(F.expr(FEW_LINES), "pod-quiet").otherwise(F.col("pod")))
     return log_ops.component_rollup(log_ops.error_patterns(lines, ex.log_template(F.col("message"))))
 
 
@@ -447,7 +447,7 @@ def usual_node(spark, sf_dir):
 
 # Minutes around one incident: 5 before it and 10 in it. A component's lines lie in both parts, or in one of them alone.
 MINUTES = WindowSpec.logs("2024-01-20T10:05:00Z", "2024-01-20T10:15:00Z")
-ACTIVITY_SQL = """SELECT 'pod-' || CAST(event_id % 6 AS VARCHAR) AS component, TIMESTAMP '2024-01-20 10:00:00' + to_seconds(CASE event_id % 6 WHEN 1 THEN 300 + user_id % 600 WHEN 2 THEN user_id % 300 WHEN 3 THEN CASE WHEN event_id % 4 = 0 THEN user_id % 300 ELSE 300 + user_id % 600 END ELSE user_id * 6 % 900 END) AS time FROM events WHERE event_id % 6 <> 4 OR event_id % 60 = 4"""
+ACTIVITY_SQL = """SELECT 'pod-' || CAST(event_id % 6 AS VARCHAR) AS component, TIMESTAMP '2024-01-20 10:00:00' + to_seconds(CASE event_id % 6 WHEN 1 THEN 300 + user_id % 600 WHEN 2 THEN user_id % 300 WHEN 3 THEN CASE WHEN event_id % 4 = 0 THEN user_id % 300 ELSE 300 + user_id % 600 END ELSE user_id * 6 % 900 END) AS time FROM events"""
 
 
 @query(f"""WITH l AS ({ACTIVITY_SQL}), c AS (SELECT component, date_trunc('minute', time) AS minute, count(*) FILTER (WHERE time >= TIMESTAMP '2024-01-20 10:00:00' AND time < TIMESTAMP '2024-01-20 10:05:00') AS b, count(*) FILTER (WHERE time BETWEEN TIMESTAMP '2024-01-20 10:05:00' AND TIMESTAMP '2024-01-20 10:15:00') AS a FROM l GROUP BY 1, 2),
@@ -456,7 +456,7 @@ ACTIVITY_SQL = """SELECT 'pod-' || CAST(event_id % 6 AS VARCHAR) AS component, T
 def log_activity(spark, sf_dir):
     k, u = F.col("event_id") % 6, F.col("user_id")
     seconds = F.when(k == 1, 300 + u % 600).when(k == 2, u % 300).when((k == 3) & (F.col("event_id") % 4 == 0), u % 300).when(k == 3, 300 + u % 600).otherwise(u * 6 % 900)
-    lines = table(spark, sf_dir, "events").where("event_id % 6 <> 4 or event_id % 60 = 4").select(F.concat(F.lit("pod-"), k).alias("component"), (F.lit("2024-01-20 10:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)).alias("time"))
+    lines = table(spark, sf_dir, "events").select(F.concat(F.lit("pod-"), k).alias("component"), (F.lit("2024-01-20 10:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)).alias("time"))
     return rounded(log_ops.activity(lines, MINUTES))
 
 
