@@ -209,3 +209,10 @@ def component_info(long: DataFrame, spec: WindowSpec, time: str = "time", kind:
 def first_component_column(df: DataFrame, columns: tuple[str, ...] = ("component_id", "pod", "instance", "kubernetes_node", "object_id", "node")) -> Column:
     """The first of the columns that the table has and that is not null in the row."""
     return F.coalesce(*[F.col(c) for c in columns if c in df.columns], F.lit(None).cast("string"))
+
+
+def name_parts(mine: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """(key, part) for each distinct name of `mine`: `both` if the others have it as well, else `mine`. One exchange, and names are made distinct before it; null is a name."""
+    told = mine.select(key, F.lit(True).alias("__mine"), F.lit(False).alias("__others")).unionByName(others.select(key, F.lit(False).alias("__mine"), F.lit(True).alias("__others")))
+    met = told.groupBy(key).agg(F.bool_or("__mine").alias("__mine"), F.bool_or("__others").alias("__others")).where("__mine")
+    return met.select(key, F.when(F.col("__others"), "both").otherwise("mine").alias("part"))

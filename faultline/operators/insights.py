@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from faultline.operators.compare import percentiles
 from faultline.operators.series import PART_ROWS, series
+from faultline.sources.scratch import saved
 
 
 def trend(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
@@ -43,8 +45,14 @@ def trend_break(df: DataFrame, group: str, x: str, y: str, least: int = 3, abnor
     return best.select(group, "b.since", "b.slope_before", "b.slope_after", "b.explained", (F.col("b.explained") >= abnormal_from).alias("abnormal"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation of the rows that have both; null where one of them does not vary (F.corr divides by zero there)."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, F.col(x))) * F.stddev_pop(F.when(both, F.col(y))))
+
+
 def pearson(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
-    return df.groupBy(group).agg(F.corr(x, y).alias("pearson"))
+    return df.groupBy(group).agg(correlation(x, y).alias("pearson"))
 
 
 def _average_ranks(df: DataFrame, group: str, c: str, name: str, rows: int) -> DataFrame:
@@ -59,14 +67,14 @@ def spearman(df: DataFrame, group: str, x: str, y: str, rows: int = PART_ROWS) -
     out = df.select(group, x, y)
     for c, name in ((x, "__rx"), (y, "__ry")):
         out = out.withColumn("__value", F.struct(group, c)).join(_average_ranks(df, group, c, name, rows), "__value").drop("__value")
-    return out.groupBy(group).agg(F.corr("__rx", "__ry").alias("spearman"))
+    return out.groupBy(group).agg(correlation("__rx", "__ry").alias("spearman"))
 
 
 def statistics(df: DataFrame, group: str, y: str) -> DataFrame:
     """Quartiles are exact (see `percentiles`)."""
     moments = df.groupBy(group).agg(F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"))
     met = moments.join(percentiles(df, group, y, {"q1": 0.25, "median": 0.5, "q3": 0.75}), group, "left")
-    return met.select(group, "mean", "std", "q1", "median", "q3", (F.col("std") / F.col("mean")).alias("volatility"))
+    return met.select(group, "mean", "std", "q1", "median", "q3", F.try_divide("std", "mean").alias("volatility"))
 
 
 #: Groups whose fences are broadcast; more are joined by key.
@@ -89,7 +97,7 @@ def extremes(df: DataFrame, group: str, y: str, label: str) -> DataFrame:
 def majority(df: DataFrame, group: str, y: str, label: str, share: float = 0.5) -> DataFrame:
     """(group, label, share) of labels that hold more than `share` of a group's sum."""
     sums = df.groupBy(group, label).agg(F.sum(y).alias("part"))
-    return sums.withColumn("share", F.col("part") / F.sum("part").over(W.partitionBy(group))).where(F.col("share") > share).select(group, label, "share")
+    return sums.withColumn("share", F.try_divide(F.col("part"), F.sum("part").over(W.partitionBy(group)))).where(F.col("share") > share).select(group, label, "share")
 
 
 def turning_points(df: DataFrame, group: str, x: str, y: str, rows: int = PART_ROWS) -> DataFrame:
@@ -101,11 +109,57 @@ def turning_points(df: DataFrame, group: str, x: str, y: str, rows: int = PART_R
 def page_hinkley(df: DataFrame, group: str, x: str, y: str, delta: float = 0.005, limit: float = 50.0, rows: int = PART_ROWS) -> DataFrame:
     """Points where the cumulated deviation from the running mean exceeds its running minimum by `limit`."""
     s = series(df, [group], [x], rows).running({"__sum": ("sum", F.col(y)), "__n": ("count", F.col(y))})
-    s = s.with_columns({"__dev": F.col(y) - F.col("__sum") / F.col("__n") - delta}).running({"__m": ("sum", F.col("__dev"))}).running({"__low": ("min", F.col("__m"))})
+    s = s.with_columns({"__dev": F.col(y) - F.try_divide("__sum", "__n") - delta}).running({"__m": ("sum", F.col("__dev"))}).running({"__low": ("min", F.col("__m"))})
     return s.plain.withColumn("ph", F.col("__m") - F.col("__low")).where(F.col("ph") > limit).select(group, x, y, "ph")
 
 
 def difference_outliers(df: DataFrame, group: str, x: str, y: str, z: float = 2.0, rows: int = PART_ROWS) -> DataFrame:
     """Points whose change from the one before is more than z standard deviations from the mean change."""
     s = series(df, [group], [x], rows).shifted({"__was": F.col(y)}).with_columns({"d": F.col(y) - F.col("__was")}).whole({"__mean": F.avg("d"), "__std": F.stddev_samp("d")})
-    return s.plain.withColumn("z", (F.col("d") - F.col("__mean")) / F.col("__std")).where(F.abs("z") > z).select(group, x, y, "d", "z")
+    return s.plain.withColumn("z", F.try_divide(F.col("d") - F.col("__mean"), F.col("__std"))).where(F.abs("z") > z).select(group, x, y, "d", "z")
+
+
+#: Insights that tell the same of a chart: the stronger one stands for both.
+ALIKE = {"pearson": "correlation", "spearman": "correlation"}
+
+
+def scored(df: DataFrame, group: str, x: str, y: str, rows: int = PART_ROWS, limit: float = 50.0, z: float = 2.0) -> DataFrame:
+    """(group, insight, at, strength) of every insight over charts with a row for each x: strength lies between 0 and 1, so that kinds can be compared; at: the x that is meant, or null.
+
+    Trend: r2; break of a trend and majority: their shares; correlations: their size; points outside the fences: what exceeds them against that and the
+    interquartile range; turning points: the smaller change against the range; shifts and changes: what exceeds the limit, as a share of the whole; volatility: v / (1 + v).
+    The charts are written first, so that what made them runs once. A strength that is null or no number gives no row.
+    """
+    df = saved(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(group, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)), "charts")
+    spread = extremes(df, group, y, x).select(group, (F.col("top") - F.col("low")).alias("spread"))
+    q = percentiles(df, group, y, {"q1": 0.25, "q3": 0.75}, rows).withColumn("iqr", F.col("q3") - F.col("q1"))
+    beyond = F.greatest(F.col("q1") - 1.5 * F.col("iqr") - F.col(y), F.col(y) - F.col("q3") - 1.5 * F.col("iqr"))
+    volatility = df.groupBy(group).agg(F.abs(F.try_divide(F.stddev_samp(y), F.avg(y))).alias("v"))
+    at, none = F.col(x), F.lit(None).cast("double")
+    found = {
+        "overall_trend": (trend(df, group, x, y).where("slope <> 0"), none, F.col("r2")),
+        "abnormal_trend": (trend_break(df, group, x, y, rows=rows).where("abnormal"), F.col("since"), F.col("explained")),
+        "pearson": (pearson(df, group, x, y), none, F.abs("pearson")),
+        "spearman": (spearman(df, group, x, y, rows), none, F.abs("spearman")),
+        "majority": (majority(df, group, y, x), at, F.col("share")),
+        "statistics_abnormal": (df.join(q, group).withColumn("beyond", beyond).where("beyond > 0"), at, F.col("beyond") / (F.col("beyond") + F.col("iqr"))),
+        "turning_point": (turning_points(df, group, x, y, rows).join(spread, group), at, F.least(F.abs("change"), F.abs("next_change")) / F.col("spread")),
+        "page_hinkley": (page_hinkley(df, group, x, y, limit=limit, rows=rows), at, 1 - F.lit(limit) / F.col("ph")),
+        "difference_outlier": (difference_outliers(df, group, x, y, z, rows), at, 1 - F.lit(z) / F.abs("z")),
+        "volatility": (volatility, none, F.col("v") / (1 + F.col("v"))),
+    }
+    told = [d.select(group, F.lit(name).alias("insight"), a.alias("at"), F.round(strength, 9).alias("strength")) for name, (d, a, strength) in found.items()]
+    known = reduce(DataFrame.unionByName, told).where(F.col("strength").isNotNull() & ~F.isnan("strength"))
+    return known.withColumn("strength", F.least("strength", F.lit(1.0)))
+
+
+def best(found: DataFrame, group: str, k: int = 6) -> DataFrame:
+    """(group, place, insight, at, strength): the k strongest insights of each chart, each kind once, at its strongest place (ties: the smallest x), and one of kinds that tell the same (ALIKE).
+
+    Rows of the form of `scored`; ties of strength go by name. Two exchanges at most: a group has few kinds once each is reduced to its best row.
+    """
+    kind = F.coalesce(*[F.when(F.col("insight") == i, a) for i, a in ALIKE.items()], F.col("insight"))
+    order = F.struct((-F.col("strength")).alias("s"), "insight", F.coalesce("at", F.lit(0.0)).alias("x"))
+    one = found.groupBy(group, kind.alias("__kind")).agg(F.min_by(F.struct("insight", "at", "strength"), order).alias("b"))
+    w = W.partitionBy(group).orderBy(F.desc("b.strength"), "b.insight")
+    return one.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select(group, "place", "b.*")

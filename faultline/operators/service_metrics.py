@@ -79,3 +79,14 @@ def static_dynamic_anomalies(long: DataFrame, spec: WindowSpec, kind: str = "tim
 def pods_at_service_times(services: DataFrame, pods: DataFrame) -> DataFrame:
     """Pod rows whose name begins with an anomalous service's and which are anomalous at the same time: an equi-join on time and service."""
     return pods.withColumn("service", service_of(F.col("object_id"))).join(services.select(F.col("object_id").alias("service"), "time").distinct(), ["service", "time"], "left_semi")
+
+
+def slowest(long: DataFrame, k: int, metric: str = "rrt") -> DataFrame:
+    """(object_id, top): the k components with the highest value of a metric; ties by name."""
+    return long.where(F.col("metric") == metric).groupBy("object_id").agg(F.max("value").alias("top")).orderBy(F.desc("top"), "object_id").limit(k)
+
+
+def latency_and_errors(long: DataFrame) -> DataFrame:
+    """(object_id, p99, errors): the exact 99th percentile of latency (null without latency), and how many rows tell of errors."""
+    rrt = F.when(F.col("metric") == "rrt", F.col("value"))
+    return grouped(long, ["object_id"], [F.count_if((F.col("metric") == "error") & (F.col("value") > 0)).alias("errors")], {"p99": (rrt, 0.99)}).select("object_id", "p99", "errors")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions.expressions import is_pod, log_template, service_of, severity_rank
@@ -21,6 +21,7 @@ from faultline.operators.graph import reachable
 from faultline.plans import topology
 from faultline.plans.windows import LOG_CONTEXT, WindowSpec, find_loose_range, find_range
 from faultline.sources import telemetry
+from faultline.sources.scratch import saved
 
 
 @dataclass
@@ -92,7 +93,7 @@ def service_analysis(spark: SparkSession, root: str, start: str, end: str) -> Re
     long = telemetry.service_metrics(spark, root, spec.baseline_start, spec.end)
     if long is None:
         return Result("service", summary="no service metrics for this time")
-    found = svc.anomalies(long, spec, "timestamp")
+    found = saved(svc.anomalies(long, spec, "timestamp"), "service-findings")
     return Result("service", svc.ranked(found), "service metrics compared", insights={"widespread_failures": svc.widespread_failures(found)})
 
 
@@ -108,10 +109,10 @@ def infra_analysis(spark: SparkSession, root: str, start: str, end: str, compone
         requested = spark.createDataFrame([(c,) for c in components], "component_id string")
         insights["missing_components"] = infra.missing_components(requested, long, "component_id")
     rated = counter_rates(long, ["component_id", "component_type"], F.col("kpi_key").endswith("_total"), infra.rate_name(F.col("kpi_key")), spec, kind="timestamp")
-    compared = compare(rated, ["component_id", "kpi_key", "component_type"], spec, kind="timestamp")
+    compared = saved(compare(rated, ["component_id", "kpi_key", "component_type"], spec, kind="timestamp"), "infra-compared")
     mine = compared.where(F.col("component_id").isin(components)) if components else compared
     found = infra.infra_anomalies(mine, infra.categories(spark, infra.INFRA_CATEGORIES))
-    found = found.join(infra.component_info(long, spec), "component_id", "left")
+    found = saved(found.join(infra.component_info(long, spec), "component_id", "left"), "infra-findings")
     # nodes count whichever components were asked for
     maxima = compared.where(F.col("kpi_key").isin("node_cpu_usage_rate", "node_memory_usage_rate")).select(F.col("component_id").alias("node"), F.col("anomaly_max").alias("maximum"))
     pods = found.where("component_type = 'pod'").select(F.col("kubernetes_node").alias("node"), F.col("component_id").alias("pod"), "category")
@@ -127,7 +128,7 @@ def database_analysis(spark: SparkSession, root: str, start: str, end: str, comp
     counters = F.col("kpi_key").isin("failed_query_ops", "transaction_retry", "slow_query", "snapshot_apply_count")
     rated = counter_rates(long, ["pod", "related_node", "type", "component_type"], counters, F.concat("kpi_key", F.lit("_per_second")), spec, kind="timestamp")
     compared = compare(rated, ["pod", "related_node", "kpi_key", "component_type", "type"], spec, kind="timestamp")
-    found = infra.database_anomalies(compared, infra.categories(spark, infra.DATABASE_CATEGORIES))
+    found = saved(infra.database_anomalies(compared, infra.categories(spark, infra.DATABASE_CATEGORIES)), "database-findings")
     group = ["pod", "related_node"]
     bottlenecks = infra.io_bottlenecks(found.where("component_type = 'tikv'"), group)
     hypothesis = bottlenecks.select(*group, F.lit("io_bottleneck").alias("kpi_key"), F.lit("io_bottleneck_hypothesis").alias("metric_name"), F.lit("tikv").alias("component_type"), F.lit("N/A").alias("type"), F.lit("io_bottleneck").alias("category"), F.lit("io_bottleneck").alias("kind"), "severity")
@@ -145,10 +146,10 @@ def log_analysis(spark: SparkSession, root: str, start: str, end: str, component
     lines = log_ops.of_components(lines, components)
     window = lines.where(spec.in_anomaly("time", "timestamp"))
     errors = window.where(log_ops.has_keyword(F.col("message"), keywords))
-    states = log_ops.activity(lines, spec, "pod", kind="timestamp").where("state is not null")
-    if errors.isEmpty():
+    states = saved(log_ops.activity(lines, spec, "pod", kind="timestamp").where("state is not null"), "log-activity")
+    patterns = saved(log_ops.error_patterns(errors, log_template(F.col("message"))), "log-patterns")
+    if patterns.isEmpty() and errors.isEmpty():
         return Result("logs", log_ops.contextual(window, log_template(F.col("message")), states), "no error lines; what components log, and how much", insights={"activity": states})
-    patterns = log_ops.error_patterns(errors, log_template(F.col("message")))
     insights = {"activity": states}
     if components:
         requested = spark.createDataFrame([(c,) for c in components], "pod string")
@@ -166,7 +167,7 @@ def trace_analysis(spark: SparkSession, root: str, start: str, end: str, compone
         return Result("traces", summary="no traces for this time")
     flat = tr.flatten(now)
     mine = tr.one_span_each(tr.of_traces(flat, tr.relevant(flat, component)), [F.col("start_us"), F.col("duration")])
-    found = tr.span_anomalies(tr.with_family(mine), tr.latency_thresholds(tr.flatten(before)))
+    found = saved(tr.span_anomalies(tr.with_family(mine), tr.latency_thresholds(tr.flatten(before))), "span-anomalies")
     return Result("traces", tr.hotspots(found, component), "traces of the component analysed")
 
 
@@ -253,20 +254,32 @@ def diagnose(spark: SparkSession, root: str, case: dict) -> Report:
 
 
 def run_batch(cases: list[dict], out_dir: str, answer: Callable[[dict], Report]) -> dict:
-    """A result file for each case; cases that have one are left as they are. Returns the summary, which is written as well."""
+    """A result file for each case; cases that have one are left as they are. Returns the summary, which is written as well: totals, and a row for each case.
+
+    A row has uuid, status (`completed`, `kept`: had a result already, `failed`), success, the result's path, and the error of a case that failed.
+    """
     os.makedirs(out_dir, exist_ok=True)
-    done = {"total": len(cases), "success": 0, "failure": 0}
+    rows = []
     for case in cases:
         path = os.path.join(out_dir, f"{case['uuid']}.json")
+        row = {"uuid": case["uuid"], "success": True, "status": "kept", "path": path}
         try:
             if not os.path.exists(path):
                 with open(path + ".part", "w", encoding="utf-8") as f:
                     json.dump(asdict(answer(case)), f, ensure_ascii=False, indent=2)
                 os.replace(path + ".part", path)
-            done["success"] += 1
+                row["status"] = "completed"
         except Exception as e:  # a case that fails is counted and the batch goes on
-            done["failure"] += 1
-            done.setdefault("errors", {})[case["uuid"]] = str(e)
+            row |= {"success": False, "status": "failed", "path": None, "error": str(e)}
+        rows.append(row)
+    good = sum(r["success"] for r in rows)
+    done = {"total": len(cases), "success": good, "failure": len(cases) - good, "cases": rows}
     with open(os.path.join(out_dir, "summary.json"), "w", encoding="utf-8") as f:
         json.dump(done, f, ensure_ascii=False, indent=2)
     return done
+
+
+def progress(steps: DataFrame, by: str, success: Column) -> DataFrame:
+    """(by, total, success, failure): how many steps of each plan, batch or status there are and succeeded; null is no success."""
+    good = F.coalesce(success, F.lit(False))
+    return steps.groupBy(by).agg(F.count(F.lit(1)).alias("total"), F.count_if(good).alias("success"), F.count_if(~good).alias("failure"))

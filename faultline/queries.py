@@ -209,13 +209,12 @@ def pods_at_service_times(spark, sf_dir):
 
 @query("SELECT object_id, round(max(value), 6) AS top FROM (" + SERVICE_SQL + ") WHERE metric = 'rrt' GROUP BY object_id ORDER BY top DESC, object_id LIMIT 5")
 def slowest_pods(spark, sf_dir):
-    return rounded(service_long(spark, sf_dir).where("metric = 'rrt'").groupBy("object_id").agg(F.max("value").alias("top")).orderBy(F.desc("top"), "object_id").limit(5))
+    return rounded(svc.slowest(service_long(spark, sf_dir), 5))
 
 
 @query("""SELECT object_id, round(quantile_cont(value::DOUBLE, 0.99) FILTER (WHERE metric = 'rrt'), 6) AS p99, count(*) FILTER (WHERE metric = 'error' AND value > 0) AS errors FROM (""" + SERVICE_SQL + """) GROUP BY object_id""")
 def service_p99_errors(spark, sf_dir):
-    rrt = F.when(F.col("metric") == "rrt", F.col("value"))
-    return rounded(service_long(spark, sf_dir).groupBy("object_id").agg(F.percentile(rrt, F.lit(0.99)).alias("p99"), F.count_if((F.col("metric") == "error") & (F.col("value") > 0)).alias("errors")))
+    return rounded(svc.latency_and_errors(service_long(spark, sf_dir)))
 
 
 # ---- infrastructure and database metrics ------------------------------------------------------
@@ -751,7 +750,7 @@ def semi_join_by_ids(spark, sf_dir):
 def set_operations(spark, sf_dir):
     c = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("key"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"))
-    return c.intersect(s).withColumn("part", F.lit("both")).unionByName(c.subtract(s).withColumn("part", F.lit("customers")))
+    return infra.name_parts(c, s, "key").replace("mine", "customers", "part")
 
 
 @query("SELECT 'customer' AS kind, c_name AS name, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_name, NULL FROM supplier")
@@ -854,8 +853,8 @@ def incidents_log_activity(spark, sf_dir):
 
 @query("SELECT event_type AS plan, count(*) AS total, count(*) FILTER (WHERE user_id % 3 = 0) AS success, count(*) FILTER (WHERE user_id % 3 <> 0) AS failure FROM events GROUP BY event_type")
 def batch_summary(spark, sf_dir):
-    done = F.col("user_id") % 3 == 0
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("plan")).agg(F.count(F.lit(1)).alias("total"), F.count_if(done).alias("success"), F.count_if(~done).alias("failure"))
+    steps = table(spark, sf_dir, "events").withColumnRenamed("event_type", "plan")
+    return diagnosis.progress(steps, "plan", F.col("user_id") % 3 == 0)
 
 
 FINDINGS_SQL = """SELECT CASE event_id % 3 WHEN 0 THEN 'logs' WHEN 1 THEN 'infra' ELSE 'service' END AS source, 'c' || CAST(user_id % 6 AS VARCHAR) AS component, CASE event_type WHEN 'click' THEN 'connectivity_error' WHEN 'view' THEN 'system_critical' WHEN 'signup' THEN 'business_impact_error' ELSE 'rrt' END AS kind, CASE WHEN value > 300 THEN 'critical' WHEN value > 100 THEN 'major' ELSE 'minor' END AS severity, ts AS time, event_id FROM events"""
@@ -1028,6 +1027,26 @@ def insight_abnormal_trend(spark, sf_dir):
     return t.select("event_type", "since", F.round("slope_before", 4).alias("slope_before"), F.round("slope_after", 4).alias("slope_after"), F.round("explained", 6).alias("explained"), "abnormal")
 
 
+BREAK_SQL = SQL["insight_abnormal_trend"]
+BEST_SQL = f"""WITH d AS (SELECT event_type, CAST(day AS DOUBLE) AS day, value FROM ({DAILY_SQL})), c AS ({CHANGE_SQL}), e AS (SELECT event_type, max(value) - min(value) AS spread, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, abs(stddev_samp(value) / avg(value)) AS v FROM d GROUP BY 1),
+ r AS (SELECT event_type, rank() OVER (PARTITION BY event_type ORDER BY day) AS rx, rank() OVER (PARTITION BY event_type ORDER BY value) AS ry FROM d), a AS (SELECT *, value - avg(value) OVER w - 0.005 AS dev FROM d WINDOW w AS (PARTITION BY event_type ORDER BY day)), m AS (SELECT *, sum(dev) OVER (PARTITION BY event_type ORDER BY day) AS m FROM a),
+ h AS (SELECT *, m - min(m) OVER (PARTITION BY event_type ORDER BY day) AS ph FROM m), z AS (SELECT *, (change - avg(change) OVER (PARTITION BY event_type)) / stddev_samp(change) OVER (PARTITION BY event_type) AS z FROM c),
+ f AS (SELECT event_type, 'overall_trend' AS insight, NULL::DOUBLE AS "at", regr_r2(value, day) AS s FROM d GROUP BY 1 HAVING regr_slope(value, day) <> 0 UNION ALL SELECT event_type, 'abnormal_trend', since, explained FROM ({BREAK_SQL}) WHERE abnormal
+  UNION ALL SELECT event_type, 'pearson', NULL, abs(corr(day, value)) FROM d GROUP BY 1 UNION ALL SELECT event_type, 'spearman', NULL, abs(corr(rx, ry)) FROM r GROUP BY 1
+  UNION ALL SELECT event_type, 'majority', day, value / sum(value) OVER (PARTITION BY event_type) AS share FROM d QUALIFY share > 0.5
+  UNION ALL SELECT event_type, 'statistics_abnormal', day, b / (b + q3 - q1) FROM (SELECT *, greatest(q1 - 1.5 * (q3 - q1) - value, value - q3 - 1.5 * (q3 - q1)) AS b FROM d JOIN e USING (event_type)) WHERE b > 0
+  UNION ALL SELECT event_type, 'turning_point', day, least(abs(change), abs(next_change)) / spread FROM c JOIN e USING (event_type) WHERE change * next_change < 0 UNION ALL SELECT event_type, 'page_hinkley', day, 1 - 50 / ph FROM h WHERE ph > 50
+  UNION ALL SELECT event_type, 'difference_outlier', day, 1 - 2 / abs(z) FROM z WHERE abs(z) > 2 UNION ALL SELECT event_type, 'volatility', NULL, v / (1 + v) FROM e),
+ o AS (SELECT * FROM f WHERE s IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_type, CASE WHEN insight IN ('pearson', 'spearman') THEN 'correlation' ELSE insight END ORDER BY round(s, 9) DESC, insight, coalesce("at", 0)) = 1)
+ SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY round(s, 9) DESC, insight) AS INTEGER) AS place, insight, "at", round(s, 6) AS strength FROM o QUALIFY place <= 6"""
+
+
+@query(BEST_SQL)
+def insight_choice(spark, sf_dir):
+    """The six strongest insights of each type's chart of days."""
+    return rounded(ins.best(ins.scored(daily(spark, sf_dir), "event_type", "day", "value"), "event_type"))
+
+
 #: Days and sixteenths of value: one unit of either counts alike.
 PLANE_SQL = "SELECT event_id AS id, epoch(ts) / 86400.0 AS x, value / 16 AS y FROM events"
 

@@ -219,9 +219,13 @@ def database_metrics(spark: SparkSession, root: str, start: datetime, end: datet
 
 
 def logs(spark: SparkSession, root: str, start: datetime, end: datetime) -> DataFrame | None:
+    """Log lines with time, pod, node and message; files that have `body` for the text, or for some lines, are read alike."""
     df = read_files(spark, log_files(spark, root, start, end))
     if df is None:
         return None
+    texts = [c for c in ("message", "body") if c in df.columns]
+    if "body" in texts:
+        df = df.withColumn("message", F.coalesce(*texts)).drop("body")
     return in_time(df, "@timestamp", start, end).withColumnsRenamed({"@timestamp": "time", "k8_pod": "pod", "k8_node_name": "node"})
 
 

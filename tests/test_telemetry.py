@@ -8,6 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from faultline.operators import service_metrics as svc
+from faultline.operators import traces as tr
 from faultline.plans import diagnosis, topology
 from faultline.sources import telemetry
 from faultline.streaming.windows import metric_windows
@@ -110,11 +111,13 @@ def test_case_to_answer_and_resume(spark, lake, tmp_path):
     cases = telemetry.cases(spark, str(tmp_path / "cases.json"))
     out = str(tmp_path / "out")
     done = diagnosis.run_batch(cases, out, lambda c: diagnosis.diagnose(spark, lake, c))
-    assert (done["total"], done["success"], done["failure"]) == (2, 2, 0)
+    assert (done["total"], done["success"], done["failure"]) == (2, 2, 0) and [r["status"] for r in done["cases"]] == ["completed", "completed"]
     answer = json.loads((tmp_path / "out" / "a.json").read_text())
     assert (answer["component"], answer["reason"]) == ("cartservice-0", "logs: connectivity_error") and [r["action"] for r in answer["reasoning_trace"]] == ["service", "logs", "infra", "database", "traces"]
     again = diagnosis.run_batch([*cases, {"uuid": "c"}], out, lambda c: 1 / 0)
     assert (again["success"], again["failure"]) == (2, 1)
+    assert [(r["uuid"], r["status"], r["success"]) for r in again["cases"]] == [("a", "kept", True), ("b", "kept", True), ("c", "failed", False)] and "zero" in again["cases"][2]["error"]
+    assert json.loads((tmp_path / "out" / "summary.json").read_text()) == again
 
 
 def test_routes():
@@ -199,3 +202,21 @@ def test_metrics_of_many_files_come_by_one_scan(spark, tmp_path):
     both = telemetry.infra_metrics(spark, str(tmp_path), AT, AT + timedelta(minutes=3))
     assert {(r["kpi_key"], r["pod"], r["value"]) for r in both.collect()} == want | {("pod_fs", "p-1", 7.0)}
     assert telemetry.infra_metrics(spark, str(tmp_path), AT + timedelta(days=9), AT + timedelta(days=9)) is None
+
+
+def test_log_text_in_either_column(spark, tmp_path):
+    at = "2025-06-05T17:00:00.000Z"
+    for hour, row in (("00", {"body": "b"}), ("01", {"message": "m"}), ("02", {"message": None, "body": "b2"})):
+        schema = "`@timestamp` string, k8_pod string, k8_node_name string, " + ", ".join(f"{c} string" for c in row)
+        spark.createDataFrame([(at, "p", "n", *row.values())], schema).write.parquet(f"{tmp_path}/{DAY}/log-parquet/log_filebeat-server_{DAY}_{hour}-00-00.parquet")
+    got = telemetry.logs(spark, str(tmp_path), AT - timedelta(hours=1), AT + timedelta(hours=1))
+    assert sorted(r["message"] for r in got.collect()) == ["b", "b2", "m"] and "body" not in got.columns
+
+
+def test_families_and_profiles_read_the_spans_once(spark, lake):
+    flat = tr.flatten(telemetry.spans(spark, lake, AT - timedelta(minutes=30), AT + timedelta(minutes=10)))
+    family = tr.with_family(flat)
+    assert not [f for f in family.inputFiles() if lake in f] and not [f for f in tr.profile(flat).inputFiles() if lake in f]
+    child = family.where("span_id = 's1'").first()
+    assert (child["has_parent"], child["parent_service"], child["grandparent_service"], child["children_us"]) == (True, "frontend", None, 0)
+    assert family.where("span_id = 's0'").first()["children_us"] == 2000
