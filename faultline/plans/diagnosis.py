@@ -182,7 +182,7 @@ def resource_causes(findings: DataFrame, calls: DataFrame) -> DataFrame:
     ends = calls.select("dst").distinct().join(calls.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti")
     full = findings.where((F.col("source") == "infra") & (F.col("severity") == "critical")).select(F.col("component").alias("dst")).distinct()
     callers = calls.join(findings.where("source <> 'infra'").select(F.col("component").alias("src")).distinct(), "src", "left_semi")
-    return full.join(F.broadcast(ends), "dst", "left_semi").join(F.broadcast(callers), "dst").groupBy("dst").agg(F.countDistinct("src").alias("n_callers"))
+    return full.join(ends, "dst", "left_semi").join(callers, "dst").groupBy("dst").agg(F.countDistinct("src").alias("n_callers"))
 
 
 def chain_causes(findings: DataFrame, calls: DataFrame) -> DataFrame:
