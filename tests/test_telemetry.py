@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultline.operators import service_metrics as svc
 from faultline.operators import traces as tr
 from faultline.plans import diagnosis, topology
+from faultline.plans.windows import WindowSpec
 from faultline.sources import telemetry
 from faultline.streaming.windows import metric_windows
 
@@ -220,3 +221,19 @@ def test_families_and_profiles_read_the_spans_once(spark, lake):
     child = family.where("span_id = 's1'").first()
     assert (child["has_parent"], child["parent_service"], child["grandparent_service"], child["children_us"]) == (True, "frontend", None, 0)
     assert family.where("span_id = 's0'").first()["children_us"] == 2000
+
+
+def test_callers_within_a_service_and_severities_of_latency(spark):
+    columns = "trace_id string, span_id string, parent_id string, operation string, service string, status_code string, error_tag string, log_error string, peer_service string, span_kind string, duration long, start_ms long"
+    span = lambda i, parent, service, error=None: ("t", i, parent, "op", service, None, error, None, None, "server", 2000, 1)
+    flat = spark.createDataFrame([span("a", "root", "front", "true"), span("b", "a", "cart", "true"), span("c", "b", "cart", "true"), span("d", "c", "cart", "true"), span("x", "gone", "mail", "true"), (None, "a", "root", *span("", "", "lost", "true")[3:])], columns)
+    none = spark.createDataFrame([], "service string, operation string, threshold long")
+    got = {(r["trace_id"], r["span_id"]): r["caller"] for r in tr.span_anomalies(tr.with_family(flat), none).collect()}
+    # a caller of the same service gives way to its own caller; spans without a parent in the trace are entered from outside
+    assert got == {("t", "a"): "entrypoint", ("t", "b"): "front", ("t", "c"): "front", ("t", "d"): "cart", ("t", "x"): "entrypoint", (None, "a"): "entrypoint"}
+
+    times = [AT + timedelta(minutes=m) for m in (*range(-15, -5), *range(11))]
+    rows = [(t, name, "pod", "rrt", 0.2 + (top - 0.2) * (t >= AT)) for name, top in (("p-0", 12.0), ("p-1", 3.0), ("p-2", 0.6), ("p-3", 0.2)) for t in times]
+    long = spark.createDataFrame(rows, "time timestamp, object_id string, object_type string, metric string, value double")
+    found = svc.anomalies(long, WindowSpec.incident(START, END), "timestamp").collect()
+    assert {r["object_id"]: r["severity"] for r in found} == {"p-0": "critical", "p-1": "major", "p-2": "minor"}
