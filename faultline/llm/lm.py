@@ -6,14 +6,16 @@ Training texts are those whose crc32(doc_id as text) modulo 5 is not 1 (or any g
 1. Chunks. Texts become chunks of about CHUNK tokens in a table: distinct word hashes and each
    token's place among them. Counts of words and of word pairs are added up from the training texts
    of all chunks by 64-bit hash (two different words share a hash with a chance of about V^2 / 2^65).
-2. Filter. Every n-gram of the training texts is stored, whatever its count, so the filter grows
-   with the corpus. It lies in segments, one for SEGMENT_TOKENS tokens, each as long as its own
-   entries need; no process holds more than one. An n-gram enters its segment once for each
-   level up to that of its count (quantised in steps of STEP). Segments know n-grams by KEY_BYTES
-   bytes: two of a segment's share them with a chance of about 2^-22, far below the filter's own errors.
-3. Score. Chunks send each distinct n-gram once, with its count in their training texts, to its
-   segment; the full count is read off by probing level after level until one is missing, and the
-   levels go back to the chunk.
+2. Model. Every n-gram of the training texts is stored, whatever its count, so the filter grows
+   with the corpus. It is a table of segments, one for SEGMENT_TOKENS training tokens, each as long as
+   its own entries need, and all that scoring uses: `train` makes it once, `Model.scores` scores any
+   texts with it. An n-gram enters its segment once for each level up to that of its count
+   (quantised in steps of STEP). Segments know n-grams by KEY_BYTES bytes: two of a segment's
+   share them with a chance of about 2^-22, far below the filter's own errors.
+3. Score. Counts are read off by probing level after level until one is missing. A filter of up
+   to SHARED_BYTES, as its table tells, is broadcast, and chunks probe it where they lie. A larger one
+   stays where it is: chunks send their distinct n-grams to its segments, and the levels go
+   back. Both give the same scores.
    Pairs are smoothed with words by a Dirichlet prior: (c(v, w) + BETA p(w)) / (c(v) + BETA).
 4. Base score. It needs each word's exact count: the TOP most frequent ones are broadcast, the
    rest of a text's words join the counts table.
@@ -29,7 +31,9 @@ probability comes from N = V = 0; an empty table gives no row; other columns are
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +48,8 @@ from faultline.llm.textkernel import U64, mix, slices, words
 STEP, HASHES, BITS_PER_ENTRY = 1.25, 4, 12
 CHUNK, SEGMENT_TOKENS, KEY_BYTES = 1 << 20, 1 << 18, 5
 BETA = 500.0
+#: The largest filter that is broadcast, and so held by every Python worker.
+SHARED_BYTES = 64 << 20
 TOP = 1 << 18
 _END = U64(0x5851F42D4C957F2D)
 _LEVEL = U64(0xD1342543DE82EF95)
@@ -113,7 +119,9 @@ class Chunk:
         self.ids, self.words = pa.array(np.frombuffer(row["ids"], np.int64), mask=np.frombuffer(row["nulls"], bool)), np.frombuffer(row["words"], U64)
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes, dtype=np.int64)])
         self.trains = np.repeat(np.frombuffer(row["trains"], bool), self.sizes)
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
+    @cached_property
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """(the keys of the distinct words and then of the distinct pairs, each token's pair among the latter)."""
         pairs, at = np.unique(pair_keys(self.words[self.at], self.offsets), return_inverse=True)
@@ -141,9 +149,9 @@ def _entry(key: np.ndarray, level: int) -> np.ndarray:
     return mix(key + U64(int(_LEVEL) * level & 0xFFFFFFFFFFFFFFFF))
 
 
-def _bit(entry: np.ndarray, k: int, n_bits: int) -> np.ndarray:
+def _bit(entry: np.ndarray, k: int, n_bits: int | np.ndarray) -> np.ndarray:
     """The position in a segment of n_bits that the k-th hash gives an entry."""
-    return ((entry + U64(k) * ((entry >> U64(32)) | U64(1))) % U64(n_bits)).astype(np.int64)
+    return ((entry + U64(k) * ((entry >> U64(32)) | U64(1))) % np.asarray(n_bits, U64)).astype(np.int64)
 
 
 def placed(key: np.ndarray, n_segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,17 +175,18 @@ def filled(key: np.ndarray, c: np.ndarray, floor: float) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def probed(segment: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The level of each key in its segment, 0 if it is not stored."""
+def probed(data: np.ndarray, key: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The level of each key in its segment, `size` bytes of data from `start` on; 0 if it is not stored."""
     level = np.zeros(len(key), np.int64)
-    on, j = np.arange(len(key)), 0
+    on, j = np.flatnonzero(size > 0), 0
+    key, start, size = key[on], start[on], size[on]
     while len(on):
         j += 1
         entry = _entry(key, j)
         for k in range(HASHES):
-            at = _bit(entry, k, 8 * len(segment))
-            hit = (segment[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            on, key, entry = on[hit], key[hit], entry[hit]
+            at = _bit(entry, k, 8 * size)
+            hit = (data[start + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1
+            on, key, entry, start, size = on[hit], key[hit], entry[hit], start[hit], size[hit]
         level[on] = j
     return level
 
@@ -202,18 +211,21 @@ class LogFrequencyFilter:
     """Quantised counts by repeated membership probes, of a filter small enough to be held whole."""
 
     def __init__(self, segments: list[np.ndarray], floor: float):
-        self.segments, self.floor = segments, floor
+        self.data, self.floor = np.concatenate([np.zeros(0, np.uint8), *segments]), floor
+        self.sizes = np.array([len(x) for x in segments], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def levels(self, key: np.ndarray) -> np.ndarray:
+        of, own = placed(key, len(self.sizes))
+        return probed(self.data, own, self.starts[of], self.sizes[of])
 
     def counts(self, key: np.ndarray) -> np.ndarray:
         """The stored count of each key, 0 if it is not stored."""
-        (of, own), level = placed(key, len(self.segments)), np.zeros(len(key), np.int64)
-        for k, segment in enumerate(self.segments):
-            level[of == k] = probed(segment, own[of == k])
-        return count_of(level, self.floor)
+        return count_of(self.levels(key), self.floor)
 
 
 def build_filter(counts: list[DataFrame], floor: float = 1.0) -> LogFrequencyFilter:
-    """The filter of small (h, c) tables in one piece; lm_scores builds each segment in a task."""
+    """The filter of small (h, c) tables in one piece; `train` builds each segment in a task."""
     rows = pa.concat_tables([x.select("h", "c").toArrow() for x in counts])
     key, c = rows.column("h").to_numpy().view(U64), rows.column("c").to_numpy()
     n_segments = max(1, -(-len(c) // SEGMENT_TOKENS))
@@ -221,97 +233,189 @@ def build_filter(counts: list[DataFrame], floor: float = 1.0) -> LogFrequencyFil
     return LogFrequencyFilter([filled(own[m], c[m], floor) for m in ((of == k) & (c >= floor) for k in range(n_segments))], floor)
 
 
-def asked(chunks: DataFrame, n_segments: int) -> DataFrame:
-    """(chunk, segment, keys, counts): each chunk's distinct n-grams by segment and their counts in its training texts."""
+def _by_segment(x: Chunk, keys: np.ndarray, n_segments: int, *others: np.ndarray) -> pa.RecordBatch:
+    """(chunk, segment, keys, ...): a chunk's keys by segment, in the order they came, and with them the bytes of other arrays."""
+    of, own = placed(keys, n_segments)
+    order = np.argsort(of, kind="stable")
+    named, n = np.unique(of, return_counts=True)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    short = np.ascontiguousarray(own[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+    columns = [(KEY_BYTES, short), *((a.itemsize, a[order]) for a in others)]
+    lists = [pa.BinaryArray.from_buffers(pa.binary(), len(named), [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(data)]) for width, data in columns]
+    return pa.record_batch([pa.array(np.full(len(named), x.number)), pa.array(named), *lists], ["chunk", "segment", "keys", "counts"][: 3 + len(others)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _keys_of(lists: list[bytes]) -> np.ndarray:
+    short = np.frombuffer(b"".join(lists), np.uint8).reshape(-1, KEY_BYTES)
+    keys = np.zeros((len(short), 8), np.uint8)
+    keys[:, :KEY_BYTES] = short
+    return keys.view("<u8").ravel()
+
+
+def segments(chunks: DataFrame, n_segments: int) -> DataFrame:
+    """(segment, filter): the filter of the chunks' training texts. A segment without entries has no row."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _chunks(batches):
-            keys, pair_at = x.keys()
+            keys, pair_at = x.keys
             c = np.concatenate([np.bincount(x.at[x.trains], minlength=len(x.words)), np.bincount(pair_at[x.trains], minlength=len(keys) - len(x.words))])
-            of, own = placed(keys, n_segments)
-            order = np.argsort(of, kind="stable")
-            named, n = np.unique(of, return_counts=True)
-            ends = np.concatenate([[0], np.cumsum(n)])
-            short = np.ascontiguousarray(own[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
-            lists = [pa.BinaryArray.from_buffers(pa.binary(), len(named), [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(data)]) for width, data in ((KEY_BYTES, short), (4, c[order].astype(np.uint32)))]
-            yield pa.record_batch([pa.array(np.full(len(named), x.number)), pa.array(named), *lists], ["chunk", "segment", "keys", "counts"])
+            yield _by_segment(x, keys[c > 0], n_segments, c[c > 0].astype(np.uint32))
+
+    def fill(key: tuple, rows: pa.Table) -> pa.Table:
+        uniq, at = np.unique(_keys_of(rows.column("keys").to_pylist()), return_inverse=True)
+        c = np.bincount(at, np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32))
+        return pa.table({"segment": pa.array([key[0].as_py()]), "filter": pa.array([filled(uniq, c, 1.0).tobytes()], pa.binary())})
+
+    return chunks.mapInArrow(sent, "chunk long, segment long, keys binary, counts binary").groupBy("segment").applyInArrow(fill, "segment long, filter binary")
+
+
+#: What is made of a chunk and the levels of its keys: one row for each of its texts.
+Rows = Callable[[Chunk, np.ndarray], pa.Table]
+
+
+@dataclass
+class Model:
+    """All that scoring needs: the filter's table (segment, filter), the number of its segments, of training tokens and of distinct ones."""
+
+    filter: DataFrame | None
+    n_segments: int
+    n: int
+    v: int
+
+    @property
+    def denominator(self) -> float:
+        return self.n + 0.5 * (self.v + 1)
+
+    def applied(self, chunks: DataFrame, rows: Rows, schema: str, shared_bytes: int = SHARED_BYTES) -> DataFrame:
+        """`rows` of each chunk and the levels of its keys."""
+        if (self.filter.agg(F.sum(F.length("filter"))).first()[0] or 0) <= shared_bytes:
+            return self._broadcast(chunks, rows, schema)
+        return self._sent(chunks, rows, schema)
+
+    def _broadcast(self, chunks: DataFrame, rows: Rows, schema: str) -> DataFrame:
+        parts = [np.zeros(0, np.uint8)] * self.n_segments
+        for r in self.filter.toArrow().to_pylist():  # SHARED_BYTES at most
+            parts[r["segment"]] = np.frombuffer(r["filter"], np.uint8)
+        shared = chunks.sparkSession.sparkContext.broadcast(LogFrequencyFilter(parts, 1.0))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in _chunks(batches):
+                yield from rows(x, shared.value.levels(x.keys[0])).to_batches()
+
+        return chunks.mapInArrow(run, schema)
+
+    def _sent(self, chunks: DataFrame, rows: Rows, schema: str) -> DataFrame:
+        n_segments = self.n_segments
+        tokens = chunks.agg(F.sum("n")).first()[0] or 0
+        parts = max(1, math.ceil(tokens / (n_segments * SEGMENT_TOKENS)))  # more texts than trained it: copies of a segment share their questions
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in _chunks(batches):
+                yield _by_segment(x, x.keys[0], n_segments)
+
+        def answer(key: tuple, asked: pa.Table, stored: pa.Table) -> pa.Table:
+            lists = asked.column("keys").to_pylist()
+            data = np.frombuffer(b"".join(stored.column("filter").to_pylist()), np.uint8)
+            keys = _keys_of(lists)
+            level = probed(data, keys, np.zeros(len(keys), np.int64), np.full(len(keys), len(data))).astype(np.uint8)
+            ends = np.cumsum([0, *(len(x) // KEY_BYTES for x in lists)])
+            return pa.table({"chunk": asked.column("chunk"), "segment": asked.column("segment"), "levels": pa.array([level[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+
+        def put_back(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
+            x = Chunk(chunk.to_pylist()[0])
+            keys = x.keys[0]
+            level = np.empty(len(keys), np.int64)
+            level[np.argsort(placed(keys, n_segments)[0], kind="stable")] = np.frombuffer(b"".join(answers.sort_by("segment").column("levels").to_pylist()), np.uint8)
+            return rows(x, level)
+
+        asked = chunks.mapInArrow(ask, "chunk long, segment long, keys binary").withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts).cast("long")))
+        stored = self.filter.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        answers = asked.groupBy("segment", "part").cogroup(stored.groupBy("segment", "part")).applyInArrow(answer, "chunk long, segment long, levels binary")
+        return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(put_back, schema)
+
+    def points(self, x: Chunk, level: np.ndarray, beta: float) -> np.ndarray:
+        """log10 of the model's probability of each text of a chunk."""
+        c, pair_at = count_of(level), x.keys[1]
+        c1 = c[: len(x.words)][x.at]
+        before = np.empty_like(c1)
+        before[1:] = c1[:-1]
+        before[x.offsets[:-1]] = c[np.searchsorted(x.words, _END)]  # every text has an end
+        p = next_probability(c[len(x.words) :][pair_at], before, word_probability(c1, self.denominator), beta)
+        return np.bincount(x.doc, np.log10(p), len(x.sizes))
 
-    return chunks.mapInArrow(run, "chunk long, segment long, keys binary, counts binary")
+    def scores(self, docs: DataFrame, beta: float = BETA, shared_bytes: int = SHARED_BYTES) -> DataFrame:
+        """(doc_id, n_tokens, score) of any texts (doc_id, text), whether or not the model learnt from them."""
+        with Scratch(docs.sparkSession) as tmp:
+            chunks = tmp.saved(chunked(_source(docs).withColumn("trains", F.lit(False))), "chunks")
 
+            points = replace(self, filter=None).points  # tasks don't take tables
 
-def _answer(rows: pa.Table) -> pa.Table:
-    """(chunk, segment, levels): one segment, built from the counts of all chunks, and the levels it gives them."""
-    lists = rows.column("keys").to_pylist()
-    short = np.frombuffer(b"".join(lists), np.uint8).reshape(-1, KEY_BYTES)
-    keys = np.zeros((len(short), 8), np.uint8)
-    keys[:, :KEY_BYTES] = short
-    uniq, at = np.unique(keys.view("<u8").ravel(), return_inverse=True)
-    c = np.bincount(at, np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32))
-    level = probed(filled(uniq[c > 0], c[c > 0], 1.0), uniq).astype(np.uint8)[at]
-    ends = np.cumsum([0, *(len(x) // KEY_BYTES for x in lists)])
-    return pa.table({"chunk": rows.column("chunk"), "segment": rows.column("segment"), "levels": pa.array([level[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+            def rows(x: Chunk, level: np.ndarray) -> pa.Table:
+                return pa.table({"doc_id": x.ids, "n_tokens": pa.array(x.sizes.astype(np.int64)), "score": pa.array(points(x, level, beta))})
 
+            return saved(self.applied(chunks, rows, "doc_id long, n_tokens long, score double", shared_bytes), "lm-points")
 
-def lm_scores(docs: DataFrame, beta: float = BETA, top: int = TOP) -> DataFrame:
-    with Scratch(docs.sparkSession) as tmp:
-        return _scores(docs, beta, top, tmp)
 
+def _source(docs: DataFrame) -> DataFrame:
+    texts_in_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-def _scores(docs: DataFrame, beta: float, top: int, tmp: Scratch) -> DataFrame:
-    spark = docs.sparkSession
-    texts_in_batches(spark)
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("trains", ~held_out)
-    chunks = tmp.saved(chunked(source), "chunks")
-    total = chunks.agg(F.sum("n")).first()[0] or 0
 
+def _learnt(chunks: DataFrame, tmp: Scratch) -> tuple[Model, DataFrame]:
+    """The model of the chunks' training texts and (h, c), the exact counts of their words."""
     counts = tmp.saved(counted(chunks), "words")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
+    n_segments = max(1, math.ceil(n / SEGMENT_TOKENS))
+    return Model(tmp.saved(segments(chunks, n_segments), "segments"), n_segments, n, v), counts
+
+
+def train(docs: DataFrame) -> Model:
+    """The model of all texts (doc_id, text); its filter is a table of its own in the shared folder."""
+    with Scratch(docs.sparkSession) as tmp:
+        model, _ = _learnt(tmp.saved(chunked(_source(docs).withColumn("trains", F.lit(True))), "chunks"), tmp)
+        return replace(model, filter=saved(model.filter, "lm-filter"))
+
+
+def lm_scores(docs: DataFrame, beta: float = BETA, top: int = TOP, shared_bytes: int = SHARED_BYTES) -> DataFrame:
+    with Scratch(docs.sparkSession) as tmp:
+        return _scores(docs, beta, top, shared_bytes, tmp)
+
+
+def _scores(docs: DataFrame, beta: float, top: int, shared_bytes: int, tmp: Scratch) -> DataFrame:
+    spark = docs.sparkSession
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    chunks = tmp.saved(chunked(_source(docs).withColumn("trains", ~held_out)), "chunks")
+    model, counts = _learnt(chunks, tmp)
+    denominator = model.denominator
     first = counts.orderBy(F.desc("c"), "h").limit(top).toArrow()  # `top` rows at most
     known = first.column("h").to_numpy().view(U64)
     order = np.argsort(known)
     shared = spark.sparkContext.broadcast((known[order], first.column("c").to_numpy()[order]))
-    denominator = n + 0.5 * (v + 1)
-    n_segments = max(1, math.ceil(total / SEGMENT_TOKENS))
+    points = replace(model, filter=None).points  # tasks don't take tables
 
-    def score(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
+    def rows(x: Chunk, level: np.ndarray) -> pa.Table:
         known, known_c = shared.value
-        x = Chunk(chunk.to_pylist()[0])
-        offs, at, n_docs = x.offsets, x.at, len(x.sizes)
-        doc = np.repeat(np.arange(n_docs), x.sizes)
+        n_docs = len(x.sizes)
         # exact counts of frequent words
         pos = np.minimum(np.searchsorted(known, x.words), max(len(known) - 1, 0))
         hit = known[pos] == x.words if len(known) else np.zeros(len(x.words), bool)
         exact = np.where(hit, known_c[pos] if len(known) else 0, 0)
-        token_hit = hit[at]
-        base = np.bincount(doc[token_hit], np.log10((exact[at[token_hit]] + 0.5) / denominator), n_docs)
-        n_known = np.bincount(doc[token_hit], minlength=n_docs)
-        # the model: counts from the filter alone
-        keys, pair_at = x.keys()
-        by_segment = np.argsort(placed(keys, n_segments)[0], kind="stable")
-        level = np.empty(len(keys), np.int64)
-        level[by_segment] = np.frombuffer(b"".join(answers.sort_by("segment").column("levels").to_pylist()), np.uint8)
-        c = count_of(level)
-        c1 = c[: len(x.words)][at]
-        p1 = word_probability(c1, denominator)
-        before = np.empty_like(c1)
-        before[1:] = c1[:-1]
-        before[offs[:-1]] = c[np.searchsorted(x.words, _END)]  # every text has an end
-        c2 = c[len(x.words) :][pair_at]
-        points = np.bincount(doc, np.log10(next_probability(c2, before, p1, beta)), n_docs)
-        rest = np.concatenate([[0], np.cumsum(np.bincount(doc[~token_hit], minlength=n_docs))])
-        rare_words = pa.ListArray.from_arrays(pa.array(rest.astype(np.int32), pa.int32()), pa.array(x.words[at[~token_hit]].view(np.int64)))
-        return pa.table([pa.array(x.number + np.arange(n_docs)), x.ids, pa.array(x.sizes.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(points), rare_words], ["row", "doc_id", "n_tokens", "n_top", "base_top", "score", "rare"])
-
-    answers = asked(chunks, n_segments).groupBy("segment").applyInArrow(_answer, "chunk long, segment long, levels binary")
-    scored = tmp.saved(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, "row long, doc_id long, n_tokens long, n_top long, base_top double, score double, rare array<long>"), "scored")
+        token_hit = hit[x.at]
+        base = np.bincount(x.doc[token_hit], np.log10((exact[x.at[token_hit]] + 0.5) / denominator), n_docs)
+        n_known = np.bincount(x.doc[token_hit], minlength=n_docs)
+        rest = np.concatenate([[0], np.cumsum(np.bincount(x.doc[~token_hit], minlength=n_docs))])
+        rare_words = pa.ListArray.from_arrays(pa.array(rest.astype(np.int32), pa.int32()), pa.array(x.words[x.at[~token_hit]].view(np.int64)))
+        return pa.table([pa.array(x.number + np.arange(n_docs)), x.ids, pa.array(x.sizes.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(points(x, level, beta)), rare_words], ["row", "doc_id", "n_tokens", "n_top", "base_top", "score", "rare"])
+
+    schema = "row long, doc_id long, n_tokens long, n_top long, base_top double, score double, rare array<long>"
+    scored = tmp.saved(model.applied(chunks, rows, schema, shared_bytes), "scored")
     rest = scored.select("row", F.explode("rare").alias("h")).join(counts, "h", "left").groupBy("row").agg(F.count("c").alias("n_rest"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / denominator)).alias("base_rest"))
     out = scored.drop("rare").join(rest, "row", "left").select(
         "doc_id",
         held_out.alias("held_out"),
         "n_tokens",
         (F.col("n_top") + F.coalesce("n_rest", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
+        F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("base_top") + F.coalesce("base_rest", F.lit(0.0))).alias("base_score"),
         "score",
     )

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from faultline.llm.lm import BETA, LogFrequencyFilter, build_filter, count_of, levels, lm_scores, next_probability, word_probability
+from faultline.llm.lm import BETA, LogFrequencyFilter, build_filter, count_of, levels, lm_scores, next_probability, train, word_probability
 from faultline.llm.shared import table
 from faultline.llm.textkernel import mix
 from tests.llm.thue_morse import pair
@@ -129,3 +129,29 @@ def test_scores_follow_the_formula(spark):
     for d, t in rows:
         want = sum(math.log10((min(seen(pairs[v, w]), seen(words[v])) + BETA * (seen(words[w]) + 0.5) / denominator) / (seen(words[v]) + BETA)) for v, w in zip([None, *toks(t)], toks(t)))
         assert abs(got[d] - want) < 1e-6
+
+
+def test_a_filter_too_large_to_broadcast_gives_the_same_scores(spark, monkeypatch):
+    monkeypatch.setattr("faultline.llm.lm.SEGMENT_TOKENS", 1 << 12)  # many segments
+    monkeypatch.setattr("faultline.llm.lm.CHUNK", 1 << 13)
+    docs = table(spark, SF, "documents").repartition(3, "doc_id")
+    rows = lambda f: sorted((tuple(r) for r in f.collect()), key=lambda r: r[0])
+    here, there = rows(lm_scores(docs)), rows(lm_scores(docs, shared_bytes=0))
+    assert [r[:5] for r in here] == [r[:5] for r in there]
+    assert np.allclose([r[5:] for r in here], [r[5:] for r in there], rtol=1e-12)
+    assert len(here) == docs.count()
+
+
+def test_a_model_scores_texts_that_it_never_met(spark):
+    taught = spark.createDataFrame([(i, "the quick brown fox jumps over the lazy dog") for i in range(20)], "doc_id long, text string")
+    model = train(taught)
+    assert (model.n, model.v) == (200, 9) and model.filter.count() == 1
+    new = spark.createDataFrame([(1, "the quick brown fox"), (2, "fox brown quick the"), (3, None), (4, "unheard of words")] * 2, "doc_id long, text string")
+    for bytes_ in (1 << 20, 0):
+        got = [(r["doc_id"], r["n_tokens"], round(r["score"], 9)) for r in model.scores(new, shared_bytes=bytes_).collect()]
+        by_id = {d: s for d, _, s in got}
+        assert len(got) == 8 and len(set(got)) == 4 and by_id[1] > by_id[2] > by_id[4]
+    empty = train(taught.limit(0))
+    for bytes_ in (1 << 20, 0):
+        assert all(r["score"] == 0 for r in empty.scores(new, shared_bytes=bytes_).collect())  # the word it never met is all there is
+    assert model.scores(new.limit(0)).count() == 0
