@@ -7,15 +7,16 @@ Training texts are those whose crc32(doc_id as text) modulo 5 is not 1 (or any g
    token's place among them. Counts of words and of word pairs are added up from the training texts
    of all chunks by 64-bit hash (two different words share a hash with a chance of about V^2 / 2^65).
 2. Model. Every n-gram of the training texts is stored, whatever its count, so the filter grows
-   with the corpus. It is a table of segments, one for SEGMENT_TOKENS training tokens, each as long as
-   its own entries need, and all that scoring uses: `train` makes it once, `Model.scores` scores any
-   texts with it. An n-gram enters its segment once for each level up to that of its count
+   with the corpus. It lies in segments, one for SEGMENT_TOKENS training tokens, each as long as
+   its own entries need. An n-gram enters its segment once for each level up to that of its count
    (quantised in steps of STEP). Segments know n-grams by KEY_BYTES bytes: two of a segment's
-   share them with a chance of about 2^-22, far below the filter's own errors.
-3. Score. Counts are read off by probing level after level until one is missing. A filter of up
-   to SHARED_BYTES, as its table tells, is broadcast, and chunks probe it where they lie. A larger one
-   stays where it is: chunks send their distinct n-grams to its segments, and the levels go
-   back. Both give the same scores.
+   share them with a chance of about 2^-20, far below the filter's own errors. `train` keeps the
+   segments in a table, which is all that `Model.scores` needs to score any texts.
+3. Score. Counts are read off by probing level after level until one is missing. `Model.scores` broadcasts a
+   filter of up to SHARED_BYTES, as its table tells, and chunks probe it where they lie; to a larger
+   one chunks send their distinct n-grams, and the levels go back. `lm_scores` scores the texts
+   that it learns from: there the n-grams that chunks ask for travel with their counts,
+   in one shuffle, and a segment is filled and probed by one task. All ways give the same scores.
    Pairs are smoothed with words by a Dirichlet prior: (c(v, w) + BETA p(w)) / (c(v) + BETA).
 4. Base score. It needs each word's exact count: the TOP most frequent ones are broadcast, the
    rest of a text's words join the counts table.
@@ -46,7 +47,7 @@ from faultline.llm.shared import Scratch, saved, texts_in_batches
 from faultline.llm.textkernel import U64, mix, slices, words
 
 STEP, HASHES, BITS_PER_ENTRY = 1.25, 4, 12
-CHUNK, SEGMENT_TOKENS, KEY_BYTES = 1 << 20, 1 << 18, 5
+CHUNK, SEGMENT_TOKENS, KEY_BYTES = 1 << 20, 1 << 20, 5
 BETA = 500.0
 #: The largest filter that is broadcast, and so held by every Python worker.
 SHARED_BYTES = 64 << 20
@@ -233,46 +234,107 @@ def build_filter(counts: list[DataFrame], floor: float = 1.0) -> LogFrequencyFil
     return LogFrequencyFilter([filled(own[m], c[m], floor) for m in ((of == k) & (c >= floor) for k in range(n_segments))], floor)
 
 
-def _by_segment(x: Chunk, keys: np.ndarray, n_segments: int, *others: np.ndarray) -> pa.RecordBatch:
-    """(chunk, segment, keys, ...): a chunk's keys by segment, in the order they came, and with them the bytes of other arrays."""
-    of, own = placed(keys, n_segments)
-    order = np.argsort(of, kind="stable")
-    named, n = np.unique(of, return_counts=True)
-    ends = np.concatenate([[0], np.cumsum(n)])
-    short = np.ascontiguousarray(own[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
-    columns = [(KEY_BYTES, short), *((a.itemsize, a[order]) for a in others)]
-    lists = [pa.BinaryArray.from_buffers(pa.binary(), len(named), [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(data)]) for width, data in columns]
-    return pa.record_batch([pa.array(np.full(len(named), x.number)), pa.array(named), *lists], ["chunk", "segment", "keys", "counts"][: 3 + len(others)])
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The lowest `width` bytes of numbers, byte by byte of all, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T))
 
 
-def _keys_of(lists: list[bytes]) -> np.ndarray:
-    short = np.frombuffer(b"".join(lists), np.uint8).reshape(-1, KEY_BYTES)
-    keys = np.zeros((len(short), 8), np.uint8)
-    keys[:, :KEY_BYTES] = short
-    return keys.view("<u8").ravel()
+def _values(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
 
 
-def segments(chunks: DataFrame, n_segments: int) -> DataFrame:
-    """(segment, filter): the filter of the chunks' training texts. A segment without entries has no row."""
+def _order(of: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """By segment, then by key: rising keys are sent as small differences."""
+    return np.lexsort((own, of))
+
+
+def _by_segment(x: Chunk, n_segments: int, c: np.ndarray, asks: bool) -> pa.RecordBatch:
+    """(chunk, segment, keys, counts): a chunk's keys by segment, and their counts in its training texts; unless it asks, those that have one."""
+    of, own = placed(x.keys[0], n_segments)
+    order = _order(of, own)
+    if not asks:
+        order = order[c[order] > 0]
+    of, own, c = of[order], own[order], c[order]
+    named, first = np.unique(of, return_index=True)
+    parts = list(zip(first, [*first[1:], len(of)], strict=True))
+    keys = [_planes(np.diff(own[a:b], prepend=U64(0)), KEY_BYTES) for a, b in parts]
+    counts = [_planes(c[a:b], 4) for a, b in parts]
+    return pa.record_batch([pa.array(np.full(len(named), x.number)), pa.array(named), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], ["chunk", "segment", "keys", "counts"])
+
+
+def _keys_of(lists: list[bytes]) -> list[np.ndarray]:
+    return [np.cumsum(_values(x, KEY_BYTES), dtype=U64) for x in lists]
+
+
+def sent(chunks: DataFrame, n_segments: int, asks: bool) -> DataFrame:
+    """What the chunks send to the segments: the counts of their training n-grams and, if they ask, their other n-grams too."""
 
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _chunks(batches):
             keys, pair_at = x.keys
             c = np.concatenate([np.bincount(x.at[x.trains], minlength=len(x.words)), np.bincount(pair_at[x.trains], minlength=len(keys) - len(x.words))])
-            yield _by_segment(x, keys[c > 0], n_segments, c[c > 0].astype(np.uint32))
+            yield _by_segment(x, n_segments, c, asks)
+
+    return chunks.mapInArrow(run, "chunk long, segment long, keys binary, counts binary")
+
+
+def _segment(lists: list[np.ndarray], rows: pa.Table) -> np.ndarray:
+    """A segment's bytes by the counts that its chunks sent."""
+    c = np.concatenate([np.zeros(0, U64), *(_values(x, 4) for x in rows.column("counts").to_pylist())])
+    uniq, at = np.unique(np.concatenate([np.zeros(0, U64), *lists]), return_inverse=True)
+    c = np.bincount(at, c, len(uniq))
+    return filled(uniq[c > 0], c[c > 0], 1.0)
+
+
+def _levels(segment: np.ndarray, lists: list[np.ndarray], rows: pa.Table) -> pa.Table:
+    """(chunk, segment, levels): what a segment answers."""
+    keys = np.concatenate([np.zeros(0, U64), *lists])
+    level = probed(segment, keys, np.zeros(len(keys), np.int64), np.full(len(keys), len(segment))).astype(np.uint8)
+    ends = np.cumsum([0, *map(len, lists)])
+    return pa.table({"chunk": rows.column("chunk"), "segment": rows.column("segment"), "levels": pa.array([level[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+
+
+ANSWERS = "chunk long, segment long, levels binary"
+
+
+def segments(chunks: DataFrame, n_segments: int) -> DataFrame:
+    """(segment, filter): the filter of the chunks' training texts. A segment without entries has no row."""
 
     def fill(key: tuple, rows: pa.Table) -> pa.Table:
-        uniq, at = np.unique(_keys_of(rows.column("keys").to_pylist()), return_inverse=True)
-        c = np.bincount(at, np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32))
-        return pa.table({"segment": pa.array([key[0].as_py()]), "filter": pa.array([filled(uniq, c, 1.0).tobytes()], pa.binary())})
+        return pa.table({"segment": pa.array([key[0].as_py()]), "filter": pa.array([_segment(_keys_of(rows.column("keys").to_pylist()), rows).tobytes()], pa.binary())})
+
+    return sent(chunks, n_segments, False).groupBy("segment").applyInArrow(fill, "segment long, filter binary")
+
+
+def own_answers(chunks: DataFrame, n_segments: int) -> DataFrame:
+    """What the filter of the chunks' own training texts answers: questions travel with the counts, so n-grams are shuffled once."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        lists = _keys_of(rows.column("keys").to_pylist())
+        return _levels(_segment(lists, rows), lists, rows)
 
-    return chunks.mapInArrow(sent, "chunk long, segment long, keys binary, counts binary").groupBy("segment").applyInArrow(fill, "segment long, filter binary")
+    return sent(chunks, n_segments, True).groupBy("segment").applyInArrow(run, ANSWERS)
 
 
 #: What is made of a chunk and the levels of its keys: one row for each of its texts.
 Rows = Callable[[Chunk, np.ndarray], pa.Table]
 
 
+def put_back(chunks: DataFrame, answers: DataFrame, n_segments: int, rows: Rows, schema: str) -> DataFrame:
+    """`rows` of each chunk and the levels that the segments gave it."""
+
+    def run(key: tuple, chunk: pa.Table, own: pa.Table) -> pa.Table:
+        x = Chunk(chunk.to_pylist()[0])
+        level = np.empty(len(x.keys[0]), np.int64)
+        level[_order(*placed(x.keys[0], n_segments))] = np.frombuffer(b"".join(own.sort_by("segment").column("levels").to_pylist()), np.uint8)
+        return rows(x, level)
+
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+
+
 @dataclass
 class Model:
     """All that scoring needs: the filter's table (segment, filter), the number of its segments, of training tokens and of distinct ones."""
@@ -290,7 +352,7 @@ class Model:
         """`rows` of each chunk and the levels of its keys."""
         if (self.filter.agg(F.sum(F.length("filter"))).first()[0] or 0) <= shared_bytes:
             return self._broadcast(chunks, rows, schema)
-        return self._sent(chunks, rows, schema)
+        return put_back(chunks, self._answers(chunks), self.n_segments, rows, schema)
 
     def _broadcast(self, chunks: DataFrame, rows: Rows, schema: str) -> DataFrame:
         parts = [np.zeros(0, np.uint8)] * self.n_segments
@@ -304,34 +366,17 @@ class Model:
 
         return chunks.mapInArrow(run, schema)
 
-    def _sent(self, chunks: DataFrame, rows: Rows, schema: str) -> DataFrame:
-        n_segments = self.n_segments
+    def _answers(self, chunks: DataFrame) -> DataFrame:
         tokens = chunks.agg(F.sum("n")).first()[0] or 0
-        parts = max(1, math.ceil(tokens / (n_segments * SEGMENT_TOKENS)))  # more texts than trained it: copies of a segment share their questions
+        parts = max(1, math.ceil(tokens / (self.n_segments * SEGMENT_TOKENS)))  # more texts than trained it: copies of a segment share their questions
 
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for x in _chunks(batches):
-                yield _by_segment(x, x.keys[0], n_segments)
-
-        def answer(key: tuple, asked: pa.Table, stored: pa.Table) -> pa.Table:
-            lists = asked.column("keys").to_pylist()
+        def run(key: tuple, asked: pa.Table, stored: pa.Table) -> pa.Table:
             data = np.frombuffer(b"".join(stored.column("filter").to_pylist()), np.uint8)
-            keys = _keys_of(lists)
-            level = probed(data, keys, np.zeros(len(keys), np.int64), np.full(len(keys), len(data))).astype(np.uint8)
-            ends = np.cumsum([0, *(len(x) // KEY_BYTES for x in lists)])
-            return pa.table({"chunk": asked.column("chunk"), "segment": asked.column("segment"), "levels": pa.array([level[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
-
-        def put_back(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
-            x = Chunk(chunk.to_pylist()[0])
-            keys = x.keys[0]
-            level = np.empty(len(keys), np.int64)
-            level[np.argsort(placed(keys, n_segments)[0], kind="stable")] = np.frombuffer(b"".join(answers.sort_by("segment").column("levels").to_pylist()), np.uint8)
-            return rows(x, level)
-
-        asked = chunks.mapInArrow(ask, "chunk long, segment long, keys binary").withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts).cast("long")))
+            return _levels(data, _keys_of(asked.column("keys").to_pylist()), asked)
+
+        asked = sent(chunks, self.n_segments, True).withColumn("part", F.pmod(F.xxhash64("chunk"), F.lit(parts).cast("long")))
         stored = self.filter.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-        answers = asked.groupBy("segment", "part").cogroup(stored.groupBy("segment", "part")).applyInArrow(answer, "chunk long, segment long, levels binary")
-        return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(put_back, schema)
+        return asked.groupBy("segment", "part").cogroup(stored.groupBy("segment", "part")).applyInArrow(run, ANSWERS)
 
     def points(self, x: Chunk, level: np.ndarray, beta: float) -> np.ndarray:
         """log10 of the model's probability of each text of a chunk."""
@@ -362,26 +407,26 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def _learnt(chunks: DataFrame, tmp: Scratch) -> tuple[Model, DataFrame]:
-    """The model of the chunks' training texts and (h, c), the exact counts of their words."""
+    """The model of the chunks' training texts, its filter not yet made, and (h, c), the exact counts of their words."""
     counts = tmp.saved(counted(chunks), "words")
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    n_segments = max(1, math.ceil(n / SEGMENT_TOKENS))
-    return Model(tmp.saved(segments(chunks, n_segments), "segments"), n_segments, n, v), counts
+    return Model(None, max(1, math.ceil(n / SEGMENT_TOKENS)), n, v), counts
 
 
 def train(docs: DataFrame) -> Model:
     """The model of all texts (doc_id, text); its filter is a table of its own in the shared folder."""
     with Scratch(docs.sparkSession) as tmp:
-        model, _ = _learnt(tmp.saved(chunked(_source(docs).withColumn("trains", F.lit(True))), "chunks"), tmp)
-        return replace(model, filter=saved(model.filter, "lm-filter"))
+        chunks = tmp.saved(chunked(_source(docs).withColumn("trains", F.lit(True))), "chunks")
+        model, _ = _learnt(chunks, tmp)
+        return replace(model, filter=saved(segments(chunks, model.n_segments), "lm-filter"))
 
 
-def lm_scores(docs: DataFrame, beta: float = BETA, top: int = TOP, shared_bytes: int = SHARED_BYTES) -> DataFrame:
+def lm_scores(docs: DataFrame, beta: float = BETA, top: int = TOP) -> DataFrame:
     with Scratch(docs.sparkSession) as tmp:
-        return _scores(docs, beta, top, shared_bytes, tmp)
+        return _scores(docs, beta, top, tmp)
 
 
-def _scores(docs: DataFrame, beta: float, top: int, shared_bytes: int, tmp: Scratch) -> DataFrame:
+def _scores(docs: DataFrame, beta: float, top: int, tmp: Scratch) -> DataFrame:
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     chunks = tmp.saved(chunked(_source(docs).withColumn("trains", ~held_out)), "chunks")
@@ -391,7 +436,7 @@ def _scores(docs: DataFrame, beta: float, top: int, shared_bytes: int, tmp: Scra
     known = first.column("h").to_numpy().view(U64)
     order = np.argsort(known)
     shared = spark.sparkContext.broadcast((known[order], first.column("c").to_numpy()[order]))
-    points = replace(model, filter=None).points  # tasks don't take tables
+    points = model.points
 
     def rows(x: Chunk, level: np.ndarray) -> pa.Table:
         known, known_c = shared.value
@@ -408,7 +453,7 @@ def _scores(docs: DataFrame, beta: float, top: int, shared_bytes: int, tmp: Scra
         return pa.table([pa.array(x.number + np.arange(n_docs)), x.ids, pa.array(x.sizes.astype(np.int64)), pa.array(n_known), pa.array(base), pa.array(points(x, level, beta)), rare_words], ["row", "doc_id", "n_tokens", "n_top", "base_top", "score", "rare"])
 
     schema = "row long, doc_id long, n_tokens long, n_top long, base_top double, score double, rare array<long>"
-    scored = tmp.saved(model.applied(chunks, rows, schema, shared_bytes), "scored")
+    scored = tmp.saved(put_back(chunks, own_answers(chunks, model.n_segments), model.n_segments, rows, schema), "scored")
     rest = scored.select("row", F.explode("rare").alias("h")).join(counts, "h", "left").groupBy("row").agg(F.count("c").alias("n_rest"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 0.5) / denominator)).alias("base_rest"))
     out = scored.drop("rare").join(rest, "row", "left").select(
         "doc_id",
