@@ -4,17 +4,20 @@ Spark keeps the texts that hold a cue word. In them every cue gives candidate bl
 around it, as many as the templates of a size class have, over line ends and comment signs, so
 wrapped notices and whole license texts lie in one block. Each block is compressed once plainly
 and once with each template of its class as a raw zstandard dictionary; the templates are ranked
-by the share of bytes saved. In this order all are confirmed by exact wording (none is left out
-for its rank: a name of three words hardly saves a byte): the block's words are aligned with the template's, and what the template has beyond the block
-(`missing`) and the block between the template's words (`extra`) is listed. It is confirmed if no
+by the bytes saved. In this order they are confirmed by exact wording, each in what the ones
+before it left of the block: the words there are aligned with the template's, and what the template has
+beyond them (`missing`) and they have between the template's words (`extra`) is listed. It is confirmed if no
 key word of the template (what tells it from its siblings: a version, NC, SA ...) is missing, no
 sibling's key word or QUALIFIER stands in between, at least `min_words` of its words are there in order, and no
-more than the rest is extra. SPDX expressions are read as such: each known identifier counts.
+more than the rest is extra. One that is not confirmed leaves the block to the next.
 
-Of confirmed templates whose spans overlap the one with most words confirmed stays (of equals the
-better ranked, then the first in the list), so a text may hold several licenses.
+Of winners of several blocks whose spans overlap the one that saves most bytes stays (of equals the one
+with most words confirmed, then the first in the list), so a text may hold several licenses. SPDX expressions are read as such: each
+identifier counts, known ones in their usual spelling, others as written, with its plus sign if it has one. What follows WITH is
+no license. Operators in lower case may be prose, so after them only known identifiers count. Identifiers
+that are not in the list are of the kind `unlisted`; `scan` leaves them out unless asked for them.
 
-Result: doc_id, start, end (code points), kind (name, notice, text, spdx), license, reduction,
+Result: doc_id, start, end (code points), kind (name, notice, text, spdx, unlisted), license, reduction,
 missing, extra, exact; a row for each license found in each input row.
 
 Defined results: null and empty texts have no rows; repeated rows are reported each; a null
@@ -123,8 +126,10 @@ LEVEL = 3
 CLASSES, SLACK = (12, 50, 300), 4
 
 _CUE = re.compile(CUE)
-_SPDX = re.compile(r"(?i)SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+()/, \t-]+)")
-_IDENTIFIER = re.compile(r"([A-Za-z0-9][A-Za-z0-9.-]*)(\+?)")
+_SPDX = re.compile(r"(?i)SPDX-License-Identifier:[ \t]*")
+_SPDX_PART = re.compile(r"[( \t]*([A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?)(\+?)[) \t]*")
+_SPDX_OPERATOR = re.compile(r"(AND|OR|WITH|and|or|with|/|,)(?=[( \t])|/")
+_SPELLING = {x.lower(): x for x in SPDX}
 
 
 @dataclass
@@ -163,7 +168,7 @@ class Found:
 
     first: int
     last: int
-    rank: int
+    saved: int
     place: int
     reduction: float
     missing: tuple[str, ...]
@@ -177,25 +182,42 @@ def confirmed(block: list[str], text: str, size: int, templates: tuple[tuple[str
     least = max([c for c in CLASSES if c < size], default=0)
     data = text.encode("utf-8", "replace")
     whole = len(plain.compress(data))
-    ranked = sorted(((1 - len(t.packer.compress(data)) / whole, -k) for k, t in enumerate(made) if least < len(t.words) <= size), reverse=True)
+    ranked = sorted(((whole - len(t.packer.compress(data)), -k) for k, t in enumerate(made) if least < len(t.words) <= size), reverse=True)
     out = []
-    for rank, (reduction, k) in enumerate(ranked):
+    free = [(0, len(block))]  # what no winner has taken
+    for saved, k in ranked:
         t = made[-k]
         room = (1 - min_words) * len(t.words)
-        parts = [(0, len(block))]  # beside a confirmed span there may be another
+        parts, free = free, []
         while parts:
             low, high = parts.pop()
-            if high - low < len(t.words) - room or not t.keys <= set(block[low:high]):  # a missing key word shows without an alignment
-                continue
-            missing, extra, first, last = wording(block[low:high], t)
-            odd = ((keys | QUALIFIERS) - t.keys - set(t.words)) & set(extra)
-            if not t.keys & set(missing) and not odd and len(missing) <= room and len(extra) <= room:
-                out.append(Found(low + first, low + last, rank, -k, reduction, tuple(missing), tuple(extra), len(t.words) - len(missing) - len(extra)))
-                parts += [(low, low + first), (low + last + 1, high)]
+            if high - low >= len(t.words) - room and t.keys <= set(block[low:high]):  # a missing key word shows without an alignment
+                missing, extra, first, last = wording(block[low:high], t)
+                odd = ((keys | QUALIFIERS) - t.keys - set(t.words)) & set(extra)
+                if not t.keys & set(missing) and not odd and len(missing) <= room and len(extra) <= room:
+                    out.append(Found(low + first, low + last, saved, -k, saved / whole, tuple(missing), tuple(extra), len(t.words) - len(missing) - len(extra)))
+                    parts += [(low, low + first), (low + last + 1, high)]  # there may be another
+                    continue
+            free.append((low, high))
     return out
 
 
-def scan(text: str, templates: tuple[tuple[str, str, str, str], ...] = TEMPLATES, known: dict | None = None) -> list[tuple]:
+def expression(text: str, at: int) -> Iterator[tuple[int, int, str]]:
+    """(start, end, identifier) of the licenses in the SPDX expression that begins there."""
+    operator = "AND"
+    while part := _SPDX_PART.match(text, at):
+        known = _SPELLING.get(part[1].lower())
+        if operator.islower() and not known:
+            return
+        if operator.upper() != "WITH":
+            yield part.start(1), part.end(2), (known or part[1]) + part[2]
+        follows = _SPDX_OPERATOR.match(text, part.end())
+        if not follows:
+            return
+        operator, at = follows[0], follows.end()
+
+
+def scan(text: str, templates: tuple[tuple[str, str, str, str], ...] = TEMPLATES, known: dict | None = None, unlisted: bool = False) -> list[tuple]:
     """(start, end, kind, license, reduction, missing, extra, exact) of every license in a text. known: blocks that were confirmed before."""
     known = {} if known is None else known
     spans = [m.span() for m in _WORD.finditer(text)]
@@ -214,18 +236,18 @@ def scan(text: str, templates: tuple[tuple[str, str, str, str], ...] = TEMPLATES
                 if len(known) >= 10_000:
                     known.clear()
                 known[part, size] = confirmed(lower[low:high], part, size, templates)
-            found |= {Found(low + f.first, low + f.last, f.rank, f.place, f.reduction, f.missing, f.extra, f.agree) for f in known[part, size]}
+            found |= {Found(low + f.first, low + f.last, f.saved, f.place, f.reduction, f.missing, f.extra, f.agree) for f in known[part, size]}
     rows, taken = [], []
     made = prepared(templates)[0]
     for m in _SPDX.finditer(text) if made else ():
-        for name in _IDENTIFIER.finditer(m[1]):
-            match = next((x + name[2] for x in SPDX if x.lower() == name[1].lower()), None)
-            if match:
-                a, b = m.start(1) + name.start(), m.start(1) + name.end()
-                whole, line = len(prepared(templates)[1].compress(m[0].encode())), f"SPDX-License-Identifier: {match}"
-                rows.append((a, b, "spdx", match, 1 - len(_packer(line).compress(m[0].encode())) / whole, "", "", True))
-        taken.append(m.span())
-    for f in sorted(found, key=lambda f: (-f.agree, f.rank, f.place, f.first)):
+        end = m.end()
+        for a, b, name in expression(text, end):
+            data, line = text[m.start() : b].encode(), f"SPDX-License-Identifier: {name}"
+            end, kind = b, "spdx" if name.removesuffix("+").lower() in _SPELLING else "unlisted"
+            if kind == "spdx" or unlisted:
+                rows.append((a, b, kind, name, 1 - len(_packer(line).compress(data)) / len(prepared(templates)[1].compress(data)), "", "", True))
+        taken.append((m.start(), end))
+    for f in sorted(found, key=lambda f: (-f.saved, -f.agree, f.place, f.first)):
         a, b = spans[f.first][0], spans[f.last][1]
         if all(b <= x or y <= a for x, y in taken):
             taken.append((a, b))
@@ -242,7 +264,7 @@ def licenses(docs: DataFrame, templates: tuple[tuple[str, str, str, str], ...] =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}  # notices repeat word for word
         for b in batches:
-            rows = [(doc, *r) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in scan(t, templates, known)]
+            rows = [(doc, *r) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in scan(t, templates, known, True)]
             names = ["doc_id", "start", "end", "kind", "license", "reduction", "missing", "extra", "exact"]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
             yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)

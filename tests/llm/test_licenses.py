@@ -102,3 +102,36 @@ FAMILIES = [
 def test_families(text, want):
     assert [r[3] for r in scan(text)] == want
     assert [r[3] for r in scan("Plain words here. " * 60 + text + "\nMore words. " * 60)] == want
+
+
+SPDX = [
+    ("SPDX-License-Identifier: GPL-2.0-only OR (BSD-3-Clause AND Unheard-1.0)", [("spdx", "GPL-2.0-only"), ("spdx", "BSD-3-Clause"), ("unlisted", "Unheard-1.0")]),
+    ("SPDX-License-Identifier: LicenseRef-Own-2", [("unlisted", "LicenseRef-Own-2")]),
+    ("SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0 and more", [("spdx", "GPL-2.0+")]),
+    ("SPDX-License-Identifier: mit or so they say, and apache-2.0 too", [("spdx", "MIT")]),
+    ("SPDX-License-Identifier: mit or apache-2.0. Prose follows AND more", [("spdx", "MIT"), ("spdx", "Apache-2.0")]),
+    ("SPDX-License-Identifier: MIT/Other-1.1", [("spdx", "MIT"), ("unlisted", "Other-1.1")]),
+    ("SPDX-License-Identifier:", []),
+]
+
+
+@pytest.mark.parametrize("text,want", SPDX)
+def test_spdx_expressions(spark, text, want):
+    assert [(r[2], r[3]) for r in scan(text + "\nplain", unlisted=True)] == want
+    rows = scan(text, unlisted=True)
+    assert all(text[r[0] : r[1]].lower() == r[3].lower() for r in rows)
+    assert [r[3] for r in scan(text)] == [name for kind, name in want if kind == "spdx"]
+
+
+def test_the_operator_reports_unlisted_identifiers(spark):
+    frame = spark.createDataFrame([(1, "# SPDX-License-Identifier: Unheard-1.0"), (2, "x")], "doc_id long, text string")
+    assert [(r["doc_id"], r["kind"], r["license"]) for r in licenses(frame).collect()] == [(1, "unlisted", "Unheard-1.0")]
+
+
+def test_the_winner_saves_most_and_siblings_inside_it_go():
+    text = WORDING["BSD-3-Clause", "text"]
+    (row,) = scan(text)  # the two-clause text is a prefix of it
+    assert row[3] == "BSD-3-Clause" and row[0] == 0 and row[1] >= len(text) - 1
+    assert [r[3] for r in scan(WORDING["BSD-2-Clause", "text"])] == ["BSD-2-Clause"]
+    both = scan(text + "\n\n" + "plain words here " * 100 + WORDING["BSD-2-Clause", "text"])
+    assert [r[3] for r in both] == ["BSD-3-Clause", "BSD-2-Clause"]
