@@ -45,6 +45,18 @@ SPAN = T.StructType(
     ]
 )
 
+# The columns that analyses of each kind of file need; metric files of infrastructure and databases need all they have.
+COLUMNS = {
+    "service": ("time", "error", "error_ratio", "object_id", "object_type", "server_error", "server_error_ratio", "client_error", "client_error_ratio", "request", "response", "rrt", "rrt_max", "timeout"),
+    "logs": ("k8_namespace", "@timestamp", "k8_pod", "message", "k8_node_name", "agent_name", "log_level"),
+    "spans": ("traceID", "spanID", "operationName", "startTime", "startTimeMillis", "duration", "process", "tags", "references", "logs"),
+}
+
+
+def relevant(df: DataFrame, kind: str) -> DataFrame:
+    """Those of the kind's COLUMNS that df has, in their order (scans read no others); all of them for a kind without a list."""
+    return df.select(*[F.col(f"`{c}`") for c in COLUMNS[kind] if c in df.columns]) if kind in COLUMNS else df
+
 
 def local_dates(start: datetime, end: datetime) -> list[str]:
     first, last = (start + LOCAL).date(), (end + LOCAL).date()
@@ -164,8 +176,11 @@ def unreadable(content: pa.BinaryScalar) -> str | None:
 
 
 def service_metrics(spark: SparkSession, root: str, start: datetime, end: datetime) -> DataFrame | None:
+    """Service and pod metrics in long form; files without a time, or without the columns that name an object, give no row."""
     wide = read_files(spark, service_files(spark, root, start, end))
-    return wide_to_long(in_time(wide, "time", start, end)) if wide is not None else None
+    if wide is None:
+        return None
+    return wide_to_long(in_time(wide, "time", start, end) if "time" in wide.columns else wide)
 
 
 def tall_metrics(spark: SparkSession, files: list[str], start: datetime, end: datetime, value_column: bool = True) -> DataFrame | None:

@@ -237,3 +237,21 @@ def test_callers_within_a_service_and_severities_of_latency(spark):
     long = spark.createDataFrame(rows, "time timestamp, object_id string, object_type string, metric string, value double")
     found = svc.anomalies(long, WindowSpec.incident(START, END), "timestamp").collect()
     assert {r["object_id"]: r["severity"] for r in found} == {"p-0": "critical", "p-1": "major", "p-2": "minor"}
+
+
+def test_relevant_columns_reach_the_scan(spark, lake):
+    df = telemetry.read_files(spark, telemetry.trace_files(spark, lake, AT, AT), telemetry.SPAN)
+    slim = telemetry.relevant(df, "spans")
+    assert slim.columns == list(telemetry.COLUMNS["spans"]) and "flags" not in slim.columns
+    plan = slim._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema" in plan and "flags" not in plan.split("ReadSchema")[1]
+    lines = telemetry.read_files(spark, telemetry.log_files(spark, lake, AT, AT))
+    assert telemetry.relevant(lines, "logs").columns == ["@timestamp", "k8_pod", "message", "k8_node_name"]
+    assert telemetry.relevant(lines, "infra").columns == lines.columns
+
+
+def test_service_files_without_a_time_give_no_row(spark, tmp_path):
+    spark.createDataFrame([("cartservice-0", "pod", 1.0)], "object_id string, object_type string, rrt double").write.parquet(f"{tmp_path}/{DAY}/metric-parquet/apm/pod/pod_cart_{DAY}.parquet")
+    got = telemetry.service_metrics(spark, str(tmp_path), AT, AT + timedelta(minutes=5))
+    assert got.columns == ["time", "object_id", "object_type", "metric", "value"] and got.count() == 0
+    assert telemetry.service_metrics(spark, str(tmp_path / "none"), AT, AT) is None
