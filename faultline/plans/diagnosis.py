@@ -17,7 +17,7 @@ from faultline.operators import logs as log_ops
 from faultline.operators import service_metrics as svc
 from faultline.operators import traces as tr
 from faultline.operators.compare import compare, counter_rates
-from faultline.operators.graph import reachable
+from faultline.operators.graph import marks_ahead, numbered_graph, sources_behind
 from faultline.plans import topology
 from faultline.plans.windows import LOG_CONTEXT, WindowSpec, find_loose_range, find_range
 from faultline.sources import telemetry
@@ -185,17 +185,22 @@ def resource_causes(findings: DataFrame, calls: DataFrame) -> DataFrame:
     return full.join(ends, "dst", "left_semi").join(callers, "dst").groupBy("dst").agg(F.countDistinct("src").alias("n_callers"))
 
 
-def chain_causes(findings: DataFrame, calls: DataFrame) -> DataFrame:
-    """(dst, n_anchors, nearest): saturated components that explain anomalies of components which call them, over any number of calls.
+def chain_causes(findings: DataFrame, calls: DataFrame, most: int | None = None) -> DataFrame:
+    """(dst, n_anchors, nearest): saturated components that explain anomalies of components which call them, over at most `most` calls (none: any number).
 
     A cause is the end of its chain: nothing that it reaches itself is saturated or anomalous, but for itself. nearest: the fewest calls to an anomalous component.
     """
-    full = findings.where((F.col("source") == "infra") & (F.col("severity") == "critical")).select(F.col("component").alias("node")).where("node is not null").distinct()
-    odd = findings.where(F.col("source") != "infra").select(F.col("component").alias("node")).where("node is not null").distinct()
-    from_anchor = reachable(odd.withColumnRenamed("node", "start"), calls).where("hops > 0 and start <> node").join(full, "node", "left_semi")
-    found = from_anchor.select(F.col("node").alias("start")).distinct()
-    below = reachable(found, calls).where("start <> node").join(full.union(odd).distinct(), "node", "left_semi").select(F.col("start").alias("node"))
-    return from_anchor.join(below, "node", "left_anti").groupBy(F.col("node").alias("dst")).agg(F.count(F.lit(1)).alias("n_anchors"), F.min("hops").alias("nearest"))
+    full = findings.where((F.col("source") == "infra") & (F.col("severity") == "critical")).select(F.col("component").alias("node"), F.lit(True).alias("full"))
+    odd = findings.where(F.col("source") != "infra").select(F.col("component").alias("node"), F.lit(False).alias("full"))
+    marks = saved(full.unionByName(odd).where("node is not null").groupBy("node").agg(F.bool_or("full").alias("full"), F.bool_or(~F.col("full")).alias("odd")), "marks")
+    nodes, edges = numbered_graph(calls, marks)
+    marks = saved(marks.join(nodes, "node"), "marks")
+    ahead = marks_ahead(marks, edges, most)
+    ends = saved(marks.where("full").join(ahead.where("low = id and high = id"), "id", "left_semi"), "ends")
+    # what leads to no mark leads to no cause; an end explains no other one, as it reaches none
+    leading = edges.join(ahead.select(F.col("id").alias("dst")), "dst", "left_semi")
+    behind = sources_behind(marks.where("odd").join(ends, "id", "left_anti"), leading, most)
+    return ends.join(behind, "id").select(F.col("node").alias("dst"), F.col("n").alias("n_anchors"), F.col("hops").alias("nearest"))
 
 
 def _as_findings(result: Result) -> DataFrame | None:

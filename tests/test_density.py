@@ -3,9 +3,10 @@
 import numpy as np
 import pytest
 
-from faultline.operators import density
+from faultline.operators import density, graph
 from faultline.operators.density import dbscan, local_outlier_factor
 from faultline.operators.graph import connected, reachable
+from faultline.plans.diagnosis import chain_causes
 
 
 def plain_dbscan(ids, x, eps, least):
@@ -90,3 +91,33 @@ def test_graph(spark):
     calls = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("x", None)], "src string, dst string")
     starts = spark.createDataFrame([("a",), ("d",), (None,), ("z",)], "start string")
     assert {tuple(r) for r in reachable(starts, calls).collect()} == {("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("d", "d", 0), ("z", "z", 0)}
+
+
+def plain_chain_causes(full, odd, calls, most):
+    def ahead(start):
+        hops, last = {start: 0}, [start]
+        for n in range(1, most + 1):
+            last = {b for a, b in calls if a in last} - hops.keys()
+            hops |= dict.fromkeys(last, n)
+        return hops
+
+    of = {n: ahead(n) for n in full | odd}
+    ends = [e for e in full if not (of[e].keys() & (full | odd)) - {e}]
+    far = {e: [of[o][e] for o in odd if o != e and e in of[o]] for e in ends}
+    return {(e, len(h), min(h)) for e, h in far.items() if h}
+
+
+@pytest.mark.parametrize("most", [None, 60])
+def test_long_chains_end_in_causes(spark, monkeypatch, most):
+    """A chain of 70 calls with a way back and a loop at its end, and a random graph; with more sources than a row has bits."""
+    monkeypatch.setattr(graph, "WORDS", 1)
+    rng = np.random.default_rng(0)
+    calls = {(f"c{i}", f"c{i + 1}") for i in range(70)} | {("c9", "c2"), ("c70", "c70")} | {(f"r{a}", f"r{b}") for a, b in rng.integers(0, 300, (330, 2))} | {("c1", f"r{i}") for i in range(40)} | {(f"x{i}", "hub") for i in range(100)}
+    full = {"c70", "hub", "alone", "c0"} | {f"r{i}" for i in range(0, 300, 9)}
+    odd = {"c0", "c3", "c30", "c70", "nowhere"} | {f"r{i}" for i in range(0, 300, 7)} | {f"x{i}" for i in range(100)}
+    want = plain_chain_causes(full, odd, calls, most or 1000)
+    assert ("c70", 1 if most else 3, 40) in want
+    assert ("hub", 100, 1) in want and len(want) > 5
+    found = spark.createDataFrame([("infra", c, "critical") for c in sorted(full)] + [("service", c, "minor") for c in sorted(odd)] + [("infra", "c5", "minor"), ("logs", None, "critical")], "source string, component string, severity string")
+    table = spark.createDataFrame([*sorted(calls), *sorted(calls)[:9], ("c1", None), (None, "c1")], "src string, dst string")
+    assert {tuple(r) for r in chain_causes(found, table, most).collect()} == want
