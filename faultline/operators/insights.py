@@ -55,19 +55,42 @@ def pearson(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
     return df.groupBy(group).agg(correlation(x, y).alias("pearson"))
 
 
-def _average_ranks(df: DataFrame, group: str, c: str, name: str, rows: int) -> DataFrame:
-    """(group, c, name): the mean place of equal values among their group's, from counted values; nulls come first."""
-    counted = df.groupBy(group, c).agg(F.count(F.lit(1)).alias("__c"))
-    placed = series(counted, [group], [c], rows).running({"__upto": ("sum", F.col("__c"))}).plain
-    return placed.select(F.struct(group, c).alias("__value"), (F.col("__upto") - (F.col("__c") - 1) / 2).alias(name))
+#: Values whose ranks are broadcast; more are joined by value.
+FEW_VALUES = 100_000
+
+
+def _counted(df: DataFrame, group: str, c: str, *more: Column) -> DataFrame:
+    """(group, __v, __c, ...): how many rows have a value; written once, as it is read several times."""
+    return saved(df.groupBy(group, F.col(c).alias("__v")).agg(F.count(F.lit(1)).alias("__c"), *more), "counted")
+
+
+def _doubled_ranks(counted: DataFrame, group: str, rows: int) -> DataFrame:
+    """counted with __r, twice the mean place of equal values among their group's; nulls come first."""
+    placed = series(counted, [group], ["__v"], rows).running({"__upto": ("sum", F.col("__c"))}).plain
+    return placed.withColumn("__r", 2 * F.col("__upto") - F.col("__c") + 1).drop("__upto")
 
 
 def spearman(df: DataFrame, group: str, x: str, y: str, rows: int = PART_ROWS) -> DataFrame:
-    """Correlation of average ranks."""
-    out = df.select(group, x, y)
-    for c, name in ((x, "__rx"), (y, "__ry")):
-        out = out.withColumn("__value", F.struct(group, c)).join(_average_ranks(df, group, c, name, rows), "__value").drop("__value")
-    return out.groupBy(group).agg(correlation("__rx", "__ry").alias("spearman"))
+    """Correlation of average ranks.
+
+    Rows meet the ranks of one column, that of few values where there is one, and are summed by the other's values, whose ranks then meet no row. Doubled ranks are integers, so the sums are exact.
+    """
+    first = _counted(df, group, x)
+    if first.count() > FEW_VALUES:
+        other = _counted(df, group, y)
+        if other.count() < first.count():
+            first, x, y = other, y, x
+    ranks = _doubled_ranks(first, group, rows)
+    at = ranks.select(F.struct(group, "__v").alias("__value"), "__r")
+    met = df.select(group, y, F.struct(group, F.col(x).alias("__v")).alias("__value")).join(F.broadcast(at) if first.count() <= FEW_VALUES else at, "__value")
+    others = _doubled_ranks(_counted(met, group, y, F.sum("__r").alias("__s")), group, rows)
+    exact = lambda *cs: reduce(Column.__mul__, [c.cast("decimal(20,0)") for c in cs]).cast("decimal(38,0)")
+    c, r, none = F.col("__c"), F.col("__r"), F.lit(0).cast("decimal(38,0)")
+    parts = others.select(group, c, exact(F.col("__s"), r).alias("xy"), none.alias("xx"), exact(c, r, r).alias("yy"))
+    parts = parts.unionByName(ranks.select(group, F.lit(0).cast("long").alias("__c"), none.alias("xy"), exact(c, r, r).alias("xx"), none.alias("yy")))
+    sums = parts.groupBy(group).agg(F.sum("__c").alias("n"), *[F.sum(m).alias(m) for m in ("xy", "xx", "yy")])
+    about = lambda m: (F.col(m) - exact(F.col("n"), F.col("n") + 1, F.col("n") + 1)).cast("double")
+    return sums.select(group, F.try_divide(about("xy"), F.sqrt(about("xx")) * F.sqrt(about("yy"))).alias("spearman"))
 
 
 def statistics(df: DataFrame, group: str, y: str) -> DataFrame:

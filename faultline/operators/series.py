@@ -24,6 +24,8 @@ from faultline.sources.scratch import saved
 
 #: Rows that one task may order.
 PART_ROWS = 1 << 20
+#: Parts of fewer rows are made up to this number; a longer table has larger ones, of PART_ROWS at most, so that their number does not grow as the rows do.
+SMALL_PARTS = 512
 
 Of = dict[str, tuple[str, Column]]
 
@@ -108,5 +110,6 @@ def series(df: DataFrame, keys: list[str], order: list[str], rows: int = PART_RO
     marked = df.withColumn("__key", F.struct(*keys) if keys else F.struct(F.lit(0).alias("all")))
     if fits(marked, ["__key"], rows):
         return Series(marked.withColumn("__part", F.lit(0)), order, False)
-    dealt = marked.repartitionByRange(math.ceil(df.count() / rows), *keys, *order)
+    n = df.count()
+    dealt = marked.repartitionByRange(max(min(math.ceil(n / rows), SMALL_PARTS), math.ceil(n / max(rows, PART_ROWS))), *keys, *order)
     return Series(saved(dealt.withColumn("__part", F.spark_partition_id()), "series"), order, True)

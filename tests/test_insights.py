@@ -1,6 +1,7 @@
 """Abnormal trends, and which insights a chart shows."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from faultline.operators import insights as ins
@@ -61,3 +62,18 @@ def test_series_at_rest_and_sums_of_zero(spark):
     assert value(ins.statistics(df, "g", "y"), "volatility")["zero"] is None
     assert ins.majority(df, "g", "y", "x").count() == 0
     assert ins.difference_outliers(df.where("g = 'rest'"), "g", "x", "y").count() == 0 and ins.page_hinkley(df, "g", "x", "y").count() == 0
+
+
+@pytest.mark.parametrize("few, swapped", [(100_000, False), (3, False), (3, True)])
+def test_spearman_of_ties_and_nulls(spark, monkeypatch, few, swapped):
+    """Whichever column has few values, or none has."""
+    monkeypatch.setattr(ins, "FEW_VALUES", few)
+    rng = np.random.default_rng(3)
+    made = [(g, int(a), None if i % 50 == 0 else float(b)) for i, (g, a, b) in enumerate(zip(["a", "b", None] * 300, rng.integers(0, 7, 900), rng.normal(size=900).round(2)))]
+    df = spark.createDataFrame(made, "g string, x int, y double")
+    got = {r.g: r.spearman for r in ins.spearman(df, "g", *(("y", "x") if swapped else ("x", "y")), rows=40).collect()}
+    p = pd.DataFrame(made, columns=["g", "x", "y"])
+    p["g"], p["y"] = p.g.fillna("none"), p.y.fillna(-1e9)
+    for g, rows in p.groupby("g"):
+        np.testing.assert_allclose(got[None if g == "none" else g], rows.x.rank().corr(rows.y.rank()), rtol=1e-12)
+    assert len(got) == 3

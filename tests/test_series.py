@@ -54,3 +54,12 @@ def test_one_series_without_keys_and_empty(spark, frame):
     s = series(frame, [], ["id"], 100).running({"n": ("count", F.lit(1))})
     assert [r[0] for r in s.plain.orderBy("id").select("n").collect()] == list(range(1, 3001))
     assert series(frame.limit(0), ["k"], ["id"]).running({"n": ("count", F.lit(1))}).plain.count() == 0
+
+
+def test_parts_do_not_grow_with_rows(spark, frame, monkeypatch):
+    monkeypatch.setattr("faultline.operators.series.SMALL_PARTS", 40)
+    s = series(frame, [], ["id"], 2).running({"n": ("count", F.lit(1))})
+    assert s.split and 10 < s.rows.select("__part").distinct().count() <= 40
+    assert [r[0] for r in s.plain.orderBy("id").select("n").collect()] == list(range(1, 3001))
+    monkeypatch.setattr("faultline.operators.series.PART_ROWS", 50)
+    assert series(frame, [], ["id"], 2).rows.select("__part").distinct().count() > 40
